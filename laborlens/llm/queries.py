@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+from laborlens.llm.fingerprint import op10_locally_consistent
+from laborlens.llm.packing import op9_cost_packing
 from laborlens.llm.secrets import op6_secret_scan
 
-QUERIES = {"op6_secret_scan": op6_secret_scan}
+QUERIES = {
+    "op6_secret_scan": op6_secret_scan,
+    "op9_cost_packing": op9_cost_packing,
+    "op10_locally_consistent": op10_locally_consistent,
+}
 SQL: dict[str, str] = {}
