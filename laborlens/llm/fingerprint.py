@@ -37,8 +37,11 @@ BLOCK = 1 << 18
 #: Ranges per shuffle partition.
 RANGES = 4
 
-_BYTES = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
 _STEP = U64(0x9E3779B97F4A7C15)
+#: Phrases of bytes are shorter than this: labels below eight rise at most seven times and fall as often.
+PLACES = 32
+with np.errstate(over="ignore"):
+    _PLACED = mix(np.arange(1, 1 + PLACES * 256, dtype=U64) * _STEP)
 
 
 def _coin(x: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -60,31 +63,39 @@ def parse(x: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     np.not_equal(x[1:], x[:-1], out=new[1:])
     new[first] = True
     starts = np.flatnonzero(new)
+    long = ()
     if len(starts) < len(x):
         runs = np.diff(starts, append=len(x))
         first = np.searchsorted(starts, first)
         x = x[starts]
         long = np.flatnonzero(runs > 1)
-        x[long] = mix(x[long] + runs[long].astype(U64) * _STEP)
-    label = _coin(x, first)
-    for _ in range(3):
+    # 256 labels become 16, then 8; 2**64 become 128, 14, 8
+    label = x
+    for _ in range(2 if x.dtype == np.uint8 else 3):
         label = _coin(label, first)
     peak = np.zeros(len(x), bool)
-    peak[1:-1] = (label[1:-1] > label[:-2]) & (label[1:-1] >= label[2:])
+    np.greater(label[1:-1], label[:-2], out=peak[1:-1])
+    peak[1:-1] &= label[1:-1] >= label[2:]
     peak[np.append(first[1:] - 1, len(x) - 1)] = False
     peak[np.minimum(first + 1, len(x) - 1)] = False
     peak[first] = True
-    starts = np.flatnonzero(peak)
-    lengths = np.diff(starts, append=len(x))
-    place = (np.arange(1, len(x) + 1) - np.repeat(starts, lengths)).astype(U64)
-    return mix(np.add.reduceat(mix(x + place * _STEP), starts) + lengths.astype(U64)), np.searchsorted(starts, first)
+    starts = np.flatnonzero(peak).astype(np.int32)
+    lengths = np.diff(starts, append=np.int32(len(x)))
+    place = np.arange(len(x), dtype=np.int32) - np.repeat(starts, lengths)
+    if x.dtype == np.uint8:
+        names = _PLACED[(np.minimum(place, PLACES - 1) << 8) | x]
+    else:
+        names = mix(x + place.astype(U64) * _STEP)
+    if len(long):
+        names[long] = mix(names[long] + runs[long].astype(U64) * _STEP)
+    return mix(np.add.reduceat(names, starts) + lengths.astype(U64)), np.searchsorted(starts, first)
 
 
 def _sets(texts: list[bytes]) -> list[np.ndarray]:
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     owner = np.flatnonzero(lengths)
     lengths = lengths[owner]
-    x = _BYTES[np.frombuffer(b"".join(texts), np.uint8)]
+    x = np.frombuffer(b"".join(texts), np.uint8)
     kept, level = [np.zeros(0, U64)], 0
     while len(owner):
         first = np.cumsum(lengths) - lengths
@@ -93,7 +104,7 @@ def _sets(texts: list[bytes]) -> list[np.ndarray]:
             lengths = np.diff(first, append=len(x))
         over = lengths == 1
         tell = np.ones(len(x), bool) if level >= FIRST_LEVEL else np.repeat(over, lengths)
-        kept.append(np.repeat(owner, lengths)[tell].astype(U64) << U64(32) | mix(x[tell] + U64(level)) >> U64(32))
+        kept.append(np.repeat(owner, lengths)[tell].astype(U64) << U64(32) | mix(x[tell].astype(U64) + U64(level)) >> U64(32))
         if over.any():
             x, owner, lengths = x[np.repeat(~over, lengths)], owner[~over], lengths[~over]
         level += 1
