@@ -129,31 +129,42 @@ def band_keys(signature: np.ndarray, rows: int) -> np.ndarray:
     return key
 
 
-def bloom(keys: DataFrame, column: str, bits: int = 1 << 24) -> np.ndarray:
-    """Bloom filter of a long column, built by Spark; the driver gets at most bits/64 words whatever the input.
+BLOOM_BITS = 1 << 24
 
-    It only spares work: whoever uses it joins exactly afterwards. Beyond some bits/4 keys it lets all pass.
+
+def bloom_spots(column: str | Column) -> list[Column]:
+    """Where a key's two bits are. Ids are hashed; a column of hashes can use hash_spots()."""
+    h = F.xxhash64(column)
+    return [F.pmod(h, F.lit(BLOOM_BITS)).alias("spot1"), F.pmod(F.shiftrightunsigned(h, 30), F.lit(BLOOM_BITS)).alias("spot2")]
+
+
+def hash_spots(hashes: np.ndarray) -> list[np.ndarray]:
+    """The same for 64-bit hashes, in numpy."""
+    return [(hashes % U64(BLOOM_BITS)).astype(np.int64), ((hashes >> U64(30)) % U64(BLOOM_BITS)).astype(np.int64)]
+
+
+def bloom(keys: DataFrame, column: str, hashed: bool = False) -> np.ndarray:
+    """Bloom filter of a long column (hashed: of 64-bit hashes), built by Spark; the driver gets BLOOM_BITS / 64 words at
+    most, whatever the input.
+
+    It only spares work: whoever uses it joins exactly afterwards. Beyond some BLOOM_BITS / 4 keys it lets all pass.
     """
-    spots = keys.select(F.explode(F.array(*(F.pmod(F.xxhash64(column, F.lit(s)), F.lit(bits)) for s in (1, 2)))).alias("spot"))
-    words = spots.groupBy(F.expr(f"spot div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(spot % 64 as int)))").alias("mask"))
-    out = np.zeros(bits // 64, np.int64)
+    h = F.col(column) if hashed else F.xxhash64(column)
+    spots = keys.select(F.explode(F.array(F.pmod(h, F.lit(BLOOM_BITS)), F.pmod(F.shiftrightunsigned(h, 30), F.lit(BLOOM_BITS)))).alias("spot"))
+    words = spots.groupBy(F.expr("spot div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(spot % 64 as int)))").alias("mask"))
+    out = np.zeros(BLOOM_BITS // 64, np.int64)
     got = words.toArrow()
     out[got["word"].to_numpy()] = got["mask"].to_numpy()
     return out.view(U64)
 
 
 def in_bloom(words: np.ndarray, spots: list[np.ndarray]) -> np.ndarray:
-    """spots: for each seed pmod(xxhash64(key, seed), bits), which Spark computes beside the key."""
     ok = np.ones(len(spots[0]), bool)
     for s in spots:
         ok &= (words[s >> 6] >> (s & 63).astype(U64)) & U64(1) == U64(1)
     return ok
 
 
-def bloom_spots(column: str | Column, bits: int = 1 << 24) -> list[Column]:
-    return [F.pmod(F.xxhash64(column, F.lit(s)), F.lit(bits)).alias(f"spot{s}") for s in (1, 2)]
-
-
 def components(edges: DataFrame, what: str = "cc") -> DataFrame:
     """(id, component) for every id in edges(a, b): the smallest id reachable.
 

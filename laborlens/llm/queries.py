@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from laborlens.llm import warc
 from laborlens.llm.fingerprint import op10_locally_consistent
+from laborlens.llm.near_dup import op8_min_max_hashing
 from laborlens.llm.packing import op9_cost_packing
 from laborlens.llm.secrets import op6_secret_scan
 from laborlens.llm.toxicity import op4_toxicity
@@ -12,6 +13,7 @@ QUERIES = {
     "op1_warc": warc.op1_warc,
     "op4_toxicity": op4_toxicity,
     "op6_secret_scan": op6_secret_scan,
+    "op8_min_max_hashing": op8_min_max_hashing,
     "op9_cost_packing": op9_cost_packing,
     "op10_locally_consistent": op10_locally_consistent,
 }
