@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from laborlens.llm import warc
+from laborlens.llm.decontam import op2_template_decontamination
 from laborlens.llm.fingerprint import op10_locally_consistent
 from laborlens.llm.near_dup import op8_min_max_hashing
 from laborlens.llm.packing import op9_cost_packing
@@ -11,6 +12,7 @@ from laborlens.llm.toxicity import op4_toxicity
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
+    "op2_template_decontamination": op2_template_decontamination,
     "op4_toxicity": op4_toxicity,
     "op6_secret_scan": op6_secret_scan,
     "op8_min_max_hashing": op8_min_max_hashing,
