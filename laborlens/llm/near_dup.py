@@ -82,24 +82,15 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * common >= percent * (F.size("wa") + F.size("wb") - common)).select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component) for each row: component is the smallest id reachable over links of similarity of at
-    least `percent`. `size` words make a shingle."""
-    sig = stored(signatures(docs, size, id_col, text_col), "op8-sig")
-    known = sig.filter("id is not null and set_hash is not null")
-    reps = known.groupBy("set_hash").agg(F.min("id").alias("rep"))
-    named = known.select("id", "set_hash").join(reps, "set_hash").filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
-    named = stored(named, "op8-same")
+def link_rounds(live: DataFrame, sets: DataFrame, links: DataFrame, percent: int, what: str) -> DataFrame:
+    """(id, component) of all ids that are linked with another.
 
-    # one row for each class and key that another class has too
-    keys = known.join(reps, [known.set_hash == reps.set_hash, known.id == reps.rep]).select("rep", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high").select("key")
-    live = stored(keys.join(shared, "key").distinct(), "op8-live")
-    sets = stored(_sets(docs, live.select(F.col("rep").alias("id")).distinct(), size, id_col, text_col), "op8-sets")
-
-    links, tested = named, None
+    live(rep, n, key): classes, sizes of their sets and the keys they share with others; sets(id, words); links(a, b):
+    what is linked already.
+    """
+    tested = None
     near = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")
-    label = stored(components(links), "op8-cc")
+    label = stored(components(links), f"{what}-cc")
     for step in range(ROUNDS + 1):
         now = live.join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         if step < ROUNDS:
@@ -108,7 +99,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
             found = found.select(F.col("rep").alias("a"), "n", F.col("hub.rep").alias("b"), F.col("hub.n").alias("m"))
         else:
             open_ = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-            now = stored(now.join(open_, "key"), "op8-open")
+            now = stored(now.join(open_, "key"), f"{what}-open")
             other = now.select("key", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("component").alias("far"))
             found = now.join(other, "key").filter("component < far").select(F.col("rep").alias("a"), "n", "b", "m")
         found = found.filter(near).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
@@ -116,19 +107,38 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
             found = found.join(tested, ["a", "b"], "left_anti")
         if step < ROUNDS:
             found = found.groupBy("a").agg(F.min("b").alias("b"))
-        found = stored(found, "op8-pairs")
+        found = stored(found, f"{what}-pairs")
         if found.isEmpty():
             # a hub round may run dry before the pairs do: go on to the last one
             if step < ROUNDS:
                 continue
             break
-        new = stored(_linked(found, sets, percent), "op8-links")
+        new = stored(_linked(found, sets, percent), f"{what}-links")
         tested = found if tested is None else tested.unionByName(found)
         if new.isEmpty():
             continue
         links = links.unionByName(new)
-        old, label = label, stored(components(links), "op8-cc")
+        old, label = label, stored(components(links), f"{what}-cc")
         drop_stored(old)
+    return label
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_shingles, component) for each row: component is the smallest id reachable over links of similarity of at
+    least `percent`. `size` words make a shingle."""
+    sig = stored(signatures(docs, size, id_col, text_col), "op8-sig")
+    known = sig.filter("id is not null and set_hash is not null")
+    reps = known.groupBy("set_hash").agg(F.min("id").alias("rep"))
+    named = known.select("id", "set_hash").join(reps, "set_hash").filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
+    named = stored(named, "op8-same")
+
+    # one row for each class and key that another class has too
+    keys = known.join(reps, [known.set_hash == reps.set_hash, known.id == reps.rep]).select("rep", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
+    shared = keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high").select("key")
+    live = stored(keys.join(shared, "key").distinct(), "op8-live")
+    sets = stored(_sets(docs, live.select(F.col("rep").alias("id")).distinct(), size, id_col, text_col), "op8-sets")
+
+    label = link_rounds(live, sets, named, percent, "op8")
     drop_stored(sets)
     out = sig.select("id", "n_shingles").join(label, "id", "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component"))
