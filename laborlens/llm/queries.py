@@ -9,11 +9,13 @@ from laborlens.llm.near_dup import op8_min_max_hashing
 from laborlens.llm.packing import op9_cost_packing
 from laborlens.llm.secrets import op6_secret_scan
 from laborlens.llm.substring_dup import op5_paragraph_banding
+from laborlens.llm.token_counts import op3_count_viterbi
 from laborlens.llm.toxicity import op4_toxicity
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_template_decontamination": op2_template_decontamination,
+    "op3_count_viterbi": op3_count_viterbi,
     "op4_toxicity": op4_toxicity,
     "op5_paragraph_banding": op5_paragraph_banding,
     "op6_secret_scan": op6_secret_scan,

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from laborlens.llm.common import CACHE, crc_mod, slices, table
+from laborlens.llm.common import CACHE, crc_mod, slices, stored, table
 
 MAX_LABELLED = 12_000
 MAX_TERMS = 512
@@ -174,12 +174,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([pa.array(terms), *(pa.array([count[y][t] for t in terms], pa.int64()) for y in (0, 1))], names=["term", "n0", "n1"])
 
     counts = labelled.mapInArrow(seen, "term string, n0 bigint, n1 bigint").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    counts = stored(counts.filter((F.col("n0") + F.col("n1") >= MIN_SUPPORT) | (F.col("term") == "")), "op4-terms")
     # the empty term stands for the rows themselves
-    counts = counts.crossJoin(F.broadcast(counts.filter("term = ''").select(F.col("n0").alias("all0"), F.col("n1").alias("all1"))))
-    a, b, c, d = F.col("n1"), F.col("n0"), F.col("all1") - F.col("n1"), F.col("all0") - F.col("n0")
+    rows_of = counts.filter("term = ''").first()
+    a, b = F.col("n1").cast("double"), F.col("n0").cast("double")
+    c, d = F.lit(rows_of.n1 if rows_of else 0) - a, F.lit(rows_of.n0 if rows_of else 0) - b
     chi2 = (a + b + c + d) * (a * d - b * c) ** 2 / ((a + b) * (c + d) * (a + c) * (b + d))
     odds = ((a + 0.5) * (d + 0.5)) / ((b + 0.5) * (c + 0.5))
-    chosen = counts.filter((F.col("term") != "") & (a + b >= MIN_SUPPORT) & (c + d > 0) & (a + c > 0) & (b + d > 0))
+    chosen = counts.filter((F.col("term") != "") & (c + d > 0) & (a + c > 0) & (b + d > 0))
     chosen = chosen.withColumn("chi2", chi2).filter((F.col("chi2") >= MIN_CHI2) & (odds >= MIN_ODDS)).orderBy(F.desc("chi2"), "term").limit(MAX_TERMS)
     vocabulary = [r.term for r in chosen.select("term").collect()] + [OTHER]
 
