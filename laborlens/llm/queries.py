@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from laborlens.llm import warc
+from laborlens.llm.attention_lm import op7_attention_lm
 from laborlens.llm.decontam import op2_template_decontamination
 from laborlens.llm.fingerprint import op10_locally_consistent
 from laborlens.llm.near_dup import op8_min_max_hashing
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_paragraph_banding": op5_paragraph_banding,
     "op6_secret_scan": op6_secret_scan,
+    "op7_attention_lm": op7_attention_lm,
     "op8_min_max_hashing": op8_min_max_hashing,
     "op9_cost_packing": op9_cost_packing,
     "op10_locally_consistent": op10_locally_consistent,
