@@ -13,6 +13,9 @@ from laborlens.session import table
 AS_OF = "2001-08-01"
 
 
+CONTRACTS = {"1-URGENT": "Full Time", "2-HIGH": "part-time", "3-MEDIUM": "Contractor", "5-LOW": "Internship"}
+
+
 class Views:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -62,6 +65,49 @@ class Views:
         e = self.table("events")
         return e.select("event_id", F.concat(F.lit("/api/"), "event_type", F.lit("/"), F.col("user_id").cast("string")).alias("endpoint"), F.when(F.col("event_type") == "error", 500).otherwise(200).alias("status"), F.coalesce("value", F.lit(0.0)).alias("duration_ms"))
 
+    @cached_property
+    def raw(self) -> DataFrame:
+        """Raw posting records as JSON text, in all the shapes that the source sends."""
+        j = self.jobs.filter("salary_min is not null")
+        k = lambda n: F.col("id") % n
+        quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+        shown = lambda c: F.concat(F.lit('{"display_name":"'), c, F.lit('"}'))
+        lo, hi = F.col("salary_min").cast("string"), F.col("salary_max").cast("string")
+        company = F.when(k(3) == 0, F.concat(F.lit(',"company":'), quoted("company_name"))).when(k(3) == 1, F.concat(F.lit(',"company":'), shown(F.col("company_name")))).otherwise("")
+        place = F.concat(F.lit(',"location":'), F.when(k(2) == 0, shown(F.col("location"))).otherwise(quoted("location")))
+        top = F.concat(F.lit(',"salary_min":'), lo, F.lit(',"salary_max":'), hi, F.lit(',"salary_currency":"GBP"'))
+        pay = F.when(k(4) == 0, F.concat(F.lit(',"salary":{"min":'), lo, F.lit(',"max":'), hi, F.lit(',"currency":"EUR"}'))).when(k(4) == 1, top)
+        pay = pay.when(k(4) == 2, F.concat(F.lit(',"salary":{"min":"abc","max":null,"currency":""}'), top)).otherwise("")
+        kinds = F.create_map(*(F.lit(x) for pair in CONTRACTS.items() for x in pair))
+        contract = F.coalesce(F.concat(F.lit(',"contract_type":"'), kinds[F.col("employment_type")], F.lit('"')), F.lit(',"type":"Perm. (permanent)"'))
+        when = F.when(k(10) == 0, "soon").otherwise(F.date_format("posted_date", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+        record = F.concat(F.lit('{"id":'), "source_id", F.lit(',"title":'), quoted("title"), company, place, pay, contract, F.lit(',"created":"'), when, F.lit('"}'))
+        return j.select(F.col("country_code").alias("_source_country"), record.alias("raw"))
+
+    @cached_property
+    def drafts(self) -> DataFrame:
+        """Postings before validation, some of them wrong in every way that the rules know."""
+        k = lambda n: F.col("id") % n == 0
+        lo, hi = F.col("salary_min"), F.col("salary_max")
+        return self.jobs.select(
+            "id", F.when(~k(17), F.col("source_id")).alias("source_id"), F.when(k(7), F.lit("  ")).otherwise(F.col("title")).alias("title"), F.when(~k(11), F.col("company_name")).alias("company_name"),
+            F.when(k(13), -lo).when(k(5), hi).otherwise(lo).alias("salary_min"), F.when(k(5), lo).when(k(23), None).otherwise(hi).alias("salary_max"),
+            F.when(k(6), F.upper("language")).otherwise(F.col("language")).alias("language"), F.substring("country_code", 1, 2).alias("country_code"), F.when(k(9), F.lower("salary_currency")).otherwise(F.col("salary_currency")).alias("salary_currency"),
+            (F.when(k(19), 1.5).otherwise((F.col("id") % 100) / 100.0)).alias("tech_confidence"), "is_tech_role", F.when(~k(8), F.col("technology_category")).alias("technology_category"),
+            F.when(~k(3), F.col("scraped_date")).alias("scraped_date"), F.when(k(29), "no url").otherwise("https://example.com/job").alias("source_url"), "source_site",
+        )
+
+    @cached_property
+    def existing(self) -> DataFrame:
+        return self.jobs.filter("id % 3 <> 0")
+
+    @cached_property
+    def incoming(self) -> DataFrame:
+        """A batch: even ids with new pay; of every fourth id a second record that came later."""
+        once = self.jobs.filter("id % 2 = 0").withColumn("salary_min", (F.col("salary_min") + 1000).cast("decimal(12,2)")).withColumn("arrival", F.lit(1))
+        later = once.filter("id % 4 = 0").withColumn("title", F.lit("second")).withColumn("arrival", F.lit(2))
+        return once.unionByName(later)
+
     @cached_property
     def posts(self) -> DataFrame:
         """Text postings."""
@@ -88,3 +134,16 @@ runs AS (SELECT event_id AS run_id, ts AS started_at, event_type AS source_site,
                 CASE event_type WHEN 'error' THEN 'failed' WHEN 'view' THEN 'running' ELSE 'completed' END AS status,
                 CASE WHEN event_type <> 'view' THEN to_timestamp(floor(epoch(ts)) + floor(coalesce(value, 0))) END AS completed_at FROM events)
 """
+
+DRAFTS = """
+drafts AS (SELECT id, CASE WHEN id % 17 <> 0 THEN source_id END AS source_id, CASE WHEN id % 7 = 0 THEN '  ' ELSE title END AS title, CASE WHEN id % 11 <> 0 THEN company_name END AS company_name,
+  CASE WHEN id % 13 = 0 THEN -salary_min WHEN id % 5 = 0 THEN salary_max ELSE salary_min END AS salary_min, CASE WHEN id % 5 = 0 THEN salary_min WHEN id % 23 = 0 THEN NULL ELSE salary_max END AS salary_max,
+  CASE WHEN id % 6 = 0 THEN upper(language) ELSE language END AS language, substr(country_code, 1, 2) AS country_code, CASE WHEN id % 9 = 0 THEN lower(salary_currency) ELSE salary_currency END AS salary_currency,
+  CASE WHEN id % 19 = 0 THEN 1.5 ELSE (id % 100) / 100.0 END AS tech_confidence, is_tech_role, CASE WHEN id % 8 <> 0 THEN technology_category END AS technology_category,
+  CASE WHEN id % 3 <> 0 THEN scraped_date END AS scraped_date, CASE WHEN id % 29 = 0 THEN 'no url' ELSE 'https://example.com/job' END AS source_url, source_site FROM jobs)
+"""
+BATCH = """
+existing AS (SELECT * FROM jobs WHERE id % 3 <> 0),
+once AS (SELECT * REPLACE (CAST(salary_min + 1000 AS DECIMAL(12,2)) AS salary_min), 1 AS arrival FROM jobs WHERE id % 2 = 0),
+incoming AS (SELECT * FROM once UNION ALL SELECT * REPLACE ('second' AS title, 2 AS arrival) FROM once WHERE id % 4 = 0)
+"""
