@@ -15,28 +15,34 @@ def reasons(tests: dict[str, Column]) -> Column:
     return F.array_compact(F.array(*(F.when(t, F.lit(n)) for n, t in tests.items())))
 
 
-REQUIRED = {"source_id": blank("source_id"), "title": blank("title"), "company": blank("company_name")}
-BOTH = F.col("salary_min").isNotNull() & F.col("salary_max").isNotNull()
-NEGATIVE = BOTH & ((F.col("salary_min") < 0) | (F.col("salary_max") < 0))
-FIELD_RULES = {
-    "language": ~F.col("language").rlike("^[a-z]{2}$"),
-    "country": ~F.col("country_code").rlike("^[A-Z]{2}$"),
-    "currency": ~F.col("salary_currency").rlike("^[A-Z]{3}$"),
-    "confidence": ~F.col("tech_confidence").between(0, 1),
-    "salary": (F.col("salary_min") < 0) | (F.col("salary_max") < 0),
-}
+def required_tests() -> dict[str, Column]:
+    return {"source_id": blank("source_id"), "title": blank("title"), "company": blank("company_name")}
+
+
+def both_given() -> Column:
+    return F.col("salary_min").isNotNull() & F.col("salary_max").isNotNull()
+
+
+def field_tests() -> dict[str, Column]:
+    return {
+        "language": ~F.col("language").rlike("^[a-z]{2}$"),
+        "country": ~F.col("country_code").rlike("^[A-Z]{2}$"),
+        "currency": ~F.col("salary_currency").rlike("^[A-Z]{3}$"),
+        "confidence": ~F.col("tech_confidence").between(0, 1),
+        "salary": (F.col("salary_min") < 0) | (F.col("salary_max") < 0),
+    }
 
 
 def required(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("missing", reasons(REQUIRED))
+    return rows.withColumn("missing", reasons(required_tests()))
 
 
 def salaries(rows: DataFrame) -> DataFrame:
     """Pay in ascending order with a warning where it was swapped; rejected where either amount is negative."""
-    swap = BOTH & (F.col("salary_min") > F.col("salary_max"))
+    swap = both_given() & (F.col("salary_min") > F.col("salary_max"))
     return rows.withColumns(
         {
-            "rejected": NEGATIVE,
+            "rejected": both_given() & ((F.col("salary_min") < 0) | (F.col("salary_max") < 0)),
             "warning": F.when(swap, "salary_swapped"),
             "salary_min": F.when(swap, F.col("salary_max")).otherwise(F.col("salary_min")),
             "salary_max": F.when(swap, F.col("salary_min")).otherwise(F.col("salary_max")),
@@ -45,7 +51,7 @@ def salaries(rows: DataFrame) -> DataFrame:
 
 
 def field_rules(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("broken", reasons(FIELD_RULES))
+    return rows.withColumn("broken", reasons(field_tests()))
 
 
 def consistency(rows: DataFrame) -> DataFrame:
@@ -68,7 +74,7 @@ def batch_counts(validated: DataFrame) -> DataFrame:
 
 def strict_violations(rows: DataFrame) -> DataFrame:
     """One row for each rule that a row breaks under the strict rules."""
-    tests = REQUIRED | {
+    tests = required_tests() | {
         "salary_min": F.col("salary_min") < 0, "salary_max": F.col("salary_max") < 0, "salary_order": F.col("salary_min") > F.col("salary_max"), "url": ~F.col("source_url").rlike("^https?://[^ ]+$"),
     }
     return rows.select("id", F.explode(reasons(tests)).alias("rule"))

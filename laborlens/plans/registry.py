@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from laborlens.plans.views import Views
 
-MODULES = ("analytics_queries", "load_queries", "label_queries", "class_queries")
+MODULES = ("analytics_queries", "load_queries", "label_queries", "class_queries", "enrich_queries")
 
 
 def entries() -> dict[str, tuple[Callable[[Views], DataFrame], str | None]]:
