@@ -9,6 +9,7 @@ from laborlens.operators import dims
 
 #: Gender suffixes of German titles.
 SUFFIX = r"(?i)\s*[\(\[]\s*[mwdfx](\s*[/|]\s*[mwdfx])+\s*[\)\]]"
+#: Letters of a gram; grams() joins as many.
 GRAM = 3
 
 
@@ -22,9 +23,10 @@ def clean_for_language(title: Column, description: Column) -> Column:
 
 
 def grams(rows: DataFrame, text: str = "clean") -> DataFrame:
-    """rows exploded to the distinct letter trigrams of the text's first words; one row each."""
-    lowered = F.lower(F.col(text))
-    return rows.withColumn("gram", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(text) - (GRAM - 1), F.lit(1))), lambda i: F.substring(lowered, i, F.lit(GRAM))))))
+    """rows exploded to the distinct letter trigrams of the text, one row each; a shorter text is its own."""
+    lettered = rows.withColumn("letters", F.split(F.lower(F.col(text)), ""))
+    runs = F.filter(F.transform("letters", lambda c, i: F.concat(c, F.get("letters", i + 1), F.get("letters", i + 2))), lambda g: g.isNotNull())
+    return lettered.withColumn("gram", F.explode(F.array_distinct(F.when(F.size("letters") < GRAM, F.array(F.lower(F.col(text)))).otherwise(runs)))).drop("letters")
 
 
 def language_profile(posts: DataFrame) -> DataFrame:

@@ -107,7 +107,8 @@ def _currencies(v: Views) -> DataFrame:
 
 
 GRAMS = f"""WITH {POSTS}, cl AS (SELECT id, language AS label, {CLEAN} AS clean FROM posts),
-gr AS (SELECT DISTINCT id, label, substr(lower(clean), CAST(i AS INTEGER), 3) AS gram FROM cl, LATERAL (SELECT unnest(range(1, greatest(length(clean) - 2, 1) + 1)) AS i)),
+ch AS (SELECT id, label, lower(clean) AS t, string_split(lower(clean), '') AS l FROM cl),
+gr AS (SELECT id, label, unnest(CASE WHEN len(l) < 3 THEN [t] ELSE list_distinct(list_transform(range(1, len(l) - 1), lambda i: l[i] || l[i + 1] || l[i + 2])) END) AS gram FROM ch),
 pr AS (SELECT label, gram, count(*) AS n FROM gr WHERE label IS NOT NULL GROUP BY 1, 2), tt AS (SELECT label, count(*) AS total FROM cl WHERE label IS NOT NULL GROUP BY 1), sh AS (SELECT label, gram, n, CAST(n AS DOUBLE) / total AS share FROM pr JOIN tt USING (label))"""
 TOKENS = f"WITH {POSTS}, tk AS (SELECT id, unnest(regexp_split_to_array(lower(title || ' ' || description), '{WORD}+')) AS term, generate_subscripts(regexp_split_to_array(lower(title || ' ' || description), '{WORD}+'), 1) - 1 AS position FROM posts)"
 FOUND = f"{TOKENS}, lx AS (SELECT * FROM {_values(LEXICON)} l(term, canonical, category)), fo AS (SELECT id, canonical, min(position) AS position, coalesce(min(category), 'unknown') AS category FROM tk JOIN lx USING (term) GROUP BY 1, 2)"
