@@ -165,31 +165,30 @@ def in_bloom(words: np.ndarray, spots: list[np.ndarray]) -> np.ndarray:
     return ok
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every id has one edge down, to an id that has none."""
+    ends = edges.select(F.col("a").alias("id"), F.lit(1).alias("down"), F.lit(False).alias("hub")).unionByName(edges.select(F.col("b").alias("id"), F.lit(0).alias("down"), F.lit(True).alias("hub")))
+    return ends.groupBy("id").agg(F.sum("down").alias("down"), F.bool_or("hub").alias("hub")).filter("down > 1 or (down = 1 and hub)").isEmpty()
+
+
 def components(edges: DataFrame, what: str = "cc") -> DataFrame:
     """(id, component) for every id in edges(a, b): the smallest id reachable.
 
     Alternates large-star and small-star steps (minimum of a neighbourhood by partial aggregation, then an equi-join
-    that AQE can split), each written to the shared folder, until the set of edges stays the same. Rounds grow with
-    the logarithm of the number of ids. Edges with a null end and loops are ignored.
+    that AQE can split), each written to the shared folder, until the edges are stars. Rounds grow with the logarithm
+    of the number of ids. Edges with a null end and loops are ignored.
     """
     now = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), what)
-    seen = None
-    while True:
+    while not _stars(now):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        large = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        mid = stored(large, what)
+        mid = stored(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), what)
         low = mid.groupBy("a").agg(F.min("b").alias("m"))
         small = mid.join(low, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
-        small = small.select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).filter("a <> b").distinct()
-        new = stored(small, what)
-        state = new.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+        new = stored(small.select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).filter("a <> b").distinct(), what)
         drop_stored(now)
         drop_stored(mid)
         now = new
-        if state == seen:
-            break
-        seen = state
     ids = now.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return ids.unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct()

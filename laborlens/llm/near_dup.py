@@ -5,9 +5,10 @@ evaluations make twice as many values. Bands of ROWS values are keys; documents
 link is made only after the full shingle sets have been compared.
 
 No group is expanded into pairs. Documents of one set are one class, known by its smallest id. Then, round by round, every
-class is compared with one other per round: the smallest of the classes it shares a key with that is not yet in
-its component; linked classes are put in one component and need no comparison among themselves. After ROUNDS
-rounds, whatever still shares a key across components is compared pair by pair, so no candidate is dropped. Sets are made
+class is compared with one other per round: of the classes it shares a key with, the one that shares the most keys
+with most classes, if it is not yet in its component; linked classes are put in one component and need no comparison among themselves. After ROUNDS
+rounds, the pairs that still share a key across components (of small sets: the rare elements that similar ones must share)
+are compared, so no candidate is dropped. Sets are made
 again only for classes that share a key with another (a Bloom filter over their ids spares the others; the joins after it
 are exact).
 
@@ -16,7 +17,7 @@ with 0.02.
 
 Cases: null and empty texts have no set, are linked with nothing and stay; null ids can't be named: they are kept with a
 null component and linked with nothing; rows that repeat an id are one document, linked through the id, whatever their
-texts; an empty table gives no row; further columns are ignored; texts of any length are taken whole.
+texts, but for rows without words, which stay by themselves; an empty table gives no row; further columns are ignored; texts of any length are taken whole.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from laborlens.llm.common import WordHashes, band_keys, bloom, bloom_spots, comp
 ROWS = 6
 BANDS = 30
 PERMUTATIONS = ROWS * BANDS // 2
-ROUNDS = 2
+ROUNDS = 3
 SEED = 8
 
 
@@ -82,31 +83,41 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * common >= percent * (F.size("wa") + F.size("wb") - common)).select("a", "b").distinct()
 
 
-def link_rounds(live: DataFrame, sets: DataFrame, links: DataFrame, percent: int, what: str) -> DataFrame:
+def link_rounds(live: DataFrame, sets: DataFrame, links: DataFrame, percent: int, what: str, small_sets: bool = False) -> DataFrame:
     """(id, component) of all ids that are linked with another.
 
     live(rep, n, key): classes, sizes of their sets and the keys they share with others; sets(id, words); links(a, b):
-    what is linked already.
+    what is linked already. small_sets: find the last pairs by rare elements, better where sets have few and keys are shared by chance.
     """
     tested = None
+    # who shares many keys with many is likely to be what the others were copied from
+    often = live.groupBy("key").agg(F.count("*").alias("often"))
+    pull = live.join(often, "key").groupBy("rep").agg(F.sum("often").alias("pull"))
+    live = stored(live.join(pull, "rep"), f"{what}-pull")
     near = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")
     label = stored(components(links), f"{what}-cc")
     for step in range(ROUNDS + 1):
         now = live.join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         if step < ROUNDS:
-            hubs = now.groupBy("key").agg(F.min(F.struct("component", "rep", "n")).alias("hub"), F.max("component").alias("last")).filter("hub.component < last")
+            hubs = now.groupBy("key").agg(F.max(F.struct("pull", "rep", "n", "component")).alias("hub"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
             found = now.join(hubs, "key").filter(F.col("component") != F.col("hub.component"))
-            found = found.select(F.col("rep").alias("a"), "n", F.col("hub.rep").alias("b"), F.col("hub.n").alias("m"))
+            found = found.select(F.col("rep").alias("a"), "n", F.col("hub.rep").alias("b"), F.col("hub.n").alias("m"), F.col("hub.pull").alias("pull"))
         else:
             open_ = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-            now = stored(now.join(open_, "key"), f"{what}-open")
-            other = now.select("key", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("component").alias("far"))
-            found = now.join(other, "key").filter("component < far").select(F.col("rep").alias("a"), "n", "b", "m")
-        found = found.filter(near).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
+            now = now.join(open_, "key")
+            if small_sets:
+                found = _sharing_rare(now.select("rep", "n", "component").distinct(), sets, percent)
+            else:
+                now = stored(now.select("key", "rep", "n", "component"), f"{what}-open")
+                other = now.select("key", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("component").alias("far"))
+                found = now.join(other, "key").filter("component < far").select(F.col("rep").alias("a"), "n", "b", "m")
+        found = found.filter(near).distinct()
         if tested is not None:
-            found = found.join(tested, ["a", "b"], "left_anti")
+            again = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            found = found.join(again, ["a", "b"], "left_anti")
         if step < ROUNDS:
-            found = found.groupBy("a").agg(F.min("b").alias("b"))
+            found = found.groupBy("a").agg(F.max_by("b", F.struct("pull", "b")).alias("b"))
+        found = found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
         found = stored(found, f"{what}-pairs")
         if found.isEmpty():
             # a hub round may run dry before the pairs do: go on to the last one
@@ -117,31 +128,59 @@ def link_rounds(live: DataFrame, sets: DataFrame, links: DataFrame, percent: int
         tested = found if tested is None else tested.unionByName(found)
         if new.isEmpty():
             continue
-        links = links.unionByName(new)
-        old, label = label, stored(components(links), f"{what}-cc")
+        old, label = label, stored(_merged(label, new, what), f"{what}-cc")
         drop_stored(old)
     return label
 
 
+def _sharing_rare(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, n, b, m) of classes of different components that may be similar enough: with elements in order of rarity, similar sets
+    share one of their first n - ceil(n * percent / 100) + 1. Exact, and classes that differ in elements of their own meet nobody."""
+    elements = left.join(sets.withColumnRenamed("id", "rep"), "rep").select("rep", "n", "component", F.explode("words").alias("w"))
+    often = elements.groupBy("w").agg(F.count("*").alias("often"))
+    rare = elements.join(often, "w").groupBy("rep", "n", "component").agg(F.sort_array(F.collect_list(F.struct("often", "w"))).alias("e"))
+    first = F.slice("e", 1, F.expr(f"cast(n - ({percent} * n + 99) div 100 + 1 as int)"))
+    heads = rare.select("rep", "n", "component", F.explode(first).alias("e")).filter("e.often > 1").select("rep", "n", "component", F.col("e.w").alias("w"))
+    other = heads.select("w", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("component").alias("far"))
+    return heads.join(other, "w").filter("component < far").select(F.col("rep").alias("a"), "n", "b", "m")
+
+
+def _merged(label: DataFrame, links: DataFrame, what: str) -> DataFrame:
+    """label(id, component) after further links. Only the components that these touch are worked on."""
+
+    def root(end: str) -> DataFrame:
+        return label.select(F.col("id").alias(end), F.col("component").alias(f"c{end}"))
+
+    edges = links.join(root("a"), "a", "left").join(root("b"), "b", "left")
+    moved = stored(components(edges.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), what), f"{what}-moved")
+    again = label.join(moved.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left")
+    alone = moved.join(label.select("id"), "id", "left_anti")
+    return again.select("id", F.coalesce("to", "component").alias("component")).unionByName(alone)
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component) for each row: component is the smallest id reachable over links of similarity of at
     least `percent`. `size` words make a shingle."""
     sig = stored(signatures(docs, size, id_col, text_col), "op8-sig")
     known = sig.filter("id is not null and set_hash is not null")
     reps = known.groupBy("set_hash").agg(F.min("id").alias("rep"))
-    named = known.select("id", "set_hash").join(reps, "set_hash").filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
-    named = stored(named, "op8-same")
 
     # one row for each class and key that another class has too
-    keys = known.join(reps, [known.set_hash == reps.set_hash, known.id == reps.rep]).select("rep", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
+    first = known.join(reps, [known.set_hash == reps.set_hash, known.id == reps.rep])
+    keys = first.select("rep", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high").select("key")
     live = stored(keys.join(shared, "key").distinct(), "op8-live")
     sets = stored(_sets(docs, live.select(F.col("rep").alias("id")).distinct(), size, id_col, text_col), "op8-sets")
 
+    # an id with several texts links their classes
+    several = known.groupBy("id").agg(F.min("set_hash").alias("low"), F.max("set_hash").alias("high")).filter("low <> high").select("id")
+    several = known.select("id", "set_hash").join(several, "id").join(reps, "set_hash")
+    named = several.select(F.col("rep").alias("a"), F.col("id").alias("b")).filter("a <> b")
+
     label = link_rounds(live, sets, named, percent, "op8")
     drop_stored(sets)
-    out = sig.select("id", "n_shingles").join(label, "id", "left")
-    return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component"))
+    of_row = sig.select("id", "n_shingles", "set_hash").join(reps, "set_hash", "left").join(label.select(F.col("id").alias("rep"), "component"), "rep", "left")
+    return of_row.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id")).alias("component"))
 
 
 def keep_first(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
