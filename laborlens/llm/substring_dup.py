@@ -2,7 +2,7 @@
 
 Passages are pasted anywhere, so paragraphs are cut by content: after a word whose pair with the next one has the least
 hash among RADIUS pairs to either side. Equal passages are cut alike except for RADIUS words at their ends. A paragraph's
-set is its five-word shingles. Band keys (min-max values of the set) and the paragraph's own hash go through one
+set is its five-word shingles; equal sets are one paragraph. Band keys (min-max values of the set) and the set's own hash go through one
 aggregation that tells which keys several paragraphs share and which paragraphs several documents hold; only those are
 made again, through a Bloom filter. Colliding paragraphs are verified by exact Jaccard similarity in the rounds of
 near_dup.link_rounds, which never expands a group into pairs, and components are the clusters of removals: the smallest id
@@ -19,6 +19,7 @@ document alone stays; an empty table gives no row; further columns are ignored;
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,25 @@ SEED = 5
 _ONE = U64(1)
 
 
+#: Smaller sets have no unequal set of similarity 0.8.
+LEAST_SET = 4
+
+
+@dataclass
+class Cut:
+    """Paragraphs of SIZE words or more: text, number in it, first word, words, and hash of the set; all sets' distinct shingles one
+    after the other, where each begins and how many it has."""
+
+    doc: np.ndarray
+    number: np.ndarray
+    start: np.ndarray
+    length: np.ndarray
+    own: np.ndarray
+    sets: np.ndarray
+    begins: np.ndarray
+    counts: np.ndarray
+
+
 def tune(rows: int = ROWS, similarity: float = PERCENT / 100, recall: float = 0.98) -> int:
     """The fewest bands that find pairs of the similarity with the recall."""
     bands = 1
@@ -50,54 +70,72 @@ BANDS = tune()
 
 
 class Paragraphs:
-    """Cuts a text into paragraphs and hashes them."""
+    """Cuts texts into paragraphs and hashes them; many texts lie in one array, so that numpy has long rows."""
 
     def __init__(self):
         self.words = WordHashes()
         self.mult, self.add = permutations(-(-ROWS * BANDS // 2), SEED)
 
-    def cut(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Word hashes, and of each paragraph of SIZE words or more: number, start, length, hash."""
+    def cut(self, texts: list[bytes]) -> Cut:
         with np.errstate(over="ignore"):
-            x = self.words(text.lower().split())
-            n = len(x)
-            if n < SIZE:
-                none = np.zeros(0, np.int64)
-                return x, none, none, none, np.zeros(0, U64)
-            pair = mix(x[:-1] * _C3 + x[1:])
-            top = np.full(RADIUS, np.iinfo(U64).max, U64)
-            around = np.concatenate((top, pair, top))
+            words = [t.lower().split() for t in texts]
+            n = np.fromiter(map(len, words), np.int64, len(words))
+            x = self.words([w for ws in words for w in ws])
+            begin = np.cumsum(n) - n
+            owner = np.repeat(np.arange(len(n)), n)
+            inner = np.ones(len(x), bool)
+            inner[(begin + n - 1)[n > 0]] = False
+            at = np.flatnonzero(inner)
+            # RADIUS pairs of highest hash stand between texts, so that no text sees another
+            spot = at + RADIUS * (owner[at] + 1)
+            pair = mix(x[at] * _C3 + x[at + 1])
+            around = np.full(len(x) + RADIUS * (len(n) + 2), np.iinfo(U64).max, U64)
+            around[spot] = pair
             low, width, full = around, 1, 2 * RADIUS + 1
             while 2 * width <= full:
                 low, width = np.minimum(low[: len(low) - width], low[width:]), 2 * width
-            low = np.minimum(low[: len(pair)], low[full - width :][: len(pair)])
-            starts = np.concatenate(([0], np.flatnonzero(pair == low) + 1))
-            lengths = np.diff(starts, append=n)
-            place = (np.arange(1, n + 1) - np.repeat(starts, lengths)).astype(U64)
-            own = mix(np.add.reduceat(mix(x + place * _C3), starts) + lengths.astype(U64)) & ~_ONE
+            low = np.minimum(low[: len(around) - full + 1], low[full - width :][: len(around) - full + 1])
+            first = np.zeros(len(x), bool)
+            first[begin[n > 0]] = True
+            first[at[pair == low[spot - RADIUS]] + 1] = True
+            starts = np.flatnonzero(first)
+            lengths = np.diff(starts, append=len(x))
+            doc = owner[starts]
+            number = np.arange(len(starts)) - np.searchsorted(doc, doc)
             keep = np.flatnonzero(lengths >= SIZE)
-            return x, keep, starts[keep], lengths[keep], own[keep]
-
-    def sets(self, x: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Shingles of the paragraphs one after the other, and where each one's begin."""
-        counts = lengths - SIZE + 1
-        first = np.cumsum(counts) - counts
-        return shingles(x, SIZE)[np.arange(counts.sum()) - np.repeat(first - starts, counts)], first
-
-    def keys(self, sets: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Band keys, a row for each paragraph."""
+            doc, number, starts, lengths = doc[keep], number[keep], starts[keep], lengths[keep]
+            counts = lengths - SIZE + 1
+            if not len(counts):
+                none = np.zeros(0, np.int64)
+                return Cut(none, none, none, none, np.zeros(0, U64), np.zeros(0, U64), none, none)
+            unit = np.repeat(np.arange(len(counts)), counts)
+            sets = shingles(x, SIZE)[np.arange(len(unit)) - np.repeat(np.cumsum(counts) - counts - starts, counts)]
+            order = np.lexsort((sets, unit))
+            unit, sets = unit[order], sets[order]
+            new = np.concatenate(([True], (unit[1:] != unit[:-1]) | (sets[1:] != sets[:-1])))
+            unit, sets = unit[new], sets[new]
+            counts = np.bincount(unit)
+            begins = np.cumsum(counts) - counts
+            own = mix(np.add.reduceat(mix(sets), begins) + counts.astype(U64)) & ~_ONE
+            return Cut(doc, number, starts - begin[doc], lengths, own, sets, begins, counts)
+
+    def keys(self, cut: Cut) -> tuple[np.ndarray, np.ndarray]:
+        """Paragraphs large enough to be like an unequal one, and their band keys, a row for each."""
         with np.errstate(over="ignore"):
+            large = np.flatnonzero(cut.counts >= LEAST_SET)
+            if not len(large):
+                return large, np.zeros((0, BANDS), U64)
             values = []
             for m, a in zip(self.mult, self.add, strict=True):
-                h = sets * m + a
-                values += [np.minimum.reduceat(h, first), np.maximum.reduceat(h, first)]
-            out = np.empty((len(first), BANDS), U64)
+                h = cut.sets * m + a
+                values += [np.minimum.reduceat(h, cut.begins)[large], np.maximum.reduceat(h, cut.begins)[large]]
+            out = np.empty((len(large), BANDS), U64)
             for band in range(BANDS):
-                key = np.full(len(first), mix(np.array([band + 1], U64) * _C3)[0], U64)
+                key = np.full(len(large), mix(np.array([band + 1], U64) * _C3)[0], U64)
                 for v in values[band * ROWS : (band + 1) * ROWS]:
                     key = mix(key * _C3 + v)
                 out[:, band] = key | _ONE
-            return out
+            return large, out
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -110,12 +148,10 @@ def shared_keys(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = Paragraphs()
         for b in slices(batches):
-            keys, values = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                x, _, starts, lengths, own = cutter.cut(text)
-                if len(own):
-                    keys += [cutter.keys(*cutter.sets(x, starts, lengths)).ravel(), own]
-                    values += [np.repeat(own.view(np.int64), BANDS), np.full(len(own), doc, np.int64)]
+            cut = cutter.cut(b.column(1).to_pylist())
+            large, banded = cutter.keys(cut)
+            keys = [banded.ravel(), cut.own]
+            values = [np.repeat(cut.own[large].view(np.int64), BANDS), b.column(0).to_numpy()[cut.doc]]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(values))], names=["key", "value"])
 
     found = rows.mapInArrow(run, "key bigint, value bigint").groupBy("key").agg(F.min("value").alias("low"), F.max("value").alias("high"))
@@ -128,20 +164,14 @@ def candidates(rows: DataFrame, filter_: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = Paragraphs()
         for b in slices(batches):
-            out = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                x, _, starts, lengths, own = cutter.cut(text)
-                if not len(own):
-                    continue
-                sets, first = cutter.sets(x, starts, lengths)
-                keys = cutter.keys(sets, first)
-                live = in_bloom(filter_, hash_spots(keys.ravel())).reshape(keys.shape)
-                for k in np.flatnonzero(live.any(axis=1)).tolist():
-                    words = np.unique(sets[first[k] : first[k] + lengths[k] - SIZE + 1]).view(np.int64)
-                    out.append((own[k].view(np.int64), keys[k][live[k]].view(np.int64), words, doc))
-            if out:
-                ids, keys, words, docs = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(ids)), pa.array(keys, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int64())), pa.array(docs, pa.int64())], names=["id", "keys", "words", "doc"])
+            cut = cutter.cut(b.column(1).to_pylist())
+            large, keys = cutter.keys(cut)
+            live = in_bloom(filter_, hash_spots(keys.ravel())).reshape(keys.shape)
+            hit = np.flatnonzero(live.any(axis=1))
+            out = [large[hit], [keys[k][live[k]].view(np.int64) for k in hit.tolist()], [cut.sets[cut.begins[k] : cut.begins[k] + cut.counts[k]].view(np.int64) for k in large[hit].tolist()]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cut.own[out[0]].view(np.int64)), pa.array(out[1], pa.list_(pa.int64())), pa.array(out[2], pa.list_(pa.int64())), pa.array(b.column(0).to_numpy()[cut.doc[out[0]]])], names=["id", "keys", "words", "doc"]
+            )
 
     found = rows.mapInArrow(run, "id bigint, keys array<bigint>, words array<bigint>, doc bigint")
     return found.groupBy("id").agg(F.first("keys").alias("keys"), F.first("words").alias("words"), F.min("doc").alias("low"), F.max("doc").alias("high"))
@@ -153,14 +183,10 @@ def occurrences(rows: DataFrame, filter_: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = Paragraphs()
         for b in slices(batches):
-            columns: list[list] = [[np.zeros(0, np.int64)] for _ in range(5)]
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                _, number, starts, lengths, own = cutter.cut(text)
-                if len(own):
-                    hit = in_bloom(filter_, hash_spots(own))
-                    for c, v in zip(columns, (np.full(hit.sum(), doc, np.int64), number[hit], starts[hit], lengths[hit], own[hit].view(np.int64)), strict=True):
-                        c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=["doc", "number", "start", "n_words", "id"])
+            cut = cutter.cut(b.column(1).to_pylist())
+            hit = in_bloom(filter_, hash_spots(cut.own))
+            columns = [b.column(0).to_numpy()[cut.doc[hit]], cut.number[hit], cut.start[hit], cut.length[hit], cut.own[hit].view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc", "number", "start", "n_words", "id"])
 
     return rows.mapInArrow(run, "doc bigint, number bigint, start bigint, n_words bigint, id bigint")
 
@@ -177,7 +203,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     keys = found.select(F.col("id").alias("rep"), F.size("words").alias("n"), F.explode("keys").alias("key"))
     live = stored(keys.join(banded, "key"), "op5-live")
     none = found.limit(0).select(F.col("id").alias("a"), F.col("id").alias("b"))
-    label = link_rounds(live, found.select("id", "words"), none, percent, "op5")
+    label = link_rounds(live, found.select("id", "words"), none, percent, "op5", small_sets=True)
 
     linked = label.join(found.select("id", "low", "high"), "id")
     first = linked.groupBy("component").agg(F.min("low").alias("first"), F.max("high").alias("last")).filter("first < last")
