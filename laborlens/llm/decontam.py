@@ -132,13 +132,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     by = ["doc", "item", "shift"]
     pair = F.explode_outer(F.arrays_zip(F.col("slots").alias("x"), F.col("own").alias("y")))
     fills = hits.select(*by, "pos", "size", "n_tokens", pair.alias("fill"))
-    # several windows show one filling: only distinct ones count
+    # several windows show one filling: only distinct ones count, and windows without placeholders show none
     aligned = fills.groupBy(*by).agg(
         F.collect_set(F.struct("pos", "size")).alias("spans"), F.max("n_tokens").alias("n"), F.count_distinct(F.col("fill.x")).alias("xs"),
-        F.count_distinct(F.col("fill.y")).alias("ys"), F.count_distinct(F.struct("fill.x", "fill.y")).alias("pairs"), F.bool_and(F.coalesce(F.col("fill.x") == F.col("fill.y"), F.lit(True))).alias("verbatim"),
+        F.count_distinct(F.col("fill.y")).alias("ys"), F.count_distinct(F.when(F.col("fill.x").isNotNull(), F.struct("fill.x", "fill.y"))).alias("pairs"), F.bool_and(F.coalesce(F.col("fill.x") == F.col("fill.y"), F.lit(True))).alias("verbatim"),
     )
-    pairs = F.when(F.col("xs") == 0, 0).otherwise(F.col("pairs"))
-    good = aligned.filter((pairs <= F.col("xs")) & (pairs <= F.col("ys")))
+    good = aligned.filter((F.col("pairs") <= F.col("xs")) & (F.col("pairs") <= F.col("ys")))
     covered = good.select("doc", "item", "n", "verbatim", "xs", F.explode("spans").alias("span")).select("doc", "item", "n", "verbatim", "xs", F.explode(F.expr("sequence(span.pos, span.pos + span.size - 1)")).alias("place"))
     out = covered.groupBy("doc", "item").agg((F.count_distinct("place") / F.max("n")).alias("coverage"), F.max("xs").alias("slots"), F.max("verbatim").alias("verbatim"))
     return out.filter(F.col("coverage") >= least).select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "coverage", "slots", "verbatim")

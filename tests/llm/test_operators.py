@@ -74,6 +74,13 @@ def test_reparameterised_items_are_found_and_inconsistent_ones_not(spark):
     assert decontam.contaminated(docs.limit(0), bench).count() == decontam.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_items_may_mix_windows_with_and_without_placeholders(spark):
+    item = "the old farmer walks slowly along the river with a red basket and then sells 12 apples to every child that waits near the wooden bridge before the rain begins"
+    docs = spark.createDataFrame([(1, f"Some words before it. {item} and after."), (2, item.replace("12", "30"))], "doc_id long, text string")
+    got = decontam.contaminated(docs, spark.createDataFrame([(9, item)], "item_id long, text string")).collect()
+    assert {r.doc_id: (r.coverage, r.slots, r.verbatim) for r in got} == {1: (1.0, 1, True), 2: (1.0, 1, False)}
+
+
 def test_decontamination_against_brute_force(spark, sf, texts):
     items = {r.item_id: r.text.lower().split() for r in table(spark, sf, "benchmark").collect()}
     want = {(d, i) for d, t in texts.items() for i, w in items.items() if " ".join(w[1:-1]) in " ".join(t.lower().split())}
