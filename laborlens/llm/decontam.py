@@ -1,11 +1,14 @@
 """Benchmark decontamination by templates.
 
-Tokens are words less their outer punctuation, lower-cased; numbers, units after a number and names (capitalised words
+Tokens are words less their outer punctuation, case-folded; numbers, units after a number and names (capitalised words
 that don't begin a sentence) become typed placeholders. Every run of WINDOW tokens of a benchmark item (all of a shorter
-one) is a template window, and windows of items and documents are joined on their hashes; windows with fewer literal tokens than
-placeholders say nothing. What fills the placeholders is compared along each alignment (document position minus item
-position): equal fillings must stand for equal fillings in either direction, which a re-parameterised question keeps and
-chance matches don't. A document is contaminated by an item if the windows of consistent alignments cover LEAST of its tokens.
+one) is a window in three forms: with all placeholders, with names literal (case tells names, and a copy may have another case)
+and all literal, so that verbatim text always counts. Windows of items and documents are joined on their hashes; forms with
+fewer literal tokens than placeholders say nothing. What fills the placeholders is compared along each alignment (document
+position minus item position): equal fillings must stand for equal ones, and different names for different names, which a
+re-parameterised question keeps and chance matches don't; two values may become the same. Where fillings disagree, the one at
+most places holds, none if several have as many, and only windows with the others are left out. A document is contaminated by
+an item if the windows that are left cover LEAST of its tokens.
 
 Documents' windows go through a Bloom filter of the items' windows inside the tasks (bounded whatever the benchmark's
 size), then through an exact hash join, so a benchmark of any size will do.
@@ -18,6 +21,7 @@ no row; further columns are ignored; texts of any length are taken whole.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,7 +50,7 @@ NUMBER_SLOT, NAME_SLOT, UNIT_SLOT = (U64(x) << U64(4) for x in (1, 2, 3))
 
 
 class Tokens(dict):
-    """word -> hash of its lower-cased core in the upper 60 bits, flags below; 0 for words of punctuation alone."""
+    """word -> hash of its case-folded core in the upper 60 bits, flags below; 0 for words of punctuation alone."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= CACHE:
@@ -57,15 +61,15 @@ class Tokens(dict):
         else:
             text = core.decode("utf-8", "replace")
             number = bool(NUMBER.fullmatch(text))
-            got = xxhash.xxh3_64_intdigest(text.lower().encode()) | 64
+            got = xxhash.xxh3_64_intdigest(text.casefold().encode()) | 64
             got &= ~15
             got |= (text[:1].isupper() and not text[1:].isupper()) * int(CAP) | (word.rstrip(b"\"')]*%&$#")[-1:] in b".!?:" and word[-1:] != core[-1:]) * int(ENDS)
             got |= number * int(IS_NUMBER) | (text.lower() in UNITS) * int(IS_UNIT)
         self[word] = got
         return got
 
-    def template(self, text: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Template token hashes, whether each is a placeholder, and the words."""
+    def forms(self, text: bytes) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, list[bytes]]:
+        """The different forms of a text (token hashes, whether each is a placeholder), which tokens are names, and the words."""
         words = text.split()
         x = np.fromiter(map(self.__getitem__, words), U64, len(words))
         if len(x) and not x.all():
@@ -74,9 +78,16 @@ class Tokens(dict):
         before = np.concatenate((np.array([ENDS], U64), x[:-1]))[: len(x)]
         number = (x & IS_NUMBER) != 0
         name = ~number & ((x & CAP) != 0) & ((before & ENDS) == 0)
-        unit = ~number & ~name & ((x & IS_UNIT) != 0) & ((before & IS_NUMBER) != 0)
-        out = np.where(number, NUMBER_SLOT, np.where(name, NAME_SLOT, np.where(unit, UNIT_SLOT, x & ~FLAGS)))
-        return out, number | name | unit, words
+        unit = ~number & ((x & IS_UNIT) != 0) & ((before & IS_NUMBER) != 0)
+        literal = x & ~FLAGS
+        values = np.where(number, NUMBER_SLOT, np.where(unit, UNIT_SLOT, literal))
+        value = number | unit
+        out = [(literal, np.zeros(len(x), bool))]
+        if value.any():
+            out.append((values, value))
+        if name.any():
+            out.append((np.where(name, NAME_SLOT, values), value | name))
+        return out, name, words
 
 
 def _windows(tokens: np.ndarray, slot: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,11 +100,36 @@ def _windows(tokens: np.ndarray, slot: np.ndarray, size: int) -> tuple[np.ndarra
     return told, shingles(tokens, size)[told]
 
 
-SCHEMA = "hash bigint, id bigint, pos int, size int, n_tokens int, slots array<string>"
+def agreed(hits: list[tuple[int, int, list, list]]) -> tuple[list[int], int, bool]:
+    """Of an alignment's windows (position, size, the item's and the document's fillings): places of the item that the
+    consistent ones cover, their distinct fillings in the item, and whether all fillings are the item's."""
+    shown = {(p + s["at"], s["name"], s["word"], o["word"]) for p, _, slots, own in hits for s, o in zip(slots, own, strict=True)}
+    places = Counter(f[1:] for f in shown)
+    most: dict[tuple, list[int]] = {}
+    for (name, x, y), n in places.items():
+        for side in [(0, name, x)] + [(1, name, y)] * name:
+            most.setdefault(side, []).append(n)
+
+    def holds(side: tuple, n: int) -> bool:
+        return n == max(most[side]) and most[side].count(n) == 1
+
+    held = {f for f, n in places.items() if holds((0, f[0], f[1]), n) and (not f[0] or holds((1, True, f[2]), n))}
+    covered, xs = set(), set()
+    for p, size, slots, own in hits:
+        fills = {(s["name"], s["word"], o["word"]) for s, o in zip(slots, own, strict=True)}
+        if fills <= held:
+            covered.update(range(p, p + size))
+            xs |= {f[:2] for f in fills}
+    return sorted(covered), len(xs), all(x == y for _, x, y in places)
+
+
+SCHEMA = "hash bigint, id bigint, pos int, size int, n_tokens int, slots array<struct<at: int, name: boolean, word: string>>"
+SLOTS = pa.list_(pa.struct([("at", pa.int32()), ("name", pa.bool_()), ("word", pa.string())]))
+PLACES = "doc bigint, item bigint, n int, places array<int>, slots int, verbatim boolean"
 
 
 def windows(rows: DataFrame, id_col: str, text_col: str, sizes: list[int] | None, words_in: np.ndarray | None) -> DataFrame:
-    """Template windows of each row: hash, id, position, size, the row's tokens and what fills the placeholders.
+    """Windows of each row in all forms: hash, id, position, size, the row's tokens and what fills the placeholders.
 
     sizes None: of WINDOW tokens, or all of a shorter text. words_in: a Bloom filter that the hashes must pass.
     """
@@ -103,18 +139,27 @@ def windows(rows: DataFrame, id_col: str, text_col: str, sizes: list[int] | None
         for b in slices(batches):
             out = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                template, slot, words = tokens.template(text)
-                n = len(template)
+                forms, name, words = tokens.forms(text)
+                n = len(words)
                 for size in sizes if sizes is not None else [min(n, WINDOW)] if n >= SHORTEST else []:
-                    at, hashes = _windows(template, slot, size)
-                    if words_in is not None and len(hashes):
-                        keep = in_bloom(words_in, hash_spots(hashes))
-                        at, hashes = at[keep], hashes[keep]
-                    for p, h in zip(at.tolist(), hashes.view(np.int64).tolist(), strict=True):
-                        fill = [words[k].strip(PUNCTUATION).decode("utf-8", "replace").lower() for k in (p + np.flatnonzero(slot[p : p + size])).tolist()]
-                        out.append((h, doc, p, size, n, fill))
+                    last = None
+                    for template, slot in forms:
+                        at, hashes = _windows(template, slot, size)
+                        if last is not None:
+                            # forms that are the same here give one window
+                            new = hashes != last[at]
+                            last[at] = hashes
+                            at, hashes = at[new], hashes[new]
+                        else:
+                            last = hashes.copy()
+                        if words_in is not None and len(hashes):
+                            keep = in_bloom(words_in, hash_spots(hashes))
+                            at, hashes = at[keep], hashes[keep]
+                        for p, h in zip(at.tolist(), hashes.view(np.int64).tolist(), strict=True):
+                            fill = [{"at": k, "name": bool(name[p + k] and slot[p + k]), "word": words[p + k].strip(PUNCTUATION).decode("utf-8", "replace").casefold()} for k in np.flatnonzero(slot[p : p + size]).tolist()]
+                            out.append((h, doc, p, size, n, fill))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string())), strict=True)], names=["hash", "id", "pos", "size", "n_tokens", "slots"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), SLOTS), strict=True)], names=["hash", "id", "pos", "size", "n_tokens", "slots"])
 
     return rows.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), raw(text_col).alias("text")).mapInArrow(run, SCHEMA)
 
@@ -129,17 +174,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     b = items.select("hash", "size", F.col("id").alias("item"), "pos", "n_tokens", "slots")
     hits = a.join(b, ["hash", "size"]).withColumn("shift", F.col("at") - F.col("pos"))
 
-    by = ["doc", "item", "shift"]
-    pair = F.explode_outer(F.arrays_zip(F.col("slots").alias("x"), F.col("own").alias("y")))
-    fills = hits.select(*by, "pos", "size", "n_tokens", pair.alias("fill"))
-    # several windows show one filling: only distinct ones count, and windows without placeholders show none
-    aligned = fills.groupBy(*by).agg(
-        F.collect_set(F.struct("pos", "size")).alias("spans"), F.max("n_tokens").alias("n"), F.count_distinct(F.col("fill.x")).alias("xs"),
-        F.count_distinct(F.col("fill.y")).alias("ys"), F.count_distinct(F.when(F.col("fill.x").isNotNull(), F.struct("fill.x", "fill.y"))).alias("pairs"), F.bool_and(F.coalesce(F.col("fill.x") == F.col("fill.y"), F.lit(True))).alias("verbatim"),
-    )
-    good = aligned.filter((F.col("pairs") <= F.col("xs")) & (F.col("pairs") <= F.col("ys")))
-    covered = good.select("doc", "item", "n", "verbatim", "xs", F.explode("spans").alias("span")).select("doc", "item", "n", "verbatim", "xs", F.explode(F.expr("sequence(span.pos, span.pos + span.size - 1)")).alias("place"))
-    out = covered.groupBy("doc", "item").agg((F.count_distinct("place") / F.max("n")).alias("coverage"), F.max("xs").alias("slots"), F.max("verbatim").alias("verbatim"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            got = [agreed([(h["pos"], h["size"], h["slots"], h["own"]) for h in hits]) for hits in b.column(3).to_pylist()]
+            columns = [pa.array(c, t) for c, t in zip(zip(*got, strict=True), (pa.list_(pa.int32()), pa.int32(), pa.bool_()), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *columns], names=["doc", "item", "n", "places", "slots", "verbatim"])
+
+    aligned = hits.groupBy("doc", "item", "shift").agg(F.max("n_tokens").alias("n"), F.collect_set(F.struct("pos", "size", "slots", "own")).alias("hits"))
+    covered = aligned.select("doc", "item", "n", "hits").mapInArrow(run, PLACES).withColumn("place", F.explode("places"))
+    out = covered.groupBy("doc", "item").agg((F.count_distinct("place") / F.max("n")).alias("coverage"), F.max("slots").alias("slots"), F.max("verbatim").alias("verbatim"))
     return out.filter(F.col("coverage") >= least).select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "coverage", "slots", "verbatim")
 
 

@@ -81,6 +81,20 @@ def test_items_may_mix_windows_with_and_without_placeholders(spark):
     assert {r.doc_id: (r.coverage, r.slots, r.verbatim) for r in got} == {1: (1.0, 1, True), 2: (1.0, 1, False)}
 
 
+def test_fillings_may_become_the_same_and_verbatim_text_always_counts(spark):
+    sum_ = "a child puts 12 apples and 5 pears in the basket then takes out the ripe ones before counting again what is left over there"
+    dates = "On 3 May 1921 Anna Berg met Karl Lund in Oslo , 7 June 1922 Anna Berg left Karl Lund in Bergen"
+    named = "yesterday the teacher asked how many apples Tom would have if Mary gave 12 apples back to him before lunch"
+    often = "when Tom came home the dog of Tom was asleep and then Tom saw that a letter for Tom lay there while Tom slept until morning came"
+    rows = {
+        1: sum_.replace("12", "7").replace("5", "7"), 2: dates, 3: dates.lower(), 4: dates.upper(), 5: named.upper(),
+        6: named.lower().replace("12", "30"), 7: often.replace("Tom", "Ben").replace("while Ben", "while Sam"), 8: named.replace("Tom", "Sam").replace("Mary", "Sam"),
+    }
+    items = spark.createDataFrame([(11, sum_), (12, dates), (13, named), (14, often)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.verbatim for r in decontam.contaminated(spark.createDataFrame([*rows.items()], "doc_id long, text string"), items).collect()}
+    assert got == {(1, 11): False, (2, 12): True, (3, 12): True, (4, 12): True, (5, 13): True, (6, 13): False, (7, 14): False}
+
+
 def test_decontamination_against_brute_force(spark, sf, texts):
     items = {r.item_id: r.text.lower().split() for r in table(spark, sf, "benchmark").collect()}
     want = {(d, i) for d, t in texts.items() for i, w in items.items() if " ".join(w[1:-1]) in " ".join(t.lower().split())}
