@@ -7,7 +7,7 @@ aggregation that tells which keys several paragraphs share and which paragraphs
 made again, through a Bloom filter. Colliding paragraphs are verified by exact Jaccard similarity in the rounds of
 near_dup.link_rounds, which never expands a group into pairs, and components are the clusters of removals: the smallest id
 of a cluster keeps its paragraph. Neighbouring repeated paragraphs of a document make a run; runs of fewer than
-LEAST_WORDS words are left alone.
+LEAST_WORDS words are left alone, and longer ones are told in parts that the document keeps and parts that go.
 
 tune() picks the bands: two rows and four bands find 98 % of pairs of similarity 0.8 and all equal ones.
 
@@ -192,8 +192,8 @@ def occurrences(rows: DataFrame, filter_: np.ndarray) -> DataFrame:
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, least_words: int = LEAST_WORDS) -> DataFrame:
-    """(id, start, n_words, first_id, removed) of each run of repeated paragraphs; start counts words. first_id: the smallest
-    document that holds one of them; removed: whether any of them is kept elsewhere."""
+    """(id, start, n_words, first_id, removed) of each part of a run of repeated paragraphs; start counts words. first_id: the
+    smallest document that holds one of them; removed: whether they are kept elsewhere, which all of a part have in common."""
     rows = _rows(docs, id_col, text_col)
     shared = stored(shared_keys(rows), "op5-shared")
     banded = shared.filter("key % 2 <> 0").select("key")
@@ -213,8 +213,12 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     held = occurrences(rows, bloom(repeated, "id", hashed=True)).join(repeated, "id").distinct()
     run = F.col("number") - F.row_number().over(Window.partitionBy("doc").orderBy("number", "start"))
-    out = held.withColumn("run", run).groupBy("doc", "run").agg(F.min("start").alias("start"), F.sum("n_words").alias("n_words"), F.min("first").alias("first_id"), F.bool_or(F.col("first") != F.col("doc")).alias("removed"))
-    return out.filter(F.col("n_words") >= least_words).select(F.col("doc").alias(id_col), "start", "n_words", "first_id", "removed")
+    gone = F.col("first") != F.col("doc")
+    # a run is as long as all its paragraphs, but what the document keeps is told apart from what goes
+    part = F.row_number().over(Window.partitionBy("doc", "run").orderBy("number", "start")) - F.row_number().over(Window.partitionBy("doc", "run", "removed").orderBy("number", "start"))
+    out = held.withColumn("run", run).withColumn("removed", gone).withColumn("total", F.sum("n_words").over(Window.partitionBy("doc", "run"))).withColumn("part", part)
+    out = out.filter(F.col("total") >= least_words).groupBy("doc", "run", "removed", "part").agg(F.min("start").alias("start"), F.sum("n_words").alias("n_words"), F.min("first").alias("first_id"))
+    return out.select(F.col("doc").alias(id_col), "start", "n_words", "first_id", "removed")
 
 
 def op5_paragraph_banding(spark: SparkSession, sf_dir: str) -> DataFrame:

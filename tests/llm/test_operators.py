@@ -167,6 +167,18 @@ def test_repeated_passages(spark):
     assert substring_dup.repeated_passages(rows.limit(0)).count() == 0
 
 
+def test_a_keepers_passage_is_in_no_removed_run(spark):
+    rnd = random.Random(6)
+    text = lambda n: [f"w{rnd.randrange(5000)}" for _ in range(n)]
+    a, both, b = text(90), text(40), text(90)
+    docs = {3: text(40) + a + both + text(40), 5: text(40) + a + both + b + text(40), 9: text(40) + both + b + text(40)}
+    rows = spark.createDataFrame([(k, " ".join(w)) for k, w in docs.items()], "doc_id long, text string")
+    left = {k: [True] * len(w) for k, w in docs.items()}
+    for r in substring_dup.repeated_passages(rows).filter("removed").collect():
+        left[r.doc_id][r.start : r.start + r.n_words] = [False] * r.n_words
+    assert all(left[3]) and all(left[5][170:]) and sum(left[5][40:130]) < 40 and sum(left[9][80:170]) < 40
+
+
 # --- 6 ---
 
 
