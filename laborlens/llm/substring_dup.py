@@ -1,13 +1,15 @@
 """Repeated passages: paragraph MinHash banding.
 
 Passages are pasted anywhere, so paragraphs are cut by content: after a word whose pair with the next one has the least
-hash among RADIUS pairs to either side. Equal passages are cut alike except for RADIUS words at their ends. A paragraph's
+hash among RADIUS pairs to either side; short pieces on end, as of periodic text, are put together. Equal passages are cut alike
+except for RADIUS words at their ends. A paragraph's
 set is its five-word shingles; equal sets are one paragraph. Band keys (min-max values of the set) and the set's own hash go through one
 aggregation that tells which keys several paragraphs share and which paragraphs several documents hold; only those are
 made again, through a Bloom filter. Colliding paragraphs are verified by exact Jaccard similarity in the rounds of
 near_dup.link_rounds, which never expands a group into pairs, and components are the clusters of removals: the smallest id
-of a cluster keeps its paragraph. Neighbouring repeated paragraphs of a document make a run; runs of fewer than
-LEAST_WORDS words are left alone, and longer ones are told in parts that the document keeps and parts that go.
+of a cluster keeps its paragraph. Where a paragraph's neighbour isn't repeated word for word, the words up to that one's far end are compared
+word by word, by the hashes of all their beginnings, with what stands beside the paragraph in any other document, and those
+that are equal belong to the repeat. Words on end make a run; runs of fewer than LEAST_WORDS words are left alone, and longer ones are told in parts that the document keeps and parts that go.
 
 tune() picks the bands: two rows and four bands find 98 % of pairs of similarity 0.8 and all equal ones.
 
@@ -46,7 +48,8 @@ LEAST_SET = 4
 @dataclass
 class Cut:
     """Paragraphs of SIZE words or more: text, number in it, first word, words, and hash of the set; all sets' distinct shingles one
-    after the other, where each begins and how many it has."""
+    after the other, where each begins and how many it has; the texts' words, where in them each begins, and how many words before
+    and after it an equal passage could hold without holding the neighbour."""
 
     doc: np.ndarray
     number: np.ndarray
@@ -56,6 +59,10 @@ class Cut:
     sets: np.ndarray
     begins: np.ndarray
     counts: np.ndarray
+    words: np.ndarray
+    at: np.ndarray
+    before: np.ndarray
+    after: np.ndarray
 
 
 def tune(rows: int = ROWS, similarity: float = PERCENT / 100, recall: float = 0.98) -> int:
@@ -101,13 +108,27 @@ class Paragraphs:
             starts = np.flatnonzero(first)
             lengths = np.diff(starts, append=len(x))
             doc = owner[starts]
+            short = np.flatnonzero((lengths < SIZE) & (starts > begin[doc]))
+            whole = np.ones(len(starts), bool)
+            last, held = -2, SIZE
+            for k in short.tolist():
+                joins = k == last + 1 and held < SIZE
+                whole[k] = not joins
+                last, held = k, held * joins + int(lengths[k])
+            starts = starts[whole]
+            lengths, doc = np.diff(starts, append=len(x)), doc[whole]
             number = np.arange(len(starts)) - np.searchsorted(doc, doc)
             keep = np.flatnonzero(lengths >= SIZE)
             doc, number, starts, lengths = doc[keep], number[keep], starts[keep], lengths[keep]
+            ends = starts + lengths
+            near = doc[1:] == doc[:-1]
+            before, after = starts - begin[doc], (begin + n)[doc] - ends
+            before[1:][near] = np.minimum(before[1:], starts[1:] - starts[:-1] + RADIUS + 1)[near]
+            after[:-1][near] = np.minimum(after[:-1], ends[1:] - ends[:-1] + RADIUS + 1)[near]
             counts = lengths - SIZE + 1
             if not len(counts):
                 none = np.zeros(0, np.int64)
-                return Cut(none, none, none, none, np.zeros(0, U64), np.zeros(0, U64), none, none)
+                return Cut(none, none, none, none, np.zeros(0, U64), np.zeros(0, U64), none, none, x, none, none, none)
             unit = np.repeat(np.arange(len(counts)), counts)
             sets = shingles(x, SIZE)[np.arange(len(unit)) - np.repeat(np.cumsum(counts) - counts - starts, counts)]
             order = np.lexsort((sets, unit))
@@ -117,7 +138,7 @@ class Paragraphs:
             counts = np.bincount(unit)
             begins = np.cumsum(counts) - counts
             own = mix(np.add.reduceat(mix(sets), begins) + counts.astype(U64)) & ~_ONE
-            return Cut(doc, number, starts - begin[doc], lengths, own, sets, begins, counts)
+            return Cut(doc, number, starts - begin[doc], lengths, own, sets, begins, counts, x, starts, before, after)
 
     def keys(self, cut: Cut) -> tuple[np.ndarray, np.ndarray]:
         """Paragraphs large enough to be like an unequal one, and their band keys, a row for each."""
@@ -178,7 +199,8 @@ def candidates(rows: DataFrame, filter_: np.ndarray) -> DataFrame:
 
 
 def occurrences(rows: DataFrame, filter_: np.ndarray) -> DataFrame:
-    """(doc, number, start, n_words, id) of each paragraph in the filter."""
+    """(doc, number, start, n_words, id, left, right) of each paragraph in the filter; left and right: hashes of the last and
+    next 1, 2, ... words beside it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = Paragraphs()
@@ -186,9 +208,60 @@ def occurrences(rows: DataFrame, filter_: np.ndarray) -> DataFrame:
             cut = cutter.cut(b.column(1).to_pylist())
             hit = in_bloom(filter_, hash_spots(cut.own))
             columns = [b.column(0).to_numpy()[cut.doc[hit]], cut.number[hit], cut.start[hit], cut.length[hit], cut.own[hit].view(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc", "number", "start", "n_words", "id"])
-
-    return rows.mapInArrow(run, "doc bigint, number bigint, start bigint, n_words bigint, id bigint")
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *beginnings(cut, hit)], names=["doc", "number", "start", "n_words", "id", "left", "right"])
+
+    return rows.mapInArrow(run, "doc bigint, number bigint, start bigint, n_words bigint, id bigint, left array<bigint>, right array<bigint>")
+
+
+def beginnings(cut: Cut, hit: np.ndarray) -> list[pa.Array]:
+    """For the paragraphs in hit, hashes of the last 1, 2, ... words before each and of the next ones after it."""
+    with np.errstate(over="ignore"):
+        n = len(cut.words)
+        power, back = (np.cumprod(np.concatenate(([U64(1)], np.full(n, b, U64)))) for b in (_C3, U64(pow(int(_C3), -1, 1 << 64))))
+        total = np.concatenate((np.zeros(1, U64), np.cumsum(mix(cut.words) * power[:n], dtype=U64)))
+        out = []
+        for edge, many, way in ((cut.at[hit], cut.before[hit], -1), ((cut.at + cut.length)[hit], cut.after[hit], 1)):
+            offsets = np.concatenate(([0], np.cumsum(many)))
+            k = np.arange(offsets[-1]) - np.repeat(offsets[:-1], many) + 1
+            edge = np.repeat(edge, many)
+            low, high = np.minimum(edge, edge + way * k), np.maximum(edge, edge + way * k)
+            h = mix((total[high] - total[low]) * back[low] + k.astype(U64))
+            out.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(h.view(np.int64))))
+        return out
+
+
+def extensions(held: DataFrame) -> DataFrame:
+    """(doc, at, side, total, gone, first): how many words before (side 0) or after a paragraph's edge are in another document
+    too, how many of them in a smaller one, and the smallest."""
+    # a neighbour that is only like another may begin or end elsewhere than that one
+    by, equal = Window.partitionBy("doc").orderBy("number"), F.when(F.col("equal"), 1)
+    known = held.withColumn("before", F.count(equal).over(by.rangeBetween(-1, -1))).withColumn("after", F.count(equal).over(by.rangeBetween(1, 1)))
+    sides = F.array(F.struct(F.lit(0).alias("side"), (F.col("before") == 0).alias("edge"), F.col("start").alias("at"), F.col("left").alias("hashes")),
+                    F.struct(F.lit(1).alias("side"), (F.col("after") == 0).alias("edge"), (F.col("start") + F.col("n_words")).alias("at"), F.col("right").alias("hashes")))
+    sides = known.select("doc", "component", F.inline(sides))
+    open_ = sides.filter("edge").select("component", "side").distinct()
+    ends = sides.join(open_, ["component", "side"], "left_semi").select("doc", "component", "side", "edge", "at", F.posexplode("hashes").alias("k", "h"))
+    ends = stored(ends.select("doc", "side", "edge", "at", (F.col("k") + 1).alias("k"), F.xxhash64("component", "side", "h").alias("key")), "op5-ends")
+    shared = ends.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high")
+    smaller = F.col("low") < F.col("doc")
+    return ends.filter("edge").join(shared, "key").groupBy("doc", "at", "side").agg(F.max("k").alias("total"), F.coalesce(F.max(F.when(smaller, F.col("k"))), F.lit(0)).alias("gone"), F.min("low").alias("first"))
+
+
+def parts(doc: int, spans: list[dict], least_words: int) -> list[tuple[int, int, int, bool]]:
+    """(start, words, first, removed) of a document's runs, told in parts that it keeps and parts that go. Paragraphs tell
+    more than the words beside them, and what is kept more than what goes."""
+    state = np.zeros(max(s["stop"] for s in spans) + 2, np.int8)
+    first = np.full(len(state), np.iinfo(np.int64).max)
+    for s in sorted(spans, key=lambda s: (s["whole"], s["first"] == doc, -s["first"])):
+        state[s["start"] + 1 : s["stop"] + 1] = 1 + (s["first"] != doc)
+        first[s["start"] + 1 : s["stop"] + 1] = s["first"]
+    out = []
+    edges = np.flatnonzero(np.diff((state > 0).astype(np.int8)))
+    for i, j in edges.reshape(-1, 2).tolist():
+        if j - i >= least_words:
+            cuts = [i, *(i + 1 + np.flatnonzero(np.diff(state[i + 1 : j + 1]))).tolist(), j]
+            out += [(a, b - a, int(first[a + 1 : b + 1].min()), bool(state[a + 1] == 2)) for a, b in zip(cuts, cuts[1:])]
+    return out
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -207,18 +280,25 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     linked = label.join(found.select("id", "low", "high"), "id")
     first = linked.groupBy("component").agg(F.min("low").alias("first"), F.max("high").alias("last")).filter("first < last")
-    linked = linked.join(first, "component").select("id", "first")
-    alone = exact.join(label.select("id"), "id", "left_anti").select("id", F.col("low").alias("first"))
+    linked = linked.join(first, "component").select("id", "first", "component", (F.col("low") < F.col("high")).alias("equal"))
+    alone = exact.join(label.select("id"), "id", "left_anti").select("id", F.col("low").alias("first"), F.col("id").alias("component"), F.lit(True).alias("equal"))
     repeated = stored(alone.unionByName(linked), "op5-repeated")
 
-    held = occurrences(rows, bloom(repeated, "id", hashed=True)).join(repeated, "id").distinct()
-    run = F.col("number") - F.row_number().over(Window.partitionBy("doc").orderBy("number", "start"))
-    gone = F.col("first") != F.col("doc")
-    # a run is as long as all its paragraphs, but what the document keeps is told apart from what goes
-    part = F.row_number().over(Window.partitionBy("doc", "run").orderBy("number", "start")) - F.row_number().over(Window.partitionBy("doc", "run", "removed").orderBy("number", "start"))
-    out = held.withColumn("run", run).withColumn("removed", gone).withColumn("total", F.sum("n_words").over(Window.partitionBy("doc", "run"))).withColumn("part", part)
-    out = out.filter(F.col("total") >= least_words).groupBy("doc", "run", "removed", "part").agg(F.min("start").alias("start"), F.sum("n_words").alias("n_words"), F.min("first").alias("first_id"))
-    return out.select(F.col("doc").alias(id_col), "start", "n_words", "first_id", "removed")
+    held = stored(occurrences(rows, bloom(repeated, "id", hashed=True)).join(repeated, "id"), "op5-held")
+    span = lambda start, stop, first, whole: F.struct(start.cast("bigint").alias("start"), stop.cast("bigint").alias("stop"), first.alias("first"), F.lit(whole).alias("whole"))
+    at, way, total, gone = F.col("at"), F.when(F.col("side") == 0, -1).otherwise(1), F.col("total"), F.col("gone")
+    beside = [(at, at + way * gone, F.col("first")), (at + way * gone, at + way * total, F.col("doc"))]
+    more = extensions(held).select("doc", F.explode(F.array(*(span(F.least(a, b), F.greatest(a, b), c, False) for a, b, c in beside))).alias("span"))
+    spans = held.select("doc", span(F.col("start"), F.col("start") + F.col("n_words"), F.col("first"), True).alias("span")).unionByName(more.filter("span.start < span.stop"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            out = [(doc, *part) for doc, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for part in parts(doc, found, least_words)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["doc", "start", "n_words", "first_id", "removed"])
+
+    out = spans.groupBy("doc").agg(F.collect_set("span")).mapInArrow(run, "doc bigint, start bigint, n_words bigint, first_id bigint, removed boolean")
+    return out.withColumnRenamed("doc", id_col)
 
 
 def op5_paragraph_banding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -179,6 +179,23 @@ def test_a_keepers_passage_is_in_no_removed_run(spark):
     assert all(left[3]) and all(left[5][170:]) and sum(left[5][40:130]) < 40 and sum(left[9][80:170]) < 40
 
 
+def test_short_and_periodic_passages_are_whole(spark):
+    rnd = random.Random(7)
+    text = lambda n: [f"w{rnd.randrange(5000)}" for _ in range(n)]
+    docs, place = {}, {}
+    for k in range(400):
+        passage = text(51) if k < 380 else text(1 + k % 4) * 60
+        for j in (0, 1):
+            before = text(80)
+            docs[2 * k + j], place[2 * k + j] = " ".join(before + passage + text(70)), len(passage)
+    got = substring_dup.repeated_passages(spark.createDataFrame([*docs.items()], "doc_id long, text string")).collect()
+    found = {r.doc_id for r in got if r.start <= 84 and r.n_words >= place[r.doc_id] - 8 and r.removed == (r.doc_id % 2 == 1)}
+    assert len(found) >= 0.99 * len(docs) and found >= set(range(760, 800))
+    # a paragraph at an end may be like the other one without being equal
+    whole = {r.doc_id for r in got if 70 <= r.start <= 80 and 131 <= r.start + r.n_words <= 141}
+    assert len(whole & set(range(760))) >= 0.99 * 760
+
+
 # --- 6 ---
 
 
