@@ -6,9 +6,9 @@ link is made only after the full shingle sets have been compared.
 
 No group is expanded into pairs. Documents of one set are one class, known by its smallest id. Then, round by round, every
 class is compared with one other per round: of the classes it shares a key with, the one that shares the most keys
-with most classes, if it is not yet in its component; linked classes are put in one component and need no comparison among themselves. After ROUNDS
-rounds, the pairs that still share a key across components (of small sets: the rare elements that similar ones must share)
-are compared, so no candidate is dropped. Sets are made
+with most classes, if it is not yet in its component; linked classes are put in one component and need no comparison among
+themselves. After ROUNDS rounds, classes that still share a key across components are compared by their rarest elements, of
+which similar sets must share one (_sharing_rare), so no candidate is dropped and no group of a key is paired. Sets are made
 again only for classes that share a key with another (a Bloom filter over their ids spares the others; the joins after it
 are exact).
 
@@ -83,11 +83,11 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * common >= percent * (F.size("wa") + F.size("wb") - common)).select("a", "b").distinct()
 
 
-def link_rounds(live: DataFrame, sets: DataFrame, links: DataFrame, percent: int, what: str, small_sets: bool = False) -> DataFrame:
+def link_rounds(live: DataFrame, sets: DataFrame, links: DataFrame, percent: int, what: str) -> DataFrame:
     """(id, component) of all ids that are linked with another.
 
     live(rep, n, key): classes, sizes of their sets and the keys they share with others; sets(id, words); links(a, b):
-    what is linked already. small_sets: find the last pairs by rare elements, better where sets have few and keys are shared by chance.
+    what is linked already.
     """
     tested = None
     # who shares many keys with many is likely to be what the others were copied from
@@ -96,53 +96,74 @@ def link_rounds(live: DataFrame, sets: DataFrame, links: DataFrame, percent: int
     live = stored(live.join(pull, "rep"), f"{what}-pull")
     near = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")
     label = stored(components(links), f"{what}-cc")
-    for step in range(ROUNDS + 1):
-        now = live.join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        if step < ROUNDS:
-            hubs = now.groupBy("key").agg(F.max(F.struct("pull", "rep", "n", "component")).alias("hub"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-            found = now.join(hubs, "key").filter(F.col("component") != F.col("hub.component"))
-            found = found.select(F.col("rep").alias("a"), "n", F.col("hub.rep").alias("b"), F.col("hub.n").alias("m"), F.col("hub.pull").alias("pull"))
-        else:
-            open_ = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-            now = now.join(open_, "key")
-            if small_sets:
-                found = _sharing_rare(now.select("rep", "n", "component").distinct(), sets, percent)
-            else:
-                now = stored(now.select("key", "rep", "n", "component"), f"{what}-open")
-                other = now.select("key", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("component").alias("far"))
-                found = now.join(other, "key").filter("component < far").select(F.col("rep").alias("a"), "n", "b", "m")
-        found = found.filter(near).distinct()
+
+    def compared(found: DataFrame, label: DataFrame) -> DataFrame:
+        new = stored(_linked(found, sets, percent), f"{what}-links")
+        if new.isEmpty():
+            return label
+        merged = stored(_merged(label, new, what), f"{what}-cc")
+        drop_stored(label)
+        return merged
+
+    def grouped() -> DataFrame:
+        return live.join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+
+    for _ in range(ROUNDS):
+        now = grouped()
+        hubs = now.groupBy("key").agg(F.max(F.struct("pull", "rep", "n", "component")).alias("hub"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+        found = now.join(hubs, "key").filter(F.col("component") != F.col("hub.component"))
+        found = found.select(F.col("rep").alias("a"), "n", F.col("hub.rep").alias("b"), F.col("hub.n").alias("m"), F.col("hub.pull").alias("pull")).filter(near).distinct()
         if tested is not None:
             again = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
             found = found.join(again, ["a", "b"], "left_anti")
-        if step < ROUNDS:
-            found = found.groupBy("a").agg(F.max_by("b", F.struct("pull", "b")).alias("b"))
-        found = found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
-        found = stored(found, f"{what}-pairs")
+        found = found.groupBy("a").agg(F.max_by("b", F.struct("pull", "b")).alias("b"))
+        found = stored(found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), f"{what}-pairs")
         if found.isEmpty():
-            # a hub round may run dry before the pairs do: go on to the last one
-            if step < ROUNDS:
-                continue
             break
-        new = stored(_linked(found, sets, percent), f"{what}-links")
         tested = found if tested is None else tested.unionByName(found)
-        if new.isEmpty():
-            continue
-        old, label = label, stored(_merged(label, new, what), f"{what}-cc")
-        drop_stored(old)
-    return label
+        label = compared(found, label)
+
+    now = grouped()
+    open_ = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
+    left = now.join(open_, "key").groupBy("rep").agg(F.first("component").alias("component"))
+    found = _sharing_rare(stored(left, f"{what}-open"), sets, percent, what)
+    found = stored(found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), f"{what}-pairs")
+    return compared(found, label)
 
 
-def _sharing_rare(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, n, b, m) of classes of different components that may be similar enough: with elements in order of rarity, similar sets
-    share one of their first n - ceil(n * percent / 100) + 1. Exact, and classes that differ in elements of their own meet nobody."""
-    elements = left.join(sets.withColumnRenamed("id", "rep"), "rep").select("rep", "n", "component", F.explode("words").alias("w"))
-    often = elements.groupBy("w").agg(F.count("*").alias("often"))
-    rare = elements.join(often, "w").groupBy("rep", "n", "component").agg(F.sort_array(F.collect_list(F.struct("often", "w"))).alias("e"))
-    first = F.slice("e", 1, F.expr(f"cast(n - ({percent} * n + 99) div 100 + 1 as int)"))
-    heads = rare.select("rep", "n", "component", F.explode(first).alias("e")).filter("e.often > 1").select("rep", "n", "component", F.col("e.w").alias("w"))
-    other = heads.select("w", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("component").alias("far"))
-    return heads.join(other, "w").filter("component < far").select(F.col("rep").alias("a"), "n", "b", "m")
+def _low(size: str) -> str:
+    """SQL for the least size of a size's bucket: 32 steps up to each power of two, so that sizes of a bucket differ by 3 %."""
+    return f"shiftleft(shiftright({size}, {_step(size)}), {_step(size)})"
+
+
+def _step(size: str) -> str:
+    return f"greatest(length(bin({size})) - 6, 0)"
+
+
+def _sharing_rare(left: DataFrame, sets: DataFrame, percent: int, what: str) -> DataFrame:
+    """Pairs (a, b) of classes left(rep, component) of different components that may be similar enough; none of those is left out.
+
+    Sets of n and m elements of the similarity share s = ceil(percent * (n + m) / (100 + percent)) of them. With all elements in one
+    order, rarest first, they share one of the first n - s + 1 of the one and m - s + 1 of the other. What is first depends on the
+    partner's size, so each class asks for each bucket of sizes within its reach. A class that is too far from the hub of its group
+    has so many elements of its own that none of the group's common ones comes first: it meets nobody.
+    """
+    held = stored(left.join(sets.withColumnRenamed("id", "rep"), "rep"), f"{what}-left")
+    elements = held.select("rep", "component", F.xxhash64("words").alias("which"), F.size("words").cast("bigint").alias("n"), F.explode("words").alias("w"))
+    often = elements.groupBy("w").agg(F.count("*").alias("often")).filter("often > 1")
+    common = elements.join(often, "w").groupBy("rep", "component", "which", "n").agg(F.sort_array(F.collect_list(F.struct("often", "w"))).alias("e"))
+    reach = common.withColumn("least", F.expr(f"({percent} * n + 99) div 100")).withColumn("most", F.expr(f"100 * n div {percent}"))
+    buckets = F.expr(f"array_distinct(transform(sequence({_low('least')}, most, shiftleft(1L, {_step('least')})), m -> {_low('m')}))")
+    asks = reach.withColumn("own", F.expr(_low("n"))).withColumn("other", F.explode(buckets))
+    # how many elements come first, less those that nobody else has
+    first = F.expr(f"cast(size(e) + 1 - ({percent} * (n + greatest(other, least)) + {99 + percent}) div {100 + percent} as int)")
+    heads = asks.withColumn("first", first).filter("first > 0").withColumn("k", F.size("e"))
+    heads = heads.select("rep", "component", "n", "own", "other", "k", F.posexplode(F.slice("e", F.lit(1), F.col("first"))).alias("at", "of"))
+    # rest: elements from this one on
+    heads = stored(heads.select("rep", "component", "n", "own", "other", F.col("of.w").alias("w"), (F.col("k") - F.col("at")).alias("rest")), f"{what}-heads")
+    far = heads.select("w", F.col("own").alias("other"), F.col("other").alias("own"), F.col("rep").alias("b"), F.col("component").alias("far"), F.col("n").alias("m"), F.col("rest").alias("left"))
+    both = heads.withColumnRenamed("rep", "a").join(far, ["w", "own", "other"])
+    return both.filter(f"component < far and {100 + percent} * least(rest, left) >= {percent} * (n + m)").select("a", "b")
 
 
 def _merged(label: DataFrame, links: DataFrame, what: str) -> DataFrame:
@@ -163,11 +184,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     least `percent`. `size` words make a shingle."""
     sig = stored(signatures(docs, size, id_col, text_col), "op8-sig")
     known = sig.filter("id is not null and set_hash is not null")
-    reps = known.groupBy("set_hash").agg(F.min("id").alias("rep"))
+    # equal sets have equal keys; a large group is one row of each task before it is dealt
+    classes = stored(known.groupBy("set_hash").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")), "op8-classes")
+    reps = classes.select("set_hash", "rep")
 
     # one row for each class and key that another class has too
-    first = known.join(reps, [known.set_hash == reps.set_hash, known.id == reps.rep])
-    keys = first.select("rep", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
+    keys = classes.select("rep", "n", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high").select("key")
     live = stored(keys.join(shared, "key").distinct(), "op8-live")
     sets = stored(_sets(docs, live.select(F.col("rep").alias("id")).distinct(), size, id_col, text_col), "op8-sets")
@@ -179,8 +201,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
 
     label = link_rounds(live, sets, named, percent, "op8")
     drop_stored(sets)
-    of_row = sig.select("id", "n_shingles", "set_hash").join(reps, "set_hash", "left").join(label.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    return of_row.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id")).alias("component"))
+    drop_stored(live)
+    # stored, so that the join of the rows is one by itself and Spark can split a large group
+    told = stored(reps.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("set_hash", F.coalesce("component", "rep").alias("component")), "op8-told")
+    of_row = sig.select("id", "n_shingles", "set_hash").join(told, "set_hash", "left")
+    return of_row.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))
 
 
 def keep_first(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
