@@ -148,8 +148,9 @@ def _sharing_rare(left: DataFrame, sets: DataFrame, percent: int, what: str) ->
     partner's size, so each class asks for each bucket of sizes within its reach. A class that is too far from the hub of its group
     has so many elements of its own that none of the group's common ones comes first: it meets nobody.
     """
-    held = stored(left.join(sets.withColumnRenamed("id", "rep"), "rep"), f"{what}-left")
-    elements = held.select("rep", "component", F.xxhash64("words").alias("which"), F.size("words").cast("bigint").alias("n"), F.explode("words").alias("w"))
+    held = left.join(sets.withColumnRenamed("id", "rep"), "rep").select("rep", "component", F.xxhash64("words").alias("which"), F.size("words").cast("bigint").alias("n"), "words")
+    # stored, or Spark would hash the whole set once for each element
+    elements = stored(held, f"{what}-left").select("rep", "component", "which", "n", F.explode("words").alias("w"))
     often = elements.groupBy("w").agg(F.count("*").alias("often")).filter("often > 1")
     common = elements.join(often, "w").groupBy("rep", "component", "which", "n").agg(F.sort_array(F.collect_list(F.struct("often", "w"))).alias("e"))
     reach = common.withColumn("least", F.expr(f"({percent} * n + 99) div 100")).withColumn("most", F.expr(f"100 * n div {percent}"))

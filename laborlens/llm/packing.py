@@ -49,7 +49,8 @@ class WordIds(dict):
         path = public_tokenizers.path(vocabulary.replace(".json", ".tiktoken"))
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encode = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        encoding = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.encode, self.bytes_of = encoding.encode_ordinary, encoding.decode_single_token_bytes
         self.old: dict[str, bytes] = {}
 
     def raw(self, text: str) -> bytes:

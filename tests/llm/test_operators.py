@@ -105,22 +105,26 @@ def test_decontamination_against_brute_force(spark, sf, texts):
 # --- 4 ---
 
 
-def test_nearest_examples_are_exact(spark):
-    rng = np.random.default_rng(4)
-    n, v = 700, 30
-    vectors = [(k, t := np.unique(rng.integers(0, v, 4)), (w := rng.random(len(t)) + 0.1) / np.sqrt((w * w).sum())) for k in range(n)]
-    lists = [[] for _ in range(v)]
-    for k, t, w in vectors:
-        for i, x in zip(t, w):
-            lists[i].append((k, x))
-    model = toxicity.Model([str(k) for k in range(v)], np.ones(v), np.arange(n), rng.integers(0, 2, n).astype(float), [(np.array([k for k, _ in x]), np.array([w for _, w in x])) for x in lists], 0.1)
+def test_nearest_examples_are_exact(spark, sf):
+    sf = sf.replace("sf0.001", "sf0.01")
+    docs = table(spark, sf, "documents").filter("doc_id % 2 = 0")
+    model = toxicity.fit(docs, table(spark, sf, "labels"))
+    n, v = len(model.ids), len(model.weight)
     dense = np.zeros((n, v))
-    for k, t, w in vectors:
-        dense[k, t] = w
-    for k in range(0, n, 35):
-        cosines = dense @ dense[k]
-        want = np.lexsort((np.arange(n), -np.round(cosines, 12)))[: toxicity.NEIGHBOURS]
-        assert model.nearest(*vectors[k][1:])[0].tolist() == want.tolist()
+    term = np.repeat(np.arange(v), model.cuts[:, -1] - model.cuts[:, 0])
+    dense[model.example, term] = model.posted
+    assert n > toxicity.BLOCK and v > 1000 and np.allclose((dense * dense).sum(axis=1), 1)
+    for k in range(0, n, 7):
+        terms = np.flatnonzero(dense[k])
+        cosines = np.round(dense @ dense[k], 12)
+        want = np.lexsort((model.ids, -cosines))[: toxicity.NEIGHBOURS]
+        got = model.nearest(terms, dense[k][terms])
+        assert got[0].tolist() == want[cosines[want] > 0].tolist() and np.allclose(got[1], cosines[want][cosines[want] > 0])
+
+
+def test_most_texts_have_evidence(spark, sf):
+    got = toxicity.op4_toxicity(spark, sf.replace("sf0.001", "sf0.01")).selectExpr("avg(if(size(evidence) > 0, 1, 0)) as share", "count(distinct score) as scores").first()
+    assert got.share > 0.95 and got.scores > 20
 
 
 def test_toxicity_learns_held_out_labels(spark, sf):
@@ -237,9 +241,9 @@ def test_gradients():
     rng = np.random.default_rng(1)
     w = {k: v.astype(np.float64) * 5 for k, v in attention_lm.start_weights().items()}
     inputs = rng.integers(0, 60, (3, attention_lm.WINDOW))
-    targets, told = rng.integers(0, 20, inputs.size), rng.random(inputs.shape) < 0.7
-    base = rng.random((inputs.size, attention_lm.CLASSES))
-    loss = lambda: attention_lm.backward(w, base, attention_lm.forward(w, inputs)[1], targets, told)
+    targets, told = rng.integers(0, 20, (3, attention_lm.HALF)), rng.random((3, attention_lm.HALF)) < 0.7
+    base = rng.random((targets.size, attention_lm.CLASSES))
+    loss = lambda: attention_lm.loss_and_gradient(w, inputs, base, targets, told)
     _, g = loss()
     for name in w:
         at = (int(inputs[0, 0]), 3) if name == "e" else tuple(rng.integers(0, s) for s in w[name].shape)
@@ -251,11 +255,52 @@ def test_gradients():
         assert abs((up - down) / 2e-5 - g[name][at]) < 1e-6
 
 
-def test_each_position_is_told_once():
-    lengths = np.array([1, 5, 32, 33, 60, 61, 500])
-    doc, places, told = attention_lm.windows(lengths)
-    assert Counter(places[told].tolist()) == Counter(range(lengths.sum()))
-    assert all(told[k].sum() == 0 or (doc == doc[k]).any() for k in range(len(doc)))
+def toy_classes(rng):
+    counts = rng.integers(0, 50, attention_lm.IDS).astype(float)
+    unit, share, klass = attention_lm.groups(counts)
+    u = len(klass)
+    first, last = rng.random(u) * 9, rng.random(attention_lm.CLASSES) * 9
+    return attention_lm.Classes(counts, first, last, rng.random((attention_lm.CLASSES, u)) * 9, rng.random((attention_lm.CLASSES, u)) * 9, (unit, share, klass))
+
+
+def test_probabilities_of_the_next_id_add_up_to_one():
+    classes = toy_classes(np.random.default_rng(2))
+    per_unit = np.exp(classes.pairs[:, classes.klass] + classes.units)
+    assert np.allclose(per_unit.sum(axis=1), 1, atol=1e-4)
+    assert np.allclose(np.bincount(classes.unit, np.exp(classes.share), len(classes.klass)), 1, atol=1e-4)
+
+
+def test_windowed_scores_equal_plain_attention():
+    rng = np.random.default_rng(3)
+    classes, lengths = toy_classes(rng), np.array([1, 15, 16, 17, 40, 100])
+    w = {k: v * 6 for k, v in attention_lm.start_weights().items()}
+    ids = rng.integers(0, attention_lm.IDS, lengths.sum()).astype(np.int32)
+    layout = attention_lm.lay_out(ids, lengths, classes.unit)
+    got = attention_lm.id_scores(attention_lm.scoring_tables(w, classes), ids, layout, classes, block=3)
+    end, half, k = int(classes.unit[attention_lm.END]), attention_lm.HALF, 0
+    for n in lengths:
+        units = [end] * (half + 1) + classes.unit[ids[k : k + n]].tolist()
+        for i in range(n):
+            start = i // half * half
+            before = np.array(units[start : half + i + 1])
+            x = w["e"][before] + w["p"][: len(before)]
+            a = np.exp((x[-1] @ w["q"]) @ (x @ w["k"]).T / np.sqrt(attention_lm.WIDTH))
+            h = w["e"][before[-1]] + (a / a.sum()) @ (x @ w["v"])
+            last, own = classes.klass[before[-1]], classes.unit[ids[k + i]]
+            logits = h @ w["u"] + classes.pairs[last]
+            want = logits[classes.klass[own]] - np.log(np.exp(logits).sum()) + classes.units[last, own] + classes.share[ids[k + i]]
+            assert abs(got[k + i] - want) < 1e-3
+        k += n
+
+
+def test_attention_helps_on_texts_that_it_did_not_learn_from(spark, sf):
+    sf = sf.replace("sf0.001", "sf0.01")
+    docs = table(spark, sf, "documents")
+    taught = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2
+    model = attention_lm.fit(docs, taught)
+    blind = attention_lm.Model(**{**vars(model), "weights": {**model.weights, "u": model.weights["u"] * 0}})
+    mean = lambda m: attention_lm.score_texts(docs.filter(~taught), m).selectExpr("sum(score) / sum(n_tokens) as s").first().s
+    assert 0 < model.mixture < 1 and mean(model) > mean(blind) + 0.02
 
 
 def test_language_model(spark, sf, texts):
@@ -267,23 +312,20 @@ def test_language_model(spark, sf, texts):
             count.update(words(t))
             ends += 1
     n, v = count.total() + ends, len(count) + 1
-    base = seen = score = 0.0
     for r in got:
         c = [count[w] for w in words(texts[r.doc_id])] + [ends]
         assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(c), sum(x > 0 for x in c), n, held(r.doc_id))
         assert abs(r.base_score - np.log10((np.array(c) + 1) / (n + v + 1)).sum()) < 1e-6 * abs(r.base_score)
         assert r.score < 0
-        if not r.held_out:
-            base, score, seen = base + r.base_score, score + r.score, seen + r.n_tokens
-    assert score / seen > 1.1 * base / seen
 
 
 def test_language_model_cases(spark, odd):
     usable = F.col("doc_id").isNotNull()
-    got = {r.doc_id: r for r in attention_lm.score_texts(odd, usable).filter("doc_id is not null").collect()}
+    score = lambda docs, usable: attention_lm.score_texts(docs, attention_lm.fit(docs, usable))
+    got = {r.doc_id: r for r in score(odd, usable).filter("doc_id is not null").collect()}
     assert got[1].n_tokens == got[2].n_tokens == got[3].n_tokens == 1 and got[7].n_tokens == 30_001 and abs(got[1].score - got[2].score) < 1e-9
-    assert all(np.isfinite(r.score) for r in attention_lm.score_texts(odd, F.lit(False)).collect())
-    assert attention_lm.score_texts(odd.limit(0), usable).count() == 0
+    assert all(np.isfinite(r.score) for r in score(odd, F.lit(False)).collect())
+    assert score(odd.limit(0), usable).count() == 0
 
 
 # --- 8 ---
