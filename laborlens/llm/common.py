@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,6 +11,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from laborlens.session import shared_dir
+
 #: Rows whose text is turned into Python objects at once.
 SLICE = 256
 #: Interned words per task before the cache starts anew; bounds a worker's memory.
@@ -35,15 +36,6 @@ def raw(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string").cast("binary"), F.lit(b"")).alias(column)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
@@ -129,30 +121,33 @@ def band_keys(signature: np.ndarray, rows: int) -> np.ndarray:
     return key
 
 
-BLOOM_BITS = 1 << 24
+#: Bits of a Bloom filter: 16 for each key, a power of two between these. With the most, 32 MB, some 40 million keys pass one in ten others.
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
 
 
-def bloom_spots(column: str | Column) -> list[Column]:
-    """Where a key's two bits are. Ids are hashed; a column of hashes can use hash_spots()."""
-    h = F.xxhash64(column)
-    return [F.pmod(h, F.lit(BLOOM_BITS)).alias("spot1"), F.pmod(F.shiftrightunsigned(h, 30), F.lit(BLOOM_BITS)).alias("spot2")]
+def bloom_spots(words: np.ndarray, column: str | Column) -> list[Column]:
+    """Where a key's two bits are in the filter. Ids are hashed; a column of hashes can use hash_spots()."""
+    h, bits = F.xxhash64(column), F.lit(64 * len(words))
+    return [F.pmod(h, bits).alias("spot1"), F.pmod(F.shiftrightunsigned(h, 30), bits).alias("spot2")]
 
 
-def hash_spots(hashes: np.ndarray) -> list[np.ndarray]:
+def hash_spots(words: np.ndarray, hashes: np.ndarray) -> list[np.ndarray]:
     """The same for 64-bit hashes, in numpy."""
-    return [(hashes % U64(BLOOM_BITS)).astype(np.int64), ((hashes >> U64(30)) % U64(BLOOM_BITS)).astype(np.int64)]
+    bits = U64(64 * len(words))
+    return [(hashes % bits).astype(np.int64), ((hashes >> U64(30)) % bits).astype(np.int64)]
 
 
 def bloom(keys: DataFrame, column: str, hashed: bool = False) -> np.ndarray:
-    """Bloom filter of a long column (hashed: of 64-bit hashes), built by Spark; the driver gets BLOOM_BITS / 64 words at
+    """Bloom filter of a long column (hashed: of 64-bit hashes), built by Spark; the driver gets MOST_BITS / 64 words at
     most, whatever the input.
 
-    It only spares work: whoever uses it joins exactly afterwards. Beyond some BLOOM_BITS / 4 keys it lets all pass.
+    It only spares work: whoever uses it joins exactly afterwards. With very many keys it lets more and more others pass.
     """
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * keys.count()).bit_length()))
     h = F.col(column) if hashed else F.xxhash64(column)
-    spots = keys.select(F.explode(F.array(F.pmod(h, F.lit(BLOOM_BITS)), F.pmod(F.shiftrightunsigned(h, 30), F.lit(BLOOM_BITS)))).alias("spot"))
+    spots = keys.select(F.explode(F.array(F.pmod(h, F.lit(bits)), F.pmod(F.shiftrightunsigned(h, 30), F.lit(bits)))).alias("spot"))
     words = spots.groupBy(F.expr("spot div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(spot % 64 as int)))").alias("mask"))
-    out = np.zeros(BLOOM_BITS // 64, np.int64)
+    out = np.zeros(bits // 64, np.int64)
     got = words.toArrow()
     out[got["word"].to_numpy()] = got["mask"].to_numpy()
     return out.view(U64)

@@ -153,7 +153,7 @@ def windows(rows: DataFrame, id_col: str, text_col: str, sizes: list[int] | None
                         else:
                             last = hashes.copy()
                         if words_in is not None and len(hashes):
-                            keep = in_bloom(words_in, hash_spots(hashes))
+                            keep = in_bloom(words_in, hash_spots(words_in, hashes))
                             at, hashes = at[keep], hashes[keep]
                         for p, h in zip(at.tolist(), hashes.view(np.int64).tolist(), strict=True):
                             fill = [{"at": k, "name": bool(name[p + k] and slot[p + k]), "word": words[p + k].strip(PUNCTUATION).decode("utf-8", "replace").casefold()} for k in np.flatnonzero(slot[p : p + size]).tolist()]

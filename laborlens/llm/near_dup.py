@@ -71,7 +71,7 @@ def _sets(docs: DataFrame, ids: DataFrame, size: int, id_col: str, text_col: str
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep)), pa.array(sets, pa.list_(pa.int64()))], names=["id", "words"])
 
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), raw(text_col).alias("text"))
-    return rows.select("id", "text", *bloom_spots("id")).mapInArrow(run, "id bigint, words array<bigint>")
+    return rows.select("id", "text", *bloom_spots(filter_, "id")).mapInArrow(run, "id bigint, words array<bigint>")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

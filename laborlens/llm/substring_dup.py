@@ -2,14 +2,14 @@
 
 Passages are pasted anywhere, so paragraphs are cut by content: after a word whose pair with the next one has the least
 hash among RADIUS pairs to either side; short pieces on end, as of periodic text, are put together. Equal passages are cut alike
-except for RADIUS words at their ends. A paragraph's
+except for RADIUS words at their ends, and what lies before the first cut and after the last. A paragraph's
 set is its five-word shingles; equal sets are one paragraph. Band keys (min-max values of the set) and the set's own hash go through one
 aggregation that tells which keys several paragraphs share and which paragraphs several documents hold; only those are
 made again, through a Bloom filter. Colliding paragraphs are verified by exact Jaccard similarity in the rounds of
 near_dup.link_rounds, which never expands a group into pairs, and components are the clusters of removals: the smallest id
-of a cluster keeps its paragraph. Where a paragraph's neighbour isn't repeated word for word, the words up to that one's far end are compared
-word by word, by the hashes of all their beginnings, with what stands beside the paragraph in any other document, and those
-that are equal belong to the repeat. Words on end make a run; runs of fewer than LEAST_WORDS words are left alone, and longer ones are told in parts that the document keeps and parts that go.
+of a cluster keeps its paragraph. Where a paragraph's neighbour
+isn't repeated, the words up to that one's far end are compared word by word with what stands beside the paragraph in the first and the last
+document that have such an end there too, and those that are equal belong to the repeat. Words on end make a run; runs of fewer than LEAST_WORDS words are left alone, and longer ones are told in parts that the document keeps and parts that go.
 
 tune() picks the bands: two rows and four bands find 98 % of pairs of similarity 0.8 and all equal ones.
 
@@ -25,14 +25,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from laborlens.llm.common import _C3, U64, WordHashes, bloom, hash_spots, in_bloom, mix, permutations, raw, shingles, slices, stored, table
 from laborlens.llm.near_dup import link_rounds
 
 SIZE = 5
-RADIUS = 5
+RADIUS = 4
 PERCENT = 80
 LEAST_WORDS = 16
 ROWS = 2
@@ -47,12 +47,11 @@ LEAST_SET = 4
 
 @dataclass
 class Cut:
-    """Paragraphs of SIZE words or more: text, number in it, first word, words, and hash of the set; all sets' distinct shingles one
+    """Paragraphs of SIZE words or more: text, first word, words, and hash of the set; all sets' distinct shingles one
     after the other, where each begins and how many it has; the texts' words, where in them each begins, and how many words before
     and after it an equal passage could hold without holding the neighbour."""
 
     doc: np.ndarray
-    number: np.ndarray
     start: np.ndarray
     length: np.ndarray
     own: np.ndarray
@@ -117,9 +116,8 @@ class Paragraphs:
                 last, held = k, held * joins + int(lengths[k])
             starts = starts[whole]
             lengths, doc = np.diff(starts, append=len(x)), doc[whole]
-            number = np.arange(len(starts)) - np.searchsorted(doc, doc)
             keep = np.flatnonzero(lengths >= SIZE)
-            doc, number, starts, lengths = doc[keep], number[keep], starts[keep], lengths[keep]
+            doc, starts, lengths = doc[keep], starts[keep], lengths[keep]
             ends = starts + lengths
             near = doc[1:] == doc[:-1]
             before, after = starts - begin[doc], (begin + n)[doc] - ends
@@ -128,7 +126,7 @@ class Paragraphs:
             counts = lengths - SIZE + 1
             if not len(counts):
                 none = np.zeros(0, np.int64)
-                return Cut(none, none, none, none, np.zeros(0, U64), np.zeros(0, U64), none, none, x, none, none, none)
+                return Cut(none, none, none, np.zeros(0, U64), np.zeros(0, U64), none, none, x, none, none, none)
             unit = np.repeat(np.arange(len(counts)), counts)
             sets = shingles(x, SIZE)[np.arange(len(unit)) - np.repeat(np.cumsum(counts) - counts - starts, counts)]
             order = np.lexsort((sets, unit))
@@ -138,7 +136,7 @@ class Paragraphs:
             counts = np.bincount(unit)
             begins = np.cumsum(counts) - counts
             own = mix(np.add.reduceat(mix(sets), begins) + counts.astype(U64)) & ~_ONE
-            return Cut(doc, number, starts - begin[doc], lengths, own, sets, begins, counts, x, starts, before, after)
+            return Cut(doc, starts - begin[doc], lengths, own, sets, begins, counts, x, starts, before, after)
 
     def keys(self, cut: Cut) -> tuple[np.ndarray, np.ndarray]:
         """Paragraphs large enough to be like an unequal one, and their band keys, a row for each."""
@@ -187,7 +185,7 @@ def candidates(rows: DataFrame, filter_: np.ndarray) -> DataFrame:
         for b in slices(batches):
             cut = cutter.cut(b.column(1).to_pylist())
             large, keys = cutter.keys(cut)
-            live = in_bloom(filter_, hash_spots(keys.ravel())).reshape(keys.shape)
+            live = in_bloom(filter_, hash_spots(filter_, keys.ravel())).reshape(keys.shape)
             hit = np.flatnonzero(live.any(axis=1))
             out = [large[hit], [keys[k][live[k]].view(np.int64) for k in hit.tolist()], [cut.sets[cut.begins[k] : cut.begins[k] + cut.counts[k]].view(np.int64) for k in large[hit].tolist()]]
             yield pa.RecordBatch.from_arrays(
@@ -198,53 +196,70 @@ def candidates(rows: DataFrame, filter_: np.ndarray) -> DataFrame:
     return found.groupBy("id").agg(F.first("keys").alias("keys"), F.first("words").alias("words"), F.min("doc").alias("low"), F.max("doc").alias("high"))
 
 
-def occurrences(rows: DataFrame, filter_: np.ndarray) -> DataFrame:
-    """(doc, number, start, n_words, id, left, right) of each paragraph in the filter; left and right: hashes of the last and
-    next 1, 2, ... words beside it."""
+def occurrences(rows: DataFrame, filter_: np.ndarray, equal: np.ndarray) -> DataFrame:
+    """(doc, start, n_words, id, left, right) of each paragraph in the filter; left and right: 32-bit hashes of the words beside it,
+    nearest first, and whether the paragraph stands there once more; null where another paragraph is of which equal ones are known (a filter, too;
+    one that is only like others may end elsewhere than those), or the text's end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = Paragraphs()
         for b in slices(batches):
             cut = cutter.cut(b.column(1).to_pylist())
-            hit = in_bloom(filter_, hash_spots(cut.own))
-            columns = [b.column(0).to_numpy()[cut.doc[hit]], cut.number[hit], cut.start[hit], cut.length[hit], cut.own[hit].view(np.int64)]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *beginnings(cut, hit)], names=["doc", "number", "start", "n_words", "id", "left", "right"])
-
-    return rows.mapInArrow(run, "doc bigint, number bigint, start bigint, n_words bigint, id bigint, left array<bigint>, right array<bigint>")
-
-
-def beginnings(cut: Cut, hit: np.ndarray) -> list[pa.Array]:
-    """For the paragraphs in hit, hashes of the last 1, 2, ... words before each and of the next ones after it."""
-    with np.errstate(over="ignore"):
-        n = len(cut.words)
-        power, back = (np.cumprod(np.concatenate(([U64(1)], np.full(n, b, U64)))) for b in (_C3, U64(pow(int(_C3), -1, 1 << 64))))
-        total = np.concatenate((np.zeros(1, U64), np.cumsum(mix(cut.words) * power[:n], dtype=U64)))
-        out = []
-        for edge, many, way in ((cut.at[hit], cut.before[hit], -1), ((cut.at + cut.length)[hit], cut.after[hit], 1)):
-            offsets = np.concatenate(([0], np.cumsum(many)))
-            k = np.arange(offsets[-1]) - np.repeat(offsets[:-1], many) + 1
-            edge = np.repeat(edge, many)
-            low, high = np.minimum(edge, edge + way * k), np.maximum(edge, edge + way * k)
-            h = mix((total[high] - total[low]) * back[low] + k.astype(U64))
-            out.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(h.view(np.int64))))
-        return out
+            hit = np.flatnonzero(in_bloom(filter_, hash_spots(filter_, cut.own)))
+            columns = [b.column(0).to_numpy()[cut.doc[hit]], cut.start[hit], cut.length[hit], cut.own[hit].view(np.int64)]
+            sides = [pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(again)], names=["words", "again"]) for words, again in beside(cut, hit, in_bloom(equal, hash_spots(equal, cut.own)))]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *sides], names=["doc", "start", "n_words", "id", "left", "right"])
+
+    side = "struct<words: binary, again: boolean>"
+    return rows.mapInArrow(run, f"doc bigint, start bigint, n_words bigint, id bigint, left {side}, right {side}")
+
+
+def beside(cut: Cut, hit: np.ndarray, known: np.ndarray) -> list[tuple[list[bytes | None], np.ndarray]]:
+    """What stands before and after each paragraph in hit if it isn't a known one, and whether it is the same one again, as in periodic text, which
+    may begin and end elsewhere in another document."""
+    words = (cut.words >> U64(32)).astype(np.uint32)
+    joined = (cut.doc[1:] == cut.doc[:-1]) & (cut.at[1:] == cut.at[:-1] + cut.length[:-1])
+    again = joined & (cut.own[1:] == cut.own[:-1])
+    out = []
+    for side, edge, many in ((0, cut.at, cut.before), (1, cut.at + cut.length, cut.after)):
+        here, skip = np.zeros((2, len(known)), bool)
+        to, other = (slice(1, None), known[:-1]) if side == 0 else (slice(None, -1), known[1:])
+        here[to], skip[to] = again, joined & ~again & other
+        ends = zip(edge[hit].tolist(), many[hit].tolist(), skip[hit].tolist(), strict=True)
+        told = [None if skip or not n else (words[at : at + n] if side else words[at - n : at][::-1]).tobytes() for at, n, skip in ends]
+        out.append((told, here[hit]))
+    return out
 
 
 def extensions(held: DataFrame) -> DataFrame:
-    """(doc, at, side, total, gone, first): how many words before (side 0) or after a paragraph's edge are in another document
-    too, how many of them in a smaller one, and the smallest."""
-    # a neighbour that is only like another may begin or end elsewhere than that one
-    by, equal = Window.partitionBy("doc").orderBy("number"), F.when(F.col("equal"), 1)
-    known = held.withColumn("before", F.count(equal).over(by.rangeBetween(-1, -1))).withColumn("after", F.count(equal).over(by.rangeBetween(1, 1)))
-    sides = F.array(F.struct(F.lit(0).alias("side"), (F.col("before") == 0).alias("edge"), F.col("start").alias("at"), F.col("left").alias("hashes")),
-                    F.struct(F.lit(1).alias("side"), (F.col("after") == 0).alias("edge"), (F.col("start") + F.col("n_words")).alias("at"), F.col("right").alias("hashes")))
-    sides = known.select("doc", "component", F.inline(sides))
-    open_ = sides.filter("edge").select("component", "side").distinct()
-    ends = sides.join(open_, ["component", "side"], "left_semi").select("doc", "component", "side", "edge", "at", F.posexplode("hashes").alias("k", "h"))
-    ends = stored(ends.select("doc", "side", "edge", "at", (F.col("k") + 1).alias("k"), F.xxhash64("component", "side", "h").alias("key")), "op5-ends")
-    shared = ends.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high")
-    smaller = F.col("low") < F.col("doc")
-    return ends.filter("edge").join(shared, "key").groupBy("doc", "at", "side").agg(F.max("k").alias("total"), F.coalesce(F.max(F.when(smaller, F.col("k"))), F.lit(0)).alias("gone"), F.min("low").alias("first"))
+    """(doc, at, side, k, first): how many words before (side 0) or after a paragraph's edge are equal to those in the first or
+    the last document with such an edge, and the smaller document of both; for the first one's, the most that any other shares with it."""
+    edges = F.array(*(F.struct(F.lit(k).alias("side"), at.alias("at"), F.col(f"{name}.words").alias("words"), F.col(f"{name}.again").alias("again")) for k, name, at in ((0, "left", F.col("start")), (1, "right", F.col("start") + F.col("n_words")))))
+    edges = stored(held.select("doc", "component", F.inline(edges)).filter("words is not null"), "op5-edges")
+    edge, again = F.struct("doc", "at", "words"), F.col("again").cast("int")
+    ends = edges.groupBy("component", "side").agg(F.min_by(edge, F.struct(1 - again, "doc", "at")).alias("low"), F.max_by(edge, F.struct(again, "doc", "at")).alias("high"), F.min("doc").alias("one"), F.max("doc").alias("two"))
+    ends = ends.filter("one < two").drop("one", "two")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = b.column(0).to_pylist()
+            k = [[0 if y is None else _common(x, y) for x, y in zip(words, b.column(i).to_pylist(), strict=True)] for i in (1, 2)]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3, b.num_columns)), *(pa.array(x, pa.int64()) for x in k)], names=[*b.schema.names[3:], "k_low", "k_high"])
+
+    both = edges.filter("not again").join(ends, ["component", "side"])
+    other = lambda end: F.when(F.col("doc") != F.col(f"{end}.doc"), F.col(f"{end}.words")).alias(end)
+    both = both.select("words", other("low"), other("high"), "component", "doc", "side", "at", F.col("low.doc").alias("first"), F.col("low.at").alias("place"), F.col("high.doc").alias("last"))
+    told = both.mapInArrow(run, "component bigint, doc bigint, side int, at bigint, first bigint, place bigint, last bigint, k_low bigint, k_high bigint")
+    told = stored(told.filter("k_low > 0 or k_high > 0"), "op5-extended")
+    own = told.filter("k_low > 0").groupBy("component", "side", "first", "place").agg(F.max("k_low").alias("k")).select(F.col("first").alias("doc"), F.col("place").alias("at"), "side", "k", "first")
+    nearest = F.when(F.col("k_low") >= F.col("k_high"), F.col("first")).otherwise(F.col("last"))
+    return told.select("doc", "at", "side", F.greatest("k_low", "k_high").alias("k"), F.least("doc", nearest).alias("first")).unionByName(own)
+
+
+def _common(x: bytes, y: bytes) -> int:
+    n = min(len(x), len(y)) // 4
+    same = np.frombuffer(x, np.uint32, n) == np.frombuffer(y, np.uint32, n)
+    return n if same.all() else int(same.argmin())
 
 
 def parts(doc: int, spans: list[dict], least_words: int) -> list[tuple[int, int, int, bool]]:
@@ -284,12 +299,12 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     alone = exact.join(label.select("id"), "id", "left_anti").select("id", F.col("low").alias("first"), F.col("id").alias("component"), F.lit(True).alias("equal"))
     repeated = stored(alone.unionByName(linked), "op5-repeated")
 
-    held = stored(occurrences(rows, bloom(repeated, "id", hashed=True)).join(repeated, "id"), "op5-held")
+    found = occurrences(rows, bloom(repeated, "id", hashed=True), bloom(repeated.filter("equal"), "id", hashed=True))
+    held = stored(found.join(repeated.drop("equal"), "id"), "op5-held")
     span = lambda start, stop, first, whole: F.struct(start.cast("bigint").alias("start"), stop.cast("bigint").alias("stop"), first.alias("first"), F.lit(whole).alias("whole"))
-    at, way, total, gone = F.col("at"), F.when(F.col("side") == 0, -1).otherwise(1), F.col("total"), F.col("gone")
-    beside = [(at, at + way * gone, F.col("first")), (at + way * gone, at + way * total, F.col("doc"))]
-    more = extensions(held).select("doc", F.explode(F.array(*(span(F.least(a, b), F.greatest(a, b), c, False) for a, b, c in beside))).alias("span"))
-    spans = held.select("doc", span(F.col("start"), F.col("start") + F.col("n_words"), F.col("first"), True).alias("span")).unionByName(more.filter("span.start < span.stop"))
+    beyond = F.col("at") + F.when(F.col("side") == 0, -F.col("k")).otherwise(F.col("k"))
+    more = extensions(held).select("doc", span(F.least("at", beyond), F.greatest("at", beyond), F.col("first"), False).alias("span"))
+    spans = held.select("doc", span(F.col("start"), F.col("start") + F.col("n_words"), F.col("first"), True).alias("span")).unionByName(more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):

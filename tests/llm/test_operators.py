@@ -241,12 +241,12 @@ def test_gradients():
     rng = np.random.default_rng(1)
     w = {k: v.astype(np.float64) * 5 for k, v in attention_lm.start_weights().items()}
     inputs = rng.integers(0, 60, (3, attention_lm.WINDOW))
-    targets, told = rng.integers(0, 20, (3, attention_lm.HALF)), rng.random((3, attention_lm.HALF)) < 0.7
-    base = rng.random((targets.size, attention_lm.CLASSES))
+    targets, told = rng.integers(0, 40, (3, attention_lm.HALF)), rng.random((3, attention_lm.HALF)) < 0.7
+    base = rng.random((targets.size, attention_lm.GROUPS)), rng.random((targets.size, attention_lm.MEMBERS))
     loss = lambda: attention_lm.loss_and_gradient(w, inputs, base, targets, told)
     _, g = loss()
     for name in w:
-        at = (int(inputs[0, 0]), 3) if name == "e" else tuple(rng.integers(0, s) for s in w[name].shape)
+        at = (int(inputs[0, 0]), 3) if name == "e" else (int(targets[0, 0]) // attention_lm.MEMBERS, 3, 2) if name == "member" else tuple(rng.integers(0, s) for s in w[name].shape)
         w[name][at] += 1e-5
         up = loss()[0]
         w[name][at] -= 2e-5
@@ -265,7 +265,7 @@ def toy_classes(rng):
 
 def test_probabilities_of_the_next_id_add_up_to_one():
     classes = toy_classes(np.random.default_rng(2))
-    per_unit = np.exp(classes.pairs[:, classes.klass] + classes.units)
+    per_unit = np.exp(classes.group[:, classes.klass // attention_lm.MEMBERS] + classes.member[:, classes.klass // attention_lm.MEMBERS, classes.klass % attention_lm.MEMBERS] + classes.units)
     assert np.allclose(per_unit.sum(axis=1), 1, atol=1e-4)
     assert np.allclose(np.bincount(classes.unit, np.exp(classes.share), len(classes.klass)), 1, atol=1e-4)
 
@@ -287,8 +287,10 @@ def test_windowed_scores_equal_plain_attention():
             a = np.exp((x[-1] @ w["q"]) @ (x @ w["k"]).T / np.sqrt(attention_lm.WIDTH))
             h = w["e"][before[-1]] + (a / a.sum()) @ (x @ w["v"])
             last, own = classes.klass[before[-1]], classes.unit[ids[k + i]]
-            logits = h @ w["u"] + classes.pairs[last]
-            want = logits[classes.klass[own]] - np.log(np.exp(logits).sum()) + classes.units[last, own] + classes.share[ids[k + i]]
+            g, m = divmod(int(classes.klass[own]), attention_lm.MEMBERS)
+            want = classes.units[last, own] + classes.share[ids[k + i]]
+            for logits, target in ((h @ w["group"] + classes.group[last], g), (h @ w["member"][g] + classes.member[last, g], m)):
+                want += logits[target] - np.log(np.exp(logits).sum())
             assert abs(got[k + i] - want) < 1e-3
         k += n
 
@@ -298,7 +300,7 @@ def test_attention_helps_on_texts_that_it_did_not_learn_from(spark, sf):
     docs = table(spark, sf, "documents")
     taught = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2
     model = attention_lm.fit(docs, taught)
-    blind = attention_lm.Model(**{**vars(model), "weights": {**model.weights, "u": model.weights["u"] * 0}})
+    blind = attention_lm.Model(**{**vars(model), "weights": {k: v * (k not in ("group", "member")) for k, v in model.weights.items()}})
     mean = lambda m: attention_lm.score_texts(docs.filter(~taught), m).selectExpr("sum(score) / sum(n_tokens) as s").first().s
     assert 0 < model.mixture < 1 and mean(model) > mean(blind) + 0.02
 
