@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from laborlens.operators.filters import active
+from laborlens.operators.running import median
 
-#: Lower bounds of the salary histogram's ranges; the last one is open.
-SALARY_BOUNDS = (0, 20_000, 40_000, 60_000, 80_000, 100_000, 120_000, 150_000)
+#: Lower bounds of the salary histogram's ranges; the last one is open.
+SALARY_BOUNDS = (0, 30_000, 50_000, 70_000, 90_000, 120_000, 150_000, 200_000)
 REQUEST_SAMPLES = 1000
 
 
@@ -54,7 +55,7 @@ def salary_stats(jobs: DataFrame) -> DataFrame:
     paid = active(jobs).filter("salary_min is not null and salary_max is not null")
     groups = paid.groupBy("salary_currency").agg(F.count("*").alias("n"), mean("salary_min").alias("avg_salary"), F.min("salary_min").alias("lo"), F.max("salary_max").alias("hi"))
     first = groups.orderBy(F.desc("n"), F.asc_nulls_first("salary_currency")).limit(1)
-    whole = paid.agg(F.percentile(F.col("salary_min").cast("double"), 0.5).alias("median"))
+    whole = median(paid, F.col("salary_min"))
     both = whole.join(first, F.lit(True), "left")
     return both.select(
         F.coalesce("salary_currency", F.lit("USD")).alias("currency"), F.expr("nullif(avg_salary, 0D)").alias("avg_salary"), F.col("lo").cast("double").alias("min_salary"),
@@ -90,7 +91,8 @@ def recent_jobs(jobs: DataFrame, as_of: str, days: int = 30, limit: int = 20, so
 def salary_distribution(jobs: DataFrame) -> DataFrame:
     """Postings in each range of the least salary, in one pass; empty ranges are kept, negative salaries fall nowhere."""
     lows, highs = SALARY_BOUNDS, (*SALARY_BOUNDS[1:], None)
-    names = [f"{lo}-{hi}" if hi else f"{lo}+" for lo, hi in zip(lows, highs, strict=True)]
+    short = lambda x: f"{x // 1000}K" if x else "0"
+    names = [f"{short(lo)}-{short(hi)}" if hi else f"{short(lo)}+" for lo, hi in zip(lows, highs, strict=True)]
     counts = active(jobs).agg(*(F.count_if((F.col("salary_min") >= lo) & (F.lit(True) if hi is None else F.col("salary_min") < hi)).alias(f"n{k}") for k, (lo, hi) in enumerate(zip(lows, highs, strict=True))))
     stacked = counts.selectExpr(f"stack({len(names)}, " + ", ".join(f"{k}, '{n}', n{k}" for k, n in enumerate(names)) + ") as (position, salary_range, count)")
     return stacked.withColumn("percentage", share(F.col("count"), F.sum("count").over(Window.partitionBy(F.lit(1)))))
@@ -166,10 +168,11 @@ def language_by_country(jobs: DataFrame) -> DataFrame:
 def pay_summary(jobs: DataFrame) -> DataFrame:
     """Averages, extremes and exact median of active postings with both salaries, whatever the currency."""
     paid = active(jobs).filter("salary_min is not null and salary_max is not null")
-    return paid.agg(
+    out = paid.agg(
         mean("salary_min").alias("avg_min"), mean("salary_max").alias("avg_max"), F.min("salary_min").cast("double").alias("min_salary"), F.max("salary_max").cast("double").alias("max_salary"),
-        F.percentile(F.col("salary_min").cast("double"), 0.5).alias("median_salary"), F.count("*").alias("job_count"),
+        F.count("*").alias("job_count"),
     )
+    return out.join(median(paid, F.col("salary_min")).withColumnRenamed("median", "median_salary"), F.lit(True))
 
 
 def job_stats(jobs: DataFrame, skills: DataFrame) -> DataFrame:

@@ -9,9 +9,9 @@ TOLERANCE = 0.05
 
 
 def composition(jobs: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
-    """Counts per country and, with country null, over all."""
-    out = jobs.rollup(F.col("country_code").alias("country")).agg(
-        F.count("*").alias("total"), F.count_if("is_tech_role").alias("tech"), F.count_if(~F.col("is_tech_role")).alias("non_tech"), F.count_if(F.col("is_tech_role").isNull()).alias("unclassified")
+    """Counts per country and, where is_total, over all; postings without a country are a country of their own, null."""
+    out = jobs.withColumnRenamed("country_code", "country").rollup("country").agg(
+        (F.grouping("country") == 1).alias("is_total"), F.count("*").alias("total"), F.count_if("is_tech_role").alias("tech"), F.count_if(~F.col("is_tech_role")).alias("non_tech"), F.count_if(F.col("is_tech_role").isNull()).alias("unclassified")
     )
     known = F.col("tech") + F.col("non_tech")
     ratio = F.when(known == 0, 0.0).otherwise(F.col("tech") / known)
@@ -23,12 +23,13 @@ def targets(comp: DataFrame, cap: int = 100) -> DataFrame:
     balanced = (F.col("tech") + F.col("non_tech") == 0) | F.col("parity")
     mode = F.when(balanced, "BALANCED").otherwise("CATCH_UP")
     tech = F.when(balanced, F.lit(cap // 2)).otherwise(F.least(F.col("deficit"), F.lit(cap)))
-    return comp.select("country", mode.alias("mode"), tech.cast("long").alias("tech_target"), (F.lit(cap) - tech).cast("long").alias("broad_target"))
+    return comp.select("country", "is_total", mode.alias("mode"), tech.cast("long").alias("tech_target"), (F.lit(cap) - tech).cast("long").alias("broad_target"))
 
 
 def next_intent(comp: DataFrame, acquired: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """What to look for next, from the composition with what was acquired(country, got_tech, got_broad)."""
-    both = comp.filter("country is not null").join(acquired, "country", "left").fillna(0, ["got_tech", "got_broad"])
+    held = acquired.withColumnRenamed("country", "_country")
+    both = comp.filter("not is_total").join(held, F.col("country").eqNullSafe(F.col("_country")), "left").fillna(0, ["got_tech", "got_broad"])
     tech, known = F.col("tech") + F.col("got_tech"), F.col("tech") + F.col("non_tech") + F.col("got_tech") + F.col("got_broad")
     ratio = F.when(known == 0, 0.0).otherwise(tech / known)
     intent = F.when(ratio < 0.5 - tolerance, "tech").when(ratio > 0.5 + tolerance, "broad").when(F.col("got_tech") <= F.col("got_broad"), "tech").otherwise("broad")
@@ -43,10 +44,11 @@ def dedupe(pool: DataFrame) -> DataFrame:
 
 
 def select_balanced(pool: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Candidates up to the targets of their country and class, smallest ids first."""
-    ranked = pool.withColumn("place", F.row_number().over(Window.partitionBy("country_code", "is_tech_role").orderBy("id")))
+    """Candidates up to the targets of their country and class, smallest ids first. The largest target bounds what each task keeps."""
+    most = wanted.agg(F.max(F.greatest("tech_target", "broad_target"))).first()[0] or 0
+    ranked = pool.withColumn("place", F.row_number().over(Window.partitionBy("country_code", "is_tech_role").orderBy("id"))).filter(F.col("place") <= most)
     quota = F.when(F.col("is_tech_role"), F.col("tech_target")).otherwise(F.col("broad_target"))
-    return ranked.join(F.broadcast(wanted.filter("country is not null")), F.col("country_code") == F.col("country")).filter(F.col("place") <= quota).select(*pool.columns)
+    return ranked.join(wanted.filter("not is_total"), F.col("country_code").eqNullSafe(F.col("country"))).filter(F.col("place") <= quota).select(*pool.columns)
 
 
 def query_metrics(acquired: DataFrame) -> DataFrame:
@@ -56,5 +58,5 @@ def query_metrics(acquired: DataFrame) -> DataFrame:
 
 def totals(comp: DataFrame) -> DataFrame:
     """Over all countries: sums, ratio and whether every country is at parity."""
-    rows = comp.filter("country is not null").agg(F.count("*").alias("countries"), F.sum("tech").alias("tech"), F.sum("non_tech").alias("non_tech"), F.bool_and("parity").alias("all_at_parity"))
+    rows = comp.filter("not is_total").agg(F.count("*").alias("countries"), F.sum("tech").alias("tech"), F.sum("non_tech").alias("non_tech"), F.bool_and("parity").alias("all_at_parity"))
     return rows.withColumn("tech_ratio", F.when(F.col("tech") + F.col("non_tech") == 0, 0.0).otherwise(F.col("tech") / (F.col("tech") + F.col("non_tech"))))

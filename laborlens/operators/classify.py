@@ -1,7 +1,6 @@
 """Explainable category scores of text postings (id, title, description).
 
-Long tables (id, category, keyword, ...) keep cost in proportion to tokens that the dictionary knows: single words are found by
-exploding tokens and joining the broadcast dictionary, phrases by literal patterns.
+Long tables (id, category, keyword, ...) keep cost in proportion to mentions of terms that the dictionary knows.
 """
 
 from __future__ import annotations
@@ -10,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from laborlens.operators import dims
+from laborlens.operators.terms import mentions
 
 FIELD_WEIGHTS = {"title": 0.5, "description": 0.25, "skills": 0.2}
 #: A keyword's further mentions count less, and the fourth no more.
@@ -19,27 +19,36 @@ MINIMUM, MARGIN = 8.0, 3.0
 DEFAULT_PENALTY = 5.0
 
 
-def normalize(column: str) -> Column:
+def normalize(column: str | Column) -> Column:
     """Lower case; punctuation but + # . - / becomes a space; spaces are squeezed."""
     return F.trim(F.regexp_replace(F.translate(F.lower(F.coalesce(column, F.lit(""))), "!@$%^&*()=[]{}|;:'\",<>?", " " * 23), r"\s+", " "))
 
 
 def normalized(posts: DataFrame) -> DataFrame:
-    return posts.select("id", normalize("title").alias("title"), normalize("description").alias("description"))
+    """id and normalised fields; skills, where posts has them, is a list."""
+    skills = [normalize(F.array_join("skills", " ")).alias("skills")] if "skills" in posts.columns else []
+    return posts.select("id", normalize("title").alias("title"), normalize("description").alias("description"), *skills)
+
+
+#: A keyword with one of these may touch other words.
+SPECIAL = r"[+*?^$.\[\]{}()|/\\]"
+
+
+def keyword_dim(keywords: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(category, keyword, weight) with aliases(alias, canonical) put in place; weights that meet are added."""
+    low = lambda c: F.trim(F.lower(c))
+    named = keywords.withColumn("alias", low("keyword")).join(aliases.select(low("alias").alias("alias"), low("canonical").alias("canonical")), "alias", "left")
+    return named.groupBy("category", F.coalesce("canonical", "alias").alias("keyword")).agg(F.sum("weight").alias("weight"))
 
 
 def keyword_hits(texts: DataFrame, keywords: DataFrame) -> DataFrame:
-    """(id, source, keyword, n): mentions of each keyword in title and description of normalised texts."""
-    sources = texts.select("id", F.explode(F.array(*(F.struct(F.lit(s).alias("source"), F.col(s).alias("text")) for s in ("title", "description")))).alias("s")).select("id", "s.*")
-    words = keywords.filter(~F.col("keyword").contains(" ")).select("keyword").distinct()
-    tokens = sources.select("id", "source", F.explode(F.split("text", r"(?U)\W+")).alias("keyword")).filter("keyword <> ''")
-    single = tokens.join(F.broadcast(words), "keyword").groupBy("id", "source", "keyword").agg(F.count("*").alias("n"))
-    # a dictionary's phrases are few: one counting expression each, in one pass
-    phrases = [r.keyword for r in keywords.filter(F.col("keyword").contains(" ")).select("keyword").distinct().orderBy("keyword").collect()]
-    if not phrases:
-        return single
-    found = F.array(*(F.struct(F.lit(p).alias("keyword"), F.regexp_count("text", F.lit(rf"(?U)\b{p}\b")).cast("long").alias("n")) for p in phrases))
-    return single.unionByName(sources.select("id", "source", F.explode(found).alias("f")).select("id", "source", "f.keyword", "f.n").filter("n > 0"))
+    """(id, source, keyword, n): mentions of each keyword in title, description and, where texts has them, skills of normalised texts."""
+    fields = [s for s in FIELD_WEIGHTS if s in texts.columns]
+    sources = texts.select("id", F.explode(F.array(*(F.struct(F.lit(s).alias("source"), F.col(s).alias("text")) for s in fields))).alias("s")).select("id", "s.*")
+    terms = keywords.select(F.lower("keyword").alias("term"))
+    special = F.col("term").rlike(SPECIAL)
+    found = mentions(sources, terms.filter(~special)).unionByName(mentions(sources, terms.filter(special), loose=True))
+    return found.groupBy("id", "source", F.col("term").alias("keyword")).agg(F.count("*").alias("n"))
 
 
 def field_weights(texts: DataFrame) -> DataFrame:
@@ -51,7 +60,7 @@ def field_weights(texts: DataFrame) -> DataFrame:
 
 def evidence(hits: DataFrame, factors: DataFrame, keywords: DataFrame) -> DataFrame:
     """(id, category, keyword, contribution): applied weights in descending order, each further mention less, each at most the cap."""
-    applied = hits.join(factors, ["id", "source"]).join(F.broadcast(keywords), "keyword").select("id", "category", "keyword", F.array_repeat(F.col("weight") * F.col("factor"), F.least("n", F.lit(3)).cast("int")).alias("w"))
+    applied = hits.join(factors, ["id", "source"]).join(keywords, "keyword").select("id", "category", "keyword", F.array_repeat(F.col("weight") * F.col("factor"), F.least("n", F.lit(3)).cast("int")).alias("w"))
     lists = applied.groupBy("id", "category", "keyword").agg(F.slice(F.sort_array(F.flatten(F.collect_list("w")), asc=False), 1, 3).alias("w"))
     parts = F.zip_with("w", F.slice(F.array(*map(F.lit, DIMINISHING)), 1, F.size("w")), lambda w, f: F.least(w * f, F.lit(EVIDENCE_CAP)))
     return lists.select("id", "category", "keyword", F.aggregate(parts, F.lit(0.0), lambda a, x: a + x).alias("contribution"))
@@ -61,9 +70,9 @@ def category_scores(found: DataFrame) -> DataFrame:
     return found.groupBy("id", "category").agg(F.round(F.sum("contribution"), 9).alias("score")).filter("score > 0")
 
 
-def title_patterns(texts: DataFrame) -> DataFrame:
+def title_patterns(texts: DataFrame, patterns: list[tuple] = dims.PATTERNS) -> DataFrame:
     """(id, rank, weight, strength, categories) of each pattern that the title matches."""
-    tests = [F.when(F.col("title").rlike(p), F.struct(F.lit(r).alias("rank"), F.lit(w).alias("weight"), F.lit(s).alias("strength"), F.array(*map(F.lit, c)).cast("array<string>").alias("categories"))) for r, p, c, w, s in dims.PATTERNS]
+    tests = [F.when(F.col("title").rlike(p), F.struct(F.lit(r).alias("rank"), F.lit(w).alias("weight"), F.lit(s).alias("strength"), F.array(*map(F.lit, c)).cast("array<string>").alias("categories"))) for r, p, c, w, s in patterns]
     return texts.select("id", F.explode(F.array_compact(F.array(*tests))).alias("p")).select("id", "p.*")
 
 
@@ -88,9 +97,10 @@ def boosted(scores: DataFrame, boost: DataFrame) -> DataFrame:
 def less_negatives(scores: DataFrame, texts: DataFrame, negatives: DataFrame, keywords: DataFrame) -> DataFrame:
     """Scores less the penalties of negative words that the text holds: the category's own weight of the word, else its penalty; not
     below 0."""
-    words = texts.select("id", F.explode(F.array_distinct(F.split(F.concat_ws(" ", "title", "description"), r"(?U)\W+"))).alias("keyword"))
+    whole = texts.select("id", F.concat_ws(" ", "title", "description").alias("text"))
+    words = mentions(whole, negatives.select(F.lower("keyword").alias("term"))).select("id", F.col("term").alias("keyword")).distinct()
     own = keywords.select("category", "keyword", "weight")
-    held = words.join(F.broadcast(negatives), "keyword").join(F.broadcast(own), ["category", "keyword"], "left")
+    held = words.join(negatives, "keyword").join(own, ["category", "keyword"], "left")
     minus = held.groupBy("id", "category").agg(F.sum(F.coalesce("weight", "penalty")).alias("penalty"))
     return scores.join(minus, ["id", "category"], "left").select("id", "category", F.greatest(F.col("score") - F.coalesce("penalty", F.lit(0.0)), F.lit(0.0)).alias("score"))
 
@@ -100,9 +110,9 @@ def ranked(scores: DataFrame, categories: DataFrame, rank: str = "priority_rank"
     return scores.join(F.broadcast(categories), "category", "left").withColumn("place", F.row_number().over(order))
 
 
-def theoretical_maximum(keywords: DataFrame) -> float:
+def theoretical_maximum(keywords: DataFrame, patterns: list[tuple] = dims.PATTERNS) -> float:
     """The most that a category's keywords can give; not below 100."""
-    boost = max((p[3] * max(1, len(p[2])) for p in dims.PATTERNS), default=0.0)
+    boost = max((p[3] * max(1, len(p[2])) for p in patterns), default=0.0)
     best = keywords.groupBy("category").agg(F.sum(F.least(F.col("weight") * 0.4, F.lit(EVIDENCE_CAP))).alias("m")).agg(F.max("m")).first()[0] or 0.0
     return max(100.0, best + boost)
 
@@ -133,13 +143,23 @@ def final(posts: DataFrame, decided: DataFrame, strength: DataFrame, hits: DataF
     return rows.select("id", tech.alias("is_tech"), category.alias("category"), F.coalesce("outcome", F.lit("NO_CATEGORIES")).alias("outcome"), "ambiguity")
 
 
-def classify(posts: DataFrame, keywords: DataFrame, negatives: DataFrame, categories: DataFrame) -> DataFrame:
+def classify(posts: DataFrame, keywords: DataFrame, negatives: DataFrame, categories: DataFrame, aliases: DataFrame | None = None, patterns: list[tuple] = dims.PATTERNS) -> DataFrame:
     """The whole chain."""
+    known = keywords if aliases is None else keyword_dim(keywords, aliases)
     texts = normalized(posts)
-    hits = keyword_hits(texts, keywords)
-    matches = title_patterns(texts)
-    scores = boosted(category_scores(evidence(hits, field_weights(texts), keywords)), title_boost(matches))
-    return final(posts, decisions(less_negatives(scores, texts, negatives, keywords), categories), title_strength(matches), hits)
+    hits = keyword_hits(texts, known)
+    matches = title_patterns(texts, patterns)
+    scores = boosted(category_scores(evidence(hits, field_weights(texts), known)), title_boost(matches))
+    return final(posts, decisions(less_negatives(scores, texts, negatives, known), categories), title_strength(matches), hits)
+
+
+def first_category(posts: DataFrame, keywords: DataFrame) -> DataFrame:
+    """(id, category) by the older rule: the first category, by rank, of which a keyword stands in title or skills; 'other' where none does. posts(id,
+    title, skills list), keywords(category, keyword, rank)."""
+    texts = posts.select("id", F.concat_ws(" ", F.col("title"), F.array_join("skills", " ")).alias("text"))
+    terms = keywords.select("category", "rank", F.trim(F.lower("keyword")).alias("term"))
+    best = mentions(texts, terms.select("term")).join(terms, "term").groupBy("id").agg(F.min_by("category", F.struct("rank", "category")).alias("category"))
+    return posts.select("id").join(best, "id", "left").select("id", F.coalesce("category", F.lit("other")).alias("category"))
 
 
 def batch_summary(done: DataFrame) -> DataFrame:

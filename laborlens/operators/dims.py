@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Pseudo-categories of function words that do occur in the test documents: category, keyword, weight, parent category.
 KEYWORDS = [
-    ("english", "the", 5.0), ("english", "and", 4.0), ("english", "that", 3.0), ("english", "of the", 6.0), ("english", "is", 2.0),
+    ("english", "the", 5.0), ("english", "and", 4.0), ("english", "that", 3.0), ("english", "of the", 6.0), ("english", "is", 2.0), ("english", "version 2.0", 3.0),
     ("german", "der", 5.0), ("german", "und", 4.0), ("german", "die", 3.0), ("german", "ist", 3.0),
     ("french", "les", 5.0), ("french", "une", 4.0), ("french", "est", 3.0), ("french", "de la", 6.0),
     ("spanish", "los", 5.0), ("spanish", "que", 4.0), ("spanish", "una", 4.0), ("spanish", "el", 2.0),
@@ -35,7 +35,7 @@ ALIASES = [("das", "der"), ("el", "los"), ("an", "a")]
 POLICIES = [("default", 8.0, 3.0, 0.15), ("conservative", 12.0, 4.0, 0.25), ("permissive", 5.0, 2.0, 0.08)]
 #: policy, category, tech_minimum, minimum_margin.
 OVERRIDES = [("default", "roman", 6.0, None), ("conservative", "english", None, 5.0)]
-#: Country spellings of the test tables; currencies and their value in dollars.
+#: Country spellings; currencies and their value in dollars.
 COUNTRIES = {"china": "CN", "india": "IN", "japan": "JP", "france": "FR", "germany": "DE", "russia": "RU", "united states": "US", "united kingdom": "GB", "brazil": "BR", "canada": "CA", "us": "US", "uk": "GB"}
 COUNTRY_CURRENCY = {"US": "USD", "GB": "GBP", "CA": "CAD", "DE": "EUR", "FR": "EUR", "IN": "INR", "JP": "JPY", "CN": "CNY", "BR": "BRL"}
 USD = {"USD": 1.0, "EUR": 1.08, "GBP": 1.27, "CAD": 0.73, "INR": 0.012, "JPY": 0.0067, "CNY": 0.14, "BRL": 0.2}
@@ -60,3 +60,7 @@ def policies(spark: SparkSession) -> DataFrame:
 
 def overrides(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(OVERRIDES, "policy string, category string, tech_minimum double, minimum_margin double")
+
+
+def aliases(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(ALIASES, "alias string, canonical string")

@@ -1,16 +1,25 @@
-"""Enrichment of postings: language, skills, country, currency, technologies. Dictionaries are broadcast literals or tables."""
+"""Enrichment of postings: language, skills, country, currency, technologies. Dictionaries are literals or tables."""
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from laborlens.operators import dims
+from laborlens.operators.classify import classify
+from laborlens.operators.terms import mentions
 
 #: Gender suffixes of German titles.
 SUFFIX = r"(?i)\s*[\(\[]\s*[mwdfx](\s*[/|]\s*[mwdfx])+\s*[\)\]]"
-#: Letters of a gram; grams() joins as many.
+#: Letters of a gram.
 GRAM = 3
+#: Grams that a task counts before it passes them on.
+COUNTED = 200_000
 
 
 def lookup(values: dict, key: Column) -> Column:
@@ -22,37 +31,64 @@ def clean_for_language(title: Column, description: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(both, SUFFIX, " "), r"\s+", " "))
 
 
-def grams(rows: DataFrame, text: str = "clean") -> DataFrame:
-    """rows exploded to the distinct letter trigrams of the text, one row each; a shorter text is its own."""
-    lettered = rows.withColumn("letters", F.split(F.lower(F.col(text)), ""))
-    runs = F.filter(F.transform("letters", lambda c, i: F.concat(c, F.get("letters", i + 1), F.get("letters", i + 2))), lambda g: g.isNotNull())
-    return lettered.withColumn("gram", F.explode(F.array_distinct(F.when(F.size("letters") < GRAM, F.array(F.lower(F.col(text)))).otherwise(runs)))).drop("letters")
+def _grams(text: str) -> set[str]:
+    """Distinct letter trigrams of a text; a shorter text is its own."""
+    text = text.lower()
+    return {text[i : i + GRAM] for i in range(len(text) - GRAM + 1)} or {text}
 
 
 def language_profile(posts: DataFrame) -> DataFrame:
     """(label, gram, n, share): in how many of a label's texts each trigram occurs."""
     rows = posts.filter("language is not null").select(F.col("language").alias("label"), clean_for_language(F.col("title"), F.col("description")).alias("clean"))
-    totals = rows.groupBy("label").agg(F.count("*").alias("total"))
-    found = grams(rows).groupBy("label", "gram").agg(F.count("*").alias("n"))
-    return found.join(F.broadcast(totals), "label").select("label", "gram", "n", (F.col("n") / F.col("total")).alias("share"))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count: dict[str, Counter] = {}
+
+        def told() -> pa.RecordBatch:
+            flat = [(label, gram, n) for label, c in count.items() for gram, n in c.items()]
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in flat], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.int64()))], names=["label", "gram", "n"])
+
+        for b in batches:
+            for label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                # the empty gram counts the label's texts
+                count.setdefault(label, Counter()).update([*_grams(text), ""] if text else [""])
+            if sum(map(len, count.values())) > COUNTED:
+                yield told()
+                count.clear()
+        yield told()
+
+    found = rows.mapInArrow(counted, "label string, gram string, n bigint").groupBy("label", "gram").agg(F.sum("n").alias("n"))
+    totals = found.filter("gram = ''").select("label", F.col("n").alias("total"))
+    return found.filter("gram <> ''").join(totals, "label").select("label", "gram", "n", (F.col("n") / F.col("total")).alias("share"))
 
 
 def detect_language(posts: DataFrame, profile: DataFrame, top: int = 300) -> DataFrame:
-    """(id, detected): the label whose `top` most frequent trigrams weigh most in the text; short texts are 'en'. The profile's head is
-    at most `top` rows a label, whatever the corpus, and is what gets broadcast."""
+    """(id, detected): the label whose `top` most frequent trigrams weigh most in the text; short texts are 'en'. The profile's head, at
+    most `top` rows a label whatever the corpus, goes to the tasks, and each text is scored where it lies."""
     order = Window.partitionBy("label").orderBy(F.desc("n"), "gram")
     head = profile.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= top).select("label", "gram", "share")
-    rows = posts.select("id", clean_for_language(F.col("title"), F.col("description")).alias("clean"))
-    scores = grams(rows).join(F.broadcast(head), "gram").groupBy("id", "label").agg(F.round(F.sum("share"), 6).alias("score"))
-    best = scores.groupBy("id").agg(F.max_by("label", F.struct("score", F.col("label"))).alias("detected"))
-    out = rows.select("id", F.char_length("clean").alias("n")).join(best, "id", "left")
-    return out.select("id", F.when(F.col("n") < 5, "en").otherwise(F.coalesce("detected", F.lit("en"))).alias("detected"))
+    weights: dict[str, dict[str, float]] = {}
+    for r in head.collect():
+        weights.setdefault(r.label, {})[r.gram] = r.share
+
+    @F.pandas_udf("string")
+    def best(texts: pd.Series) -> pd.Series:
+        def of(text: str) -> str:
+            grams = _grams(text)
+            hits = {label: w.keys() & grams for label, w in weights.items()}
+            scores = [(round(sum(weights[label][g] for g in sorted(found)), 6), label) for label, found in hits.items() if found]
+            return max(scores)[1] if scores else "en"
+
+        return texts.map(of)
+
+    rows = posts.select("id", F.coalesce(clean_for_language(F.col("title"), F.col("description")), F.lit("")).alias("clean"))
+    return rows.select("id", F.when(F.char_length("clean") < 5, "en").otherwise(best("clean")).alias("detected"))
 
 
 def extract_skills(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """(id, skill): dictionary words that stand in the text as whole words. texts(id, text), terms(term)."""
-    tokens = texts.select("id", F.explode(F.array_distinct(F.split(F.lower("text"), r"(?U)\W+"))).alias("term"))
-    return tokens.join(F.broadcast(terms), "term").select("id", F.col("term").alias("skill"))
+    """(id, skill): dictionary terms, words or phrases with or without symbols, that stand in the text as whole terms. texts(id, text),
+    terms(term)."""
+    return mentions(texts.select("id", "text"), terms.select(F.lower("term").alias("term"))).select("id", F.col("term").alias("skill")).distinct()
 
 
 def display_names(pairs: DataFrame, names: dict[str, str], most: int = 50) -> DataFrame:
@@ -63,23 +99,28 @@ def display_names(pairs: DataFrame, names: dict[str, str], most: int = 50) -> Da
     return once.groupBy("id").agg(F.sort_array(F.collect_list("name")).alias("skills")).filter(F.size("skills") <= most)
 
 
-def country(column: str) -> Column:
-    """Code of a country's name, of the first comma part that is one, or of a code in brackets or after the last comma."""
+def country(column: str, countries: dict[str, str] = dims.COUNTRIES) -> Column:
+    """Code of a country's name, of the first comma part that is one, or of a name of two letters in round or square brackets or after the last
+    comma; null where none is known."""
     text = F.lower(F.trim(column))
-    parts = F.transform(F.split(text, ","), lambda x: lookup(dims.COUNTRIES, F.trim(x)))
-    coded = F.upper(F.regexp_extract(text, r"[\(\[]([a-z]{2})[\)\]]", 1))
-    last = F.upper(F.regexp_extract(text, r", ?([a-z]{2})$", 1))
-    return F.coalesce(lookup(dims.COUNTRIES, text), F.try_element_at(F.filter(parts, lambda x: x.isNotNull()), F.lit(1)), F.nullif(coded, F.lit("")), F.nullif(last, F.lit("")))
+    parts = F.transform(F.split(text, ","), lambda x: lookup(countries, F.trim(x)))
+    coded = [lookup(countries, F.regexp_extract(text, p, 1)) for p in (r"\(([a-z]{2})\)", r"\[([a-z]{2})\]", r",\s*([a-z]{2})$")]
+    return F.coalesce(lookup(countries, text), F.try_element_at(F.filter(parts, lambda x: x.isNotNull()), F.lit(1)), *coded)
 
 
-def currency(code: Column, country_code: Column) -> Column:
+def currency(code: Column, country_code: Column, currencies: dict[str, str] = dims.COUNTRY_CURRENCY) -> Column:
     """The given code in upper case, else the country's, else dollars."""
-    return F.coalesce(F.nullif(F.upper(F.trim(code)), F.lit("")), lookup(dims.COUNTRY_CURRENCY, country_code), F.lit("USD"))
+    return F.coalesce(F.nullif(F.upper(F.trim(code)), F.lit("")), lookup(currencies, country_code), F.lit("USD"))
 
 
-def to_usd(amount: Column, code: Column) -> Column:
+def to_usd(amount: Column, code: Column, rates: dict[str, float] = dims.USD) -> Column:
     """Amount in dollars; unknown currencies stay as they are."""
-    return amount * F.coalesce(lookup(dims.USD, code), F.lit(1.0))
+    return amount * F.coalesce(lookup(rates, code), F.lit(1.0))
+
+
+def convert(amount: Column, given: Column, wanted: Column, rates: dict[str, float] = dims.USD) -> Column:
+    """Amount in another currency, by way of dollars; where one of them is unknown it stays as it is."""
+    return amount * F.coalesce(lookup(rates, given) / lookup(rates, wanted), F.lit(1.0))
 
 
 def language_code(column: str) -> Column:
@@ -88,11 +129,23 @@ def language_code(column: str) -> Column:
 
 
 def find_technologies(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """(id, canonical, category, position): first mention of each canonical term. lexicon(term, canonical, category)."""
-    words = texts.select("id", F.posexplode(F.split(F.lower("text"), r"(?U)\W+")).alias("position", "term"))
-    found = words.join(F.broadcast(lexicon), "term")
+    """(id, canonical, category, position): first mention of each canonical term, whatever its spellings. lexicon(term, canonical,
+    category); position: words and other characters before it."""
+    found = mentions(texts.select("id", "text"), lexicon.select(F.lower("term").alias("term"))).join(lexicon.withColumn("term", F.lower("term")), "term")
     return found.groupBy("id", "canonical").agg(F.min("position").alias("position"), F.coalesce(F.min("category"), F.lit("unknown")).alias("category"))
 
 
 def lexicon_stats(found: DataFrame) -> DataFrame:
     return found.groupBy("category").agg(F.count("*").alias("mentions"), F.count_distinct("canonical").alias("terms"), F.count_distinct("id").alias("postings"))
+
+
+def enrich_postings(posts: DataFrame, profile: DataFrame, terms: DataFrame, keywords: DataFrame, negatives: DataFrame, categories: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """posts(id, title, description, location, currency, amount) with detected, skills, is_tech, category, country, currency and usd: all
+    steps of enrichment, each joined by id once. A posting without skills has an empty list."""
+    texts = posts.select("id", F.concat_ws(" ", "title", "description").alias("text"))
+    skills = extract_skills(texts, terms).groupBy("id").agg(F.sort_array(F.collect_list("skill")).alias("skills"))
+    scored = classify(posts, keywords, negatives, categories, aliases).select("id", "is_tech", "category")
+    rows = posts.withColumn("country", country("location")).withColumn("currency", currency(F.col("currency"), F.col("country")))
+    rows = rows.withColumn("usd", to_usd(F.col("amount"), F.col("currency")))
+    out = rows.join(detect_language(posts, profile), "id", "left").join(skills, "id", "left").join(scored, "id", "left")
+    return out.withColumn("skills", F.coalesce("skills", F.array().cast("array<string>")))

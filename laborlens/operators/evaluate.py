@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from laborlens.operators.running import with_running_sums
+
 
 def ratio(part: Column, whole: Column) -> Column:
     return F.when(whole == 0, 0.0).otherwise(part / whole)
@@ -28,25 +30,27 @@ def binary(rows: DataFrame) -> DataFrame:
 
 
 def by_score(rows: DataFrame) -> DataFrame:
-    """(score, pos, neg): what the curves need; the windows over it see one row a distinct score."""
+    """(score, pos, neg): what the curves need."""
     return rows.groupBy("score").agg(F.count_if("is_tech").alias("pos"), F.count_if(~F.col("is_tech")).alias("neg"))
 
 
 def roc_auc(rows: DataFrame) -> DataFrame:
     """Share of (positive, negative) pairs in order, ties half; 0 if there is one class only."""
-    below = F.coalesce(F.sum("neg").over(Window.partitionBy(F.lit(1)).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = by_score(rows).withColumn("won", F.col("pos") * (below + F.col("neg") / 2))
+    parts = with_running_sums(by_score(rows), "score", ["neg"]).withColumn("won", F.col("pos") * (F.col("upto_neg") - F.col("neg") / 2))
     out = parts.agg(F.sum("won").alias("won"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     return out.select(F.coalesce(ratio(F.col("won"), F.col("p") * F.col("n")), F.lit(0.0)).alias("roc_auc"))
 
 
 def pr_auc(rows: DataFrame) -> DataFrame:
     """Trapezoids over the precision-recall curve at distinct scores, from recall 0 at precision 1."""
-    down = Window.partitionBy(F.lit(1)).orderBy(F.desc("score"))
-    upto = down.rowsBetween(Window.unboundedPreceding, 0)
-    curve = by_score(rows).select("score", F.sum("pos").over(upto).alias("tp"), F.sum("neg").over(upto).alias("fp"), F.sum("pos").over(Window.partitionBy(F.lit(1))).alias("p"))
-    curve = curve.select("score", ratio(F.col("tp"), F.col("p")).alias("recall"), ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"))
-    step = (F.col("recall") - F.lag("recall", 1, 0.0).over(down)) * (F.col("precision") + F.lag("precision", 1, 1.0).over(down)) / 2
+    counts = by_score(rows)
+    all_ = counts.agg(F.sum("pos").alias("p"), F.sum("neg").alias("q"))
+    # what scores at least as much, and what scores more
+    tp, fp = F.col("p") - F.col("upto_pos") + F.col("pos"), F.col("q") - F.col("upto_neg") + F.col("neg")
+    over, wrong = F.col("p") - F.col("upto_pos"), F.col("q") - F.col("upto_neg")
+    before = F.when(over + wrong == 0, 1.0).otherwise(ratio(over, over + wrong))
+    curve = with_running_sums(counts, "score", ["pos", "neg"]).join(all_, F.lit(True))
+    step = (ratio(tp, F.col("p")) - ratio(over, F.col("p"))) * (ratio(tp, tp + fp) + before) / 2
     return curve.select(step.alias("area")).agg(F.coalesce(F.sum("area"), F.lit(0.0)).alias("pr_auc"))
 
 

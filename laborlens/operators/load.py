@@ -56,8 +56,8 @@ def new_links(pairs: DataFrame, known: DataFrame) -> DataFrame:
 
 def purge(jobs: DataFrame, as_of: str, days: int = 90) -> DataFrame:
     """Postings seen within the retention."""
-    if not 30 <= days <= 3650:
-        raise ValueError("retention is 30 to 3650 days")
+    if not 30 <= days <= 365:
+        raise ValueError("retention is 30 to 365 days")
     return jobs.filter(F.col("scraped_date") >= F.lit(as_of).cast("timestamp") - F.make_interval(days=F.lit(days)))
 
 
@@ -65,6 +65,14 @@ def purge_links(links: DataFrame, kept: DataFrame) -> DataFrame:
     return links.join(kept.select(F.col("id").alias("job_id")), "job_id", "left_semi")
 
 
+def append_run(log: DataFrame, run: DataFrame) -> DataFrame:
+    """The run log with further runs; ids go on from the largest, in the order of their start. Windows see the new runs only."""
+    last = log.agg(F.coalesce(F.max("run_id"), F.lit(0)).alias("last"))
+    number = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("started_at", "source_site", "status"))
+    new = run.withColumn("number", number).join(last, F.lit(True)).withColumn("run_id", F.col("last") + F.col("number"))
+    return log.unionByName(new.select(*log.columns))
+
+
 def run_durations(runs: DataFrame) -> DataFrame:
     return runs.select("run_id", "status", (F.unix_timestamp("completed_at") - F.unix_timestamp("started_at")).alias("duration_seconds"))
 

@@ -23,15 +23,20 @@ def ambiguity_level(score: Column) -> Column:
 
 
 def allocate(counts: DataFrame, group: str, n: int, minimum: int = 0) -> DataFrame:
-    """Largest-remainder seats for (group, count): floors of the proportional shares, not under the minimum, then one more for the
-    largest remainders; never more than a group has. The windows see one row a group."""
+    """Seats for (group, count) by largest remainder: the minimum first, if there are seats for it in every group; floors of the
+    proportional shares of the rest; one more for the largest remainders, then for the largest groups, where a group has more rows
+    than seats. Equal remainders go to the larger group, equal sizes to the first name. The windows see one row a group."""
     all_ = Window.partitionBy(F.lit(1))
-    exact = F.col("count") * n / F.sum("count").over(all_)
-    seats = counts.withColumn("exact", exact).withColumn("base", F.least(F.greatest(F.floor("exact"), F.lit(minimum)), F.col("count")))
+    kept = F.when(F.count("*").over(all_) * minimum <= n, F.lit(minimum)).otherwise(0)
+    seats = counts.withColumn("kept", kept).withColumn("rest", F.lit(n) - F.sum("kept").over(all_))
+    seats = seats.withColumn("exact", F.col("rest") * F.col("count") / F.sum("count").over(all_)).withColumn("base", F.col("kept") + F.floor("exact"))
     seats = seats.withColumn("left", F.lit(n) - F.sum("base").over(all_)).withColumn("open", (F.col("base") < F.col("count")).cast("int"))
     order = Window.partitionBy(F.lit(1)).orderBy(F.desc("open"), F.desc(F.round(F.col("exact") - F.floor("exact"), 9)), F.desc("count"), F.asc_nulls_first(group))
-    extra = ((F.row_number().over(order) <= F.col("left")) & (F.col("open") == 1)).cast("int")
-    return seats.select(group, "count", (F.col("base") + extra).cast("long").alias("seats"))
+    seats = seats.withColumn("more", ((F.row_number().over(order) <= F.col("left")) & (F.col("open") == 1)).cast("int"))
+    seats = seats.withColumn("last", F.col("left") - F.sum("more").over(all_)).withColumn("open", (F.col("base") + F.col("more") < F.col("count")).cast("int"))
+    order = Window.partitionBy(F.lit(1)).orderBy(F.desc("open"), F.desc("count"), F.asc_nulls_first(group))
+    most = ((F.row_number().over(order) <= F.col("last")) & (F.col("open") == 1)).cast("int")
+    return seats.select(group, "count", (F.col("base") + F.col("more") + most).cast("long").alias("seats"))
 
 
 def random_sample(rows: DataFrame, n: int, seed: int = 42) -> DataFrame:
@@ -39,9 +44,10 @@ def random_sample(rows: DataFrame, n: int, seed: int = 42) -> DataFrame:
 
 
 def stratified(rows: DataFrame, group: str, n: int, minimum: int = 0, seed: int = 42) -> DataFrame:
-    """Each group's seats filled in draw order."""
+    """Each group's seats filled in draw order. The most seats of a group bound what each task keeps of a stratum before the rows are dealt."""
     seats = allocate(rows.groupBy(group).count(), group, n, minimum).select(F.col(group).alias("_group"), "seats")
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(draw_order(seed=seed), "id")))
+    most = seats.agg(F.max("seats")).first()[0] or 0
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(draw_order(seed=seed), "id"))).filter(F.col("rank") <= most)
     return ranked.join(F.broadcast(seats), F.col(group).eqNullSafe(F.col("_group"))).filter("rank <= seats").select(*rows.columns)
 
 

@@ -12,6 +12,10 @@ EMPLOYMENT_TYPES = (
 )
 
 
+#: What acquisition notes on a record, each under its name after a low line.
+ACQUISITION = ("acquisition_tech_intent", "acquisition_query", "acquisition_country", "acquisition_mode", "acquisition_batch")
+
+
 def field(path: str) -> Column:
     return F.get_json_object("raw", f"$.{path}")
 
@@ -22,6 +26,12 @@ def shown_name(name: str) -> Column:
     return F.coalesce(field(f"{name}.display_name"), F.when(~scalar.startswith("{"), scalar))
 
 
+def label(name: str) -> Column:
+    """label of a nested object, or the scalar itself; empty where there is none."""
+    scalar = field(name)
+    return F.coalesce(field(f"{name}.label"), F.when(~scalar.startswith("{"), scalar), F.lit(""))
+
+
 def salary(end: str) -> Column:
     """Nested amount if it is a number, else the top-level one; anything else is null."""
     return F.coalesce(field(f"salary.{end}").try_cast("double"), field(f"salary_{end}").try_cast("double"))
@@ -40,8 +50,18 @@ def employment_type() -> Column:
 
 
 def moment(name: str) -> Column:
-    """ISO-8601 time, null where it can't be read."""
-    return F.try_to_timestamp(F.regexp_replace(field(name), "Z$", "+00:00"), F.lit("yyyy-MM-dd'T'HH:mm:ssXXX"))
+    """ISO-8601 time or date, with or without fractions and offset; null where it can't be read."""
+    return iso(field(name))
+
+
+def iso(text: Column) -> Column:
+    basic = F.regexp_replace(text, r"^(\d{4})(\d{2})(\d{2})($|[T ])", "$1-$2-$3$4")
+    whole = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}([.,]\d{1,9})?)?)?(Z|[+-]\d{2}(:?\d{2})?)?)?$"
+    # what Spark's cast wants: a point, seconds, and offsets with a colon
+    told = F.regexp_replace(F.regexp_replace(basic, ",", "."), r"([T ]\d{2})($|Z|[+-])", "$1:00$2")
+    told = F.regexp_replace(told, r"([T ]\d{2}:\d{2})($|Z|[+-])", "$1:00$2")
+    told = F.regexp_replace(F.regexp_replace(told, r"(:\d{2}(?:\.\d+)?[+-]\d{2})(\d{2})$", "$1:$2"), r"(:\d{2}(?:\.\d+)?[+-]\d{2})$", "$1:00")
+    return F.when(basic.rlike(whole), told.try_cast("timestamp"))
 
 
 def transform(raw: DataFrame, source: str, as_of: str) -> DataFrame:
@@ -50,6 +70,7 @@ def transform(raw: DataFrame, source: str, as_of: str) -> DataFrame:
         field("id").alias("source_id"), F.lit(source).alias("source_site"), field("title").alias("title"), F.coalesce(shown_name("company"), F.lit("Unknown")).alias("company_name"),
         F.coalesce(shown_name("location"), F.lit("")).alias("location"), salary("min").alias("salary_min"), salary("max").alias("salary_max"), currency().alias("salary_currency"),
         employment_type().alias("employment_type"), moment("created").alias("posted_date"), F.col("_source_country").alias("source_country"),
+        F.coalesce(field("description"), F.lit("")).alias("description"), F.coalesce(field("redirect_url"), F.lit("")).alias("source_url"), label("category").alias("category"), *(field(f"_{name}").alias(name) for name in ACQUISITION),
     )
     out = out.withColumn("scraped_date", F.coalesce("posted_date", F.lit(as_of).cast("timestamp")))
     return out.filter("source_id is not null and title is not null")

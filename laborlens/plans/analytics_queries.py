@@ -56,10 +56,12 @@ def _shown(df):
     return df.select("id", "title", "company_name", "location", "source_site", "employment_type", F.date_format("posted_date", "yyyy-MM-dd").alias("posted"))
 
 
+BUCKETS = """(0, '0-30K', 0, 30000), (1, '30K-50K', 30000, 50000), (2, '50K-70K', 50000, 70000), (3, '70K-90K', 70000, 90000), (4, '90K-120K', 90000, 120000),
+(5, '120K-150K', 120000, 150000), (6, '150K-200K', 150000, 200000), (7, '200K+', 200000, NULL)"""
+
+
 def _bucket_sql() -> str:
-    lows, highs = A.SALARY_BOUNDS, (*A.SALARY_BOUNDS[1:], None)
-    rows = ", ".join(f"({k}, '{f'{lo}-{hi}' if hi else f'{lo}+'}', {lo}, {hi or 'NULL'})" for k, (lo, hi) in enumerate(zip(lows, highs, strict=True)))
-    return f"{WITH}, top AS (SELECT position, salary_range, count(id) AS count FROM (VALUES {rows}) b(position, salary_range, lo, hi) LEFT JOIN act ON salary_min >= lo AND (hi IS NULL OR salary_min < hi) GROUP BY 1, 2) SELECT *, {_pct('count', 'sum(count) OVER ()')} AS percentage FROM top"
+    return f"{WITH}, top AS (SELECT position, salary_range, count(id) AS count FROM (VALUES {BUCKETS}) b(position, salary_range, lo, hi) LEFT JOIN act ON salary_min >= lo AND (hi IS NULL OR salary_min < hi) GROUP BY 1, 2) SELECT *, {_pct('count', 'sum(count) OVER ()')} AS percentage FROM top"
 
 
 def _section(name: str, inner: str, key: str, value: str) -> str:
@@ -121,9 +123,9 @@ ENTRIES = {
     "an_tech_by_country": (lambda v: A.tech_by_country(v.jobs), f"{WITH}, t AS (SELECT country_code AS country, count(*) AS total, count(*) FILTER (is_tech_role) AS tech FROM act WHERE country_code IS NOT NULL GROUP BY 1) SELECT *, {_pct('tech', 'total')} AS tech_percentage FROM t"),
     "an_tech_skills": (lambda v: A.top_skills(v.jobs.filter("is_tech_role"), v.links, v.skills), _skills("WHERE is_tech_role")),
     "an_tech_salary": (lambda v: A.pay_summary(v.jobs.filter("is_tech_role")), f"{WITH} {PAY} AND is_tech_role"),
-    "an_enriched_skills": (lambda v: A.top_skills(v.jobs.filter("country_code = 'CHINA' and is_tech_role"), v.links, v.skills, 20), _skills("WHERE country_code = 'CHINA' AND is_tech_role", 20)),
+    "an_enriched_skills": (lambda v: A.top_skills(v.jobs.filter("country_code = 'NATION_13' and is_tech_role"), v.links, v.skills, 20), _skills("WHERE country_code = 'NATION_13' AND is_tech_role", 20)),
     "an_country_dist": (lambda v: A.distribution(L.active(v.jobs).filter("country_code is not null"), "country_code", "country"), _dist("country_code", "country", "WHERE country_code IS NOT NULL")),
-    "an_enriched_salary": (lambda v: A.pay_summary(v.jobs.filter("country_code = 'CHINA'")), f"{WITH} {PAY} AND country_code = 'CHINA'"),
+    "an_enriched_salary": (lambda v: A.pay_summary(v.jobs.filter("country_code = 'NATION_13'")), f"{WITH} {PAY} AND country_code = 'NATION_13'"),
     "an_category_dist_all": (lambda v: A.distribution(L.active(v.jobs).filter("technology_category is not null"), "technology_category", "category"), _dist("technology_category", "category", "WHERE technology_category IS NOT NULL")),
     "an_job_stats": (
         lambda v: A.job_stats(v.jobs, v.skills),
@@ -145,10 +147,10 @@ r AS (SELECT endpoint, duration_ms, row_number() OVER (PARTITION BY endpoint ORD
 t AS (SELECT endpoint, count(*) AS requests, count(*) FILTER (status >= 400) AS errors FROM m GROUP BY 1)
 SELECT endpoint, requests, errors, {_pct('errors', 'requests')} AS error_rate, round(list_sum(d) / len(d), 6) AS avg_ms, d[CAST(floor(len(d) * 0.95) AS BIGINT) + 1] AS p95_ms, d[1] AS min_ms, d[-1] AS max_ms FROM t JOIN d USING (endpoint)""",
     ),
-    "fl_predicates": (lambda v: _shown(L.with_predicates(v.jobs, source="MACHINERY", country="china", language="FR", tech_only=True)), f"{WITH} SELECT {COLUMNS} FROM act WHERE source_site = 'MACHINERY' AND country_code = 'CHINA' AND language = 'fr' AND is_tech_role"),
+    "fl_predicates": (lambda v: _shown(L.with_predicates(v.jobs, source="MACHINERY", country="nation_13", language="ES", tech_only=True)), f"{WITH} SELECT {COLUMNS} FROM act WHERE source_site = 'MACHINERY' AND country_code = 'NATION_13' AND language = 'es' AND is_tech_role"),
     "fl_search": (
-        lambda v: _shown(L.search(v.jobs, company="customer#0", location="an", min_salary=20000, max_salary=60000, is_tech=True, text="steel")),
-        f"{WITH} SELECT {COLUMNS} FROM act WHERE company_name ILIKE '%customer#0%' AND location ILIKE '%an%' AND salary_max >= 20000 AND salary_min <= 60000 AND is_tech_role AND (title ILIKE '%steel%' OR company_name ILIKE '%steel%')",
+        lambda v: _shown(L.search(v.jobs, company="customer#0", location="nation_1", min_salary=20000, max_salary=60000, is_tech=True, text="promo")),
+        f"{WITH} SELECT {COLUMNS} FROM act WHERE company_name ILIKE '%customer#0%' AND location ILIKE '%nation_1%' AND salary_max >= 20000 AND salary_min <= 60000 AND is_tech_role AND (title ILIKE '%promo%' OR company_name ILIKE '%promo%')",
     ),
     "fl_page": (lambda v: _shown(L.page(L.active(v.jobs), 3, 25)), f"{WITH} SELECT {COLUMNS} FROM act ORDER BY posted_date DESC NULLS FIRST, id DESC LIMIT 25 OFFSET 50"),
     "fl_count_pages": (lambda v: L.count_pages(L.active(v.jobs), 25), f"{WITH} SELECT count(*) AS total, CAST(ceil(count(*) / 25.0) AS BIGINT) AS pages FROM act"),

@@ -27,16 +27,17 @@ def _values(rows, names: str) -> str:
 WORD = r"[^\p{L}\p{N}\p{M}_]"
 NORM = r"trim(regexp_replace(translate(lower(coalesce({0}, '')), '!@$%^&*()=[]{{}}|;:''\",<>?', repeat(' ', 23)), '\s+', ' ', 'g'))".replace('\\"', '"')
 DIMS = f"""
-kw AS {_values(D.KEYWORDS, 'category, keyword, weight')}, neg AS {_values(D.NEGATIVES, 'category, keyword, penalty')}, cat AS {_values(D.CATEGORIES, 'category, parent, is_tech, file_rank, priority_rank')},
+al AS {_values(D.ALIASES, 'keyword, canonical')}, kw AS (SELECT category, coalesce(canonical, keyword) AS keyword, sum(weight) AS weight FROM {_values(D.KEYWORDS, 'category, keyword, weight')} k LEFT JOIN al USING (keyword) GROUP BY 1, 2), neg AS {_values(D.NEGATIVES, 'category, keyword, penalty')}, cat AS {_values(D.CATEGORIES, 'category, parent, is_tech, file_rank, priority_rank')},
 pat AS {_values(D.PATTERNS, 'rank, pattern, categories, weight, strength')}, pol AS {_values(D.POLICIES, 'policy, tech_minimum, minimum_margin, min_confidence')}, ovr AS {_values(D.OVERRIDES, 'policy, category, t, m')}"""
-TEXTS = f"""WITH {DIMS}, posts AS (SELECT doc_id AS id, substr(split_part(text, chr(10), 1), 1, 120) AS title, text AS description FROM documents),
+TEXTS = f"""WITH {DIMS}, posts AS (SELECT doc_id AS id, split_part(text, chr(10), 1) AS title, text AS description FROM documents),
 texts AS (SELECT id, {NORM.format('title')} AS title, {NORM.format('description')} AS description FROM posts)"""
 HITS = f"""{TEXTS}, src AS (SELECT id, 'title' AS source, title AS text FROM texts UNION ALL SELECT id, 'description', description FROM texts),
 tok AS (SELECT id, source, unnest(regexp_split_to_array(text, '{WORD}+')) AS keyword FROM src),
 one AS (SELECT id, source, keyword, count(*) AS n FROM tok WHERE keyword IN (SELECT keyword FROM kw WHERE keyword NOT LIKE '% %') GROUP BY 1, 2, 3),
-ph AS (SELECT DISTINCT keyword FROM kw WHERE keyword LIKE '% %'),
+ph AS (SELECT DISTINCT keyword FROM kw WHERE keyword LIKE '% %' AND NOT contains(keyword, '.')), sp AS (SELECT DISTINCT keyword FROM kw WHERE contains(keyword, '.')),
 two AS (SELECT id, source, keyword, len(regexp_extract_all(' ' || regexp_replace(text, '({WORD})', '\\1\\1', 'g') || ' ', '{WORD}' || replace(keyword, ' ', '  ') || '{WORD}')) AS n FROM src, ph),
-hits AS (SELECT * FROM one UNION ALL SELECT * FROM two WHERE n > 0)"""
+tri AS (SELECT id, source, keyword, (length(text) - length(replace(text, keyword, ''))) // length(keyword) AS n FROM src, sp),
+hits AS (SELECT * FROM one UNION ALL SELECT * FROM two WHERE n > 0 UNION ALL SELECT * FROM tri WHERE n > 0)"""
 FACTORS = "fac AS (SELECT id, source, CASE source WHEN 'title' THEN 0.5 ELSE 0.25 END::DOUBLE / (CASE WHEN title <> '' THEN 0.5 ELSE 0 END + CASE WHEN description <> '' THEN 0.25 ELSE 0 END)::DOUBLE AS factor FROM texts, (VALUES ('title'), ('description')) s(source) WHERE CASE source WHEN 'title' THEN title ELSE description END <> '')"
 EVIDENCE = f"""{HITS}, {FACTORS}, app AS (SELECT id, category, keyword, weight * factor AS w, unnest(range(least(n, 3))) AS i FROM hits JOIN fac USING (id, source) JOIN kw USING (keyword)),
 rk AS (SELECT id, category, keyword, w, row_number() OVER (PARTITION BY id, category, keyword ORDER BY w DESC) AS k FROM app),
@@ -64,8 +65,9 @@ class _Chain:
     """The steps up to the one that a query shows."""
 
     def __init__(self, v: Views):
-        s = v.spark
-        self.posts, self.kw, self.neg, self.cat = v.posts, D.keywords(s), D.negatives(s), D.categories(s)
+        s = self.spark = v.spark
+        self.alias = D.aliases(s)
+        self.posts, self.kw, self.neg, self.cat = v.posts, C.keyword_dim(D.keywords(s), self.alias), D.negatives(s), D.categories(s)
         self.texts = C.normalized(v.posts)
 
     hits = property(lambda s: C.keyword_hits(s.texts, s.kw))
@@ -76,7 +78,7 @@ class _Chain:
     boosted = property(lambda s: C.boosted(s.scores, C.title_boost(s.titles)))
     less = property(lambda s: C.less_negatives(s.boosted, s.texts, s.neg, s.kw))
     decided = property(lambda s: C.decisions(s.less, s.cat))
-    final = property(lambda s: C.classify(s.posts, s.kw, s.neg, s.cat))
+    final = property(lambda s: C.classify(s.posts, D.keywords(s.spark), s.neg, s.cat, s.alias))
 
 
 def _r(df, *names: str):
@@ -89,19 +91,13 @@ def _matched(v: Views):
     return _r(c.evidence.join(c.decided.select("id", "category"), ["id", "category"]).select("id", "category", "keyword", "contribution"), "contribution")
 
 
-def _keyword_dim(v: Views):
-    s = v.spark
-    alias = s.createDataFrame(D.ALIASES, "keyword string, canonical string")
-    named = D.keywords(s).join(F.broadcast(alias), "keyword", "left").withColumn("keyword", F.coalesce("canonical", "keyword"))
-    return named.groupBy("category", "keyword").agg(F.sum("weight").alias("weight"))
-
-
-ALIAS = _values(D.ALIASES, "keyword, canonical")
 KW_MAX = "greatest(100.0, (SELECT max(m) FROM (SELECT sum(least(weight * 0.4, 15.0)) AS m FROM kw GROUP BY category)) + (SELECT max(weight * greatest(1, len(categories))) FROM pat))"
 
+#: category, keyword, rank of the older rule.
+FIRST = [("licence", "apache license", 1), ("licence", "version 2.0", 2), ("german", "und", 3), ("spanish", "src3", 4), ("english", "of the", 5), ("english", "and", 6)]
+
 ENTRIES = {
     "cl_normalize": (lambda v: C.normalized(v.posts).select("id", "title", F.md5("description").alias("digest")), f"{TEXTS} SELECT id, title, md5(description) AS digest FROM texts"),
-    "cl_keyword_dim": (_keyword_dim, f"WITH {DIMS}, al AS {ALIAS} SELECT category, coalesce(canonical, keyword) AS keyword, sum(weight) AS weight FROM kw LEFT JOIN al USING (keyword) GROUP BY 1, 2"),
     "cl_keyword_hits": (lambda v: _Chain(v).hits, f"{HITS} SELECT id, source, keyword, n FROM hits"),
     "cl_field_weights": (lambda v: _r(_Chain(v).factors, "factor"), f"{TEXTS}, {FACTORS} SELECT id, source, round(factor, 6) AS factor FROM fac"),
     "cl_evidence": (lambda v: _r(_Chain(v).evidence, "contribution"), f"{EVIDENCE} SELECT id, category, keyword, round(contribution, 6) AS contribution FROM evi"),
@@ -118,20 +114,16 @@ ENTRIES = {
         f"{LESS} SELECT id, CAST(place AS INTEGER) AS place, category, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(score, 9) DESC, priority_rank, category) AS place FROM ls JOIN cat USING (category)) WHERE place <= 5",
     ),
     "cl_confidence": (
-        lambda v: _Chain(v).decided.select("id", F.round(F.least(F.lit(1.0), F.col("score") / F.lit(C.theoretical_maximum(D.keywords(v.spark)))), 6).alias("confidence")),
+        lambda v: _Chain(v).decided.select("id", F.round(F.least(F.lit(1.0), F.col("score") / F.lit(C.theoretical_maximum(_Chain(v).kw))), 6).alias("confidence")),
         f"{DECIDED} SELECT id, round(least(1.0, score / {KW_MAX}), 6) AS confidence FROM de",
     ),
     "cl_matched_terms": (_matched, f"{DECIDED} SELECT evi.id, evi.category, keyword, round(contribution, 6) AS contribution FROM evi JOIN de ON evi.id = de.id AND evi.category = de.category"),
-    "cl_competitors": (lambda v: C.competitors(D.categories(v.spark)), f"WITH {DIMS} SELECT x.category AS a, y.category AS b FROM cat x, cat y WHERE x.category <> y.category AND NOT coalesce(x.parent = y.category, false) AND NOT coalesce(y.parent = x.category, false)"),
-    "cl_families": (
-        lambda v: D.categories(v.spark).groupBy(F.coalesce("parent", "category").alias("family")).agg(F.count("*").alias("members"), F.count_if("is_tech").alias("tech_members")),
-        f"WITH {DIMS} SELECT coalesce(parent, category) AS family, count(*) AS members, count(*) FILTER (is_tech) AS tech_members FROM cat GROUP BY 1",
+    "cl_first_category": (
+        lambda v: C.first_category(v.posts.select("id", "title", F.array("source_site").alias("skills")), v.spark.createDataFrame(FIRST, "category string, keyword string, rank int")),
+        f"""WITH fk AS {_values(FIRST, 'category, keyword, rank')}, posts AS (SELECT doc_id AS id, lower(split_part(text, chr(10), 1) || ' ' || source) AS t FROM documents),
+m AS (SELECT id, first(category ORDER BY rank) AS category FROM posts JOIN fk ON regexp_matches(t, '(^|{WORD})' || regexp_escape(keyword) || '($|{WORD})') GROUP BY 1) SELECT posts.id, coalesce(category, 'other') AS category FROM posts LEFT JOIN m USING (id)""",
     ),
     "cl_decision": (lambda v: _r(_Chain(v).decided, "score", "second", "margin", "ambiguity"), f"{DECIDED} SELECT id, category, round(score, 6) AS score, round(second, 6) AS second, round(margin, 6) AS margin, round(ambiguity, 6) AS ambiguity, outcome FROM de"),
     "cl_final": (lambda v: _r(_Chain(v).final, "ambiguity"), f"{FINAL} SELECT id, is_tech, category, outcome, round(ambiguity, 6) AS ambiguity FROM done"),
-    "cl_policy_thresholds": (lambda v: C.policy_thresholds(D.policies(v.spark), D.overrides(v.spark), D.categories(v.spark)), f"WITH {DIMS} SELECT pol.policy, cat.category, coalesce(t, tech_minimum) AS tech_minimum, coalesce(m, minimum_margin) AS minimum_margin, min_confidence FROM pol CROSS JOIN cat LEFT JOIN ovr ON ovr.policy = pol.policy AND ovr.category = cat.category"),
     "cl_batch_summary": (lambda v: C.batch_summary(_Chain(v).final), f"{FINAL} SELECT count(*) AS total, count(*) FILTER (is_tech) AS tech, count(*) FILTER (round(ambiguity, 9) > 0.5) AS ambiguous, CAST(count(*) FILTER (is_tech) AS DOUBLE) / count(*) * 100 AS tech_percentage FROM done"),
 }
-# Dictionaries alone are small fixed tables: they are shown in tests, not registered as queries.
-for _name in ("cl_keyword_dim", "cl_competitors", "cl_families", "cl_policy_thresholds"):
-    ENTRIES.pop(_name)

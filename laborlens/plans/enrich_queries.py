@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -11,22 +10,35 @@ from pyspark.sql import functions as F
 from laborlens.operators import dims as D
 from laborlens.operators import enrich as E
 from laborlens.sources import files
+from laborlens.session import shared_dir
 from laborlens.streaming import ingest
+from laborlens.plans.class_queries import FINAL
 from laborlens.plans.load_queries import COMPANY, CURRENCY, KIND, PAID, RAW
 from laborlens.plans.views import AS_OF, JOBS, Views
 
 WITH = "WITH " + JOBS
 WORD = r"[^\p{L}\p{N}\p{M}_]"
-POSTS = "posts AS (SELECT doc_id AS id, substr(split_part(text, chr(10), 1), 1, 120) AS title, text AS description, lang AS language, source AS source_site FROM documents)"
+POSTS = "posts AS (SELECT doc_id AS id, split_part(text, chr(10), 1) AS title, text AS description, lang AS language, source AS source_site FROM documents)"
 CLEAN = r"trim(regexp_replace(regexp_replace(title || ' ' || description, '(?i)\s*[\(\[]\s*[mwdfx](\s*[/|]\s*[mwdfx])+\s*[\)\]]', ' ', 'g'), '\s+', ' ', 'g'))"
 #: Skills of the test texts: word -> shown name, canonical term, category.
-SKILLS = {"the": "The", "and": "AND", "der": "Der", "una": "Una", "avec": "Avec", "thing": "Thing", "license": "License", "idiot": "Idiot"}
-LEXICON = [("the", "the", "article"), ("der", "the", "article"), ("les", "the", "article"), ("and", "and", "conjunction"), ("und", "and", "conjunction"), ("software", "software", None), ("license", "license", "law"), ("licensed", "license", "law")]
+SKILLS = {"the": "The", "and": "AND", "der": "Der", "una": "Una", "avec": "Avec", "thing": "Thing", "license": "License", "idiot": "Idiot", "apache license": "Apache License", "version 2.0": "Version 2.0", "(c)": "(C)"}
+LEXICON = [("the", "the", "article"), ("der", "the", "article"), ("les", "the", "article"), ("and", "and", "conjunction"), ("und", "and", "conjunction"), ("software", "software", None), ("license", "license", "law"), ("licensed", "license", "law"), ("apache license", "apache", "law"), ("version 2.0", "version", None)]
 
 
 def _shared(v: Views, what: str) -> str:
-    found = v.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-    return f"{found.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    return f"{shared_dir(v.spark)}/{what}-{uuid.uuid4().hex}"
+
+
+_LO, _HI = "CAST(salary_min AS VARCHAR)", "CAST(salary_max AS VARCHAR)"
+_TOP = f"',\"salary_min\":' || {_LO} || ',\"salary_max\":' || {_HI} || ',\"salary_currency\":\"GBP\"'"
+_SHAPES = {1: "%Y-%m-%dT%H:%M:%S.000Z", 2: "%Y-%m-%d", 3: "%Y-%m-%dT%H:%M:%S+02:00", 4: "%Y-%m-%d %H:%M:%S", 5: "%Y%m%d", 6: "%Y-%m-%dT%H:%M-0530"}
+RECORDS = f"""records AS (SELECT '{{"id":' || source_id || ',"title":"' || title || '"'
+  || CASE id % 3 WHEN 0 THEN ',"company":"' || company_name || '"' WHEN 1 THEN ',"company":{{"display_name":"' || company_name || '"}}' ELSE '' END
+  || ',"location":' || CASE WHEN id % 2 = 0 THEN '{{"display_name":"' || location || '"}}' ELSE '"' || location || '"' END
+  || CASE id % 4 WHEN 0 THEN ',"salary":{{"min":' || {_LO} || ',"max":' || {_HI} || ',"currency":"EUR"}}' WHEN 1 THEN {_TOP} WHEN 2 THEN ',"salary":{{"min":"abc","max":null,"currency":""}}' || {_TOP} ELSE '' END
+  || CASE employment_type WHEN '1-URGENT' THEN ',"contract_type":"Full Time"' WHEN '2-HIGH' THEN ',"contract_type":"part-time"' WHEN '3-MEDIUM' THEN ',"contract_type":"Contractor"' WHEN '5-LOW' THEN ',"contract_type":"Internship"' ELSE ',"type":"Perm. (permanent)"' END
+  || ',"created":"' || CASE id % 10 WHEN 0 THEN 'soon' {' '.join(f"WHEN {k} THEN strftime(posted_date, '{shape}')" for k, shape in _SHAPES.items())} ELSE strftime(posted_date, '%Y-%m-%dT%H:%M:%SZ') END || '","category":' || CASE WHEN id % 2 = 0 THEN '{{"label":"' || source_site || '"}}' ELSE '"' || source_site || '"' END
+  || ',"redirect_url":"https://example.com/' || source_id || '","_acquisition_query":"' || source_site || '"}}' AS raw FROM jobs WHERE salary_min IS NOT NULL)"""
 
 
 def _texts(v: Views) -> DataFrame:
@@ -58,7 +70,7 @@ def _daily(v: Views) -> DataFrame:
 
 def _once(v: Views) -> DataFrame:
     e = v.table("events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id")
-    return ingest.run_to_table(v.spark, ingest.once_per_key(_stream(v, e.unionByName(e)), "event_id", "ts", "3650 days"), _shared(v, "once"), _shared(v, "checkpoint"), "append").select("event_id", "user_id")
+    return ingest.run_to_table(v.spark, ingest.once_per_key(_stream(v, e.unionByName(e)), "event_id", "ts", "40 days"), _shared(v, "once"), _shared(v, "checkpoint"), "append").select("event_id", "user_id")
 
 
 def _labeled(v: Views) -> DataFrame:
@@ -72,9 +84,10 @@ def _labeled(v: Views) -> DataFrame:
 
 def _exported(v: Views) -> DataFrame:
     path = _shared(v, "export")
-    files.write_label_export(v.posts, path)
-    back = v.spark.read.option("header", True).csv(path, schema="id long, title string, description string, language string, source_site string")
-    return back.select("id", F.coalesce("title", F.lit("")).alias("title"), F.md5(F.coalesce("description", F.lit(""))).alias("digest"), "language", "source_site")
+    posts = v.posts.withColumns({"source": F.col("source_site"), "country": F.col("language"), "skills": F.array("language", "source_site"), "classifier_score": F.col("id") / 4, "is_tech": F.lit(True)})
+    files.write_label_export(posts, path)
+    back = v.spark.read.option("header", True).csv(path, schema=", ".join(f"{c} string" for c in files.EXPORT)).fillna("")
+    return back.select(F.col("id").cast("long").alias("id"), "title", F.md5("description").alias("digest"), "country", "source", "skills", F.col("classifier_score").cast("double").alias("classifier_score"), "is_tech", "notes")
 
 
 def _values(rows) -> str:
@@ -86,18 +99,25 @@ def _case(values: dict, key: str) -> str:
     return f"CASE {key} " + " ".join(f"WHEN '{k}' THEN " + (f"'{v}'" if isinstance(v, str) else str(v)) for k, v in values.items()) + " END"
 
 
-PLACE = "CASE id % 4 WHEN 0 THEN country_code WHEN 1 THEN 'Some City, ' || country_code WHEN 2 THEN 'Town (ca)' ELSE 'Nowhere, ' || substr(lower(country_code), 1, 2) END"
+NAMES = ["China", "India", "Germany", "United Kingdom", "Brazil", "Canada", "Japan"]
+NAME = f"[{', '.join(repr(n) for n in NAMES)}][1 + id % {len(NAMES)}]"
+PLACE = f"CASE id % 9 WHEN 0 THEN {NAME} WHEN 1 THEN 'Some City, ' || {NAME} WHEN 2 THEN 'Town (us)' WHEN 3 THEN 'Town [uk]' WHEN 4 THEN 'City,  us' WHEN 5 THEN 'Nowhere, na' WHEN 6 THEN 'Place (zz)' WHEN 7 THEN upper({NAME}) || ' ' ELSE country_code END"
 
 
 def _places(v: Views) -> DataFrame:
-    code = F.col("country_code")
-    place = F.when(F.col("id") % 4 == 0, code).when(F.col("id") % 4 == 1, F.concat(F.lit("Some City, "), code)).when(F.col("id") % 4 == 2, "Town (ca)").otherwise(F.concat(F.lit("Nowhere, "), F.substring(F.lower(code), 1, 2)))
-    return v.jobs.select("id", place.alias("place"), F.when(F.col("id") % 3 == 0, F.lower("salary_currency")).when(F.col("id") % 3 == 1, F.lit("")).alias("given"), F.col("salary_min").cast("double").alias("amount"), F.concat(F.upper("language"), F.lit("_x")).alias("tag"))
-
-
-PLACES = f"""{WITH}, pl AS (SELECT id, {PLACE} AS place, CASE id % 3 WHEN 0 THEN lower(salary_currency) WHEN 1 THEN '' END AS given, CAST(salary_min AS DOUBLE) AS amount, upper(language) || '_x' AS tag FROM jobs),
-lo AS (SELECT *, lower(place) AS t FROM pl),
-co AS (SELECT id, given, amount, tag, coalesce({_case(D.COUNTRIES, 't')}, list_filter(list_transform(string_split(t, ','), lambda x: {_case(D.COUNTRIES, 'trim(x)')}), lambda x: x IS NOT NULL)[1], nullif(upper(regexp_extract(t, '[\\(\\[]([a-z]{{2}})[\\)\\]]', 1)), ''), nullif(upper(regexp_extract(t, ', ?([a-z]{{2}})$', 1)), '')) AS country FROM lo),
+    name, k = F.array(*map(F.lit, NAMES))[F.col("id") % len(NAMES)], F.col("id") % 9
+    shapes = [name, F.concat(F.lit("Some City, "), name), F.lit("Town (us)"), F.lit("Town [uk]"), F.lit("City,  us"), F.lit("Nowhere, na"), F.lit("Place (zz)"), F.concat(F.upper(name), F.lit(" "))]
+    place = F.when(k == 0, shapes[0])
+    for i, shape in enumerate(shapes[1:], 1):
+        place = place.when(k == i, shape)
+    given = F.when(F.col("id") % 5 == 0, F.lower("salary_currency")).when(F.col("id") % 5 == 1, F.lit(""))
+    return v.jobs.select("id", place.otherwise(F.col("country_code")).alias("place"), given.alias("given"), F.col("salary_min").cast("double").alias("amount"), F.concat(F.upper("language"), F.lit("_x")).alias("tag"))
+
+
+PLACES = f"""{WITH}, pl AS (SELECT id, {PLACE} AS place, CASE id % 5 WHEN 0 THEN lower(salary_currency) WHEN 1 THEN '' END AS given, CAST(salary_min AS DOUBLE) AS amount, upper(language) || '_x' AS tag FROM jobs),
+lo AS (SELECT *, lower(trim(place)) AS t FROM pl),
+pt AS (SELECT *, list_filter(list_transform(string_split(t, ','), lambda x: {_case(D.COUNTRIES, 'trim(x)')}), lambda x: x IS NOT NULL)[1] AS part, regexp_extract(t, '\\(([a-z]{{2}})\\)', 1) AS c1, regexp_extract(t, '\\[([a-z]{{2}})\\]', 1) AS c2, regexp_extract(t, ',\\s*([a-z]{{2}})$', 1) AS c3 FROM lo),
+co AS (SELECT id, given, amount, tag, coalesce({_case(D.COUNTRIES, 't')}, part, {_case(D.COUNTRIES, 'c1')}, {_case(D.COUNTRIES, 'c2')}, {_case(D.COUNTRIES, 'c3')}) AS country FROM pt),
 cu AS (SELECT *, coalesce(nullif(upper(given), ''), {_case(D.COUNTRY_CURRENCY, 'country')}, 'USD') AS currency FROM co)"""
 
 
@@ -110,9 +130,27 @@ GRAMS = f"""WITH {POSTS}, cl AS (SELECT id, language AS label, {CLEAN} AS clean
 ch AS (SELECT id, label, lower(clean) AS t, string_split(lower(clean), '') AS l FROM cl),
 gr AS (SELECT id, label, unnest(CASE WHEN len(l) < 3 THEN [t] ELSE list_distinct(list_transform(range(1, len(l) - 1), lambda i: l[i] || l[i + 1] || l[i + 2])) END) AS gram FROM ch),
 pr AS (SELECT label, gram, count(*) AS n FROM gr WHERE label IS NOT NULL GROUP BY 1, 2), tt AS (SELECT label, count(*) AS total FROM cl WHERE label IS NOT NULL GROUP BY 1), sh AS (SELECT label, gram, n, CAST(n AS DOUBLE) / total AS share FROM pr JOIN tt USING (label))"""
-TOKENS = f"WITH {POSTS}, tk AS (SELECT id, unnest(regexp_split_to_array(lower(title || ' ' || description), '{WORD}+')) AS term, generate_subscripts(regexp_split_to_array(lower(title || ' ' || description), '{WORD}+'), 1) - 1 AS position FROM posts)"
-FOUND = f"{TOKENS}, lx AS (SELECT * FROM {_values(LEXICON)} l(term, canonical, category)), fo AS (SELECT id, canonical, min(position) AS position, coalesce(min(category), 'unknown') AS category FROM tk JOIN lx USING (term) GROUP BY 1, 2)"
-SK = f"{TOKENS}, sk AS (SELECT DISTINCT id, term AS skill FROM tk WHERE term IN ({', '.join(repr(k) for k in SKILLS)}))"
+TOKEN = r"[\p{L}\p{N}\p{M}_]+|[^\p{L}\p{N}\p{M}_]"
+TEXT = f"WITH {POSTS}, tx AS (SELECT id, lower(title || ' ' || description) AS t, lower(title) AS tt FROM posts)"
+FOUND = f"""{TEXT}, lx AS (SELECT * FROM {_values(LEXICON)} l(term, canonical, category)),
+me AS (SELECT id, canonical, category, len(regexp_extract_all(regexp_extract(t, '(?s)^((?:.*?{WORD})??)' || regexp_escape(term) || '(?:{WORD}|$)', 1), '{TOKEN}')) AS position FROM tx JOIN lx ON regexp_matches(t, '(^|{WORD})' || regexp_escape(term) || '($|{WORD})')),
+fo AS (SELECT id, canonical, min(position) AS position, coalesce(min(category), 'unknown') AS category FROM me GROUP BY 1, 2)"""
+SKILL = f"(SELECT unnest([{', '.join(repr(k) for k in SKILLS)}]) AS skill)"
+WHOLE = f"'(^|{WORD})' || regexp_escape(skill) || '($|{WORD})'"
+SK = f"{TEXT}, sk AS (SELECT id, skill FROM tx JOIN {SKILL} ON regexp_matches(t, {WHOLE}))"
+
+
+LANG = f"""{GRAMS}, hd AS (SELECT label, gram, share FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY n DESC, gram) AS place FROM sh) WHERE place <= 300),
+sc AS (SELECT gr.id, hd.label, round(sum(share), 6) AS score FROM gr JOIN hd USING (gram) GROUP BY 1, 2), be AS (SELECT id, label FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, label DESC) AS k FROM sc) WHERE k = 1)
+SELECT cl.id, CASE WHEN length(clean) < 5 THEN 'en' ELSE coalesce(be.label, 'en') END AS detected FROM cl LEFT JOIN be USING (id)"""
+
+
+def _chain(v: Views) -> DataFrame:
+    name = F.array(*map(F.lit, NAMES))[(F.col("id") % len(NAMES)).cast("int")]
+    posts = v.posts.withColumn("location", F.concat(F.lit("Some City, "), name)).withColumn("currency", F.lit(None).cast("string")).withColumn("amount", F.char_length("description").cast("double"))
+    s = v.spark
+    out = E.enrich_postings(posts, E.language_profile(v.posts), _terms(v), D.keywords(s), D.negatives(s), D.categories(s), D.aliases(s))
+    return out.select("id", "detected", F.array_join("skills", ",").alias("skills"), "is_tech", "category", "country", "currency", F.round("usd", 4).alias("usd"))
 
 
 def _terms(v: Views) -> DataFrame:
@@ -128,12 +166,10 @@ ENTRIES = {
     "en_lang_profile": (lambda v: E.language_profile(v.posts).select("label", "gram", "n", F.round("share", 6).alias("share")), f"{GRAMS} SELECT label, gram, n, round(share, 6) AS share FROM sh"),
     "en_lang_detect": (
         lambda v: E.detect_language(v.posts, E.language_profile(v.posts)),
-        f"""{GRAMS}, hd AS (SELECT label, gram, share FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY n DESC, gram) AS place FROM sh) WHERE place <= 300),
-sc AS (SELECT gr.id, hd.label, round(sum(share), 6) AS score FROM gr JOIN hd USING (gram) GROUP BY 1, 2), be AS (SELECT id, label FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, label DESC) AS k FROM sc) WHERE k = 1)
-SELECT cl.id, CASE WHEN length(clean) < 5 THEN 'en' ELSE coalesce(be.label, 'en') END AS detected FROM cl LEFT JOIN be USING (id)""",
+        LANG,
     ),
     "en_skills": (lambda v: E.extract_skills(_texts(v), _terms(v)), f"{SK} SELECT id, skill FROM sk"),
-    "en_skills_title": (lambda v: E.extract_skills(v.posts.select("id", F.col("title").alias("text")), _terms(v)), f"WITH {POSTS}, tk AS (SELECT id, unnest(regexp_split_to_array(lower(title), '{WORD}+')) AS term FROM posts) SELECT DISTINCT id, term AS skill FROM tk WHERE term IN ({', '.join(repr(k) for k in SKILLS)})"),
+    "en_skills_title": (lambda v: E.extract_skills(v.posts.select("id", F.col("title").alias("text")), _terms(v)), f"{TEXT} SELECT id, skill FROM tx JOIN {SKILL} ON regexp_matches(tt, {WHOLE})"),
     "en_skill_names": (
         lambda v: E.display_names(E.extract_skills(_texts(v), _terms(v)), SKILLS).select("id", F.array_join("skills", ",").alias("skills")),
         f"{SK} SELECT id, string_agg({_case(SKILLS, 'skill')}, ',' ORDER BY {_case(SKILLS, 'skill')}) AS skills FROM sk GROUP BY 1",
@@ -141,17 +177,27 @@ SELECT cl.id, CASE WHEN length(clean) < 5 THEN 'en' ELSE coalesce(be.label, 'en'
     "en_country": (lambda v: _currencies(v).select("id", "country"), f"{PLACES} SELECT id, country FROM cu"),
     "en_currency": (lambda v: _currencies(v).select("id", "currency"), f"{PLACES} SELECT id, currency FROM cu"),
     "en_convert_usd": (lambda v: _currencies(v).select("id", F.round(E.to_usd(F.col("amount"), F.col("currency")), 4).alias("usd")), f"{PLACES} SELECT id, round(amount * coalesce(CAST({_case(D.USD, 'currency')} AS DOUBLE), 1.0), 4) AS usd FROM cu"),
+    "en_convert": (
+        lambda v: _currencies(v).select("id", F.round(E.convert(F.col("amount"), F.col("currency"), F.lit("EUR")), 4).alias("euros")),
+        f"{PLACES} SELECT id, round(amount * coalesce(CAST({_case(D.USD, 'currency')} AS DOUBLE) / {D.USD['EUR']}, 1.0), 4) AS euros FROM cu",
+    ),
     "en_lang_code": (
         lambda v: _places(v).select("id", E.language_code("tag").alias("code")).withColumn("name", E.lookup(D.LANGUAGES, F.col("code"))),
         f"{PLACES} SELECT id, coalesce(split_part(replace(lower(tag), '_', '-'), '-', 1), 'en') AS code, {_case(D.LANGUAGES, chr(99) + 'oalesce(split_part(replace(lower(tag), chr(95), chr(45)), chr(45), 1), chr(101) || chr(110))')} AS name FROM cu",
     ),
     "en_lexicon": (lambda v: E.find_technologies(_texts(v), _lexicon(v)), f"{FOUND} SELECT id, canonical, CAST(position AS INTEGER) AS position, category FROM fo"),
+    "en_chain": (
+        _chain,
+        f"""SELECT dt.id, detected, coalesce(skills, '') AS skills, is_tech, category, country, currency, round(usd, 4) AS usd FROM ({LANG}) dt
+LEFT JOIN ({SK} SELECT id, string_agg(skill, ',' ORDER BY skill) AS skills FROM sk GROUP BY 1) s USING (id) JOIN ({FINAL} SELECT id, is_tech, category FROM done) f USING (id)
+JOIN (SELECT *, length_ * CAST({_case(D.USD, 'currency')} AS DOUBLE) AS usd FROM (SELECT *, {_case(D.COUNTRY_CURRENCY, 'country')} AS currency FROM (SELECT doc_id AS id, CAST(length(text) AS DOUBLE) AS length_, {_case(D.COUNTRIES, f"lower([{', '.join(repr(n) for n in NAMES)}][1 + doc_id % {len(NAMES)}])")} AS country FROM documents))) p USING (id)""",
+    ),
     "en_lexicon_stats": (lambda v: E.lexicon_stats(E.find_technologies(_texts(v), _lexicon(v))), f"{FOUND} SELECT category, count(*) AS mentions, count(DISTINCT canonical) AS terms, count(DISTINCT id) AS postings FROM fo GROUP BY 1"),
-    "src_raw_postings": (lambda v: files.read_raw(v.spark, _landed(v), "xx").groupBy("_source_country").agg(F.count("*").alias("count"), F.sum(F.char_length("raw")).alias("chars")), None),
+    "src_raw_postings": (lambda v: files.read_raw(v.spark, _landed(v), "xx").groupBy("_source_country").agg(F.count("*").alias("count"), F.sum(F.char_length("raw")).alias("chars")), f"{WITH}, {RECORDS} SELECT 'xx' AS _source_country, count(*) AS count, CAST(sum(length(raw)) AS BIGINT) AS chars FROM records"),
     "src_labeled": (_labeled, f"WITH {POSTS} SELECT id % 2 = 0 AS is_tech_role, 'c' || (id % 3) AS expected_category, count(*) AS count, CAST(sum(length(description)) AS BIGINT) AS chars FROM posts GROUP BY 1, 2"),
     "snk_label_export": (
         _exported,
-        rf"WITH {POSTS}, q AS (SELECT id, trim(regexp_replace(title, '\s+', ' ', 'g')) AS title, trim(regexp_replace(description, '\s+', ' ', 'g')) AS d, language, source_site FROM posts) SELECT id, title, md5(CASE WHEN length(d) <= 2000 THEN d ELSE coalesce(nullif(regexp_extract(substr(d, 1, 2000), '^(.*) ', 1), ''), substr(d, 1, 2000)) || '...' END) AS digest, language, source_site FROM q",
+        rf"WITH {POSTS}, q AS (SELECT id, trim(regexp_replace(title, '\s+', ' ', 'g')) AS title, trim(regexp_replace(description, '\s+', ' ', 'g')) AS d, language, source_site FROM posts) SELECT id, title, md5(CASE WHEN length(d) <= 2000 THEN d ELSE coalesce(nullif(regexp_extract(substr(d, 1, 2000), '^(.*) ', 1), ''), substr(d, 1, 2000)) || '...' END) AS digest, language AS country, source_site AS source, language || ', ' || source_site AS skills, id / 4.0 AS classifier_score, '' AS is_tech, '' AS notes FROM q",
     ),
     "st_ingest": (
         _ingested,

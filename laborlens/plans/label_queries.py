@@ -52,9 +52,11 @@ ORDER = "md5('{0}:' || id)"
 
 
 def _allocated(source: str, group: str, n: int, minimum: int = 0) -> str:
-    return f"""g AS (SELECT {group} AS grp, count(*) AS count FROM {source} GROUP BY 1), x AS (SELECT *, CAST(count AS DOUBLE) * {n} / sum(count) OVER () AS exact FROM g),
-b AS (SELECT *, least(greatest(CAST(floor(exact) AS BIGINT), {minimum}), count) AS base FROM x), l AS (SELECT *, {n} - sum(base) OVER () AS rest, CASE WHEN base < count THEN 1 ELSE 0 END AS open FROM b),
-seats AS (SELECT grp, count, CAST(base + CASE WHEN open = 1 AND row_number() OVER (ORDER BY open DESC, round(exact - floor(exact), 9) DESC, count DESC, grp ASC NULLS FIRST) <= rest THEN 1 ELSE 0 END AS BIGINT) AS seats FROM l)"""
+    return f"""g AS (SELECT {group} AS grp, count(*) AS count FROM {source} GROUP BY 1), m AS (SELECT *, CASE WHEN count(*) OVER () * {minimum} <= {n} THEN {minimum} ELSE 0 END AS kept FROM g),
+x AS (SELECT *, CAST(count AS DOUBLE) * ({n} - sum(kept) OVER ()) / sum(count) OVER () AS exact FROM m), b AS (SELECT *, kept + CAST(floor(exact) AS BIGINT) AS base FROM x),
+l AS (SELECT *, {n} - sum(base) OVER () AS rest FROM b), e AS (SELECT *, CASE WHEN base < count AND row_number() OVER (ORDER BY base < count DESC, round(exact - floor(exact), 9) DESC, count DESC, grp ASC NULLS FIRST) <= rest THEN 1 ELSE 0 END AS more FROM l),
+z AS (SELECT *, rest - sum(more) OVER () AS last FROM e),
+seats AS (SELECT grp, count, CAST(base + more + CASE WHEN base + more < count AND row_number() OVER (ORDER BY base + more < count DESC, count DESC, grp ASC NULLS FIRST) <= last THEN 1 ELSE 0 END AS BIGINT) AS seats FROM z)"""
 
 
 def _strata(source: str, group: str, n: int, minimum: int = 0) -> str:
@@ -72,18 +74,18 @@ HYBRID = f"""{SC}, t AS (SELECT *, {LEVEL} AS level FROM scored), p AS (SELECT D
 SELECT id FROM (SELECT t.id, CASE WHEN p.id IS NOT NULL THEN 0 END AS picked FROM t LEFT JOIN p USING (id)) ORDER BY picked ASC NULLS LAST, {ORDER.format(46)}, id LIMIT 100"""
 
 COMP = """
-cg AS (SELECT country_code AS country, count(*) AS total, count(*) FILTER (is_tech_role) AS tech, count(*) FILTER (NOT is_tech_role) AS non_tech, count(*) FILTER (is_tech_role IS NULL) AS unclassified FROM jobs GROUP BY ROLLUP (country_code)),
+cg AS (SELECT country_code AS country, GROUPING(country_code) = 1 AS is_total, count(*) AS total, count(*) FILTER (is_tech_role) AS tech, count(*) FILTER (NOT is_tech_role) AS non_tech, count(*) FILTER (is_tech_role IS NULL) AS unclassified FROM jobs GROUP BY ROLLUP (country_code)),
 cr AS (SELECT *, CASE WHEN tech + non_tech = 0 THEN 0.0 ELSE CAST(tech AS DOUBLE) / (tech + non_tech) END AS tech_ratio FROM cg),
 comp AS (SELECT *, greatest(non_tech - tech, 0) AS deficit, abs(tech_ratio - 0.5) <= 0.05 AS parity FROM cr),
-targets AS (SELECT country, CASE WHEN tech + non_tech = 0 OR parity THEN 'BALANCED' ELSE 'CATCH_UP' END AS mode, CAST(CASE WHEN tech + non_tech = 0 OR parity THEN 20 ELSE least(deficit, 40) END AS BIGINT) AS tech_target FROM comp)
+targets AS (SELECT country, is_total, CASE WHEN tech + non_tech = 0 OR parity THEN 'BALANCED' ELSE 'CATCH_UP' END AS mode, CAST(CASE WHEN tech + non_tech = 0 OR parity THEN 20 ELSE least(deficit, 40) END AS BIGINT) AS tech_target FROM comp)
 """
 BAL = f"{WITH}, {COMP}"
-GOT = "got AS (SELECT country_code AS country, count(*) FILTER (is_tech_role) AS got_tech, count(*) FILTER (NOT is_tech_role) AS got_broad FROM jobs WHERE id % 10 = 0 GROUP BY 1)"
+GOT = "got AS (SELECT country_code AS country, count(*) FILTER (is_tech_role) AS got_tech, count(*) FILTER (NOT is_tech_role) AS got_broad FROM jobs GROUP BY 1)"
 POOL = "pool AS (SELECT id, CASE WHEN id % 3 = 0 THEN CAST(id // 2 AS VARCHAR) END AS source_id, CASE WHEN id % 3 = 1 THEN 'u' || (id // 4) END AS source_url, title, company_name FROM jobs)"
 
 
 def _got(v: Views):
-    return v.jobs.filter("id % 10 = 0").groupBy(F.col("country_code").alias("country")).agg(F.count_if("is_tech_role").alias("got_tech"), F.count_if(~F.col("is_tech_role")).alias("got_broad"))
+    return v.jobs.groupBy(F.col("country_code").alias("country")).agg(F.count_if("is_tech_role").alias("got_tech"), F.count_if(~F.col("is_tech_role")).alias("got_broad"))
 
 
 def _pool(v: Views):
@@ -138,13 +140,13 @@ SELECT round(CAST(sum(hit) AS DOUBLE) / sum(support), 9) AS category_accuracy, r
     ),
     "ev_hashes": (
         lambda v: E.hashes(v.posts.filter("title is not null")),
-        "SELECT doc_id AS id, substr(md5('default|8.0|3.0'), 1, 8) AS policy, sha256('v1' || chr(31) || substr(split_part(text, chr(10), 1), 1, 120) || chr(31) || text) AS cache_key FROM documents",
+        "SELECT doc_id AS id, substr(md5('default|8.0|3.0'), 1, 8) AS policy, sha256('v1' || chr(31) || split_part(text, chr(10), 1) || chr(31) || text) AS cache_key FROM documents",
     ),
     "bal_composition": (lambda v: B.composition(v.jobs), f"{BAL} SELECT * FROM comp"),
     "bal_targets": (lambda v: B.targets(B.composition(v.jobs), 40), f"{BAL} SELECT *, 40 - tech_target AS broad_target FROM targets"),
     "bal_next_intent": (
         lambda v: B.next_intent(B.composition(v.jobs), _got(v)),
-        f"{BAL}, {GOT}, k AS (SELECT comp.country, CAST(tech + coalesce(got_tech, 0) AS DOUBLE) / (tech + non_tech + coalesce(got_tech, 0) + coalesce(got_broad, 0)) AS projected_ratio, coalesce(got_tech, 0) <= coalesce(got_broad, 0) AS fewer FROM comp LEFT JOIN got USING (country) WHERE comp.country IS NOT NULL) SELECT country, projected_ratio, CASE WHEN projected_ratio < 0.45 THEN 'tech' WHEN projected_ratio > 0.55 THEN 'broad' WHEN fewer THEN 'tech' ELSE 'broad' END AS intent FROM k",
+        f"{BAL}, {GOT}, k AS (SELECT comp.country, CAST(tech + coalesce(got_tech, 0) AS DOUBLE) / (tech + non_tech + coalesce(got_tech, 0) + coalesce(got_broad, 0)) AS projected_ratio, coalesce(got_tech, 0) <= coalesce(got_broad, 0) AS fewer FROM comp LEFT JOIN got USING (country) WHERE NOT is_total) SELECT country, projected_ratio, CASE WHEN projected_ratio < 0.45 THEN 'tech' WHEN projected_ratio > 0.55 THEN 'broad' WHEN fewer THEN 'tech' ELSE 'broad' END AS intent FROM k",
     ),
     "bal_dedupe": (
         lambda v: B.dedupe(_pool(v)).select("id", "identity", "duplicate"),
@@ -152,7 +154,7 @@ SELECT round(CAST(sum(hit) AS DOUBLE) / sum(support), 9) AS category_accuracy, r
     ),
     "bal_select": (
         lambda v: B.select_balanced(active(v.jobs), B.targets(B.composition(v.jobs), 40)).select("id"),
-        f"{BAL}, r AS (SELECT id, country_code, is_tech_role, row_number() OVER (PARTITION BY country_code, is_tech_role ORDER BY id) AS place FROM act) SELECT id FROM r JOIN targets ON country = country_code WHERE place <= CASE WHEN is_tech_role THEN tech_target ELSE 40 - tech_target END",
+        f"{BAL}, r AS (SELECT id, country_code, is_tech_role, row_number() OVER (PARTITION BY country_code, is_tech_role ORDER BY id) AS place FROM act) SELECT id FROM r JOIN targets ON country = country_code AND NOT is_total WHERE place <= CASE WHEN is_tech_role THEN tech_target ELSE 40 - tech_target END",
     ),
     "bal_projected": (
         lambda v: B.composition(v.jobs.filter("id % 4 <> 0").unionByName(v.jobs.filter("id % 4 = 0").join(v.jobs.filter("id % 8 = 0").select("id"), "id", "left_semi").select(*v.jobs.columns))),
@@ -162,5 +164,5 @@ SELECT round(CAST(sum(hit) AS DOUBLE) / sum(support), 9) AS category_accuracy, r
         lambda v: B.query_metrics(_queries(v)),
         f"{WITH}, q AS (SELECT source_site AS query, CASE WHEN id % 2 = 0 THEN 'tech' ELSE 'broad' END AS intent, CASE WHEN id % 7 <> 0 THEN is_tech_role END AS t FROM jobs) SELECT query, intent, count(*) AS new, count(*) FILTER (t) AS tech, count(*) FILTER (NOT t) AS non_tech, count(*) FILTER (t IS NULL) AS unclassified FROM q GROUP BY 1, 2",
     ),
-    "bal_totals": (lambda v: B.totals(B.composition(v.jobs)), f"{BAL}, s AS (SELECT count(*) AS countries, CAST(sum(tech) AS BIGINT) AS tech, CAST(sum(non_tech) AS BIGINT) AS non_tech, bool_and(parity) AS all_at_parity FROM comp WHERE country IS NOT NULL) SELECT *, CAST(tech AS DOUBLE) / (tech + non_tech) AS tech_ratio FROM s"),
+    "bal_totals": (lambda v: B.totals(B.composition(v.jobs)), f"{BAL}, s AS (SELECT count(*) AS countries, CAST(sum(tech) AS BIGINT) AS tech, CAST(sum(non_tech) AS BIGINT) AS non_tech, bool_and(parity) AS all_at_parity FROM comp WHERE NOT is_total) SELECT *, CAST(tech AS DOUBLE) / (tech + non_tech) AS tech_ratio FROM s"),
 }

@@ -16,7 +16,7 @@ COMPANY = "CASE WHEN id % 3 = 2 THEN 'Unknown' ELSE company_name END"
 KIND = "CASE employment_type WHEN '1-URGENT' THEN 'FULL_TIME' WHEN '2-HIGH' THEN 'PART_TIME' WHEN '3-MEDIUM' THEN 'CONTRACT' WHEN '5-LOW' THEN 'INTERNSHIP' ELSE 'PERMANENT' END"
 PAID = "CASE WHEN id % 4 <> 3 THEN CAST({0} AS DOUBLE) END"
 CURRENCY = "CASE id % 4 WHEN 0 THEN 'EUR' WHEN 3 THEN NULL ELSE 'GBP' END"
-DAY = "CASE WHEN id % 10 <> 0 THEN strftime(posted_date, '%Y-%m-%d %H:%M:%S') END"
+DAY = "CASE id % 10 WHEN 0 THEN NULL WHEN 2 THEN strftime(posted_date, '%Y-%m-%d 00:00:00') WHEN 5 THEN strftime(posted_date, '%Y-%m-%d 00:00:00') WHEN 3 THEN strftime(posted_date - INTERVAL 2 HOUR, '%Y-%m-%d %H:%M:%S') WHEN 6 THEN strftime(posted_date + INTERVAL 330 MINUTE, '%Y-%m-%d %H:%M:00') ELSE strftime(posted_date, '%Y-%m-%d %H:%M:%S') END"
 
 
 def _done(v: Views):
@@ -33,13 +33,13 @@ def _money(df, *names: str):
 
 def _pairs(v: Views):
     """Incoming (job_id, name) pairs: some names differ by case and blanks, some are blank."""
-    held = v.links.filter("job_id % 4 = 0").join(v.skills, "skill_id")
+    held = v.links.join(v.skills, "skill_id")
     odd = held.select("job_id", F.when(F.col("skill_id") % 10 == 0, "  ").when(F.col("skill_id") % 3 == 0, F.concat(F.lit(" "), F.upper("name"))).otherwise(F.concat("name", F.lit(" x"))).alias("name"))
     return held.select("job_id", "name").unionByName(odd)
 
 
 PAIRS = """
-held AS (SELECT job_id, skill_id, name FROM links JOIN skills USING (skill_id) WHERE job_id % 4 = 0),
+held AS (SELECT job_id, skill_id, name FROM links JOIN skills USING (skill_id)),
 pairs AS (SELECT job_id, name FROM held UNION ALL SELECT job_id, CASE WHEN skill_id % 10 = 0 THEN '  ' WHEN skill_id % 3 = 0 THEN ' ' || upper(name) ELSE name || ' x' END FROM held),
 clean AS (SELECT DISTINCT job_id, trim(lower(name)) AS name FROM pairs WHERE trim(name) <> '')
 """
@@ -82,8 +82,8 @@ def _rules(table: str, tests: dict[str, str], id_: str = "id", name: str = "rule
 
 ENTRIES = {
     "tr_project": (
-        lambda v: _done(v).select("source_id", "source_site", "title", "company_name", "location", "salary_min", "salary_max", "salary_currency", "employment_type", _time("posted_date").alias("posted"), _time("scraped_date").alias("scraped"), "source_country"),
-        f"{WITH} SELECT source_id, 'feed' AS source_site, title, {COMPANY} AS company_name, location, {PAID.format('salary_min')} AS salary_min, {PAID.format('salary_max')} AS salary_max, {CURRENCY} AS salary_currency, {KIND} AS employment_type, {DAY} AS posted, coalesce({DAY}, '{AS_OF} 00:00:00') AS scraped, country_code AS source_country FROM ({RAW})",
+        lambda v: _done(v).select("source_id", "source_site", "title", "company_name", "location", "salary_min", "salary_max", "salary_currency", "employment_type", _time("posted_date").alias("posted"), _time("scraped_date").alias("scraped"), "source_country", "description", "source_url", "category", "acquisition_query", "acquisition_mode"),
+        f"{WITH} SELECT source_id, 'feed' AS source_site, title, {COMPANY} AS company_name, location, {PAID.format('salary_min')} AS salary_min, {PAID.format('salary_max')} AS salary_max, {CURRENCY} AS salary_currency, {KIND} AS employment_type, {DAY} AS posted, coalesce({DAY}, '{AS_OF} 00:00:00') AS scraped, country_code AS source_country, '' AS description, 'https://example.com/' || source_id AS source_url, CAST(NULL AS VARCHAR) AS acquisition_mode, source_site AS category, source_site AS acquisition_query FROM ({RAW})",
     ),
     "tr_nested": (lambda v: _done(v).groupBy("company_name", "location").count(), f"{WITH} SELECT {COMPANY} AS company_name, location, count(*) AS count FROM ({RAW}) GROUP BY 1, 2"),
     "tr_salary": (lambda v: _done(v).select("source_id", "salary_min", "salary_max", "salary_currency"), f"{WITH} SELECT source_id, {PAID.format('salary_min')} AS salary_min, {PAID.format('salary_max')} AS salary_max, {CURRENCY} AS salary_currency FROM ({RAW})"),
@@ -126,6 +126,11 @@ ENTRIES = {
     "load_purge": (lambda v: LO.purge(v.jobs, AS_OF, 365).select("id"), f"{WITH} SELECT id FROM jobs WHERE scraped_date >= {T} - INTERVAL 365 DAY"),
     "load_purge_bridge": (lambda v: LO.purge_links(v.links, LO.purge(v.jobs, AS_OF, 365)), f"{WITH} SELECT job_id, skill_id FROM links JOIN jobs ON id = job_id WHERE scraped_date >= {T} - INTERVAL 365 DAY"),
     "run_log_append": (lambda v: LO.run_durations(v.runs), f"WITH {RUNS} SELECT run_id, status, CAST(floor(epoch(completed_at)) - floor(epoch(started_at)) AS BIGINT) AS duration_seconds FROM runs"),
+    "run_log_new": (
+        lambda v: LO.run_durations(LO.append_run(v.runs.filter("status <> 'failed'"), v.runs.filter("status = 'failed'").drop("run_id"))),
+        f"""WITH {RUNS}, old AS (SELECT * FROM runs WHERE status <> 'failed'), new AS (SELECT (SELECT max(run_id) FROM old) + row_number() OVER (ORDER BY started_at, source_site, status) AS run_id, status, started_at, completed_at FROM runs WHERE status = 'failed')
+SELECT run_id, status, CAST(floor(epoch(completed_at)) - floor(epoch(started_at)) AS BIGINT) AS duration_seconds FROM (SELECT run_id, status, started_at, completed_at FROM old UNION ALL SELECT * FROM new)""",
+    ),
     "pipeline_metrics": (
         _metrics,
         f"""{WITH}, {DRAFTS}, {BATCH}, f AS (SELECT count(DISTINCT source_site || ':' || source_id) AS inserted FROM incoming i WHERE NOT EXISTS (SELECT 1 FROM existing e WHERE e.source_site = i.source_site AND e.source_id = i.source_id)),

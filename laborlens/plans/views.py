@@ -80,8 +80,12 @@ class Views:
         pay = pay.when(k(4) == 2, F.concat(F.lit(',"salary":{"min":"abc","max":null,"currency":""}'), top)).otherwise("")
         kinds = F.create_map(*(F.lit(x) for pair in CONTRACTS.items() for x in pair))
         contract = F.coalesce(F.concat(F.lit(',"contract_type":"'), kinds[F.col("employment_type")], F.lit('"')), F.lit(',"type":"Perm. (permanent)"'))
-        when = F.when(k(10) == 0, "soon").otherwise(F.date_format("posted_date", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
-        record = F.concat(F.lit('{"id":'), "source_id", F.lit(',"title":'), quoted("title"), company, place, pay, contract, F.lit(',"created":"'), when, F.lit('"}'))
+        shapes = {1: "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'", 2: "yyyy-MM-dd", 3: "yyyy-MM-dd'T'HH:mm:ss'+02:00'", 4: "yyyy-MM-dd HH:mm:ss", 5: "yyyyMMdd", 6: "yyyy-MM-dd'T'HH:mm'-0530'"}
+        when = F.when(k(10) == 0, "soon")
+        for digit, shape in shapes.items():
+            when = when.when(k(10) == digit, F.date_format("posted_date", shape))
+        when = when.otherwise(F.date_format("posted_date", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+        record = F.concat(F.lit('{"id":'), "source_id", F.lit(',"title":'), quoted("title"), company, place, pay, contract, F.lit(',"created":"'), when, F.lit('","category":'), F.when(k(2) == 0, F.concat(F.lit('{"label":"'), "source_site", F.lit('"}'))).otherwise(quoted("source_site")), F.lit(',"redirect_url":"https://example.com/'), "source_id", F.lit('","_acquisition_query":'), quoted("source_site"), F.lit("}"))
         return j.select(F.col("country_code").alias("_source_country"), record.alias("raw"))
 
     @cached_property
@@ -112,7 +116,7 @@ class Views:
     def posts(self) -> DataFrame:
         """Text postings."""
         d = self.table("documents")
-        return d.select(F.col("doc_id").alias("id"), F.substring(F.split("text", "\n")[0], 1, 120).alias("title"), F.col("text").alias("description"), F.col("lang").alias("language"), F.col("source").alias("source_site"))
+        return d.select(F.col("doc_id").alias("id"), F.split("text", "\n")[0].alias("title"), F.col("text").alias("description"), F.col("lang").alias("language"), F.col("source").alias("source_site"))
 
 
 JOBS = """

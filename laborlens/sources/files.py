@@ -26,6 +26,13 @@ def read_labeled(spark: SparkSession, path: str, lines: bool = False) -> DataFra
     return alone.unionByName(rows.select(F.explode("jobs").alias("j")).select("j.*"))
 
 
+def read_terms(spark: SparkSession, path: str) -> DataFrame:
+    """(term): a dictionary of skills from JSON files, each a list or {"skills": [...]}; in lower case, once each."""
+    text = spark.read.text(path, wholetext=True)
+    lists = F.coalesce(F.from_json("value", "array<string>"), F.from_json("value", "struct<skills: array<string>>")["skills"])
+    return text.select(F.explode(lists).alias("term")).select(F.lower(F.trim("term")).alias("term")).filter("term <> ''").distinct()
+
+
 def squeezed(column: str) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(column, F.lit("")), r"\s+", " "))
 
@@ -36,9 +43,18 @@ def shortened(text: Column, limit: int = 2000) -> Column:
     return F.when(F.char_length(text) <= limit, text).otherwise(F.concat(F.coalesce(F.nullif(F.regexp_extract(head, r"^(.*) ", 1), F.lit("")), head), F.lit("...")))
 
 
+#: Columns of a label export, in their order.
+EXPORT = [
+    "id", "title", "company", "location", "country", "source", "posted_date", "skills", "classifier_prediction", "classifier_confidence", "classifier_ambiguity",
+    "classifier_category", "classifier_score", "classifier_reason", "is_tech", "category", "difficulty", "notes", "description",
+]
+
+
 def label_export(posts: DataFrame) -> DataFrame:
-    """The columns of a label export, in their order."""
-    return posts.select("id", squeezed("title").alias("title"), shortened(squeezed("description")).alias("description"), "language", "source_site")
+    """The columns of a label export, all as text; what posts lack, and what labellers fill in (is_tech, category, difficulty, notes), is empty."""
+    text = {"title": squeezed("title"), "description": shortened(squeezed("description")), "skills": F.array_join("skills", ", ") if "skills" in posts.columns else F.lit("")}
+    blank = {"is_tech", "category", "difficulty", "notes"}
+    return posts.select(*((F.lit("") if c in blank else text[c] if c in text else F.coalesce(F.col(c).cast("string"), F.lit("")) if c in posts.columns else F.lit("")).alias(c) for c in EXPORT))
 
 
 def write_label_export(posts: DataFrame, path: str) -> None:

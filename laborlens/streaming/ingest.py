@@ -35,7 +35,7 @@ def once_per_key(events: DataFrame, key: str, time: str, delay: str = "30 days")
     return events.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
 
 
-def daily_counts(events: DataFrame, time: str, delay: str = "3650 days") -> DataFrame:
+def daily_counts(events: DataFrame, time: str, delay: str = "40 days") -> DataFrame:
     """Rows a day; late rows within the delay are counted in."""
     return events.withWatermark(time, delay).groupBy(F.window(time, "1 day").alias("w")).agg(F.count("*").alias("count")).select(F.col("w.start").alias("day"), "count")
 
