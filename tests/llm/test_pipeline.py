@@ -1,5 +1,11 @@
+import itertools
+import zlib
+
+import numpy as np
+
 import corpus_pipeline
-from laborlens.llm.common import table
+from laborlens.llm import toxicity
+from laborlens.llm.common import crc_mod, table
 from laborlens.llm.secrets import scan_secrets
 
 
@@ -24,3 +30,83 @@ def test_an_empty_table_passes(spark, sf, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         table(spark, sf, name).limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def _scores_by_hand(model, texts):
+    """All cosines with all examples, instead of an index."""
+    dense = np.zeros((len(model.ids), len(model.weight)))
+    dense[model.example, np.repeat(np.arange(len(model.weight)), model.cuts[:, -1] - model.cuts[:, 0])] = model.posted
+    terms, out = toxicity.TermIds(model.vocabulary), {}
+    for i, text in texts.items():
+        at, n = terms.counts(text or "")
+        if not len(at):
+            out[i] = model.without
+            continue
+        cosines = dense[:, at] @ model.vector(at, n)
+        near = [k for k in np.lexsort((model.ids, -np.round(cosines, 12)))[: toxicity.NEIGHBOURS] if cosines[k] > 0]
+        w = 1 / (1.05 - np.minimum(cosines[near], 1.0))
+        vote = (w * model.labels[near]).sum() / w.sum() if near else model.base
+        out[i] = float(np.interp(vote, *model.knots))
+    return out
+
+
+def _first_of_groups(texts):
+    """Ids that stay if all pairs of texts are compared."""
+    sets = {}
+    for i, t in texts.items():
+        w = (t or "").encode().lower().split()
+        sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in itertools.combinations(sorted(i for i in sets if sets[i]), 2):
+        x, y = sets[a], sets[b]
+        if 5 * min(len(x), len(y)) >= 4 * max(len(x), len(y)) and 100 * len(x & y) >= 80 * len(x | y):
+            root[max(find(a), find(b))] = min(find(a), find(b))
+    return {i for i in sets if find(i) == i}
+
+
+def test_stages_against_brute_force(spark, sf):
+    docs = table(spark, sf, "documents")
+    labels = {r.doc_id: r.toxic for r in table(spark, sf, "labels").collect()}
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    toxic = next(texts[i] for i in sorted(texts) if labels.get(i) == 1 and not held(i) and any(w in texts[i] for w in ("idiot", "scum", "moron")))
+    items = [r.text for r in table(spark, sf, "benchmark").collect()]
+    clean = next(t for i, t in sorted(texts.items()) if labels.get(i) == 0 and len(t.split()) > 200)
+    planted = {10**6: toxic, 10**6 + 1: f"before it {items[0]} and after", 10**6 + 2: " ".join(clean.split()[:-3]), 10**6 + 3: None, 10**6 + 4: "", 10**6 + 5: "word " * 30_000}
+    schema = docs.schema
+    docs = docs.unionByName(spark.createDataFrame([(i, t, "en", "planted", len(t or "")) for i, t in planted.items()], schema))
+    texts |= planted
+    stages = dict(corpus_pipeline.STAGES)
+    ids = lambda df: {r.doc_id for r in df.select("doc_id").collect()}
+
+    kept = stages["toxicity"](spark, docs, sf).cache()
+    model = toxicity.fit(docs, table(spark, sf, "labels"), usable=crc_mod("doc_id", 3) != 1)
+    want = {i for i, score in _scores_by_hand(model, texts).items() if score < toxicity.REJECT}
+    assert ids(kept) == want and 10**6 not in want and len(want) > 0.8 * len(texts)
+
+    kept = stages["near_dedup"](spark, kept, sf).cache()
+    want = _first_of_groups({i: texts[i] for i in want})
+    assert ids(kept) == want and 10**6 + 2 not in want
+
+    kept = stages["decontamination"](spark, kept, sf).cache()
+    plain = lambda t: " ".join((t or "").lower().split())
+    grams = {tuple(w[k : k + 5]) for w in (plain(t).split() for t in items) for k in range(len(w) - 4)}
+    whole = {i for i in want if any(plain(t) in plain(texts[i]) for t in items if len(t.split()) >= 8)}
+    apart = {i for i in want if not grams & {tuple(w[k : k + 5]) for w in [plain(texts[i]).split()] for k in range(len(w) - 4)}}
+    assert whole and 10**6 + 1 in whole and not ids(kept) & whole and apart - {10**6 + 5} <= ids(kept) and {10**6 + 3, 10**6 + 4, 10**6 + 5} <= ids(kept)
+
+    want = ids(kept)
+    kept = stages["secret_scans"](spark, kept, sf).cache()
+    assert ids(kept) == want and scan_secrets(kept).selectExpr("sum(size(spans))").first()[0] == 0
+    pieces = stages["packing"](spark, kept, sf).collect()
+    ends = {}
+    for r in sorted(pieces, key=lambda r: (r.doc_id, r.start)):
+        assert r.start == ends.get(r.doc_id, 0)
+        ends[r.doc_id] = r.start + r.length
+    assert set(ends) == want and all(r.doc_tokens == ends[r.doc_id] for r in pieces)
