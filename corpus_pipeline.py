@@ -1,6 +1,10 @@
 """Corpus pipeline: each stage works on all that the one before it kept.
 
 Counted as part of laborlens.llm and removed with it.
+
+Rows without text, or with an empty one, pass all stages; rows whose id is null are kept as they are by the first four stages and
+packed under a null id; rows that repeat an id are judged each by its own text, but near-duplicates by id; extra columns pass on; an
+empty table gives no row; texts of any length are taken whole.
 """
 
 from __future__ import annotations
@@ -45,7 +49,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Classifier, hashing, expressions and tokens can't be expressed in SQL: tests hold run() against a brute-force version.
+#: Classifier, hashing, expressions and tokens can't be expressed in SQL: tests/llm/test_pipeline.py holds every stage against a plain version.
 ORACLE_SQL = None
 
 
