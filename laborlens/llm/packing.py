@@ -11,7 +11,8 @@ vocabulary through tiktoken, several times faster, and a test holds the two agai
 spaces between two non-spaces, which no pre-token of that vocabulary spans, so ids of a word can be kept.
 
 Cases: null and empty texts are the end id alone; null ids stay null; repeated rows are packed each; an empty table
-gives no row; further columns are ignored; special tokens' strings in a text are ordinary text.
+gives no row; further columns are ignored; special tokens' strings in a text are ordinary text, as the vocabulary's own
+description has it (encode_special_tokens = True). Which pieces share a sequence follows from how the rows are partitioned.
 """
 
 from __future__ import annotations
