@@ -89,7 +89,7 @@ def link_rounds(live: DataFrame, sets: DataFrame, links: DataFrame, percent: int
     live(rep, n, key): classes, sizes of their sets and the keys they share with others; sets(id, words); links(a, b):
     what is linked already.
     """
-    tested = None
+    tested, scratch = None, []
     # who shares many keys with many is likely to be what the others were copied from
     often = live.groupBy("key").agg(F.count("*").alias("often"))
     pull = live.join(often, "key").groupBy("rep").agg(F.sum("often").alias("pull"))
@@ -103,6 +103,7 @@ def link_rounds(live: DataFrame, sets: DataFrame, links: DataFrame, percent: int
             return label
         merged = stored(_merged(label, new, what), f"{what}-cc")
         drop_stored(label)
+        drop_stored(new)
         return merged
 
     def grouped() -> DataFrame:
@@ -121,14 +122,19 @@ def link_rounds(live: DataFrame, sets: DataFrame, links: DataFrame, percent: int
         if found.isEmpty():
             break
         tested = found if tested is None else tested.unionByName(found)
+        scratch.append(found)
         label = compared(found, label)
 
     now = grouped()
     open_ = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
     left = now.join(open_, "key").groupBy("rep").agg(F.first("component").alias("component"))
-    found = _sharing_rare(stored(left, f"{what}-open"), sets, percent, what)
+    scratch += [live, stored(left, f"{what}-open")]
+    found = _sharing_rare(scratch[-1], sets, percent, what, scratch)
     found = stored(found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), f"{what}-pairs")
-    return compared(found, label)
+    label = compared(found, label)
+    for done in [*scratch, found]:
+        drop_stored(done)
+    return label
 
 
 def _low(size: str) -> str:
@@ -140,17 +146,18 @@ def _step(size: str) -> str:
     return f"greatest(length(bin({size})) - 6, 0)"
 
 
-def _sharing_rare(left: DataFrame, sets: DataFrame, percent: int, what: str) -> DataFrame:
+def _sharing_rare(left: DataFrame, sets: DataFrame, percent: int, what: str, scratch: list[DataFrame]) -> DataFrame:
     """Pairs (a, b) of classes left(rep, component) of different components that may be similar enough; none of those is left out.
 
     Sets of n and m elements of the similarity share s = ceil(percent * (n + m) / (100 + percent)) of them. With all elements in one
     order, rarest first, they share one of the first n - s + 1 of the one and m - s + 1 of the other. What is first depends on the
     partner's size, so each class asks for each bucket of sizes within its reach. A class that is too far from the hub of its group
-    has so many elements of its own that none of the group's common ones comes first: it meets nobody.
+    has so many elements of its own that none of the group's common ones comes first: it meets nobody. What it stores goes to scratch.
     """
     held = left.join(sets.withColumnRenamed("id", "rep"), "rep").select("rep", "component", F.xxhash64("words").alias("which"), F.size("words").cast("bigint").alias("n"), "words")
     # stored, or Spark would hash the whole set once for each element
-    elements = stored(held, f"{what}-left").select("rep", "component", "which", "n", F.explode("words").alias("w"))
+    scratch.append(stored(held, f"{what}-left"))
+    elements = scratch[-1].select("rep", "component", "which", "n", F.explode("words").alias("w"))
     often = elements.groupBy("w").agg(F.count("*").alias("often")).filter("often > 1")
     common = elements.join(often, "w").groupBy("rep", "component", "which", "n").agg(F.sort_array(F.collect_list(F.struct("often", "w"))).alias("e"))
     reach = common.withColumn("least", F.expr(f"({percent} * n + 99) div 100")).withColumn("most", F.expr(f"100 * n div {percent}"))
@@ -162,6 +169,7 @@ def _sharing_rare(left: DataFrame, sets: DataFrame, percent: int, what: str) ->
     heads = heads.select("rep", "component", "n", "own", "other", "k", F.posexplode(F.slice("e", F.lit(1), F.col("first"))).alias("at", "of"))
     # rest: elements from this one on
     heads = stored(heads.select("rep", "component", "n", "own", "other", F.col("of.w").alias("w"), (F.col("k") - F.col("at")).alias("rest")), f"{what}-heads")
+    scratch.append(heads)
     far = heads.select("w", F.col("own").alias("other"), F.col("other").alias("own"), F.col("rep").alias("b"), F.col("component").alias("far"), F.col("n").alias("m"), F.col("rest").alias("left"))
     both = heads.withColumnRenamed("rep", "a").join(far, ["w", "own", "other"])
     return both.filter(f"component < far and {100 + percent} * least(rest, left) >= {percent} * (n + m)").select("a", "b")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from laborlens.llm.common import _C3, U64, WordHashes, bloom, hash_spots, in_bloom, mix, permutations, raw, shingles, slices, stored, table
+from laborlens.llm.common import _C3, U64, WordHashes, bloom, drop_stored, hash_spots, in_bloom, mix, permutations, raw, shingles, slices, stored, table
 from laborlens.llm.near_dup import link_rounds
 
 SIZE = 5
@@ -299,6 +299,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     alone = exact.join(label.select("id"), "id", "left_anti").select("id", F.col("low").alias("first"), F.col("id").alias("component"), F.lit(True).alias("equal"))
     repeated = stored(alone.unionByName(linked), "op5-repeated")
 
+    for done in (shared, live, found):
+        drop_stored(done)
+
     found = occurrences(rows, bloom(repeated, "id", hashed=True), bloom(repeated.filter("equal"), "id", hashed=True))
     held = stored(found.join(repeated.drop("equal"), "id"), "op5-held")
     span = lambda start, stop, first, whole: F.struct(start.cast("bigint").alias("start"), stop.cast("bigint").alias("stop"), first.alias("first"), F.lit(whole).alias("whole"))
