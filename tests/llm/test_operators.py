@@ -52,6 +52,18 @@ def test_warc_round_trip(spark, tmp_path):
     assert got == sorted(want)
 
 
+def test_warc_of_payloads_larger_than_a_chunk(spark, tmp_path):
+    large = "x€" * warc.CHUNK
+    pages = spark.createDataFrame([(1, "u", large), (2, "u", large), (3, "u", "")], "page_id long, url string, html string").withColumn("salt", F.lit(1)).withColumn("kept", F.lit(9))
+    path = f"file://{tmp_path}/c"
+    archive = warc.write_archives(warc.roles(pages), path)
+    chunks = warc.read_chunks(spark, path, archive)
+    assert chunks.agg(F.max(F.octet_length("data"))).first()[0] <= warc.CHUNK
+    got = {(r.page_id, r.payload_bytes, r.payload_digest, r.refers_to) for r in warc.records(chunks).collect()}
+    digest = hashlib.sha1(large.encode()).hexdigest()
+    assert got == {(1, 4 * warc.CHUNK, digest, 2), (2, 4 * warc.CHUNK, digest, None), (3, 0, hashlib.sha1(b"").hexdigest(), None)}
+
+
 def test_warc_of_nothing(spark, tmp_path):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     path = f"file://{tmp_path}/b"
@@ -95,6 +107,27 @@ def test_fillings_may_become_the_same_and_verbatim_text_always_counts(spark):
     assert got == {(1, 11): False, (2, 12): True, (3, 12): True, (4, 12): True, (5, 13): True, (6, 13): False, (7, 14): False}
 
 
+def test_decontamination_cases(spark):
+    item = "the old farmer walks slowly along the river with a red basket and then sells 12 apples to every child that waits near the wooden bridge before the rain begins"
+    long = " ".join(f"w{k % 977}" for k in range(60_000))
+    docs = spark.createDataFrame([(1, f"{long} {item} {long}"), (2, long), (3, None), (4, ""), (5, item), (5, item)], "doc_id long, text string")
+    docs = docs.withColumns({c: F.lit(7) for c in ("hash", "id", "size", "pos", "item", "fill")})
+    items = spark.createDataFrame([(9, item), (10, item), (11, None)], "item_id long, text string").withColumns({c: F.lit("x") for c in ("hash", "doc_id", "size", "pos")})
+    assert {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, items).collect()} == {(d, i) for d in (1, 5) for i in (9, 10)}
+    kept = decontam.drop_contaminated(docs, items)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3, 4]
+
+
+def test_repeats_in_very_long_texts(spark):
+    rnd = random.Random(9)
+    text = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    passage = text(60)
+    docs = [(1, text(40_000) + passage + text(40_000)), (2, text(30_000) + passage), (3, text(50_000))]
+    rows = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string").withColumns({c: F.lit(1) for c in ("id", "component", "side", "words")})
+    got = {(r.doc_id, r.start, r.n_words, r.removed) for r in substring_dup.repeated_passages(rows).collect()}
+    assert got == {(1, 40_000, 60, False), (2, 30_000, 60, True)}
+
+
 def test_decontamination_against_brute_force(spark, sf, texts):
     items = {r.item_id: r.text.lower().split() for r in table(spark, sf, "benchmark").collect()}
     want = {(d, i) for d, t in texts.items() for i, w in items.items() if " ".join(w[1:-1]) in " ".join(t.lower().split())}
