@@ -95,6 +95,7 @@ KW_MAX = "greatest(100.0, (SELECT max(m) FROM (SELECT sum(least(weight * 0.4, 15
 
 #: category, keyword, rank of the older rule.
 FIRST = [("licence", "apache license", 1), ("licence", "version 2.0", 2), ("german", "und", 3), ("spanish", "src3", 4), ("english", "of the", 5), ("english", "and", 6)]
+_FIRST = " UNION ALL ".join(f"SELECT id, '{c}' AS category, {rank} AS rank FROM posts WHERE regexp_matches(t, '(^|{WORD}){k.replace('.', chr(92) + '.')}($|{WORD})')" for c, k, rank in FIRST)
 
 ENTRIES = {
     "cl_normalize": (lambda v: C.normalized(v.posts).select("id", "title", F.md5("description").alias("digest")), f"{TEXTS} SELECT id, title, md5(description) AS digest FROM texts"),
@@ -120,8 +121,8 @@ ENTRIES = {
     "cl_matched_terms": (_matched, f"{DECIDED} SELECT evi.id, evi.category, keyword, round(contribution, 6) AS contribution FROM evi JOIN de ON evi.id = de.id AND evi.category = de.category"),
     "cl_first_category": (
         lambda v: C.first_category(v.posts.select("id", "title", F.array("source_site").alias("skills")), v.spark.createDataFrame(FIRST, "category string, keyword string, rank int")),
-        f"""WITH fk AS {_values(FIRST, 'category, keyword, rank')}, posts AS (SELECT doc_id AS id, lower(split_part(text, chr(10), 1) || ' ' || source) AS t FROM documents),
-m AS (SELECT id, first(category ORDER BY rank) AS category FROM posts JOIN fk ON regexp_matches(t, '(^|{WORD})' || regexp_escape(keyword) || '($|{WORD})') GROUP BY 1) SELECT posts.id, coalesce(category, 'other') AS category FROM posts LEFT JOIN m USING (id)""",
+        f"""WITH posts AS (SELECT doc_id AS id, lower(split_part(text, chr(10), 1) || ' ' || source) AS t FROM documents), m AS ({_FIRST})
+SELECT posts.id, coalesce(category, 'other') AS category FROM posts LEFT JOIN (SELECT id, first(category ORDER BY rank) AS category FROM m GROUP BY 1) b USING (id)""",
     ),
     "cl_decision": (lambda v: _r(_Chain(v).decided, "score", "second", "margin", "ambiguity"), f"{DECIDED} SELECT id, category, round(score, 6) AS score, round(second, 6) AS second, round(margin, 6) AS margin, round(ambiguity, 6) AS ambiguity, outcome FROM de"),
     "cl_final": (lambda v: _r(_Chain(v).final, "ambiguity"), f"{FINAL} SELECT id, is_tech, category, outcome, round(ambiguity, 6) AS ambiguity FROM done"),

@@ -132,12 +132,27 @@ gr AS (SELECT id, label, unnest(CASE WHEN len(l) < 3 THEN [t] ELSE list_distinct
 pr AS (SELECT label, gram, count(*) AS n FROM gr WHERE label IS NOT NULL GROUP BY 1, 2), tt AS (SELECT label, count(*) AS total FROM cl WHERE label IS NOT NULL GROUP BY 1), sh AS (SELECT label, gram, n, CAST(n AS DOUBLE) / total AS share FROM pr JOIN tt USING (label))"""
 TOKEN = r"[\p{L}\p{N}\p{M}_]+|[^\p{L}\p{N}\p{M}_]"
 TEXT = f"WITH {POSTS}, tx AS (SELECT id, lower(title || ' ' || description) AS t, lower(title) AS tt FROM posts)"
-FOUND = f"""{TEXT}, lx AS (SELECT * FROM {_values(LEXICON)} l(term, canonical, category)),
-me AS (SELECT id, canonical, category, len(regexp_extract_all(regexp_extract(t, '(?s)^((?:.*?{WORD})??)' || regexp_escape(term) || '(?:{WORD}|$)', 1), '{TOKEN}')) AS position FROM tx JOIN lx ON regexp_matches(t, '(^|{WORD})' || regexp_escape(term) || '($|{WORD})')),
-fo AS (SELECT id, canonical, min(position) AS position, coalesce(min(category), 'unknown') AS category FROM me GROUP BY 1, 2)"""
-SKILL = f"(SELECT unnest([{', '.join(repr(k) for k in SKILLS)}]) AS skill)"
-WHOLE = f"'(^|{WORD})' || regexp_escape(skill) || '($|{WORD})'"
-SK = f"{TEXT}, sk AS (SELECT id, skill FROM tx JOIN {SKILL} ON regexp_matches(t, {WHOLE}))"
+
+
+def _literal(term: str) -> str:
+    return "".join("\\" + c if c in ".()+*?[]{}|^$\\" else c for c in term)
+
+
+def _whole(text: str, term: str) -> str:
+    return f"regexp_matches({text}, '(^|{WORD}){_literal(term)}($|{WORD})')"
+
+
+def _held(text: str) -> str:
+    return " UNION ALL ".join(f"SELECT id, '{k}' AS skill FROM tx WHERE {_whole(text, k)}" for k in SKILLS)
+
+
+# one pattern for each term, so that it is compiled once
+MENTIONS = " UNION ALL ".join(
+    f"SELECT id, '{canonical}' AS canonical, CAST({'NULL' if category is None else repr(category)} AS VARCHAR) AS category, len(regexp_extract_all(regexp_extract(t, '(?s)^((?:.*?{WORD})??){_literal(term)}(?:{WORD}|$)', 1), '{TOKEN}')) AS position FROM tx WHERE {_whole('t', term)}"
+    for term, canonical, category in LEXICON
+)
+FOUND = f"{TEXT}, me AS ({MENTIONS}), fo AS (SELECT id, canonical, min(position) AS position, coalesce(min(category), 'unknown') AS category FROM me GROUP BY 1, 2)"
+SK = f"{TEXT}, sk AS ({_held('t')})"
 
 
 LANG = f"""{GRAMS}, hd AS (SELECT label, gram, share FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY n DESC, gram) AS place FROM sh) WHERE place <= 300),
@@ -169,7 +184,7 @@ ENTRIES = {
         LANG,
     ),
     "en_skills": (lambda v: E.extract_skills(_texts(v), _terms(v)), f"{SK} SELECT id, skill FROM sk"),
-    "en_skills_title": (lambda v: E.extract_skills(v.posts.select("id", F.col("title").alias("text")), _terms(v)), f"{TEXT} SELECT id, skill FROM tx JOIN {SKILL} ON regexp_matches(tt, {WHOLE})"),
+    "en_skills_title": (lambda v: E.extract_skills(v.posts.select("id", F.col("title").alias("text")), _terms(v)), f"{TEXT} {_held('tt')}"),
     "en_skill_names": (
         lambda v: E.display_names(E.extract_skills(_texts(v), _terms(v)), SKILLS).select("id", F.array_join("skills", ",").alias("skills")),
         f"{SK} SELECT id, string_agg({_case(SKILLS, 'skill')}, ',' ORDER BY {_case(SKILLS, 'skill')}) AS skills FROM sk GROUP BY 1",
