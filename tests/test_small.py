@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from laborlens.operators import classify, dims, evaluate, load, quality, sampling
+from laborlens.operators import balance, classify, dims, enrich, evaluate, load, quality, sampling, transform
 from laborlens.sources import files
 
 
@@ -64,3 +64,43 @@ def test_salaries_are_swapped_or_rejected(spark):
     rows = spark.createDataFrame([(1, 5.0, 3.0), (2, -1.0, 3.0), (3, None, 3.0)], "id long, salary_min double, salary_max double")
     got = {r.id: (r.salary_min, r.salary_max, r.warning, r.rejected) for r in quality.salaries(rows).withColumn("rejected", F.coalesce("rejected", F.lit(False))).collect()}
     assert got == {1: (3.0, 5.0, "salary_swapped", False), 2: (-1.0, 3.0, None, True), 3: (None, 3.0, None, False)}
+
+
+def test_terms_of_symbols_and_several_words(spark):
+    texts = spark.createDataFrame([(1, "Senior C++ and C# (node.js) engineer, machine learning; xnode.jsx c++17"), (2, "python-based .NET, asp.net"), (3, None), (4, "machine  learning")], "id long, text string")
+    words = spark.createDataFrame([(t,) for t in ("c++", "c#", "node.js", "machine learning", "python", ".net", "(senior dev")], "term string")
+    found = enrich.extract_skills(texts, words).collect()
+    assert {(r.id, r.skill) for r in found} == {(1, "c++"), (1, "c#"), (1, "node.js"), (1, "machine learning"), (2, "python"), (2, ".net")}
+    hits = {(r.id, r.keyword): r.n for r in classify.keyword_hits(texts.select("id", F.col("text").alias("title")).fillna(""), words.select(F.col("term").alias("keyword"))).collect()}
+    assert hits == {(1, "c++"): 2, (1, "c#"): 1, (1, "node.js"): 1, (1, "machine learning"): 1, (2, "python"): 1, (2, ".net"): 2}
+
+
+def test_minimum_seats_come_first(spark):
+    counts = spark.createDataFrame([("a", 97), ("b", 1), ("c", 1), ("d", 1)], "g string, count long")
+    assert {r.g: r.seats for r in sampling.allocate(counts, "g", 4, 1).collect()} == {"a": 1, "b": 1, "c": 1, "d": 1}
+    assert {r.g: r.seats for r in sampling.allocate(counts, "g", 3, 1).collect()} == {"a": 3, "b": 0, "c": 0, "d": 0}
+
+
+def test_postings_without_country_are_not_the_total(spark):
+    jobs = spark.createDataFrame([("DE", True), (None, True), (None, False)], "country_code string, is_tech_role boolean")
+    got = {(r.country, r.is_total): r.total for r in balance.composition(jobs).collect()}
+    assert got == {("DE", False): 1, (None, False): 2, (None, True): 3}
+
+
+def test_countries_and_currencies(spark):
+    rows = spark.createDataFrame([("China",), ("Some City, Germany",), ("Town (us)",), ("Town [uk]",), ("Nowhere, na",), ("Place (zz)",), (None,)], "place string")
+    assert [r[0] for r in rows.select(enrich.country("place")).collect()] == ["CN", "DE", "US", "GB", None, None, None]
+    usd = spark.range(1).select(enrich.convert(F.lit(10.0), F.lit("USD"), F.lit("EUR"), {"USD": 1.0, "EUR": 2.0}), enrich.convert(F.lit(10.0), F.lit("?"), F.lit("EUR"))).first()
+    assert tuple(usd) == (5.0, 10.0)
+
+
+def test_iso_times(spark):
+    given = ["2024-01-02T03:04:05Z", "2024-01-02T03:04:05.250+02:00", "2024-01-02", "20240102", "2024-01-02 03:04", "2024-01-02T03:04-0530", "2024-01-02T03", "soon", "2024", "2024-02-30", None]
+    got = [r[0] for r in spark.createDataFrame([(g,) for g in given], "t string").select(F.date_format(transform.iso(F.col("t")), "dd HH:mm:ss.SSS")).collect()]
+    assert got == ["02 03:04:05.000", "02 01:04:05.250", "02 00:00:00.000", "02 00:00:00.000", "02 03:04:00.000", "02 08:34:00.000", "02 03:00:00.000", None, None, None, None]
+
+
+def test_first_category_of_the_older_rule(spark):
+    posts = spark.createDataFrame([(1, "C++ dev", ["git"]), (2, "Nurse", ["data science"]), (3, "Cook", []), (4, None, None)], "id long, title string, skills array<string>")
+    words = spark.createDataFrame([("data", "data science", 2), ("code", "c++", 1)], "category string, keyword string, rank int")
+    assert {r.id: r.category for r in classify.first_category(posts, words).collect()} == {1: "code", 2: "data", 3: "other", 4: "other"}
