@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from laborlens.llm import warc
+from laborlens.llm import phrases, warc
 from laborlens.llm.attention_lm import op7_attention_lm
 from laborlens.llm.decontam import op2_template_decontamination
 from laborlens.llm.fingerprint import op10_locally_consistent
 from laborlens.llm.near_dup import op8_min_max_hashing
 from laborlens.llm.packing import op9_cost_packing
 from laborlens.llm.secrets import op6_secret_scan
+from laborlens.llm.spelling import op13_edit_composition
 from laborlens.llm.substring_dup import op5_paragraph_banding
 from laborlens.llm.token_counts import op3_count_viterbi
+from laborlens.llm.token_files import op12_fixed_size_lists
 from laborlens.llm.toxicity import op4_toxicity
 
 QUERIES = {
@@ -24,5 +26,8 @@ QUERIES = {
     "op8_min_max_hashing": op8_min_max_hashing,
     "op9_cost_packing": op9_cost_packing,
     "op10_locally_consistent": op10_locally_consistent,
+    "op11_trie_collocations": phrases.op11_trie_collocations,
+    "op12_fixed_size_lists": op12_fixed_size_lists,
+    "op13_edit_composition": op13_edit_composition,
 }
-SQL: dict[str, str] = {"op1_warc": warc.SQL}
+SQL: dict[str, str] = {"op1_warc": warc.SQL, "op11_trie_collocations": phrases.SQL}
