@@ -217,8 +217,8 @@ def near_words(words: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
 def _edited_at(rows: DataFrame, size: int) -> DataFrame:
     """Pairs that agree in exactly `size` symbols from their start: they meet by what is left without the next one."""
     without = F.expr(f"concat(substring(w, 1, {size}), substring(w, {size + 2}))")
-    keys = F.array(*(F.struct(key.alias("key"), lost.alias("lost"), "w", "n") for key, lost in ((F.col("w"), F.lit("")), (without, F.expr(f"substring(w, {size + 1}, 1)")))))
-    cut = rows.select("back", F.explode(keys).alias("e")).select("back", "e.*").filter((F.col("key") == F.col("w")) | (F.col("lost") != ""))
+    keys = F.array(*(F.struct(key.alias("key"), lost.alias("lost"), "w", "n") for key, lost in ((F.col("w"), F.lit(None).cast("string")), (without, F.expr(f"substring(w, {size + 1}, 1)")))))
+    cut = rows.select("back", F.explode(keys).alias("e")).select("back", "e.*").filter("lost is null or lost <> ''")
     met = cut.groupBy("back", "key").agg(F.collect_list(F.struct("lost", "w", "n")).alias("all")).filter(F.size("all") > 1)
     pairs = met.select("back", F.col("all"), F.explode("all").alias("x")).select("back", "x", F.explode("all").alias("y")).filter("x.w <> y.w")
     # a deletion counts only where the next symbol of the shorter word is another one
