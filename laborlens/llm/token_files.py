@@ -4,7 +4,7 @@ Documents in ascending order of id (nulls first) are tokenised, each followed by
 sequences of `length` ids. A file is an Arrow stream file (the random-access form, with a footer) of these columns:
 
 * ids   fixed_size_list<uint16>[length] (or another `kind`, for vocabularies above 65,536), padded with 0 in a file's last sequence only;
-* mask  fixed_size_list<uint8>[length], 1 for an id and 0 for padding;
+* mask  fixed_size_list<bool>[length], true for an id and false for padding; Arrow keeps it as bits;
 * doc_id, doc_start, offset  lists with an entry for each document of the sequence: its id, its ids before this sequence, where it begins here.
 
 Every batch but a file's last holds BATCH sequences, and both list columns have one flat buffer of equal steps, so sequence k of a file is
@@ -26,16 +26,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from laborlens.llm.common import fresh_path, slices, stored, table
+from laborlens.llm.common import drop_path, fresh_path, slices, stored, table
 from laborlens.llm.packing import word_ids
 
 LENGTH = 2048
 END_ID = 2
-FILE_TOKENS = 1 << 24
+FILE_TOKENS = 1 << 22
 BATCH = 256
 MAGIC = b"ARROW1"
 
@@ -46,8 +47,8 @@ def arrow_file(ids: np.ndarray, docs: list, doc_type: pa.DataType, lengths: np.n
     rows = -(-len(ids) // length)
     flat = np.zeros(rows * length, ids.dtype)
     flat[: len(ids)] = ids
-    mask = np.zeros(rows * length, np.uint8)
-    mask[: len(ids)] = 1
+    mask = np.zeros(rows * length, bool)
+    mask[: len(ids)] = True
     # one entry for each sequence that a document reaches into
     ends = np.cumsum(lengths)
     begins = ends - lengths
@@ -133,7 +134,7 @@ def _documents(file: pa.ipc.RecordBatchFileReader) -> pa.RecordBatch:
         batch = file.get_batch(k)
         length = batch.schema.field("ids").type.list_size
         ids = batch.column("ids").flatten().to_numpy(zero_copy_only=True)
-        full = int(batch.column("mask").flatten().to_numpy(zero_copy_only=True).sum())
+        full = pc.sum(batch.column("mask").flatten()).as_py()
         docs, starts, offsets = (batch.column(c) for c in ("doc_id", "doc_start", "offset"))
         rows = np.repeat(np.arange(batch.num_rows), np.diff(offsets.offsets.to_numpy()))
         at = rows * length + offsets.flatten().to_numpy()
@@ -156,11 +157,12 @@ def _documents(file: pa.ipc.RecordBatchFileReader) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(names, kind), *(pa.array(x, pa.int64()) for x in longs)], names=["doc_id", "shard", "part", "place", "n_tokens", "ids_crc32"])
 
 
-def sequence(file: pa.ipc.RecordBatchFileReader, k: int) -> tuple[np.ndarray, np.ndarray]:
+def sequence(file: pa.ipc.RecordBatchFileReader, k: int) -> tuple[np.ndarray, pa.BooleanArray]:
     """Ids and mask of sequence k of an opened file, as views of it."""
     batch, row = file.get_batch(k // BATCH), k % BATCH
     length = batch.schema.field("ids").type.list_size
-    return tuple(batch.column(c).flatten().to_numpy(zero_copy_only=True)[row * length : (row + 1) * length] for c in ("ids", "mask"))
+    ids, mask = (batch.column(c).flatten().slice(row * length, length) for c in ("ids", "mask"))
+    return ids.to_numpy(zero_copy_only=True), mask
 
 
 def with_starts(read: DataFrame) -> DataFrame:
@@ -176,4 +178,6 @@ def with_starts(read: DataFrame) -> DataFrame:
 def op12_fixed_size_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "token-files")
     write_files(table(spark, sf_dir, "documents"), path)
-    return with_starts(stored(read_files(spark, path), "token-rows")).select("doc_id", "start", "n_tokens", "ids_crc32")
+    read = stored(read_files(spark, path), "token-rows")
+    drop_path(spark, path)
+    return with_starts(read).select("doc_id", "start", "n_tokens", "ids_crc32")
