@@ -174,7 +174,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = labels.filter(F.lit(True) if usable is None else usable).select(F.col(id_col).cast("bigint").alias("id"), F.col(label_col).cast("int").alias("toxic"))
     known = known.filter("id is not null and toxic in (0, 1)").groupBy("id").agg(F.max("toxic").alias("toxic"))
     known = known.orderBy(F.xxhash64("id"), "id").limit(MAX_LABELLED)
-    labelled = stored(rows.join(F.broadcast(known), "id").select("id", "toxic", "text"), "op4-labelled")
+    # an id may be repeated: of its rows each text counts once, and the bound holds for rows
+    labelled = rows.join(F.broadcast(known), "id").select("id", "toxic", "text").distinct()
+    labelled = stored(labelled.orderBy(F.xxhash64("id", "text"), "id", "text").limit(MAX_LABELLED), "op4-labelled")
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1024):
