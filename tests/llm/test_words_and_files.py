@@ -55,8 +55,8 @@ def plain_collocations(rows, least, longest, covered=50):
 
 @pytest.mark.parametrize(("least", "longest", "block"), [(10, 3, 1 << 19), (3, 4, 40)])
 def test_collocations_equal_a_plain_version(spark, least, longest, block, monkeypatch):
-    monkeypatch.setattr(phrases, "WORDS", 500)
-    monkeypatch.setattr(phrases, "HELD", 40 if least == 3 else phrases.HELD)
+    for name, n in (("WORDS", 500), ("SHARD", 700), ("HELD", 40), ("CHUNKS", 3000)) if least == 3 else ():
+        monkeypatch.setattr(phrases, name, n)
     rows = odd_rows()
     got = phrases.mine(frame(spark, rows), least=least, longest=longest, block=block).collect()
     want = plain_collocations(rows, least, longest)
