@@ -9,12 +9,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from laborlens.operators.filters import active
+from laborlens.operators.filters import active, within
 from laborlens.operators.running import median
+from laborlens.session import stored
 
 #: Lower bounds of the salary histogram's ranges; the last one is open.
 SALARY_BOUNDS = (0, 30_000, 50_000, 70_000, 90_000, 120_000, 150_000, 200_000)
 REQUEST_SAMPLES = 1000
+#: The most rows and days that a question may ask for.
+MOST_ROWS, MOST_DAYS = 100, 365
 
 
 def share(part: Column, whole: Column) -> Column:
@@ -28,6 +31,7 @@ def mean(column: str) -> Column:
 
 def ranked(counts: DataFrame, key: str, limit: int) -> DataFrame:
     """The largest counts with their share of what is returned. The window sees at most `limit` rows."""
+    within("limit", limit, 1, MOST_ROWS)
     top = counts.orderBy(F.desc("count"), F.asc_nulls_first(key)).limit(limit)
     return top.withColumn("percentage", share(F.col("count"), F.sum("count").over(Window.partitionBy(F.lit(1)))))
 
@@ -70,11 +74,12 @@ def salary_by(jobs: DataFrame, key: str, name: str, limit: int | None = 10) -> D
         (F.sum(F.col("salary_min") + F.col("salary_max")).cast("double") / (2 * F.count("*"))).alias("avg_salary"), F.count("*").alias("job_count"),
         F.min("salary_min").cast("double").alias("min_salary"), F.max("salary_max").cast("double").alias("max_salary"),
     )
-    return out if limit is None else out.orderBy(F.desc("job_count"), name).limit(limit)
+    return out if limit is None else out.orderBy(F.desc("job_count"), name).limit(within("limit", limit, 1, MOST_ROWS))
 
 
 def posting_trend(jobs: DataFrame, as_of: str, days: int = 365) -> DataFrame:
     """Postings a day in the last days, with their running total."""
+    within("days", days, 1, MOST_DAYS)
     recent = active(jobs).filter(F.col("posted_date") >= F.lit(as_of).cast("timestamp") - F.make_interval(days=F.lit(days)))
     counts = recent.groupBy(F.to_date("posted_date").alias("day")).count()
     total = F.sum("count").over(Window.partitionBy(F.lit(1)).orderBy("day").rowsBetween(Window.unboundedPreceding, 0))
@@ -126,17 +131,27 @@ def overview(jobs: DataFrame, links: DataFrame, skills: DataFrame, as_of: str) -
 
 
 def dashboard_summary(jobs: DataFrame, links: DataFrame, skills: DataFrame, as_of: str) -> DataFrame:
-    """All parts of the summary page in long form: section, position, name, value."""
+    """All parts of the summary page in long form: section, position, name, value. Postings are written once, as all parts read them."""
+    jobs = stored(jobs.select("id", "company_name", "location", "employment_type", "posted_date", "salary_min", "salary_max", "salary_currency", "is_active", "is_deleted"), "jobs")
 
     def part(section: str, df: DataFrame, name: str, value: str) -> DataFrame:
         order = Window.partitionBy(F.lit(1)).orderBy(F.desc(value), F.asc_nulls_first(name))
         return df.select(F.lit(section).alias("section"), F.row_number().over(order).alias("position"), F.col(name).cast("string").alias("name"), F.col(value).cast("double").alias("value"))
 
-    recent = recent_jobs(jobs, as_of, 7, 2**31 - 1).agg(F.count("*").alias("value")).withColumn("name", F.lit("recent"))
-    total = active(jobs).agg(F.count("*").alias("value")).withColumn("name", F.lit("total"))
+    def rows(section: str, one: DataFrame, *names: str) -> DataFrame:
+        """The columns of a single row, each as a part."""
+        each = F.explode(F.array(*(F.struct(F.lit(k).alias("position"), F.lit(n).alias("name"), F.col(n).cast("double").alias("value")) for k, n in enumerate(names, 1))))
+        return one.select(each.alias("e")).select(F.lit(section).alias("section"), "e.*")
+
+    recent = F.col("posted_date") >= F.lit(as_of).cast("timestamp") - F.make_interval(days=F.lit(7))
+    shown = active(jobs).agg(F.count("*").alias("total"), F.count_if(recent).alias("recent"))
+    # unlike the rest, these are counted over all postings
+    different = jobs.agg(F.count_distinct("company_name").alias("companies"), F.count_distinct("location").alias("locations")).join(skills.agg(F.count("*").alias("skills")), F.lit(True))
+    pay = salary_stats(jobs)
     parts = [
-        part("total", total, "name", "value"), part("recent", recent, "name", "value"), part("skills", top_skills(jobs, links, skills), "skill", "count"),
+        rows("total", shown, "total"), rows("recent", shown, "recent"), rows("different", different, "companies", "locations", "skills"), part("skills", top_skills(jobs, links, skills), "skill", "count"),
         part("companies", top_by(jobs, "company_name", "company"), "company", "count"), part("locations", top_by(jobs, "location", "location"), "location", "count"),
+        rows("salary", pay, "avg_salary", "min_salary", "max_salary", "median_salary", "job_count"), part("currency", pay, "currency", "job_count"),
         part("employment", distribution(active(jobs), "employment_type", "employment_type"), "employment_type", "count"), part("trend", posting_trend(jobs, as_of, 30), "day", "count"),
     ]
     out = parts[0]

@@ -9,31 +9,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from laborlens.operators import dims
-from laborlens.operators.terms import mentions
+from laborlens.operators.terms import inside_words, mentions
+from laborlens.session import stored
 
+#: Weights of the fields, and what skills count more.
 FIELD_WEIGHTS = {"title": 0.5, "description": 0.25, "skills": 0.2}
-#: A keyword's further mentions count less, and the fourth no more.
+SKILLS_FACTOR = 1.5
+#: A keyword's further mentions count less, and the fourth no more; the most that one gives.
 DIMINISHING = (1.0, 0.5, 0.333)
 EVIDENCE_CAP = 15.0
 MINIMUM, MARGIN = 8.0, 3.0
 DEFAULT_PENALTY = 5.0
 
 
+#: These become spaces.
+PUNCTUATION = "!@$%^&*()=[]{}|;:'\",<>?"
+
+
 def normalize(column: str | Column) -> Column:
     """Lower case; punctuation but + # . - / becomes a space; spaces are squeezed."""
-    return F.trim(F.regexp_replace(F.translate(F.lower(F.coalesce(column, F.lit(""))), "!@$%^&*()=[]{}|;:'\",<>?", " " * 23), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.translate(F.lower(F.coalesce(column, F.lit(""))), PUNCTUATION, " " * len(PUNCTUATION)), r"\s+", " "))
 
 
 def normalized(posts: DataFrame) -> DataFrame:
-    """id and normalised fields; skills, where posts has them, is a list."""
-    skills = [normalize(F.array_join("skills", " ")).alias("skills")] if "skills" in posts.columns else []
+    """id and normalised fields; skills, where posts has them, is a list of names in lower case."""
+    skills = [F.transform(F.coalesce("skills", F.array().cast("array<string>")), lambda s: F.trim(F.lower(s))).alias("skills")] if "skills" in posts.columns else []
     return posts.select("id", normalize("title").alias("title"), normalize("description").alias("description"), *skills)
 
 
-#: A keyword with one of these may touch other words.
-SPECIAL = r"[+*?^$.\[\]{}()|/\\]"
-
-
 def keyword_dim(keywords: DataFrame, aliases: DataFrame) -> DataFrame:
     """(category, keyword, weight) with aliases(alias, canonical) put in place; weights that meet are added."""
     low = lambda c: F.trim(F.lower(c))
@@ -41,21 +44,30 @@ def keyword_dim(keywords: DataFrame, aliases: DataFrame) -> DataFrame:
     return named.groupBy("category", F.coalesce("canonical", "alias").alias("keyword")).agg(F.sum("weight").alias("weight"))
 
 
-def keyword_hits(texts: DataFrame, keywords: DataFrame) -> DataFrame:
-    """(id, source, keyword, n): mentions of each keyword in title, description and, where texts has them, skills of normalised texts."""
-    fields = [s for s in FIELD_WEIGHTS if s in texts.columns]
-    sources = texts.select("id", F.explode(F.array(*(F.struct(F.lit(s).alias("source"), F.col(s).alias("text")) for s in fields))).alias("s")).select("id", "s.*")
-    terms = keywords.select(F.lower("keyword").alias("term"))
-    special = F.col("term").rlike(SPECIAL)
-    found = mentions(sources, terms.filter(~special)).unionByName(mentions(sources, terms.filter(special), loose=True))
-    return found.groupBy("id", "source", F.col("term").alias("keyword")).agg(F.count("*").alias("n"))
+def keyword_hits(texts: DataFrame, keywords: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """(id, source, keyword, n): mentions of each keyword in title and description of normalised texts, and names in skills, where texts has
+    them, that are the keyword or its alias. A keyword of letters, digits and blanks is a whole term; another one may stand inside a word."""
+    sources = texts.select("id", F.explode(F.array(*(F.struct(F.lit(s).alias("source"), F.col(s).alias("text")) for s in ("title", "description") if s in texts.columns))).alias("s")).select("id", "s.*")
+    terms = keywords.select(F.lower("keyword").alias("term")).distinct().withColumn("inside", inside_words(F.col("term")))
+    found = mentions(sources, terms).select("id", "source", F.col("term").alias("keyword"), "n")
+    if "skills" in texts.columns:
+        named = texts.select("id", F.explode("skills").alias("alias"))
+        if aliases is not None:
+            named = named.join(aliases.select(F.trim(F.lower("alias")).alias("alias"), F.trim(F.lower("canonical")).alias("canonical")), "alias", "left")
+            named = named.select("id", F.coalesce("canonical", "alias").alias("alias"))
+        equal = named.join(terms.select(F.col("term").alias("alias")), "alias", "left_semi")
+        found = found.unionByName(equal.select("id", F.lit("skills").alias("source"), F.col("alias").alias("keyword"), F.lit(1).cast("bigint").alias("n")))
+    return found.groupBy("id", "source", "keyword").agg(F.sum("n").alias("n"))
 
 
 def field_weights(texts: DataFrame) -> DataFrame:
-    """(id, source, factor): weights of the fields that are there, scaled to add up to 1."""
-    have = F.filter(F.array(*(F.when(F.col(s) != "", F.struct(F.lit(s).alias("source"), F.lit(w).alias("w"))) for s, w in FIELD_WEIGHTS.items() if s in texts.columns)), lambda x: x.isNotNull())
-    rows = texts.select("id", have.alias("have")).withColumn("total", F.aggregate("have", F.lit(0.0), lambda a, x: a + x.w))
-    return rows.select("id", "total", F.explode("have").alias("h")).select("id", "h.source", (F.col("h.w") / F.col("total")).alias("factor"))
+    """(id, source, factor): weights of the fields that are there, scaled to add up to 1, which the three of them don't; skills count half as much again."""
+    given = lambda s: F.size(s) > 0 if s == "skills" else F.col(s) != ""
+    fields = {s: w for s, w in FIELD_WEIGHTS.items() if s in texts.columns}
+    have = F.array_compact(F.array(*(F.when(given(s), F.struct(F.lit(s).alias("source"), F.lit(w).alias("w"))) for s, w in fields.items())))
+    rows = texts.select("id", have.alias("have")).withColumn("total", F.when(F.size("have") == len(FIELD_WEIGHTS), 1.0).otherwise(F.aggregate("have", F.lit(0.0), lambda a, x: a + x.w)))
+    extra = F.when(F.col("h.source") == "skills", SKILLS_FACTOR).otherwise(1.0)
+    return rows.select("id", "total", F.explode("have").alias("h")).select("id", "h.source", (F.col("h.w") / F.col("total") * extra).alias("factor"))
 
 
 def evidence(hits: DataFrame, factors: DataFrame, keywords: DataFrame) -> DataFrame:
@@ -94,20 +106,54 @@ def boosted(scores: DataFrame, boost: DataFrame) -> DataFrame:
     return both.select("id", "category", (F.coalesce("score", F.lit(0.0)) + F.coalesce("boost", F.lit(0.0))).alias("score"))
 
 
-def less_negatives(scores: DataFrame, texts: DataFrame, negatives: DataFrame, keywords: DataFrame) -> DataFrame:
-    """Scores less the penalties of negative words that the text holds: the category's own weight of the word, else its penalty; not
-    below 0."""
+def penalties(texts: DataFrame, negatives: DataFrame, keywords: DataFrame) -> DataFrame:
+    """(id, category, keyword, penalty) of negative words that the text holds: the category's own weight of the word, else its penalty. A negative
+    word that is no keyword counts wherever it stands, also inside another one."""
     whole = texts.select("id", F.concat_ws(" ", "title", "description").alias("text"))
-    words = mentions(whole, negatives.select(F.lower("keyword").alias("term"))).select("id", F.col("term").alias("keyword")).distinct()
+    known = keywords.select("keyword").distinct().withColumn("known", F.lit(True))
+    terms = negatives.select(F.lower("keyword").alias("keyword")).distinct().join(known, "keyword", "left")
+    terms = terms.select(F.col("keyword").alias("term"), (inside_words(F.col("keyword")) | F.col("known").isNull()).alias("inside"))
+    words = mentions(whole, terms).select("id", F.col("term").alias("keyword")).distinct()
     own = keywords.select("category", "keyword", "weight")
-    held = words.join(negatives, "keyword").join(own, ["category", "keyword"], "left")
-    minus = held.groupBy("id", "category").agg(F.sum(F.coalesce("weight", "penalty")).alias("penalty"))
+    return words.join(negatives, "keyword").join(own, ["category", "keyword"], "left").select("id", "category", "keyword", F.coalesce("weight", "penalty").alias("penalty"))
+
+
+def less_negatives(scores: DataFrame, texts: DataFrame, negatives: DataFrame, keywords: DataFrame) -> DataFrame:
+    """Scores less the penalties(), not below 0."""
+    minus = penalties(texts, negatives, keywords).groupBy("id", "category").agg(F.sum("penalty").alias("penalty"))
     return scores.join(minus, ["id", "category"], "left").select("id", "category", F.greatest(F.col("score") - F.coalesce("penalty", F.lit(0.0)), F.lit(0.0)).alias("score"))
 
 
+#: Phrases that an explanation tells.
+PHRASES = 10
+
+
+def explanations(hits: DataFrame, texts: DataFrame, keywords: DataFrame, negatives: DataFrame, decided: DataFrame, titles: DataFrame) -> DataFrame:
+    """A row for each of decided(id, category): its category's keywords found with what they weigh (skills half as much again), heaviest first, at most
+    the cap; the first PHRASES phrases among them; negative words with their penalties; whether a title pattern matched."""
+    shares = hits.groupBy("id", "keyword").agg(F.bool_or(F.col("source") != "skills").alias("told"), F.sum(F.when(F.col("source") == "skills", F.col("n")).otherwise(0)).alias("named"))
+    held = decided.join(shares, "id").join(keywords, ["category", "keyword"])
+    text = F.when(F.col("told"), F.least("weight", F.lit(EVIDENCE_CAP))).otherwise(0.0)
+    held = held.select("id", "keyword", F.least(text + F.col("named") * F.least(F.col("weight") * SKILLS_FACTOR, F.lit(EVIDENCE_CAP)), F.lit(EVIDENCE_CAP)).alias("score"))
+    order = Window.partitionBy("id").orderBy(F.desc("score"), "keyword")
+    # descending scores, then ascending words
+    listed = lambda c, score: F.transform(F.sort_array(F.collect_list(F.struct((-F.col(score)).alias("m"), F.col(c).alias("keyword")))), lambda x: F.struct(x.keyword.alias("keyword"), (-x.m).alias("score")))
+    found = held.groupBy("id").agg(listed("keyword", "score").alias("keywords"))
+    phrases = held.filter("contains(keyword, ' ')").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= PHRASES)
+    phrases = phrases.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "keyword"))), lambda x: x.keyword).alias("phrases"))
+    minus = penalties(texts, negatives, keywords).join(decided, ["id", "category"]).groupBy("id").agg(listed("keyword", "penalty").alias("negatives"))
+    matched = titles.select("id").distinct().withColumn("matched", F.lit(True))
+    rows = decided.join(found, "id", "left").join(phrases, "id", "left").join(minus, "id", "left").join(matched, "id", "left")
+    none = F.array().cast("array<struct<keyword:string,score:double>>")
+    return rows.select(
+        "id", "category", F.coalesce("keywords", none).alias("keywords"), F.coalesce("phrases", F.array().cast("array<string>")).alias("phrases"),
+        F.coalesce("negatives", none).alias("negatives"), F.coalesce("matched", F.lit(False)).alias("title_pattern_matched"),
+    )
+
+
 def ranked(scores: DataFrame, categories: DataFrame, rank: str = "priority_rank") -> DataFrame:
     order = Window.partitionBy("id").orderBy(F.desc(F.round("score", 9)), F.asc_nulls_last(rank), "category")
-    return scores.join(F.broadcast(categories), "category", "left").withColumn("place", F.row_number().over(order))
+    return scores.join(categories, "category", "left").withColumn("place", F.row_number().over(order))
 
 
 def theoretical_maximum(keywords: DataFrame, patterns: list[tuple] = dims.PATTERNS) -> float:
@@ -133,24 +179,27 @@ def decisions(scores: DataFrame, categories: DataFrame, minimum: float = MINIMUM
 
 def final(posts: DataFrame, decided: DataFrame, strength: DataFrame, hits: DataFrame) -> DataFrame:
     """A strong title is tech in its pattern's category; otherwise the decision needs evidence outside the title, two keywords if the title
-    is but adjacent."""
+    is but adjacent. What isn't tech has no category."""
     outside = hits.filter("source <> 'title'").groupBy("id").agg(F.count_distinct("keyword").alias("outside"))
     rows = posts.select("id").join(decided, "id", "left").join(strength.select("id", "strength", F.col("category").alias("by_title")), "id", "left").join(outside, "id", "left")
     need = F.when(F.col("strength") == "adjacent", 2).otherwise(1)
     strong = F.coalesce(F.col("strength") == "strong", F.lit(False)) & F.col("by_title").isNotNull()
     tech = strong | (F.coalesce(F.col("outcome") == "SUCCESS", F.lit(False)) & (F.coalesce("outside", F.lit(0)) >= need))
-    category = F.when(strong, F.col("by_title")).when(tech, F.col("category")).otherwise("non_tech")
-    return rows.select("id", tech.alias("is_tech"), category.alias("category"), F.coalesce("outcome", F.lit("NO_CATEGORIES")).alias("outcome"), "ambiguity")
+    category = F.when(strong, F.col("by_title")).when(tech, F.col("category"))
+    return rows.select("id", tech.alias("is_tech"), category.alias("category"), F.coalesce("outcome", F.lit("NO_CATEGORIES")).alias("outcome"), "ambiguity", "score")
 
 
 def classify(posts: DataFrame, keywords: DataFrame, negatives: DataFrame, categories: DataFrame, aliases: DataFrame | None = None, patterns: list[tuple] = dims.PATTERNS) -> DataFrame:
-    """The whole chain."""
+    """(id, is_tech, category, outcome, ambiguity, tech_confidence): the whole chain. A posting that isn't tech has neither category nor confidence. Normalised
+    texts and mentions are written once, as several steps read them."""
     known = keywords if aliases is None else keyword_dim(keywords, aliases)
-    texts = normalized(posts)
-    hits = keyword_hits(texts, known)
+    texts = stored(normalized(posts), "texts")
+    hits = stored(keyword_hits(texts, known, aliases), "hits")
     matches = title_patterns(texts, patterns)
     scores = boosted(category_scores(evidence(hits, field_weights(texts), known)), title_boost(matches))
-    return final(posts, decisions(less_negatives(scores, texts, negatives, known), categories), title_strength(matches), hits)
+    done = final(posts, decisions(less_negatives(scores, texts, negatives, known), categories), title_strength(matches), hits)
+    sure = F.least(F.lit(1.0), F.coalesce("score", F.lit(0.0)) / F.lit(theoretical_maximum(known, patterns)))
+    return done.select("id", "is_tech", "category", "outcome", "ambiguity", F.when(F.col("is_tech"), sure).alias("tech_confidence"))
 
 
 def first_category(posts: DataFrame, keywords: DataFrame) -> DataFrame:
@@ -162,10 +211,20 @@ def first_category(posts: DataFrame, keywords: DataFrame) -> DataFrame:
     return posts.select("id").join(best, "id", "left").select("id", F.coalesce("category", F.lit("other")).alias("category"))
 
 
+#: Above the first a decision is ambiguous; from the second on it is a confident one.
+AMBIGUOUS, CONFIDENT = 0.5, 0.7
+
+
+def flags(decided: DataFrame) -> DataFrame:
+    """Adds is_ambiguous and high_confidence to rows with ambiguity and tech_confidence; nulls are neither."""
+    return decided.withColumns({"is_ambiguous": F.coalesce(F.round("ambiguity", 9) > AMBIGUOUS, F.lit(False)), "high_confidence": F.coalesce(F.round("tech_confidence", 9) >= CONFIDENT, F.lit(False))})
+
+
 def batch_summary(done: DataFrame) -> DataFrame:
-    n = F.count("*")
-    out = done.agg(n.alias("total"), F.count_if("is_tech").alias("tech"), F.count_if(F.col("ambiguity") > 0.5).alias("ambiguous"))
-    return out.select("*", F.when(F.col("total") == 0, 0.0).otherwise(F.col("tech") / F.col("total") * 100).alias("tech_percentage"))
+    """Counts and percentages of a batch of decisions."""
+    counts = {"tech": "is_tech", "ambiguous": "is_ambiguous", "confident": "high_confidence"}
+    out = flags(done).agg(F.count("*").alias("total"), *(F.count_if(c).alias(n) for n, c in counts.items()))
+    return out.select("*", *(F.when(F.col("total") == 0, 0.0).otherwise(F.col(n) / F.col("total") * 100).alias(f"{n}_percentage") for n in counts))
 
 
 def policy_thresholds(policies: DataFrame, overrides: DataFrame, categories: DataFrame) -> DataFrame:

@@ -6,16 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Pseudo-categories of function words that do occur in the test documents: category, keyword, weight, parent category.
 KEYWORDS = [
-    ("english", "the", 5.0), ("english", "and", 4.0), ("english", "that", 3.0), ("english", "of the", 6.0), ("english", "is", 2.0), ("english", "version 2.0", 3.0),
+    ("english", "the", 5.0), ("english", "and", 4.0), ("english", "that", 3.0), ("english", "of the", 6.0), ("english", "is", 2.0), ("english", "version 2.0", 3.0), ("english", "ing#", 2.5), ("english", "th.", 1.5),
     ("german", "der", 5.0), ("german", "und", 4.0), ("german", "die", 3.0), ("german", "ist", 3.0),
     ("french", "les", 5.0), ("french", "une", 4.0), ("french", "est", 3.0), ("french", "de la", 6.0),
-    ("spanish", "los", 5.0), ("spanish", "que", 4.0), ("spanish", "una", 4.0), ("spanish", "el", 2.0),
+    ("spanish", "los", 5.0), ("spanish", "que", 4.0), ("spanish", "una", 4.0), ("spanish", "el", 2.0), ("spanish", "ción", 1.5),
     ("roman", "la", 2.0), ("roman", "de", 2.0),
 ]
 #: category, parent, is_tech, place in the file, place in the order of priority.
 CATEGORIES = [("english", None, True, 1, 2), ("german", None, True, 2, 1), ("french", "roman", True, 3, 4), ("spanish", "roman", True, 4, 3), ("roman", None, False, 5, 5)]
 #: category, keyword, penalty.
-NEGATIVES = [("english", "und", 5.0), ("english", "les", 5.0), ("german", "the", 5.0), ("roman", "der", 5.0)]
+NEGATIVES = [("english", "und", 5.0), ("english", "les", 5.0), ("german", "the", 5.0), ("roman", "der", 5.0), ("french", "licen", 4.0), ("spanish", "apache license", 3.0)]
 
 
 def word(w: str) -> str:
@@ -39,7 +39,12 @@ OVERRIDES = [("default", "roman", 6.0, None), ("conservative", "english", None,
 COUNTRIES = {"china": "CN", "india": "IN", "japan": "JP", "france": "FR", "germany": "DE", "russia": "RU", "united states": "US", "united kingdom": "GB", "brazil": "BR", "canada": "CA", "us": "US", "uk": "GB"}
 COUNTRY_CURRENCY = {"US": "USD", "GB": "GBP", "CA": "CAD", "DE": "EUR", "FR": "EUR", "IN": "INR", "JP": "JPY", "CN": "CNY", "BR": "BRL"}
 USD = {"USD": 1.0, "EUR": 1.08, "GBP": 1.27, "CAD": 0.73, "INR": 0.012, "JPY": 0.0067, "CNY": 0.14, "BRL": 0.2}
-LANGUAGES = {"en": "English", "de": "German", "fr": "French", "es": "Spanish", "it": "Italian", "nl": "Dutch", "pt": "Portuguese"}
+#: code -> name, own name, icon.
+LANGUAGES = {
+    "en": ("English", "English", "🇬🇧"), "de": ("German", "Deutsch", "🇩🇪"), "fr": ("French", "Français", "🇫🇷"), "it": ("Italian", "Italiano", "🇮🇹"),
+    "nl": ("Dutch", "Nederlands", "🇳🇱"), "pt": ("Portuguese", "Português", "🇵🇹"),
+}
+UNKNOWN_ICON = "🌐"
 
 
 def keywords(spark: SparkSession) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -14,10 +15,12 @@ from laborlens.operators import dims
 from laborlens.operators.classify import classify
 from laborlens.operators.terms import mentions
 
-#: Gender suffixes of German titles.
+#: Fixed value: gender suffixes of German titles.
 SUFFIX = r"(?i)\s*[\(\[]\s*[mwdfx](\s*[/|]\s*[mwdfx])+\s*[\)\]]"
 #: Letters of a gram.
 GRAM = 3
+#: Most frequent grams of a label that are weighed, and labels that a profile may have.
+TOP_GRAMS, MOST_LABELS = 300, 500
 #: Grams that a task counts before it passes them on.
 COUNTED = 200_000
 
@@ -38,7 +41,7 @@ def _grams(text: str) -> set[str]:
 
 
 def language_profile(posts: DataFrame) -> DataFrame:
-    """(label, gram, n, share): in how many of a label's texts each trigram occurs."""
+    """(label, gram, n, total): in how many of a label's texts each trigram occurs, and how many texts the label has."""
     rows = posts.filter("language is not null").select(F.col("language").alias("label"), clean_for_language(F.col("title"), F.col("description")).alias("clean"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,30 +62,50 @@ def language_profile(posts: DataFrame) -> DataFrame:
 
     found = rows.mapInArrow(counted, "label string, gram string, n bigint").groupBy("label", "gram").agg(F.sum("n").alias("n"))
     totals = found.filter("gram = ''").select("label", F.col("n").alias("total"))
-    return found.filter("gram <> ''").join(totals, "label").select("label", "gram", "n", (F.col("n") / F.col("total")).alias("share"))
+    return found.filter("gram <> ''").join(totals, "label").select("label", "gram", "n", "total")
 
 
-def detect_language(posts: DataFrame, profile: DataFrame, top: int = 300) -> DataFrame:
-    """(id, detected): the label whose `top` most frequent trigrams weigh most in the text; short texts are 'en'. The profile's head, at
-    most `top` rows a label whatever the corpus, goes to the tasks, and each text is scored where it lies."""
+def language_weights(profile: DataFrame, top: int = TOP_GRAMS) -> DataFrame:
+    """(gram, label, weight): smoothed log-likelihoods, under every label, of the grams that are among the `top` most frequent of some label."""
     order = Window.partitionBy("label").orderBy(F.desc("n"), "gram")
-    head = profile.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= top).select("label", "gram", "share")
-    weights: dict[str, dict[str, float]] = {}
-    for r in head.collect():
-        weights.setdefault(r.label, {})[r.gram] = r.share
-
-    @F.pandas_udf("string")
-    def best(texts: pd.Series) -> pd.Series:
-        def of(text: str) -> str:
-            grams = _grams(text)
-            hits = {label: w.keys() & grams for label, w in weights.items()}
-            scores = [(round(sum(weights[label][g] for g in sorted(found)), 6), label) for label, found in hits.items() if found]
-            return max(scores)[1] if scores else "en"
-
-        return texts.map(of)
+    head = profile.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= top).select("gram").distinct()
+    labels = profile.select("label", "total").distinct()
+    if labels.count() > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels")
+    # at most MOST_LABELS rows for each of the head's grams
+    every = head.join(labels, F.lit(True)).join(profile.select("label", "gram", "n"), ["label", "gram"], "left")
+    return every.select("gram", "label", F.log((F.coalesce("n", F.lit(0)) + 1) / (F.col("total") + 2)).alias("weight"))
+
+
+def detect_language(posts: DataFrame, profile: DataFrame, top: int = TOP_GRAMS) -> DataFrame:
+    """(id, detected, confidence): the label under which the text's trigrams are likeliest, and its posterior where all labels are equally likely
+    beforehand. Short texts, and those without a known gram, are 'en' with a confidence of 0. The weights, at most `top` grams a label, go to the tasks, and
+    each text is scored where it lies."""
+    rows = language_weights(profile, top).collect()
+    labels = sorted({r.label for r in rows})
+    places = {label: k for k, label in enumerate(labels)}
+    number: dict[str, int] = {}
+    table = np.zeros((len({r.gram for r in rows}), max(1, len(labels))))
+    for r in rows:
+        table[number.setdefault(r.gram, len(number)), places[r.label]] = r.weight
+
+    @F.pandas_udf("label string, confidence double")
+    def best(texts: pd.Series) -> pd.DataFrame:
+        def of(text: str) -> tuple[str, float]:
+            found = sorted(number[g] for g in _grams(text) & number.keys())
+            if not found:
+                return "en", 0.0
+            # rounded, so that ties don't hang on the order of sums; the last label wins one
+            score = table[found].sum(axis=0).round(6)
+            k = len(labels) - 1 - int(score[::-1].argmax())
+            return labels[k], float(1 / np.exp(score - score[k]).sum())
+
+        return pd.DataFrame([of(t) for t in texts], columns=["label", "confidence"])
 
     rows = posts.select("id", F.coalesce(clean_for_language(F.col("title"), F.col("description")), F.lit("")).alias("clean"))
-    return rows.select("id", F.when(F.char_length("clean") < 5, "en").otherwise(best("clean")).alias("detected"))
+    short = F.char_length("clean") < 5
+    told = rows.select("id", short.alias("short"), best("clean").alias("b"))
+    return told.select("id", F.when(F.col("short"), "en").otherwise(F.col("b.label")).alias("detected"), F.when(F.col("short"), 0.0).otherwise(F.col("b.confidence")).alias("confidence"))
 
 
 def extract_skills(texts: DataFrame, terms: DataFrame) -> DataFrame:
@@ -124,28 +147,61 @@ def convert(amount: Column, given: Column, wanted: Column, rates: dict[str, floa
 
 
 def language_code(column: str) -> Column:
-    """First part of a tag in lower case; null is 'en'."""
-    return F.coalesce(F.split_part(F.regexp_replace(F.lower(F.trim(column)), "_", "-"), F.lit("-"), F.lit(1)), F.lit("en"))
+    """First part of a tag in lower case; null and empty are 'en'."""
+    given = F.nullif(F.col(column), F.lit(""))
+    return F.coalesce(F.split_part(F.regexp_replace(F.lower(F.trim(given)), "_", "-"), F.lit("-"), F.lit(1)), F.lit("en"))
+
+
+def language_info(column: str, languages: dict[str, tuple[str, str, str]] = dims.LANGUAGES) -> Column:
+    """(code, supported, name, native_name, badge) of a language's tag. What isn't supported goes by the tag as given."""
+    code = language_code(column)
+    known, given = lookup({k: v[0] for k, v in languages.items()}, code), F.coalesce(column, F.lit(""))
+    badge = F.concat_ws(" ", F.coalesce(lookup({k: v[2] for k, v in languages.items()}, code), F.lit(dims.UNKNOWN_ICON)), F.when(known.isNotNull(), F.upper(code)).otherwise(F.coalesce(F.nullif(F.upper(given), F.lit("")), F.lit("UNK"))))
+    native = lookup({k: v[1] for k, v in languages.items()}, code)
+    return F.struct(code.alias("code"), known.isNotNull().alias("supported"), F.coalesce(known, given).alias("name"), F.coalesce(native, given).alias("native_name"), badge.alias("badge"))
+
+
+def language_by_name(column: str, languages: dict[str, tuple[str, str, str]] = dims.LANGUAGES) -> Column:
+    """Code of a language's name in any case; null where none is known."""
+    return lookup({v[0].lower(): k for k, v in languages.items()}, F.lower(F.trim(column)))
 
 
 def find_technologies(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """(id, canonical, category, position): first mention of each canonical term, whatever its spellings. lexicon(term, canonical,
-    category); position: words and other characters before it."""
-    found = mentions(texts.select("id", "text"), lexicon.select(F.lower("term").alias("term"))).join(lexicon.withColumn("term", F.lower("term")), "term")
-    return found.groupBy("id", "canonical").agg(F.min("position").alias("position"), F.coalesce(F.min("category"), F.lit("unknown")).alias("category"))
+    """(id, term, canonical, category, start, end): first mention of each canonical term, whatever its spellings. Texts are read from the left; at each
+    place the longest term that stands there is taken, and what it covers holds no other. lexicon(term, canonical, category)."""
+    known = lexicon.withColumn("term", F.lower("term"))
+    found = mentions(texts.select("id", "text"), known.select("term"), longest=True).join(known, "term")
+    first = F.min_by(F.struct("term", "end"), F.struct("start", "end"))
+    best = found.groupBy("id", "canonical").agg(first.alias("f"), F.min("start").alias("start"), F.coalesce(F.min("category"), F.lit("unknown")).alias("category"))
+    return best.select("id", "f.term", "canonical", "category", "start", "f.end")
 
 
 def lexicon_stats(found: DataFrame) -> DataFrame:
     return found.groupBy("category").agg(F.count("*").alias("mentions"), F.count_distinct("canonical").alias("terms"), F.count_distinct("id").alias("postings"))
 
 
-def enrich_postings(posts: DataFrame, profile: DataFrame, terms: DataFrame, keywords: DataFrame, negatives: DataFrame, categories: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
-    """posts(id, title, description, location, currency, amount) with detected, skills, is_tech, category, country, currency and usd: all
-    steps of enrichment, each joined by id once. A posting without skills has an empty list."""
+#: A posting with more skills or more matched terms than these can't be enriched.
+MOST_SKILLS, MOST_TERMS = 50, 20
+
+
+def enrich_postings(
+    posts: DataFrame, profile: DataFrame, terms: DataFrame, keywords: DataFrame, negatives: DataFrame, categories: DataFrame, aliases: DataFrame | None = None,
+    lexicon: DataFrame | None = None, most_skills: int = MOST_SKILLS, most_terms: int = MOST_TERMS,
+) -> DataFrame:
+    """posts(id, title, description, location, currency, amount) with detected, language_confidence, skills, is_tech, category, tech_confidence, matched_terms, country, currency
+    and usd: all steps of enrichment, each joined by id once. A posting without skills has an empty list; one that isn't tech has neither category,
+    confidence nor matched terms. Postings with too many skills or terms are left out."""
     texts = posts.select("id", F.concat_ws(" ", "title", "description").alias("text"))
+    none = F.array().cast("array<string>")
     skills = extract_skills(texts, terms).groupBy("id").agg(F.sort_array(F.collect_list("skill")).alias("skills"))
-    scored = classify(posts, keywords, negatives, categories, aliases).select("id", "is_tech", "category")
+    scored = classify(posts, keywords, negatives, categories, aliases).select("id", "is_tech", "category", "tech_confidence")
     rows = posts.withColumn("country", country("location")).withColumn("currency", currency(F.col("currency"), F.col("country")))
     rows = rows.withColumn("usd", to_usd(F.col("amount"), F.col("currency")))
-    out = rows.join(detect_language(posts, profile), "id", "left").join(skills, "id", "left").join(scored, "id", "left")
-    return out.withColumn("skills", F.coalesce("skills", F.array().cast("array<string>")))
+    out = rows.join(detect_language(posts, profile).withColumnRenamed("confidence", "language_confidence"), "id", "left").join(skills, "id", "left").join(scored, "id", "left")
+    if lexicon is None:
+        out = out.withColumn("matched_terms", none)
+    else:
+        found = find_technologies(texts, lexicon).groupBy("id").agg(F.sort_array(F.collect_list("canonical")).alias("matched_terms"))
+        out = out.join(found, "id", "left")
+    out = out.withColumns({"skills": F.coalesce("skills", none), "matched_terms": F.when(F.col("is_tech"), F.coalesce("matched_terms", none)).otherwise(none)})
+    return out.filter((F.size("skills") <= most_skills) & (F.size("matched_terms") <= most_terms))

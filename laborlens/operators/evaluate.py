@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from laborlens.operators.running import with_running_sums
+from laborlens.session import stored
 
 
 def ratio(part: Column, whole: Column) -> Column:
@@ -30,8 +31,8 @@ def binary(rows: DataFrame) -> DataFrame:
 
 
 def by_score(rows: DataFrame) -> DataFrame:
-    """(score, pos, neg): what the curves need."""
-    return rows.groupBy("score").agg(F.count_if("is_tech").alias("pos"), F.count_if(~F.col("is_tech")).alias("neg"))
+    """(score, pos, neg): what the curves need; written once, as they read it several times."""
+    return stored(rows.groupBy("score").agg(F.count_if("is_tech").alias("pos"), F.count_if(~F.col("is_tech")).alias("neg")), "scores")
 
 
 def roc_auc(rows: DataFrame) -> DataFrame:
@@ -100,7 +101,44 @@ def report(rows: DataFrame, default: tuple[float, float] = (8.0, 3.0)) -> DataFr
     return out.withColumn("improvement", gain).withColumn("recommendation", F.when(gain > 0.02, "adopt").when(gain > 0.005, "slight").otherwise("keep"))
 
 
+def policy_hash(name: str | Column, minimum: Column, margin: Column) -> Column:
+    """Short fingerprint of a policy."""
+    return F.substring(F.md5(F.concat_ws("|", F.lit(name) if isinstance(name, str) else name, minimum.cast("string"), margin.cast("string"))), 1, 8)
+
+
+#: Measures that a report tells.
+MEASURES = ["tp", "fp", "fn", "tn", "precision", "recall", "f1", "accuracy", "specificity", "balanced_accuracy"]
+
+
+def report_document(rows: DataFrame, default: tuple[float, float] = (8.0, 3.0), metric: str = "f1") -> DataFrame:
+    """One nested row: size and classes of the data, the default policy and the best one with their measures, what the best one gains, and the reason that
+    most rows have. The grid is measured once."""
+    measured = stored(grid(rows), "grid")
+    policy = F.struct("tech_minimum", "minimum_margin").alias("policy")
+    metrics = F.struct(*MEASURES).alias("metrics")
+    of = lambda name: F.struct(policy, policy_hash(name, F.col("tech_minimum"), F.col("minimum_margin")).alias("policy_hash"), metrics)
+    old = measured.filter((F.col("tech_minimum") == default[0]) & (F.col("minimum_margin") == default[1])).select(of("default").alias("default_policy"))
+    best = best_policy(measured, metric).select(of("best").alias("best_policy"))
+    size = rows.agg(F.count("*").alias("dataset_size"), F.struct(F.count_if("is_tech").alias("tech"), F.count_if(~F.coalesce("is_tech", F.lit(False))).alias("non_tech")).alias("class_distribution"))
+    top = reasons(rows).agg(F.min(F.struct((-F.col("count")).alias("n"), "reason")).alias("t")).select(F.struct(F.col("t.reason").alias("reason"), (-F.col("t.n")).alias("count")).alias("top_reason"))
+    tried = measured.agg(F.count("*").alias("total_combinations"))
+    out = size.join(old, F.lit(True)).join(best, F.lit(True)).join(top, F.lit(True)).join(tried, F.lit(True))
+    gain = F.struct(*(F.round(F.col(f"best_policy.metrics.{m}") - F.col(f"default_policy.metrics.{m}"), 9).alias(m) for m in ("f1", "precision", "recall")))
+    advice = F.when(F.col("gain.f1") > 0.02, "adopt").when(F.col("gain.f1") > 0.005, "slight").otherwise("keep")
+    out = out.withColumn("gain", gain)
+    return out.select(
+        "dataset_size", "class_distribution", "default_policy", F.struct("best_policy", F.lit(metric).alias("optimize_for"), "total_combinations").alias("optimization"),
+        F.struct(F.col("best_policy.policy").alias("recommended_policy"), F.col("gain").alias("improvement_over_default"), advice.alias("recommendation"), "top_reason").alias("recommendations"),
+    )
+
+
+def write_report(document: DataFrame, path: str) -> None:
+    """The report as a JSON document."""
+    document.coalesce(1).write.mode("errorifexists").json(path)
+
+
 def hashes(rows: DataFrame) -> DataFrame:
-    """Short fingerprint of a policy and cache key of a posting's content."""
-    policy = F.substring(F.md5(F.concat_ws("|", F.lit("default"), F.lit("8.0"), F.lit("3.0"))), 1, 8)
-    return rows.select("id", policy.alias("policy"), F.sha2(F.concat_ws("\x1f", F.lit("v1"), "title", "description"), 256).alias("cache_key"))
+    """Short fingerprint of a policy and cache key of a posting's content; skills count in any order."""
+    policy = policy_hash("default", F.lit(8.0), F.lit(3.0))
+    skills = [F.array_join(F.sort_array("skills"), ",")] if "skills" in rows.columns else []
+    return rows.select("id", policy.alias("policy"), F.sha2(F.concat_ws("\x1f", F.lit("v1"), "title", "description", *skills), 256).alias("cache_key"))

@@ -8,6 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def within(name: str, value: int, least: int, most: int) -> int:
+    """The value, where it lies in its bounds."""
+    if not least <= value <= most:
+        raise ValueError(f"{name} is {least} to {most}")
+    return value
+
+
 def active(jobs: DataFrame) -> DataFrame:
     """Postings that are shown: active and not deleted."""
     return jobs.filter("is_active and not is_deleted")
@@ -54,8 +61,9 @@ def search(
 
 def page(jobs: DataFrame, number: int, limit: int) -> DataFrame:
     """One page, newest first; postings without a date lead, as in the source system."""
-    if not 1 <= limit <= 100 or number < 1:
-        raise ValueError("limit is 1 to 100, pages begin at 1")
+    if number < 1:
+        raise ValueError("pages begin at 1")
+    within("limit", limit, 1, 100)
     return jobs.orderBy(F.desc_nulls_first("posted_date"), F.desc("id")).offset((number - 1) * limit).limit(limit)
 
 

@@ -1,16 +1,24 @@
-"""Idempotent load into the postings-skills star, retention and run log.
+"""Idempotent load into the postings-skills star, retention, run log and stage counts.
 
-Parquet has no MERGE: an upsert is a join and a rewrite, to a new path, never the one being read.
+Parquet has no MERGE: an upsert is a join and a rewrite, to a new path, never the one being read. sources/snapshots.py does that for the parts of
+a table that a batch touches.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 KEY = ["source_site", "source_id"]
-#: Columns that a later record overwrites.
-UPDATED = ["title", "company_name", "location", "salary_min", "salary_max", "salary_currency", "employment_type", "posted_date", "language", "is_tech_role", "technology_category", "country_code"]
+#: Columns that a later record overwrites, beside scraped_date, is_active and is_deleted, and what stands for null in them.
+UPDATED = [
+    "title", "description", "company_name", "location", "salary_min", "salary_max", "salary_currency", "source_url", "posted_date",
+    "technology_category", "is_tech_role", "country_code", "employment_type",
+]
+DEFAULTS = {"description": "", "company_name": "Unknown", "source_url": ""}
+STAMPS = [("scraped_date", T.TimestampType()), ("is_active", T.BooleanType()), ("is_deleted", T.BooleanType())]
 
 
 def last_per_key(incoming: DataFrame) -> DataFrame:
@@ -18,19 +26,46 @@ def last_per_key(incoming: DataFrame) -> DataFrame:
     return incoming.withColumn("rank", F.row_number().over(order)).filter("rank = 1").drop("rank")
 
 
-def upsert(existing: DataFrame, incoming: DataFrame, as_of: str) -> DataFrame:
-    """Existing rows with what came in; the id of a known posting stays, what came in is active again."""
-    new = last_per_key(incoming).select(*KEY, F.col("id").alias("new_id"), *(F.col(c).alias(f"new_{c}") for c in UPDATED))
-    both = existing.join(new, KEY, "full_outer")
-    came = F.col("new_id").isNotNull()
-    defaults = {"company_name": "Unknown"}
-    columns = [F.coalesce("id", "new_id").alias("id"), *KEY]
-    for c in UPDATED:
-        value = F.coalesce(F.col(f"new_{c}"), F.lit(defaults[c])) if c in defaults else F.col(f"new_{c}")
-        columns.append(F.when(came, value).otherwise(F.col(c)).alias(c))
-    now = F.lit(as_of).cast("timestamp")
-    columns += [F.when(came, now).otherwise(F.col("scraped_date")).alias("scraped_date"), (came | F.col("is_active")).alias("is_active"), (~came & F.col("is_deleted")).alias("is_deleted")]
-    return both.select(*columns)
+def posting_schema(rows: DataFrame) -> T.StructType:
+    """Columns of a table of such postings: the rows' own and the stamps of a load."""
+    stamps = dict(STAMPS)
+    return T.StructType([*(f for f in rows.schema if f.name not in stamps), *(T.StructField(n, t) for n, t in STAMPS)])
+
+
+def upsert(existing: DataFrame, incoming: DataFrame, as_of: str, flag: str | None = None) -> DataFrame:
+    """Existing rows with what came in, the last arrival of each key. The id of a known posting and all columns but UPDATED stay; what came in is active
+    again and seen at as_of. Columns are those of the existing rows; flag: one more that tells rows of new keys."""
+    rows = last_per_key(incoming) if "arrival" in incoming.columns else incoming
+    stamps = dict(STAMPS)
+    own = [c for c in rows.columns if c in existing.columns and c not in {*KEY, *stamps}]
+    new = rows.select(*KEY, F.lit(True).alias("came"), *(F.col(c).alias(f"new_{c}") for c in own))
+    both = existing.withColumn("known", F.lit(True)).join(new, KEY, "full_outer")
+    came, known = F.coalesce("came", F.lit(False)), F.coalesce("known", F.lit(False))
+    told = {"scraped_date": F.when(came, F.lit(as_of).cast("timestamp")).otherwise(F.col("scraped_date")), "is_active": came | F.col("is_active"), "is_deleted": ~came & F.col("is_deleted")}
+
+    def value(c: str) -> Column:
+        if c in stamps or c in KEY or c not in own:
+            return told.get(c, F.col(c))
+        given = F.coalesce(F.col(f"new_{c}"), F.lit(DEFAULTS[c])) if c in DEFAULTS else F.col(f"new_{c}")
+        return F.when(came if c in UPDATED else ~known, given).otherwise(F.col(c))
+
+    return both.select(*(value(c).alias(c) for c in existing.columns), *([(~known).alias(flag)] if flag else []))
+
+
+def counted(seen: Observation, name: str) -> int:
+    """A count of observed(), after its rows were written. Where Spark finds beforehand that there are no rows, it takes what would count them out of the plan."""
+    try:
+        return seen.get[name]
+    except Py4JJavaError as none:
+        if "AssertionError" not in str(none.java_exception):
+            raise
+        return 0
+
+
+def observed(rows: DataFrame, name: str, **counts: Column) -> tuple[DataFrame, Observation]:
+    """Rows that are counted as they pass, so that a stage needs no pass of its own to be counted."""
+    seen = Observation(name)
+    return rows.observe(seen, *(c.alias(n) for n, c in counts.items())), seen
 
 
 def load_counts(existing: DataFrame, incoming: DataFrame) -> DataFrame:

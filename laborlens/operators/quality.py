@@ -55,9 +55,9 @@ def field_rules(rows: DataFrame) -> DataFrame:
 
 
 def consistency(rows: DataFrame) -> DataFrame:
-    """A tech posting has a category and a confidence, another one has no category."""
+    """A tech posting has a category and a confidence, another one has neither, nor matched terms."""
     tech = F.col("is_tech_role") & (F.col("technology_category").isNull() | F.col("tech_confidence").isNull())
-    other = ~F.col("is_tech_role") & F.col("technology_category").isNotNull()
+    other = ~F.col("is_tech_role") & (F.col("technology_category").isNotNull() | F.col("tech_confidence").isNotNull() | (F.coalesce(F.size("matched_terms"), F.lit(0)) > 0))
     return rows.withColumn("consistent", ~(tech | other))
 
 
@@ -72,12 +72,30 @@ def batch_counts(validated: DataFrame) -> DataFrame:
     return validated.agg(F.count("*").alias("total"), F.count_if("valid").alias("passed"), F.count_if(~F.col("valid")).alias("rejected"))
 
 
-def strict_violations(rows: DataFrame) -> DataFrame:
-    """One row for each rule that a row breaks under the strict rules."""
-    tests = required_tests() | {
+def strict_tests() -> dict[str, Column]:
+    return required_tests() | {
         "salary_min": F.col("salary_min") < 0, "salary_max": F.col("salary_max") < 0, "salary_order": F.col("salary_min") > F.col("salary_max"), "url": ~F.col("source_url").rlike("^https?://[^ ]+$"),
     }
-    return rows.select("id", F.explode(reasons(tests)).alias("rule"))
+
+
+def strict_violations(rows: DataFrame) -> DataFrame:
+    """One row for each rule that a row breaks under the strict rules."""
+    return rows.select("id", F.explode(reasons(strict_tests())).alias("rule"))
+
+
+class BatchRefused(ValueError):
+    """A batch with rows that break the strict rules. broken: how many rows break each rule."""
+
+    def __init__(self, broken: dict[str, int]):
+        super().__init__(", ".join(f"{rule}: {n}" for rule, n in sorted(broken.items())))
+        self.broken = broken
+
+
+def require_strict(rows: DataFrame) -> None:
+    """Raises BatchRefused where any row breaks a strict rule; one aggregated pass."""
+    counts = rows.agg(*(F.count_if(test).alias(rule) for rule, test in strict_tests().items())).first().asDict()
+    if broken := {rule: n for rule, n in counts.items() if n}:
+        raise BatchRefused(broken)
 
 
 def constraint_violations(rows: DataFrame) -> DataFrame:

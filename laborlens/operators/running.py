@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from laborlens.session import stored
+
 #: Ranges that the values are cut into, at approximate quantiles.
 RANGES = 256
 
@@ -25,7 +27,7 @@ def with_running_sums(rows: DataFrame, by: str, columns: list[str]) -> DataFrame
 
 def median(rows: DataFrame, value: Column) -> DataFrame:
     """One row, median: the exact middle of the values that aren't null, null if there are none. Equal values are counted first."""
-    counts = rows.select(value.cast("double").alias("v")).filter("v is not null").groupBy("v").agg(F.count("*").alias("n"))
+    counts = stored(rows.select(value.cast("double").alias("v")).filter("v is not null").groupBy("v").agg(F.count("*").alias("n")), "values")
     upto = with_running_sums(counts, "v", ["n"])
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
     middle = upto.join(total, F.lit(True)).filter("upto_n >= (total + 1) div 2 and upto_n - n < total div 2 + 1")

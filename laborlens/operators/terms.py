@@ -1,42 +1,166 @@
-"""Whole-term matching: dictionary terms of words and symbols (c++, node.js, machine learning) in texts.
+"""Dictionary terms of words and symbols (c++, node.js, machine learning) in texts.
 
-Text and terms are cut alike into words and single other characters. A term of n tokens is looked up among all runs of n tokens by one
-equality join, so that cost follows the text and not the dictionary, and the dictionary may be of any size.
+Each text is read once by an automaton of the terms (a trie with failure links), inside Arrow batches, so that nothing but mentions leaves a
+task and cost follows the text and not the dictionary. The dictionary goes to the tasks in blocks of at most BLOCK terms, one pass each; a
+dictionary of any size is therefore bounded in what is broadcast and in what a worker holds.
+
+A mention isn't part of a larger word: no word character stands beside it. Terms marked `inside` may stand anywhere. Mentions of one term don't overlap.
 """
 
 from __future__ import annotations
 
+import functools
+import unicodedata
+from collections.abc import Callable, Iterator
+
+import ahocorasick
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from laborlens.session import stored
+
+#: Terms of one automaton: some 50 MB of a worker's memory.
+BLOCK = 200_000
+#: Texts that are turned into Python objects at once.
+ROWS = 512
+
+#: Fixed value: terms of anything but letters A to Z, digits and blanks may stand inside a word.
+PLAIN = r"^[a-zA-Z0-9\s]+$"
+
+Span = tuple[int, int, str]
+
+
+def is_word(c: str) -> bool:
+    return c.isalnum() or c == "_" or (c > "˿" and unicodedata.category(c)[0] == "M")
+
+
+@functools.lru_cache(maxsize=4)
+def _automaton(terms: tuple[tuple[str, bool], ...]) -> ahocorasick.Automaton:
+    out = ahocorasick.Automaton()
+    for term, inside in terms:
+        out.add_word(term, (term, inside))
+    out.make_automaton()
+    return out
+
+
+def spans(terms: tuple[tuple[str, bool], ...], text: str) -> Iterator[Span]:
+    """(start, end, term) of every place where a term may stand, by end."""
+    n = len(text)
+    for last, (term, inside) in _automaton(terms).iter(text):
+        start, end = last + 1 - len(term), last + 1
+        if inside or not ((start and is_word(text[start - 1])) or (end < n and is_word(text[end]))):
+            yield start, end, term
+
+
+def apart(found: Iterator[Span]) -> Iterator[Span]:
+    """Of mentions of one term that overlap, the first."""
+    free: dict[str, int] = {}
+    for start, end, term in sorted(found):
+        if start >= free.get(term, 0):
+            free[term] = end
+            yield start, end, term
+
 
-WORD = r"[\p{L}\p{N}\p{M}_]"
-TOKEN = rf"{WORD}+|[^\p{{L}}\p{{N}}\p{{M}}_]"
+def leftmost_longest(found: Iterator[Span]) -> Iterator[Span]:
+    """The longest term at the first place where one stands, and on from behind it."""
+    free = 0
+    for start, end, term in sorted(found, key=lambda s: (s[0], -s[1])):
+        if start >= free:
+            free = end
+            yield start, end, term
 
 
-def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+def _blocks(terms: DataFrame, block: int) -> Iterator[Broadcast]:
+    """The dictionary in bounded parts."""
+    inside = F.col("inside") if "inside" in terms.columns else F.lit(False)
+    known = terms.select("term", inside.alias("inside")).filter("term <> '' and term = trim(term)").groupBy("term").agg(F.bool_or("inside").alias("inside"))
+    n = -(-known.count() // block)
+    dealt = known.withColumn("block", F.pmod(F.xxhash64("term"), F.lit(max(n, 1))))
+    for k in range(n):
+        part = dealt.filter(F.col("block") == k).select("term", "inside").collect()
+        if part:
+            yield terms.sparkSession.sparkContext.broadcast(tuple(sorted((r.term, bool(r.inside)) for r in part)))
 
 
-def mentions(texts: DataFrame, terms: DataFrame, loose: bool = False) -> DataFrame:
-    """(id, term, position) of every mention: texts(id, ..., text), terms(term in lower case). position: tokens before it. A mention isn't part of a
-    larger word; loose: terms that begin or end with a symbol may touch words."""
-    sizes = terms.select(F.col("term"), F.size(tokens(F.col("term"))).alias("size")).filter("size > 0").distinct()
-    runs = [r["size"] for r in sizes.select("size").distinct().orderBy("size").collect()]
+def _told(keys: pa.RecordBatch, found: list[list[Span]], names: list[str]) -> pa.RecordBatch:
+    """A row for each text and term: how often it stands there, and the first place."""
+    rows, told = [], []
+    for k, mentions_of in enumerate(found):
+        firsts: dict[str, list[int]] = {}
+        for start, end, term in mentions_of:
+            firsts.setdefault(term, [start, end, 0])[2] += 1
+        rows += [k] * len(firsts)
+        told += [(term, *v) for term, v in firsts.items()]
+    held = keys.take(pa.array(rows, pa.int64()))
+    columns = [pa.array([t[i] for t in told], kind) for i, kind in ((0, pa.string()), (3, pa.int64()), (1, pa.int32()), (2, pa.int32()))]
+    return pa.RecordBatch.from_arrays([*held.columns, *columns], names=[*names, "term", "n", "start", "end"])
+
+
+def mentions(texts: DataFrame, terms: DataFrame, longest: bool = False, block: int = BLOCK) -> DataFrame:
+    """(..., term, n, start, end): a row for each text and term that stands in it, how often, and where first, in code points of the text in lower case.
+    texts(..., text), terms(term in lower case, perhaps inside boolean). longest: where terms overlap, only the longest of the leftmost counts."""
     keys = [c for c in texts.columns if c != "text"]
-    cut = texts.select(*keys, tokens(F.col("text")).alias("t"))
-    word = lambda x: F.coalesce(x.rlike(WORD), F.lit(False))
-
-    def grams(n: int) -> Column:
-        def gram(first: Column, i: Column) -> Column:
-            last = F.get("t", i + n - 1)
-            whole = F.lit(True) if loose else ~(word(F.get("t", i + n)) & ~word(last)) & ~(word(F.get("t", i - 1)) & ~word(first))
-            return F.struct(F.lit(n).alias("size"), i.alias("position"), F.array_join(F.slice("t", i + 1, n), "").alias("term"), whole.alias("whole"))
-
-        some = F.transform("t", gram)
-        return F.filter(some, lambda g: g.whole & (g.term.rlike(r"^\S$|\S.*\S") if n > 1 else g.term.rlike(r"\S")) & (g.position <= F.size("t") - n))
-
-    none = cut.limit(0).select(*keys, F.lit("").alias("term"), F.lit(0).alias("position"))
-    if not runs:
-        return none
-    found = cut.select(*keys, F.explode(F.flatten(F.array(*(grams(n) for n in runs)))).alias("g")).select(*keys, "g.*")
-    return found.join(sizes, ["term", "size"]).select(*keys, "term", "position")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.select(*keys).schema)
+    rows = texts.select(*keys, F.coalesce(F.lower("text"), F.lit("")).alias("text"))
+    blocks = _blocks(terms, block)
+    if longest:
+        return _longest(rows, keys, kinds, list(blocks))
+    out = None
+    for shared in blocks:
+        found = rows.mapInArrow(_matcher(keys, lambda text, known: list(apart(spans(known, text))), shared), f"{kinds}, term string, n bigint, start int, end int")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return rows.limit(0).select(*keys, F.lit("").alias("term"), F.lit(0).cast("bigint").alias("n"), F.lit(0).alias("start"), F.lit(0).alias("end"))
+    return out
+
+
+def _matcher(keys: list[str], find: Callable, shared: Broadcast) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for whole in batches:
+            for i in range(0, whole.num_rows, ROWS):
+                b = whole.slice(i, ROWS)
+                found = [find(text, known) for text in b.column("text").to_pylist()]
+                yield _told(b.select(keys), found, keys)
+
+    return run
+
+
+SPANS = "array<struct<start:int,end:int,term:string>>"
+
+
+def _longest(rows: DataFrame, keys: list[str], kinds: str, blocks: list[Broadcast]) -> DataFrame:
+    """With one block in one go. With more, each block's places are kept beside the text, and the last pass chooses among them."""
+    told = f"{kinds}, term string, n bigint, start int, end int"
+    if len(blocks) == 1:
+        return rows.mapInArrow(_matcher(keys, lambda text, known: list(leftmost_longest(spans(known, text))), blocks[0]), told)
+    held = rows.withColumn("spans", F.lit(None).cast(SPANS))
+    kind = to_arrow_type(held.schema["spans"].dataType)
+    for shared in blocks:
+
+        def add(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
+            known = shared.value
+            for whole in batches:
+                for i in range(0, whole.num_rows, ROWS):
+                    b = whole.slice(i, ROWS)
+                    more = [[*(before or []), *({"start": s, "end": e, "term": t} for s, e, t in spans(known, text))] for text, before in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(more, kind)], names=b.schema.names)
+
+        held = stored(held.mapInArrow(add, f"{kinds}, text string, spans {SPANS}"), "spans")
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, ROWS):
+                b = whole.slice(i, ROWS)
+                found = [list(leftmost_longest((x["start"], x["end"], x["term"]) for x in row or [])) for row in b.column("spans").to_pylist()]
+                yield _told(b.select(keys), found, keys)
+
+    return held.drop("text").mapInArrow(choose, told)
+
+
+def inside_words(term: Column) -> Column:
+    """Whether a term may stand inside a word."""
+    return ~term.rlike(PLAIN)

@@ -16,8 +16,9 @@ EMPLOYMENT_TYPES = (
 ACQUISITION = ("acquisition_tech_intent", "acquisition_query", "acquisition_country", "acquisition_mode", "acquisition_batch")
 
 
-def field(path: str) -> Column:
-    return F.get_json_object("raw", f"$.{path}")
+def field(path: str, kind: str = "string") -> Column:
+    """A field of the parsed record; null where it isn't there or isn't of that kind."""
+    return F.try_variant_get("record", f"$.{path}", kind)
 
 
 def shown_name(name: str) -> Column:
@@ -34,7 +35,7 @@ def label(name: str) -> Column:
 
 def salary(end: str) -> Column:
     """Nested amount if it is a number, else the top-level one; anything else is null."""
-    return F.coalesce(field(f"salary.{end}").try_cast("double"), field(f"salary_{end}").try_cast("double"))
+    return F.coalesce(field(f"salary.{end}", "double"), field(f"salary_{end}", "double"))
 
 
 def currency() -> Column:
@@ -65,8 +66,8 @@ def iso(text: Column) -> Column:
 
 
 def transform(raw: DataFrame, source: str, as_of: str) -> DataFrame:
-    """One row for each record that has an id and a title; `as_of` stands in where a posting has no date."""
-    out = raw.select(
+    """One row for each record that has an id and a title; `as_of` stands in where a posting has no date. A record is parsed once."""
+    out = raw.withColumn("record", F.try_parse_json("raw")).select(
         field("id").alias("source_id"), F.lit(source).alias("source_site"), field("title").alias("title"), F.coalesce(shown_name("company"), F.lit("Unknown")).alias("company_name"),
         F.coalesce(shown_name("location"), F.lit("")).alias("location"), salary("min").alias("salary_min"), salary("max").alias("salary_max"), currency().alias("salary_currency"),
         employment_type().alias("employment_type"), moment("created").alias("posted_date"), F.col("_source_country").alias("source_country"),

@@ -68,10 +68,13 @@ def _section(name: str, inner: str, key: str, value: str) -> str:
     return f"SELECT '{name}' AS section, CAST(row_number() OVER (ORDER BY {value} DESC, {key} ASC NULLS FIRST) AS INTEGER) AS position, CAST({key} AS VARCHAR) AS name, CAST({value} AS DOUBLE) AS value FROM ({inner})"
 
 
-DASHBOARD = WITH + " UNION ALL ".join(
+DASHBOARD = f"{WITH}, {STATS} " + " UNION ALL ".join(
     [
         _section("total", "SELECT 'total' AS k, count(*) AS v FROM act", "k", "v"),
         _section("recent", f"SELECT 'recent' AS k, count(*) AS v FROM act WHERE posted_date >= {T} - INTERVAL 7 DAY", "k", "v"),
+        "SELECT 'different' AS section, position, name, value FROM (SELECT 1 AS position, 'companies' AS name, CAST(count(DISTINCT company_name) AS DOUBLE) AS value FROM jobs UNION ALL SELECT 2, 'locations', count(DISTINCT location) FROM jobs UNION ALL SELECT 3, 'skills', count(*) FROM skills)",
+        "SELECT 'salary', position, name, value FROM (SELECT 1 AS position, 'avg_salary' AS name, CAST(avg_salary AS DOUBLE) AS value FROM stats UNION ALL SELECT 2, 'min_salary', min_salary FROM stats UNION ALL SELECT 3, 'max_salary', max_salary FROM stats UNION ALL SELECT 4, 'median_salary', median_salary FROM stats UNION ALL SELECT 5, 'job_count', job_count FROM stats)",
+        _section("currency", "SELECT currency AS k, job_count AS v FROM stats", "k", "v"),
         _section("skills", "SELECT name AS k, count(*) AS v FROM links JOIN act ON id = job_id JOIN skills USING (skill_id) GROUP BY 1 ORDER BY v DESC, k LIMIT 10", "k", "v"),
         _section("companies", "SELECT company_name AS k, count(*) AS v FROM act GROUP BY 1 ORDER BY v DESC, k LIMIT 10", "k", "v"),
         _section("locations", "SELECT location AS k, count(*) AS v FROM act GROUP BY 1 ORDER BY v DESC, k LIMIT 10", "k", "v"),

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from laborlens.operators import dims as D
 from laborlens.operators import enrich as E
-from laborlens.sources import files
+from laborlens.sources import files, snapshots
 from laborlens.session import shared_dir
 from laborlens.streaming import ingest
 from laborlens.plans.class_queries import FINAL
-from laborlens.plans.load_queries import COMPANY, CURRENCY, KIND, PAID, RAW
+from laborlens.plans.load_queries import COMPANY, CURRENCY, HELD, KIND, PAID, RAW, _known
 from laborlens.plans.views import AS_OF, JOBS, Views
 
 WITH = "WITH " + JOBS
@@ -52,9 +52,14 @@ def _landed(v: Views) -> str:
 
 
 def _ingested(v: Views) -> DataFrame:
-    table = _shared(v, "ingested")
-    ingest.ingest(v.spark, _landed(v), table, _shared(v, "checkpoint"), "feed", "xx", AS_OF)
-    return ingest.latest(v.spark, table).select("source_id", "company_name", "location", "salary_min", "salary_max", "salary_currency", "employment_type")
+    """Two runs over one landing folder: all records, then later ones of some keys."""
+    landing, path, checkpoint = _landed(v), _shared(v, "star"), _shared(v, "checkpoint")
+    for more in (False, True):
+        if more:
+            v.again.select("raw").write.mode("append").text(landing)
+        ingest.ingest(v.spark, landing, path, checkpoint, "feed", "xx", AS_OF, _known(v))
+    rows = snapshots.latest(v.spark, f"{path}/jobs", "source_id string, title string, company_name string, location string, salary_min double, salary_max double, salary_currency string, employment_type string, is_active boolean")
+    return rows.select("source_id", "title", "company_name", "location", "salary_min", "salary_max", "salary_currency", "employment_type", "is_active")
 
 
 def _stream(v: Views, df: DataFrame) -> DataFrame:
@@ -73,6 +78,16 @@ def _once(v: Views) -> DataFrame:
     return ingest.run_to_table(v.spark, ingest.once_per_key(_stream(v, e.unionByName(e)), "event_id", "ts", "40 days"), _shared(v, "once"), _shared(v, "checkpoint"), "append").select("event_id", "user_id")
 
 
+def _dictionary(v: Views) -> DataFrame:
+    """Skills of one maker a file, some as a list and some in an object; a path without files gives the built-in terms."""
+    path = _shared(v, "terms")
+    made = v.table("part").groupBy("p_brand").agg(F.collect_list("p_name").alias("skills"))
+    listed = F.col("p_brand").endswith("1")
+    made.filter(listed).select(F.to_json("skills")).write.option("maxRecordsPerFile", 1).text(path)
+    made.filter(~listed).select(F.to_json(F.struct("skills"))).write.option("maxRecordsPerFile", 1).mode("append").text(path)
+    return files.read_terms(v.spark, path).unionByName(files.read_terms(v.spark, f"{path}-none", ["Built In"]))
+
+
 def _labeled(v: Views) -> DataFrame:
     path = _shared(v, "labeled")
     rows = v.posts.select("title", "description", (F.col("id") % 2 == 0).alias("is_tech_role"), F.concat(F.lit("c"), (F.col("id") % 3).cast("string")).alias("expected_category"))
@@ -126,11 +141,12 @@ def _currencies(v: Views) -> DataFrame:
     return rows.withColumn("currency", E.currency(F.col("given"), F.col("country")))
 
 
+#: The detector learns from these rows, so that it can be judged by the others.
+LEARNT = "id % 5 <> 0"
 GRAMS = f"""WITH {POSTS}, cl AS (SELECT id, language AS label, {CLEAN} AS clean FROM posts),
 ch AS (SELECT id, label, lower(clean) AS t, string_split(lower(clean), '') AS l FROM cl),
 gr AS (SELECT id, label, unnest(CASE WHEN len(l) < 3 THEN [t] ELSE list_distinct(list_transform(range(1, len(l) - 1), lambda i: l[i] || l[i + 1] || l[i + 2])) END) AS gram FROM ch),
-pr AS (SELECT label, gram, count(*) AS n FROM gr WHERE label IS NOT NULL GROUP BY 1, 2), tt AS (SELECT label, count(*) AS total FROM cl WHERE label IS NOT NULL GROUP BY 1), sh AS (SELECT label, gram, n, CAST(n AS DOUBLE) / total AS share FROM pr JOIN tt USING (label))"""
-TOKEN = r"[\p{L}\p{N}\p{M}_]+|[^\p{L}\p{N}\p{M}_]"
+pr AS (SELECT label, gram, count(*) AS n FROM gr WHERE label IS NOT NULL AND {LEARNT} GROUP BY 1, 2), tt AS (SELECT label, count(*) AS total FROM cl WHERE label IS NOT NULL AND {LEARNT} GROUP BY 1), sh AS (SELECT label, gram, n, total FROM pr JOIN tt USING (label))"""
 TEXT = f"WITH {POSTS}, tx AS (SELECT id, lower(title || ' ' || description) AS t, lower(title) AS tt FROM posts)"
 
 
@@ -146,26 +162,40 @@ def _held(text: str) -> str:
     return " UNION ALL ".join(f"SELECT id, '{k}' AS skill FROM tx WHERE {_whole(text, k)}" for k in SKILLS)
 
 
-# one pattern for each term, so that it is compiled once
-MENTIONS = " UNION ALL ".join(
-    f"SELECT id, '{canonical}' AS canonical, CAST({'NULL' if category is None else repr(category)} AS VARCHAR) AS category, len(regexp_extract_all(regexp_extract(t, '(?s)^((?:.*?{WORD})??){_literal(term)}(?:{WORD}|$)', 1), '{TOKEN}')) AS position FROM tx WHERE {_whole('t', term)}"
-    for term, canonical, category in LEXICON
-)
-FOUND = f"{TEXT}, me AS ({MENTIONS}), fo AS (SELECT id, canonical, min(position) AS position, coalesce(min(category), 'unknown') AS category FROM me GROUP BY 1, 2)"
+def _doubled(text: str) -> str:
+    """Text with all that is no word character twice, so that neighbours need not share what parts them."""
+    return "".join(c if c.isalnum() or c == "_" else c + c for c in text)
+
+
+# one pattern of all terms, the longest first, as the first alternative that fits is taken; places are counted from what lies before
+TERMS = "|".join(_literal(_doubled(t)) for t in sorted((t for t, *_ in LEXICON), key=len, reverse=True))
+PATTERN = f"'(?s)(.*?{WORD})({TERMS}){WORD}'"
+_WORDS = lambda of: f"length(regexp_replace({of}, '{WORD}', '', 'g'))"
+FOUND = rf"""{TEXT}, dd AS (SELECT id, ' ' || regexp_replace(t, '({WORD})', '\1\1', 'g') || ' ' AS d FROM tx),
+le AS (SELECT * FROM {_values([(_doubled(t), t, c, k) for t, c, k in LEXICON])} v(doubled, term, canonical, category)),
+ma AS (SELECT id, unnest(range(len(a))) AS k, unnest(a) AS whole, unnest(g) AS gap, unnest(m) AS doubled FROM (SELECT id, regexp_extract_all(d, {PATTERN}, 0) AS a, regexp_extract_all(d, {PATTERN}, 1) AS g, regexp_extract_all(d, {PATTERN}, 2) AS m FROM dd)),
+wo AS (SELECT *, {_WORDS('whole')} AS ww, {_WORDS('gap')} AS gw FROM ma),
+pl AS (SELECT id, doubled, coalesce(sum(ww) OVER b, 0) + gw + (coalesce(sum(length(whole) - ww) OVER b, 0) + length(gap) - gw - 1) // 2 AS start FROM wo WINDOW b AS (PARTITION BY id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+me AS (SELECT id, term, canonical, category, start FROM pl JOIN le USING (doubled)),
+fo AS (SELECT id, canonical, first(term ORDER BY start) AS term, CAST(min(start) AS INTEGER) AS start, coalesce(min(category), 'unknown') AS category FROM me GROUP BY 1, 2)"""
 SK = f"{TEXT}, sk AS ({_held('t')})"
 
 
-LANG = f"""{GRAMS}, hd AS (SELECT label, gram, share FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY n DESC, gram) AS place FROM sh) WHERE place <= 300),
-sc AS (SELECT gr.id, hd.label, round(sum(share), 6) AS score FROM gr JOIN hd USING (gram) GROUP BY 1, 2), be AS (SELECT id, label FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, label DESC) AS k FROM sc) WHERE k = 1)
-SELECT cl.id, CASE WHEN length(clean) < 5 THEN 'en' ELSE coalesce(be.label, 'en') END AS detected FROM cl LEFT JOIN be USING (id)"""
+LANG = f"""{GRAMS}, hd AS (SELECT DISTINCT gram FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY n DESC, gram) AS place FROM sh) WHERE place <= 300),
+we AS (SELECT hd.gram, tt.label, ln((coalesce(sh.n, 0) + 1)::DOUBLE / (tt.total + 2)) AS weight FROM hd CROSS JOIN tt LEFT JOIN sh ON sh.gram = hd.gram AND sh.label = tt.label),
+sc AS (SELECT gr.id, we.label, round(sum(weight), 6) AS score FROM gr JOIN we USING (gram) GROUP BY 1, 2),
+po AS (SELECT id, label, 1 / sum(exp(least(o.score - sc.score, 700.0))) AS confidence, row_number() OVER (PARTITION BY id ORDER BY sc.score DESC, label DESC) AS k FROM sc JOIN (SELECT id, label AS other, score FROM sc) o USING (id) GROUP BY id, label, sc.score),
+be AS (SELECT id, label, confidence FROM po WHERE k = 1)
+SELECT cl.id, CASE WHEN length(clean) < 5 THEN 'en' ELSE coalesce(be.label, 'en') END AS detected, CASE WHEN length(clean) < 5 THEN 0.0 ELSE round(coalesce(be.confidence, 0), 6) END AS confidence FROM cl LEFT JOIN be USING (id)"""
 
 
 def _chain(v: Views) -> DataFrame:
     name = F.array(*map(F.lit, NAMES))[(F.col("id") % len(NAMES)).cast("int")]
     posts = v.posts.withColumn("location", F.concat(F.lit("Some City, "), name)).withColumn("currency", F.lit(None).cast("string")).withColumn("amount", F.char_length("description").cast("double"))
     s = v.spark
-    out = E.enrich_postings(posts, E.language_profile(v.posts), _terms(v), D.keywords(s), D.negatives(s), D.categories(s), D.aliases(s))
-    return out.select("id", "detected", F.array_join("skills", ",").alias("skills"), "is_tech", "category", "country", "currency", F.round("usd", 4).alias("usd"))
+    out = E.enrich_postings(posts, E.language_profile(v.posts.filter(LEARNT)), _terms(v), D.keywords(s), D.negatives(s), D.categories(s), D.aliases(s), _lexicon(v), most_skills=5)
+    told = [F.array_join(c, ",").alias(c) for c in ("skills", "matched_terms")]
+    return out.select("id", "detected", F.round("language_confidence", 6).alias("language_confidence"), *told, "is_tech", "category", F.round("tech_confidence", 6).alias("tech_confidence"), "country", "currency", F.round("usd", 4).alias("usd"))
 
 
 def _terms(v: Views) -> DataFrame:
@@ -178,9 +208,9 @@ def _lexicon(v: Views) -> DataFrame:
 
 ENTRIES = {
     "en_lang_clean": (lambda v: v.posts.select("id", F.md5(E.clean_for_language(F.col("title"), F.col("description"))).alias("digest")), f"WITH {POSTS} SELECT id, md5({CLEAN}) AS digest FROM posts"),
-    "en_lang_profile": (lambda v: E.language_profile(v.posts).select("label", "gram", "n", F.round("share", 6).alias("share")), f"{GRAMS} SELECT label, gram, n, round(share, 6) AS share FROM sh"),
+    "en_lang_profile": (lambda v: E.language_profile(v.posts.filter(LEARNT)), f"{GRAMS} SELECT label, gram, n, total FROM sh"),
     "en_lang_detect": (
-        lambda v: E.detect_language(v.posts, E.language_profile(v.posts)),
+        lambda v: E.detect_language(v.posts, E.language_profile(v.posts.filter(LEARNT))).select("id", "detected", F.round("confidence", 6).alias("confidence")),
         LANG,
     ),
     "en_skills": (lambda v: E.extract_skills(_texts(v), _terms(v)), f"{SK} SELECT id, skill FROM sk"),
@@ -197,18 +227,21 @@ ENTRIES = {
         f"{PLACES} SELECT id, round(amount * coalesce(CAST({_case(D.USD, 'currency')} AS DOUBLE) / {D.USD['EUR']}, 1.0), 4) AS euros FROM cu",
     ),
     "en_lang_code": (
-        lambda v: _places(v).select("id", E.language_code("tag").alias("code")).withColumn("name", E.lookup(D.LANGUAGES, F.col("code"))),
-        f"{PLACES} SELECT id, coalesce(split_part(replace(lower(tag), '_', '-'), '-', 1), 'en') AS code, {_case(D.LANGUAGES, chr(99) + 'oalesce(split_part(replace(lower(tag), chr(95), chr(45)), chr(45), 1), chr(101) || chr(110))')} AS name FROM cu",
+        lambda v: _places(v).select("id", E.language_info("tag").alias("i")).select("id", "i.*").withColumn("back", E.language_by_name("name")),
+        f"""{PLACES}, co2 AS (SELECT id, tag, coalesce(split_part(replace(lower(tag), '_', '-'), '-', 1), 'en') AS code FROM cu), la AS (SELECT * FROM {_values([(k, *v) for k, v in D.LANGUAGES.items()])} v(code, name, native, icon))
+SELECT id, co2.code, la.code IS NOT NULL AS supported, coalesce(name, tag, '') AS name, coalesce(native, tag, '') AS native_name, coalesce(icon, '{D.UNKNOWN_ICON}') || ' ' || CASE WHEN la.code IS NOT NULL THEN upper(co2.code) ELSE coalesce(upper(tag), 'UNK') END AS badge, la.code AS back FROM co2 LEFT JOIN la ON la.code = co2.code""",
     ),
-    "en_lexicon": (lambda v: E.find_technologies(_texts(v), _lexicon(v)), f"{FOUND} SELECT id, canonical, CAST(position AS INTEGER) AS position, category FROM fo"),
+    "en_lexicon": (lambda v: E.find_technologies(_texts(v), _lexicon(v)), f"{FOUND} SELECT id, term, canonical, category, start, start + CAST(length(term) AS INTEGER) AS \"end\" FROM fo"),
     "en_chain": (
         _chain,
-        f"""SELECT dt.id, detected, coalesce(skills, '') AS skills, is_tech, category, country, currency, round(usd, 4) AS usd FROM ({LANG}) dt
-LEFT JOIN ({SK} SELECT id, string_agg(skill, ',' ORDER BY skill) AS skills FROM sk GROUP BY 1) s USING (id) JOIN ({FINAL} SELECT id, is_tech, category FROM done) f USING (id)
-JOIN (SELECT *, length_ * CAST({_case(D.USD, 'currency')} AS DOUBLE) AS usd FROM (SELECT *, {_case(D.COUNTRY_CURRENCY, 'country')} AS currency FROM (SELECT doc_id AS id, CAST(length(text) AS DOUBLE) AS length_, {_case(D.COUNTRIES, f"lower([{', '.join(repr(n) for n in NAMES)}][1 + doc_id % {len(NAMES)}])")} AS country FROM documents))) p USING (id)""",
+        f"""SELECT dt.id, detected, round(confidence, 6) AS language_confidence, coalesce(skills, '') AS skills, CASE WHEN is_tech THEN coalesce(matched_terms, '') ELSE '' END AS matched_terms, is_tech, category, round(tech_confidence, 6) AS tech_confidence, country, currency, round(usd, 4) AS usd FROM ({LANG}) dt
+LEFT JOIN ({SK} SELECT id, count(*) AS held, string_agg(skill, ',' ORDER BY skill) AS skills FROM sk GROUP BY 1) s USING (id) JOIN ({FINAL} SELECT id, is_tech, category, tech_confidence FROM done) f USING (id)
+LEFT JOIN ({FOUND} SELECT id, string_agg(canonical, ',' ORDER BY canonical) AS matched_terms FROM fo GROUP BY 1) m USING (id)
+JOIN (SELECT *, length_ * CAST({_case(D.USD, 'currency')} AS DOUBLE) AS usd FROM (SELECT *, {_case(D.COUNTRY_CURRENCY, 'country')} AS currency FROM (SELECT doc_id AS id, CAST(length(text) AS DOUBLE) AS length_, {_case(D.COUNTRIES, f"lower([{', '.join(repr(n) for n in NAMES)}][1 + doc_id % {len(NAMES)}])")} AS country FROM documents))) p USING (id) WHERE coalesce(held, 0) <= 5""",
     ),
     "en_lexicon_stats": (lambda v: E.lexicon_stats(E.find_technologies(_texts(v), _lexicon(v))), f"{FOUND} SELECT category, count(*) AS mentions, count(DISTINCT canonical) AS terms, count(DISTINCT id) AS postings FROM fo GROUP BY 1"),
     "src_raw_postings": (lambda v: files.read_raw(v.spark, _landed(v), "xx").groupBy("_source_country").agg(F.count("*").alias("count"), F.sum(F.char_length("raw")).alias("chars")), f"{WITH}, {RECORDS} SELECT 'xx' AS _source_country, count(*) AS count, CAST(sum(length(raw)) AS BIGINT) AS chars FROM records"),
+    "src_terms": (_dictionary, "SELECT DISTINCT lower(trim(p_name)) AS term FROM part UNION ALL SELECT 'built in'"),
     "src_labeled": (_labeled, f"WITH {POSTS} SELECT id % 2 = 0 AS is_tech_role, 'c' || (id % 3) AS expected_category, count(*) AS count, CAST(sum(length(description)) AS BIGINT) AS chars FROM posts GROUP BY 1, 2"),
     "snk_label_export": (
         _exported,
@@ -216,7 +249,8 @@ JOIN (SELECT *, length_ * CAST({_case(D.USD, 'currency')} AS DOUBLE) AS usd FROM
     ),
     "st_ingest": (
         _ingested,
-        f"{WITH} SELECT source_id, {COMPANY} AS company_name, location, {PAID.format('salary_min')} AS salary_min, {PAID.format('salary_max')} AS salary_max, {CURRENCY} AS salary_currency, {KIND} AS employment_type FROM ({RAW})",
+        f"""{WITH}, one AS (SELECT *, {HELD} AS held FROM ({RAW})), two AS (SELECT *, {HELD} AS held FROM (SELECT * REPLACE ('again ' || title AS title) FROM ({RAW}) WHERE id % 19 = 0)), li AS (SELECT * FROM two WHERE len(held) <= 2 UNION ALL SELECT * FROM one WHERE len(held) <= 2 AND id NOT IN (SELECT id FROM two WHERE len(held) <= 2))
+SELECT source_id, title, {COMPANY} AS company_name, location, {PAID.format('salary_min')} AS salary_min, {PAID.format('salary_max')} AS salary_max, {CURRENCY} AS salary_currency, {KIND} AS employment_type, true AS is_active FROM li""",
     ),
     "st_dedupe": (_once, "SELECT event_id, user_id FROM events"),
     "st_daily_counts": (_daily, "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS count FROM events GROUP BY 1"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from laborlens.operators import balance as B
@@ -9,6 +11,7 @@ from laborlens.operators import evaluate as E
 from laborlens.operators import sampling as S
 from laborlens.operators.filters import active
 from laborlens.plans.views import JOBS, Views
+from laborlens.session import shared_dir
 
 WITH = "WITH " + JOBS
 
@@ -100,6 +103,21 @@ def _levels(v: Views):
     return scored(v).withColumn("level", S.ambiguity_level(F.col("ambiguity")))
 
 
+def _report(v: Views):
+    """The report, written as JSON and read back; some of its fields."""
+    path = f"{shared_dir(v.spark)}/report-{uuid.uuid4().hex}"
+    document = E.report_document(scored(v))
+    E.write_report(document, path)
+    shown = {
+        "tech": "class_distribution.tech", "non_tech": "class_distribution.non_tech", "default_tp": "default_policy.metrics.tp", "default_hash": "default_policy.policy_hash", "tech_minimum": "optimization.best_policy.policy.tech_minimum",
+        "minimum_margin": "optimization.best_policy.policy.minimum_margin", "best_hash": "optimization.best_policy.policy_hash", "total_combinations": "optimization.total_combinations", "recommendation": "recommendations.recommendation",
+        "top_reason": "recommendations.top_reason.reason", "top_count": "recommendations.top_reason.count",
+    }
+    rounded = {"default_f1": "default_policy.metrics.f1", "best_balanced_accuracy": "optimization.best_policy.metrics.balanced_accuracy"} | {f"{m}_gain": f"recommendations.improvement_over_default.{m}" for m in ("f1", "precision", "recall")}
+    back = v.spark.read.schema(document.schema).json(path)
+    return back.select("dataset_size", *(F.col(c).alias(n) for n, c in shown.items()), *(F.round(c, 9).alias(n) for n, c in rounded.items()))
+
+
 ENTRIES = {
     "sa_dedupe": (
         lambda v: S.dedupe(v.drafts.withColumn("title", F.concat(F.lit(" t  "), (F.col("id") % 40).cast("string")))).select("id"),
@@ -138,9 +156,16 @@ SELECT round(CAST(sum(hit) AS DOUBLE) / sum(support), 9) AS category_accuracy, r
         lambda v: E.report(scored(v)),
         f"{GRID}, j AS (SELECT d.f1 AS default_f1, b.tech_minimum, b.minimum_margin, b.f1 AS best_f1, (SELECT count(*) FROM scored) AS rows, (SELECT count(*) FROM scored WHERE is_tech) AS tech_rows FROM g d, best b WHERE d.tech_minimum = 8 AND d.minimum_margin = 3) SELECT *, round(best_f1 - default_f1, 9) AS improvement, CASE WHEN round(best_f1 - default_f1, 9) > 0.02 THEN 'adopt' WHEN round(best_f1 - default_f1, 9) > 0.005 THEN 'slight' ELSE 'keep' END AS recommendation FROM j",
     ),
+    "snk_report": (
+        _report,
+        f"""{GRID}, d AS (SELECT * FROM g WHERE tech_minimum = 8 AND minimum_margin = 3), r AS (SELECT reason, count(*) AS n FROM scored GROUP BY 1 ORDER BY n DESC, reason LIMIT 1)
+SELECT (SELECT count(*) FROM scored) AS dataset_size, (SELECT count(*) FROM scored WHERE is_tech) AS tech, (SELECT count(*) FROM scored WHERE NOT is_tech) AS non_tech, d.tp AS default_tp, round(d.f1, 9) AS default_f1, substr(md5('default|8.0|3.0'), 1, 8) AS default_hash,
+  CAST(b.tech_minimum AS DOUBLE) AS tech_minimum, CAST(b.minimum_margin AS DOUBLE) AS minimum_margin, substr(md5('best|' || CAST(CAST(b.tech_minimum AS DOUBLE) AS VARCHAR) || '|' || CAST(CAST(b.minimum_margin AS DOUBLE) AS VARCHAR)), 1, 8) AS best_hash, round(b.balanced_accuracy, 9) AS best_balanced_accuracy, (SELECT count(*) FROM g) AS total_combinations,
+  round(b.f1 - d.f1, 9) AS f1_gain, round(b.precision - d.precision, 9) AS precision_gain, round(b.recall - d.recall, 9) AS recall_gain, CASE WHEN round(b.f1 - d.f1, 9) > 0.02 THEN 'adopt' WHEN round(b.f1 - d.f1, 9) > 0.005 THEN 'slight' ELSE 'keep' END AS recommendation, r.reason AS top_reason, r.n AS top_count FROM d, best b, r""",
+    ),
     "ev_hashes": (
-        lambda v: E.hashes(v.posts.filter("title is not null")),
-        "SELECT doc_id AS id, substr(md5('default|8.0|3.0'), 1, 8) AS policy, sha256('v1' || chr(31) || split_part(text, chr(10), 1) || chr(31) || text) AS cache_key FROM documents",
+        lambda v: E.hashes(v.posts.filter("title is not null").withColumn("skills", F.array("source_site", "language"))),
+        "SELECT doc_id AS id, substr(md5('default|8.0|3.0'), 1, 8) AS policy, sha256('v1' || chr(31) || split_part(text, chr(10), 1) || chr(31) || text || chr(31) || array_to_string(list_sort([source, lang]), ',')) AS cache_key FROM documents",
     ),
     "bal_composition": (lambda v: B.composition(v.jobs), f"{BAL} SELECT * FROM comp"),
     "bal_targets": (lambda v: B.targets(B.composition(v.jobs), 40), f"{BAL} SELECT *, 40 - tech_target AS broad_target FROM targets"),

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from laborlens.operators import dims as D
+from laborlens.operators import enrich as E
 from laborlens.operators import load as LO
 from laborlens.operators import quality as Q
 from laborlens.operators import transform as TR
 from laborlens.plans.views import AS_OF, BATCH, DRAFTS, JOBS, RUNS, Views
+from laborlens.session import shared_dir
+from laborlens.sources import snapshots
+from laborlens.streaming import ingest
 
 WITH = "WITH " + JOBS
 T = f"TIMESTAMP '{AS_OF}'"
@@ -43,34 +50,62 @@ held AS (SELECT job_id, skill_id, name FROM links JOIN skills USING (skill_id)),
 pairs AS (SELECT job_id, name FROM held UNION ALL SELECT job_id, CASE WHEN skill_id % 10 = 0 THEN '  ' WHEN skill_id % 3 = 0 THEN ' ' || upper(name) ELSE name || ' x' END FROM held),
 clean AS (SELECT DISTINCT job_id, trim(lower(name)) AS name FROM pairs WHERE trim(name) <> '')
 """
-UP = "title, company_name, location, salary_currency, employment_type, language, is_tech_role, technology_category, country_code"
-UPSERT = f"""{WITH}, {BATCH}, ranked AS (SELECT *, row_number() OVER (PARTITION BY source_site, source_id ORDER BY arrival DESC) AS k FROM incoming), new AS (SELECT * FROM ranked WHERE k = 1)
-SELECT id, source_site, source_id, {UP}, CAST(salary_min AS DOUBLE) AS salary_min, CAST(salary_max AS DOUBLE) AS salary_max, '{AS_OF}' AS scraped, true AS is_active, false AS is_deleted FROM new
-UNION ALL SELECT id, source_site, source_id, {UP}, CAST(salary_min AS DOUBLE), CAST(salary_max AS DOUBLE), strftime(scraped_date, '%Y-%m-%d'), is_active, is_deleted FROM existing e WHERE NOT EXISTS (SELECT 1 FROM new n WHERE n.source_site = e.source_site AND n.source_id = e.source_id)"""
+SHOWN = "id, source_site, source_id, title, description, company_name, location, salary_currency, source_url, employment_type, language, is_tech_role, technology_category, country_code"
+MERGED = f"""{WITH}, {BATCH}, ranked AS (SELECT *, row_number() OVER (PARTITION BY source_site, source_id ORDER BY arrival DESC) AS k FROM incoming),
+new AS (SELECT r.* EXCLUDE (k, arrival) REPLACE (coalesce(r.description, '') AS description, coalesce(r.source_url, '') AS source_url, coalesce(r.company_name, 'Unknown') AS company_name, coalesce(e.id, r.id) AS id, CASE WHEN e.id IS NULL THEN r.language ELSE e.language END AS language)
+  FROM ranked r LEFT JOIN existing e ON e.source_site = r.source_site AND e.source_id = r.source_id WHERE k = 1),
+up AS (SELECT {SHOWN}, CAST(salary_min AS DOUBLE) AS salary_min, CAST(salary_max AS DOUBLE) AS salary_max, strftime(posted_date, '%Y-%m-%d') AS posted, '{AS_OF}' AS scraped, true AS is_active, false AS is_deleted FROM new
+UNION ALL SELECT {SHOWN}, CAST(salary_min AS DOUBLE), CAST(salary_max AS DOUBLE), strftime(posted_date, '%Y-%m-%d'), strftime(scraped_date, '%Y-%m-%d'), is_active, is_deleted FROM existing e WHERE NOT EXISTS (SELECT 1 FROM new n WHERE n.source_site = e.source_site AND n.source_id = e.source_id))"""
 
 
-def _upserted(v: Views):
-    out = LO.upsert(v.existing, v.incoming, AS_OF)
-    return _money(out, "salary_min", "salary_max").select("id", *LO.KEY, *UP.split(", "), "salary_min", "salary_max", F.date_format("scraped_date", "yyyy-MM-dd").alias("scraped"), "is_active", "is_deleted")
+def _shown(out):
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    return _money(out, "salary_min", "salary_max").select(*SHOWN.split(", "), "salary_min", "salary_max", day("posted_date").alias("posted"), day("scraped_date").alias("scraped"), "is_active", "is_deleted")
 
 
-def _metrics(v: Views):
-    checked = Q.validate(v.drafts, AS_OF)
-    counts = LO.load_counts(v.existing, v.incoming)
+def _stamped(v: Views):
+    return v.existing.withColumns({n: F.col(n).cast(t) for n, t in LO.STAMPS})
+
+
+def _snapshot(v: Views):
+    """The upsert by way of a table in snapshots; the batch once more changes nothing."""
+    path = f"{shared_dir(v.spark)}/jobs-{uuid.uuid4().hex}"
+    schema = LO.posting_schema(v.incoming.drop("arrival"))
+    snapshots.create(v.spark, path, _stamped(v).select(*schema.names))
+    for _ in range(2):
+        snapshots.merge(v.spark, path, v.incoming, AS_OF, batch=1)
+    snapshots.vacuum(v.spark, path, keep=1)
+    return _shown(snapshots.latest(v.spark, path, schema))
 
-    def n(stage: str, df, column=None):
-        return df.select(F.lit(stage).alias("stage"), F.col(column).cast("long").alias("n")) if column else df.agg(F.count("*").alias("n")).select(F.lit(stage).alias("stage"), "n")
 
-    stages = [
-        n("extracted", v.jobs), n("transformed", _done(v)), n("validated", checked.filter("valid")), n("failed", checked.filter("not valid")), n("inserted", counts, "inserted"), n("updated", counts, "updated"),
-        n("skills", v.skills), n("relationships", v.links),
-    ]
-    out = stages[0]
-    for s in stages[1:]:
-        out = out.unionByName(s)
-    return LO.pipeline_metrics(out)
+#: Skills that titles of the test records hold; a record with more than two can't be enriched.
+TRADES = ["economy", "promo", "standard", "copper", "brass", "steel", "tin", "nickel", "polished", "again"]
+HELD = "list_filter([" + ", ".join(f"'{t}'" for t in TRADES) + "], lambda t: list_contains(string_split(lower(title), ' '), t))"
 
 
+def _known(v: Views) -> ingest.Dictionaries:
+    s = v.spark
+    profile = E.language_profile(v.posts)
+    return ingest.Dictionaries(profile, s.createDataFrame([(t,) for t in TRADES], "term string"), D.keywords(s), D.negatives(s), D.categories(s), D.aliases(s), most_skills=2, retention=365)
+
+
+def _metrics(v: Views):
+    """A whole load into a table that holds older postings."""
+    path = f"{shared_dir(v.spark)}/star-{uuid.uuid4().hex}"
+    old = _stamped(v).withColumns({"source_site": F.lit("feed"), "tech_confidence": F.lit(None).cast("double"), "salary_min": F.col("salary_min").cast("double"), "salary_max": F.col("salary_max").cast("double")})
+    names = ["id", *LO.KEY, "title", "description", "company_name", "location", "salary_min", "salary_max", "salary_currency", "source_url", "posted_date", "language", "technology_category", "is_tech_role", "tech_confidence", "country_code", "employment_type", *(n for n, _ in LO.STAMPS)]
+    snapshots.create(v.spark, f"{path}/jobs", old.withColumn("posted_date", F.col("posted_date").cast("timestamp")).select(*names))
+    counts = ingest.load_batch(v.feed, path, "feed", AS_OF, _known(v), batch=1)
+    return LO.pipeline_metrics(v.spark.createDataFrame(list(counts.items()), "stage string, n long"))
+
+
+METRICS = f"""{WITH}, fe AS (SELECT id, title, 1 AS arrival FROM ({RAW}) UNION ALL SELECT id, 'again ' || title, 2 FROM ({RAW}) WHERE id % 19 = 0),
+tr AS (SELECT *, {HELD} AS held FROM fe WHERE id % 17 <> 0), en AS (SELECT * FROM tr WHERE len(held) <= 2), va AS (SELECT * FROM en WHERE NOT (id % 13 = 0 AND id % 4 IN (1, 2))),
+la AS (SELECT id, unnest(held) AS name FROM (SELECT * FROM va QUALIFY row_number() OVER (PARTITION BY id ORDER BY arrival DESC) = 1)),
+t AS (SELECT (SELECT count(*) FROM fe) AS extracted, (SELECT count(*) FROM tr) AS transformed, (SELECT count(*) FROM en) AS enriched, (SELECT count(*) FROM va) AS validated,
+  (SELECT count(DISTINCT id) FROM va WHERE id % 3 = 0) AS inserted, (SELECT count(*) FROM va) - (SELECT count(DISTINCT id) FROM va WHERE id % 3 = 0) AS updated, (SELECT count(*) FROM fe) - (SELECT count(*) FROM va) AS failed,
+  (SELECT count(*) FROM jobs WHERE id % 3 <> 0 AND scraped_date < {T} - INTERVAL 365 DAY AND id NOT IN (SELECT id FROM va)) AS purged, (SELECT count(DISTINCT name) FROM la) AS skills, (SELECT count(*) FROM la) AS relationships)
+SELECT *, inserted + updated AS total_loaded, CASE WHEN extracted = 0 THEN 100.0 ELSE CAST(validated AS DOUBLE) / extracted * 100 END AS success_rate FROM t"""
 VALID = "coalesce(trim(source_id), '') <> '' AND coalesce(trim(title), '') <> '' AND coalesce(trim(company_name), '') <> '' AND NOT coalesce(salary_min IS NOT NULL AND salary_max IS NOT NULL AND (salary_min < 0 OR salary_max < 0), false)"
 MISSING = "array_to_string(list_filter([CASE WHEN coalesce(trim(source_id), '') = '' THEN 'source_id' END, CASE WHEN coalesce(trim(title), '') = '' THEN 'title' END, CASE WHEN coalesce(trim(company_name), '') = '' THEN 'company' END], lambda x: x IS NOT NULL), ',')"
 SWAP = "salary_min IS NOT NULL AND salary_max IS NOT NULL AND salary_min > salary_max"
@@ -100,7 +135,7 @@ ENTRIES = {
     ),
     "dq_consistency": (
         lambda v: Q.consistency(v.drafts).select("id", "consistent"),
-        f"{WITH}, {DRAFTS} SELECT id, NOT ((is_tech_role AND (technology_category IS NULL OR tech_confidence IS NULL)) OR (NOT is_tech_role AND technology_category IS NOT NULL)) AS consistent FROM drafts",
+        f"{WITH}, {DRAFTS} SELECT id, NOT ((is_tech_role AND (technology_category IS NULL OR tech_confidence IS NULL)) OR (NOT is_tech_role AND (technology_category IS NOT NULL OR tech_confidence IS NOT NULL OR len(matched_terms) > 0))) AS consistent FROM drafts",
     ),
     "dq_validate": (lambda v: Q.batch_counts(Q.validate(v.drafts, AS_OF)), f"{WITH}, {DRAFTS} SELECT count(*) AS total, count(*) FILTER ({VALID}) AS passed, count(*) FILTER (NOT ({VALID})) AS rejected FROM drafts"),
     "dq_strict": (
@@ -113,7 +148,8 @@ ENTRIES = {
         + _rules("d", {"confidence": "NOT tech_confidence BETWEEN 0 AND 1", "country_length": "length(country_code) <> 2", "currency_length": "length(salary_currency) <> 3"}, "CAST(id AS VARCHAR) AS subject")
         + " UNION ALL SELECT source_site || ':' || source_id, 'unique_key' FROM d WHERE source_id IS NOT NULL GROUP BY source_site, source_id HAVING count(*) > 1",
     ),
-    "load_upsert": (_upserted, UPSERT),
+    "load_upsert": (lambda v: _shown(LO.upsert(_stamped(v), v.incoming, AS_OF)), f"{MERGED} SELECT * FROM up"),
+    "load_snapshot": (_snapshot, f"{MERGED} SELECT * FROM up"),
     "load_counts": (
         lambda v: LO.load_counts(v.existing, v.incoming),
         f"{WITH}, {BATCH}, f AS (SELECT count(DISTINCT source_site || ':' || source_id) AS inserted FROM incoming i WHERE NOT EXISTS (SELECT 1 FROM existing e WHERE e.source_site = i.source_site AND e.source_id = i.source_id)) SELECT inserted, (SELECT count(*) FROM incoming) - inserted AS updated FROM f",
@@ -131,10 +167,5 @@ ENTRIES = {
         f"""WITH {RUNS}, old AS (SELECT * FROM runs WHERE status <> 'failed'), new AS (SELECT (SELECT max(run_id) FROM old) + row_number() OVER (ORDER BY started_at, source_site, status) AS run_id, status, started_at, completed_at FROM runs WHERE status = 'failed')
 SELECT run_id, status, CAST(floor(epoch(completed_at)) - floor(epoch(started_at)) AS BIGINT) AS duration_seconds FROM (SELECT run_id, status, started_at, completed_at FROM old UNION ALL SELECT * FROM new)""",
     ),
-    "pipeline_metrics": (
-        _metrics,
-        f"""{WITH}, {DRAFTS}, {BATCH}, f AS (SELECT count(DISTINCT source_site || ':' || source_id) AS inserted FROM incoming i WHERE NOT EXISTS (SELECT 1 FROM existing e WHERE e.source_site = i.source_site AND e.source_id = i.source_id)),
-t AS (SELECT (SELECT count(*) FROM jobs) AS extracted, (SELECT count(*) FROM ({RAW})) AS transformed, CAST(0 AS BIGINT) AS enriched, (SELECT count(*) FROM drafts WHERE {VALID}) AS validated, inserted, (SELECT count(*) FROM incoming) - inserted AS updated, (SELECT count(*) FROM drafts WHERE NOT ({VALID})) AS failed, CAST(0 AS BIGINT) AS purged, (SELECT count(*) FROM skills) AS skills, (SELECT count(*) FROM links) AS relationships FROM f)
-SELECT *, inserted + updated AS total_loaded, CASE WHEN extracted = 0 THEN 100.0 ELSE CAST(validated AS DOUBLE) / extracted * 100 END AS success_rate FROM t""",
-    ),
+    "pipeline_metrics": (_metrics, METRICS),
 }

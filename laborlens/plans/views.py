@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from laborlens.session import table
+from laborlens.session import spread, table
 
 #: What stands for the current time in every query.
 AS_OF = "2001-08-01"
@@ -65,9 +65,25 @@ class Views:
         e = self.table("events")
         return e.select("event_id", F.concat(F.lit("/api/"), "event_type", F.lit("/"), F.col("user_id").cast("string")).alias("endpoint"), F.when(F.col("event_type") == "error", 500).otherwise(200).alias("status"), F.coalesce("value", F.lit(0.0)).alias("duration_ms"))
 
-    @cached_property
+    @property
     def raw(self) -> DataFrame:
         """Raw posting records as JSON text, in all the shapes that the source sends."""
+        return self.records.select("_source_country", "raw")
+
+    @cached_property
+    def again(self) -> DataFrame:
+        """Later records of some keys, with other titles."""
+        return self.records.filter("id % 19 = 0").withColumn("raw", F.replace("raw", F.lit('"title":"'), F.lit('"title":"again ')))
+
+    @cached_property
+    def feed(self) -> DataFrame:
+        """Records and later ones of some keys; some without a title, some with negative pay."""
+        rows = self.records.unionByName(self.again)
+        odd = F.when(F.col("id") % 17 == 0, F.replace("raw", F.lit('"title":'), F.lit('"headline":'))).otherwise(F.col("raw"))
+        return rows.select("_source_country", F.when(F.col("id") % 13 == 0, F.replace(odd, F.lit('"salary_min":'), F.lit('"salary_min":-'))).otherwise(odd).alias("raw"))
+
+    @cached_property
+    def records(self) -> DataFrame:
         j = self.jobs.filter("salary_min is not null")
         k = lambda n: F.col("id") % n
         quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
@@ -86,7 +102,7 @@ class Views:
             when = when.when(k(10) == digit, F.date_format("posted_date", shape))
         when = when.otherwise(F.date_format("posted_date", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
         record = F.concat(F.lit('{"id":'), "source_id", F.lit(',"title":'), quoted("title"), company, place, pay, contract, F.lit(',"created":"'), when, F.lit('","category":'), F.when(k(2) == 0, F.concat(F.lit('{"label":"'), "source_site", F.lit('"}'))).otherwise(quoted("source_site")), F.lit(',"redirect_url":"https://example.com/'), "source_id", F.lit('","_acquisition_query":'), quoted("source_site"), F.lit("}"))
-        return j.select(F.col("country_code").alias("_source_country"), record.alias("raw"))
+        return j.select("id", F.col("country_code").alias("_source_country"), record.alias("raw"))
 
     @cached_property
     def drafts(self) -> DataFrame:
@@ -97,25 +113,31 @@ class Views:
             "id", F.when(~k(17), F.col("source_id")).alias("source_id"), F.when(k(7), F.lit("  ")).otherwise(F.col("title")).alias("title"), F.when(~k(11), F.col("company_name")).alias("company_name"),
             F.when(k(13), -lo).when(k(5), hi).otherwise(lo).alias("salary_min"), F.when(k(5), lo).when(k(23), None).otherwise(hi).alias("salary_max"),
             F.when(k(6), F.upper("language")).otherwise(F.col("language")).alias("language"), F.substring("country_code", 1, 2).alias("country_code"), F.when(k(9), F.lower("salary_currency")).otherwise(F.col("salary_currency")).alias("salary_currency"),
-            (F.when(k(19), 1.5).otherwise((F.col("id") % 100) / 100.0)).alias("tech_confidence"), "is_tech_role", F.when(~k(8), F.col("technology_category")).alias("technology_category"),
+            F.when(k(19), 1.5).when(F.col("is_tech_role") | k(10), (F.col("id") % 100) / 100.0).alias("tech_confidence"), "is_tech_role", F.when(F.col("is_tech_role") | k(21), F.array(F.lit("x"))).otherwise(F.array().cast("array<string>")).alias("matched_terms"), F.when(~k(8), F.col("technology_category")).alias("technology_category"),
             F.when(~k(3), F.col("scraped_date")).alias("scraped_date"), F.when(k(29), "no url").otherwise("https://example.com/job").alias("source_url"), "source_site",
         )
 
     @cached_property
     def existing(self) -> DataFrame:
-        return self.jobs.filter("id % 3 <> 0")
+        told = {"description": F.concat(F.lit("about "), "title"), "source_url": F.concat(F.lit("https://example.com/"), "source_id")}
+        return self.jobs.filter("id % 3 <> 0").withColumns(told)
 
     @cached_property
     def incoming(self) -> DataFrame:
-        """A batch: even ids with new pay; of every fourth id a second record that came later."""
-        once = self.jobs.filter("id % 2 = 0").withColumn("salary_min", (F.col("salary_min") + 1000).cast("decimal(12,2)")).withColumn("arrival", F.lit(1))
+        """A batch: even ids with new pay, some in another language; of every fourth id a second record that came later."""
+        k = lambda n: F.col("id") % n == 0
+        told = {
+            "salary_min": (F.col("salary_min") + 1000).cast("decimal(12,2)"), "language": F.when(k(8), "xx").otherwise(F.col("language")), "description": F.when(~k(6), F.lit("more")),
+            "source_url": F.when(~k(10), F.concat(F.lit("https://example.org/"), "source_id")), "company_name": F.when(~k(14), F.col("company_name")), "arrival": F.lit(1),
+        }
+        once = self.jobs.filter("id % 2 = 0").withColumns(told)
         later = once.filter("id % 4 = 0").withColumn("title", F.lit("second")).withColumn("arrival", F.lit(2))
         return once.unionByName(later)
 
     @cached_property
     def posts(self) -> DataFrame:
         """Text postings."""
-        d = self.table("documents")
+        d = spread(self.table("documents").select("doc_id", "text", "lang", "source"))
         return d.select(F.col("doc_id").alias("id"), F.split("text", "\n")[0].alias("title"), F.col("text").alias("description"), F.col("lang").alias("language"), F.col("source").alias("source_site"))
 
 
@@ -143,11 +165,12 @@ DRAFTS = """
 drafts AS (SELECT id, CASE WHEN id % 17 <> 0 THEN source_id END AS source_id, CASE WHEN id % 7 = 0 THEN '  ' ELSE title END AS title, CASE WHEN id % 11 <> 0 THEN company_name END AS company_name,
   CASE WHEN id % 13 = 0 THEN -salary_min WHEN id % 5 = 0 THEN salary_max ELSE salary_min END AS salary_min, CASE WHEN id % 5 = 0 THEN salary_min WHEN id % 23 = 0 THEN NULL ELSE salary_max END AS salary_max,
   CASE WHEN id % 6 = 0 THEN upper(language) ELSE language END AS language, substr(country_code, 1, 2) AS country_code, CASE WHEN id % 9 = 0 THEN lower(salary_currency) ELSE salary_currency END AS salary_currency,
-  CASE WHEN id % 19 = 0 THEN 1.5 ELSE (id % 100) / 100.0 END AS tech_confidence, is_tech_role, CASE WHEN id % 8 <> 0 THEN technology_category END AS technology_category,
+  CASE WHEN id % 19 = 0 THEN 1.5 WHEN is_tech_role OR id % 10 = 0 THEN (id % 100) / 100.0 END AS tech_confidence, is_tech_role, CASE WHEN is_tech_role OR id % 21 = 0 THEN ['x'] ELSE [] END AS matched_terms, CASE WHEN id % 8 <> 0 THEN technology_category END AS technology_category,
   CASE WHEN id % 3 <> 0 THEN scraped_date END AS scraped_date, CASE WHEN id % 29 = 0 THEN 'no url' ELSE 'https://example.com/job' END AS source_url, source_site FROM jobs)
 """
 BATCH = """
-existing AS (SELECT * FROM jobs WHERE id % 3 <> 0),
-once AS (SELECT * REPLACE (CAST(salary_min + 1000 AS DECIMAL(12,2)) AS salary_min), 1 AS arrival FROM jobs WHERE id % 2 = 0),
+existing AS (SELECT *, 'about ' || title AS description, 'https://example.com/' || source_id AS source_url FROM jobs WHERE id % 3 <> 0),
+once AS (SELECT * REPLACE (CAST(salary_min + 1000 AS DECIMAL(12,2)) AS salary_min, CASE WHEN id % 8 = 0 THEN 'xx' ELSE language END AS language, CASE WHEN id % 14 <> 0 THEN company_name END AS company_name),
+  CASE WHEN id % 6 <> 0 THEN 'more' END AS description, CASE WHEN id % 10 <> 0 THEN 'https://example.org/' || source_id END AS source_url, 1 AS arrival FROM jobs WHERE id % 2 = 0),
 incoming AS (SELECT * FROM once UNION ALL SELECT * REPLACE ('second' AS title, 2 AS arrival) FROM once WHERE id % 4 = 0)
 """

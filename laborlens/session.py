@@ -6,6 +6,7 @@ import os
 import re
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan of files that gives fewer tasks than there are cores, dealt out again, for work that costs more than a shuffle of its input; others as they are."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it. Where it is unset, a temporary one if all runs in one process,
     as in tests; several machines would not see each other's files there."""
@@ -39,3 +46,39 @@ def shared_dir(spark: SparkSession) -> str:
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
+
+
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """Writes df as Parquet in the shared folder and rereads it: what follows in several branches is made once, and survives lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _place(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Deletes what lies at path, in whichever store that is."""
+    place, store = _place(spark, path)
+    store.delete(place, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether something lies at path, which may be a pattern."""
+    place, store = _place(spark, path)
+    return bool(store.globStatus(place))
+
+
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies right below path; none where it isn't there."""
+    place, store = _place(spark, path)
+    return [f.getPath().getName() for f in store.listStatus(place)] if store.exists(place) else []
+
+
+def drop_stored(df: DataFrame) -> None:
+    """Deletes what stored() wrote, once nothing reads it any more."""
+    for f in df.inputFiles()[:1]:
+        drop_path(df.sparkSession, f.rsplit("/", 1)[0])

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from laborlens.session import exists
+
 LABELED = T.StructType([T.StructField(n, t) for n, t in (("title", T.StringType()), ("description", T.StringType()), ("is_tech_role", T.BooleanType()), ("expected_category", T.StringType()))])
 
 
@@ -26,11 +28,17 @@ def read_labeled(spark: SparkSession, path: str, lines: bool = False) -> DataFra
     return alone.unionByName(rows.select(F.explode("jobs").alias("j")).select("j.*"))
 
 
-def read_terms(spark: SparkSession, path: str) -> DataFrame:
-    """(term): a dictionary of skills from JSON files, each a list or {"skills": [...]}; in lower case, once each."""
+def read_terms(spark: SparkSession, path: str | None, built_in: list[str] = ()) -> DataFrame:
+    """(term): a dictionary of skills from JSON files, each a list or {"skills": [...]}; in lower case, once each. Where nothing lies at path, or no file
+    there holds such a list, the built-in terms."""
+    clean = lambda rows: rows.select(F.lower(F.trim("term")).alias("term")).filter("term <> ''").distinct()
+    default = clean(spark.createDataFrame([(t,) for t in built_in], "term string"))
+    if not path or not exists(spark, path):
+        return default
     text = spark.read.text(path, wholetext=True)
     lists = F.coalesce(F.from_json("value", "array<string>"), F.from_json("value", "struct<skills: array<string>>")["skills"])
-    return text.select(F.explode(lists).alias("term")).select(F.lower(F.trim("term")).alias("term")).filter("term <> ''").distinct()
+    found = text.select(lists.alias("terms")).filter("terms is not null")
+    return default if found.isEmpty() else clean(found.select(F.explode("terms").alias("term")))
 
 
 def squeezed(column: str) -> Column:
