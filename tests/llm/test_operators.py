@@ -179,6 +179,15 @@ def test_toxicity_cases(spark, odd):
     assert toxicity.score_toxicity(odd.limit(0), toxicity.fit(odd.limit(0), labels)).count() == 0
 
 
+def test_the_bound_on_examples_holds_for_rows(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_LABELLED", 40)
+    labels = spark.createDataFrame([(1, 1), *((k, 0) for k in range(2, 20))], "doc_id long, toxic int")
+    rows = [(1, f"bad word{k} text") for k in range(2000)] + [(k, f"good thing{k} here") for k in range(2, 20)]
+    assert len(toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels).ids) == 40
+    model = toxicity.fit(spark.createDataFrame([(1, "the same")] * 2000 + rows[2000:], "doc_id long, text string"), labels)
+    assert sorted(model.ids) == list(range(1, 20))
+
+
 # --- 5 ---
 
 

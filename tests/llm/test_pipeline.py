@@ -32,6 +32,26 @@ def test_an_empty_table_passes(spark, sf, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_odd_rows_pass_the_whole_chain(spark, sf):
+    """Null ids, repeated ids, null, empty and repeated texts, and columns whose names the stages use."""
+    long = " ".join(f"w{k % 977}" for k in range(20_000))
+    secret = 'set password = "hunter2hunter2" now'
+    rows = [(None, "plain words with no id at all"), (None, "plain words with no id at all"), (None, None), (1, None), (2, ""), (3, secret), (3, "another text under the same id"), (4, long), (5, long), (6, " ")]
+    names = "doc_id long, text string, lang string, source string, n_chars long, score double, component long, id long, h long, label string, toxic int"
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, 0.5, 1, 2, 3, "x", 1) for i, t in rows], names)
+    kept = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, sf).cache()
+        assert kept.columns == docs.columns and {(r.score, r.component, r.id, r.h, r.label, r.toxic) for r in kept.collect()} == {(0.5, 1, 2, 3, "x", 1)}
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert sorted((i for i, _ in got if i is not None)) == [1, 2, 3, 3, 4, 6] and sum(i is None for i, _ in got) == 3
+    assert secret not in {t for _, t in got} and "another text under the same id" in {t for _, t in got}
+    pieces = corpus_pipeline.STAGES[-1][1](spark, kept, sf).collect()
+    # a row without text is its end alone
+    assert sorted((r.doc_id or 0, r.doc_tokens) for r in pieces if r.start == 0 and r.doc_tokens == 1) == [(0, 1), (1, 1), (2, 1)]
+    assert sum(r.length for r in pieces if r.doc_id == 4) == max(r.doc_tokens for r in pieces if r.doc_id == 4)
+
+
 def _scores_by_hand(model, texts):
     """All cosines with all examples, instead of an index."""
     dense = np.zeros((len(model.ids), len(model.weight)))
