@@ -122,12 +122,16 @@ def display_names(pairs: DataFrame, names: dict[str, str], most: int = 50) -> Da
     return once.groupBy("id").agg(F.sort_array(F.collect_list("name")).alias("skills")).filter(F.size("skills") <= most)
 
 
+#: Where a name of two letters counts as a country's.
+CODED = (r"\(([a-z]{2})\)", r"\[([a-z]{2})\]", r",\s*([a-z]{2})$")
+
+
 def country(column: str, countries: dict[str, str] = dims.COUNTRIES) -> Column:
     """Code of a country's name, of the first comma part that is one, or of a name of two letters in round or square brackets or after the last
     comma; null where none is known."""
     text = F.lower(F.trim(column))
     parts = F.transform(F.split(text, ","), lambda x: lookup(countries, F.trim(x)))
-    coded = [lookup(countries, F.regexp_extract(text, p, 1)) for p in (r"\(([a-z]{2})\)", r"\[([a-z]{2})\]", r",\s*([a-z]{2})$")]
+    coded = [lookup(countries, F.regexp_extract(text, p, 1)) for p in CODED]
     return F.coalesce(lookup(countries, text), F.try_element_at(F.filter(parts, lambda x: x.isNotNull()), F.lit(1)), *coded)
 
 
