@@ -53,11 +53,11 @@ def _landed(v: Views) -> str:
 
 def _ingested(v: Views) -> DataFrame:
     """Two runs over one landing folder: all records, then later ones of some keys."""
-    landing, path, checkpoint = _landed(v), _shared(v, "star"), _shared(v, "checkpoint")
+    landing, path, checkpoint, known = _landed(v), _shared(v, "star"), _shared(v, "checkpoint"), _known(v)
     for more in (False, True):
         if more:
             v.again.select("raw").write.mode("append").text(landing)
-        ingest.ingest(v.spark, landing, path, checkpoint, "feed", "xx", AS_OF, _known(v))
+        ingest.ingest(v.spark, landing, path, checkpoint, "feed", "xx", AS_OF, known)
     rows = snapshots.latest(v.spark, f"{path}/jobs", "source_id string, title string, company_name string, location string, salary_min double, salary_max double, salary_currency string, employment_type string, is_active boolean")
     return rows.select("source_id", "title", "company_name", "location", "salary_min", "salary_max", "salary_currency", "employment_type", "is_active")
 
@@ -143,10 +143,16 @@ def _currencies(v: Views) -> DataFrame:
 
 #: The detector learns from these rows, so that it can be judged by the others.
 LEARNT = "id % 5 <> 0"
-GRAMS = f"""WITH {POSTS}, cl AS (SELECT id, language AS label, {CLEAN} AS clean FROM posts),
+
+
+def _grams(which: str = "") -> str:
+    """Grams of all texts, and counts of those that the detector learns from."""
+    return f"""WITH {POSTS}, cl AS (SELECT id, language AS label, {CLEAN} AS clean FROM posts),
 ch AS (SELECT id, label, lower(clean) AS t, string_split(lower(clean), '') AS l FROM cl),
 gr AS (SELECT id, label, unnest(CASE WHEN len(l) < 3 THEN [t] ELSE list_distinct(list_transform(range(1, len(l) - 1), lambda i: l[i] || l[i + 1] || l[i + 2])) END) AS gram FROM ch),
-pr AS (SELECT label, gram, count(*) AS n FROM gr WHERE label IS NOT NULL AND {LEARNT} GROUP BY 1, 2), tt AS (SELECT label, count(*) AS total FROM cl WHERE label IS NOT NULL AND {LEARNT} GROUP BY 1), sh AS (SELECT label, gram, n, total FROM pr JOIN tt USING (label))"""
+pr AS (SELECT label, gram, count(*) AS n FROM gr WHERE label IS NOT NULL{which} GROUP BY 1, 2), tt AS (SELECT label, count(*) AS total FROM cl WHERE label IS NOT NULL{which} GROUP BY 1), sh AS (SELECT label, gram, n, total FROM pr JOIN tt USING (label))"""
+
+
 TEXT = f"WITH {POSTS}, tx AS (SELECT id, lower(title || ' ' || description) AS t, lower(title) AS tt FROM posts)"
 
 
@@ -181,7 +187,7 @@ fo AS (SELECT id, canonical, first(term ORDER BY start) AS term, CAST(min(start)
 SK = f"{TEXT}, sk AS ({_held('t')})"
 
 
-LANG = f"""{GRAMS}, hd AS (SELECT DISTINCT gram FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY n DESC, gram) AS place FROM sh) WHERE place <= 300),
+LANG = f"""{_grams(f' AND {LEARNT}')}, hd AS (SELECT DISTINCT gram FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY n DESC, gram) AS place FROM sh) WHERE place <= 300),
 we AS (SELECT hd.gram, tt.label, ln((coalesce(sh.n, 0) + 1)::DOUBLE / (tt.total + 2)) AS weight FROM hd CROSS JOIN tt LEFT JOIN sh ON sh.gram = hd.gram AND sh.label = tt.label),
 sc AS (SELECT gr.id, we.label, round(sum(weight), 6) AS score FROM gr JOIN we USING (gram) GROUP BY 1, 2),
 po AS (SELECT id, label, 1 / sum(exp(least(o.score - sc.score, 700.0))) AS confidence, row_number() OVER (PARTITION BY id ORDER BY sc.score DESC, label DESC) AS k FROM sc JOIN (SELECT id, label AS other, score FROM sc) o USING (id) GROUP BY id, label, sc.score),
@@ -208,7 +214,7 @@ def _lexicon(v: Views) -> DataFrame:
 
 ENTRIES = {
     "en_lang_clean": (lambda v: v.posts.select("id", F.md5(E.clean_for_language(F.col("title"), F.col("description"))).alias("digest")), f"WITH {POSTS} SELECT id, md5({CLEAN}) AS digest FROM posts"),
-    "en_lang_profile": (lambda v: E.language_profile(v.posts.filter(LEARNT)), f"{GRAMS} SELECT label, gram, n, total FROM sh"),
+    "en_lang_profile": (lambda v: E.language_profile(v.posts), f"{_grams()} SELECT label, gram, n, total FROM sh"),
     "en_lang_detect": (
         lambda v: E.detect_language(v.posts, E.language_profile(v.posts.filter(LEARNT))).select("id", "detected", F.round("confidence", 6).alias("confidence")),
         LANG,
