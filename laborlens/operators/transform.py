@@ -66,8 +66,9 @@ def iso(text: Column) -> Column:
 
 
 def transform(raw: DataFrame, source: str, as_of: str) -> DataFrame:
-    """One row for each record that has an id and a title; `as_of` stands in where a posting has no date. A record is parsed once."""
-    out = raw.withColumn("record", F.try_parse_json("raw")).select(
+    """One row for each record that has an id and a title; `as_of` stands in where a posting has no date. A record is parsed once: what comes out of a list
+    of one isn't put in place of its uses, as a column would be, also in filters that move below joins."""
+    out = raw.select("_source_country", F.explode(F.array(F.try_parse_json("raw"))).alias("record")).select(
         field("id").alias("source_id"), F.lit(source).alias("source_site"), field("title").alias("title"), F.coalesce(shown_name("company"), F.lit("Unknown")).alias("company_name"),
         F.coalesce(shown_name("location"), F.lit("")).alias("location"), salary("min").alias("salary_min"), salary("max").alias("salary_max"), currency().alias("salary_currency"),
         employment_type().alias("employment_type"), moment("created").alias("posted_date"), F.col("_source_country").alias("source_country"),
