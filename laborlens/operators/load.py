@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from laborlens.session import dealt
+
 KEY = ["source_site", "source_id"]
 #: Columns that a later record overwrites, beside scraped_date, is_active and is_deleted, and what stands for null in them.
 UPDATED = [
@@ -74,9 +76,10 @@ def load_counts(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return fresh.join(incoming.agg(F.count("*").alias("n")), F.lit(True)).select("inserted", (F.col("n") - F.col("inserted")).alias("updated"))
 
 
-def cleaned_skills(pairs: DataFrame) -> DataFrame:
-    """(job_id, name) with names trimmed and lower-cased, blanks and repeats dropped."""
-    return pairs.select("job_id", F.trim(F.lower("name")).alias("name")).filter("name <> ''").distinct()
+def cleaned_skills(pairs: DataFrame, many: int = 0) -> DataFrame:
+    """(job_id, name) with names trimmed and lower-cased, blanks and repeats dropped. many: how many pairs there are, where that is known; tasks of like size
+    get them then."""
+    return dealt(pairs.select("job_id", F.trim(F.lower("name")).alias("name")).filter("name <> ''"), many, "job_id", "name").distinct()
 
 
 def new_skills(pairs: DataFrame, skills: DataFrame) -> DataFrame:
@@ -84,9 +87,9 @@ def new_skills(pairs: DataFrame, skills: DataFrame) -> DataFrame:
     return cleaned_skills(pairs).select("name").distinct().join(skills.select(F.lower("name").alias("name")), "name", "left_anti")
 
 
-def new_links(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """(job_id, name) pairs that the bridge lacks."""
-    return cleaned_skills(pairs).join(known, ["job_id", "name"], "left_anti")
+def new_links(pairs: DataFrame, known: DataFrame, many: int = 0) -> DataFrame:
+    """(job_id, name) pairs that the bridge lacks; many as in cleaned_skills()."""
+    return cleaned_skills(pairs, many).join(known, ["job_id", "name"], "left_anti")
 
 
 def purge(jobs: DataFrame, as_of: str, days: int = 90) -> DataFrame:

@@ -156,7 +156,7 @@ ENTRIES = {
     ),
     "load_skill_dim": (lambda v: LO.new_skills(_pairs(v), v.skills.filter("skill_id % 2 = 0")), f"{WITH}, {PAIRS} SELECT DISTINCT name FROM clean WHERE name NOT IN (SELECT lower(name) FROM skills WHERE skill_id % 2 = 0)"),
     "load_skill_bridge": (
-        lambda v: LO.new_links(_pairs(v), v.links.filter("job_id % 8 = 0").join(v.skills, "skill_id").select("job_id", F.lower("name").alias("name"))),
+        lambda v: LO.new_links(_pairs(v), v.links.filter("job_id % 8 = 0").join(v.skills, "skill_id").select("job_id", F.lower("name").alias("name")), 2 * v.many_links),
         f"{WITH}, {PAIRS} SELECT job_id, name FROM clean EXCEPT SELECT job_id, lower(name) FROM links JOIN skills USING (skill_id) WHERE job_id % 8 = 0",
     ),
     "load_purge": (lambda v: LO.purge(v.jobs, AS_OF, 365).select("id"), f"{WITH} SELECT id FROM jobs WHERE scraped_date >= {T} - INTERVAL 365 DAY"),
