@@ -6,16 +6,14 @@ the others share a unit with those of like frequency; units are dealt into class
 The attention model gives, from the WINDOW ids before, the probability of the next id's group and that of its class in the group, by two
 learned softmaxes; times the unit's share of its class after the class before, times the id's share of its unit.
 
-Gathered from all training documents: word counts, and from them how often ids occur, begin and end words and follow each other inside
-words. From a share of the documents (by hash of the id; SAMPLE over the fourth root of the number of words, so that the sample grows as
-that number to the power 3/4): how classes follow each other across words, and the
-windows that train the attention. Windows are dealt to tasks of some PART windows; each takes a pass of Adam steps and the
-weights are averaged, level by level, ROUNDS times.
+Gathered from all training documents: word counts, from them how often ids occur, begin and end words and follow each other inside
+words, and how classes follow each other across words. The attention is trained on the windows of all training documents, each once: documents are dealt by hash
+to ROUNDS rounds and to tasks of some PART windows; each task takes a pass of Adam steps, and a round's weights are averaged, level by level.
 
 Scoring: windows of WINDOW positions overlap by half; each position is scored once, in the window that has it in its second half, and
 the first half is context; windows of many documents run as one masked batch. A word's probability is m times the model's
-plus 1-m times its share of all training tokens; both add up to one over all words at most. m is the share that makes documents likeliest
-that the attention didn't learn from (a quarter as many), with their own words taken out of the counts.
+plus 1-m times its share of all training tokens; both add up to one over all words at most. m isn't fitted: a text's probability is the mean of those
+under each of MIXTURES, so that no text costs more than the logarithm of their number over its best one.
 
 Scores of the FREQUENT words are summed inside the tasks (a bounded table is sent there, which also takes out the hot
 keys); other words are joined with the counts by a shuffle.
@@ -40,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from laborlens.llm.common import crc_mod, drop_stored, raw, slices, stored, table
+from laborlens.llm.common import crc_mod, raw, slices, stored, table
 from laborlens.llm.packing import word_ids
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -55,12 +53,11 @@ TAIL_UNITS = 32
 WIDTH = 16
 WINDOW = 32
 HALF = WINDOW // 2
-SAMPLE = 1.5
-PART = 2048
+PART = 16_384
 ROUNDS = 4
 #: Windows that are scored at once, and bytes of text; one text may have more.
 SEGMENT, BYTES = 4096, 1 << 19
-BATCH = 32
+BATCH = 64
 RATE = 0.02
 FREQUENT = 100_000
 #: Weight of marginal shares beside counts of pairs.
@@ -68,7 +65,7 @@ PRIOR = 20.0
 COUNTED = 100_000
 #: Words kept by a task before all but the frequent ones are dropped, and ids.
 KEPT_WORDS, KEPT_IDS = 250_000, 2_000_000
-MIXTURES = [round(0.02 + 0.04 * k, 2) for k in range(25)]
+MIXTURES = (0.1, 0.3, 0.5, 0.7, 0.9)
 
 _UNSEEN = np.float32(-1e30)
 _MASK = np.where(np.arange(WINDOW) <= HALF + np.arange(HALF)[:, None], np.float32(0), _UNSEEN)
@@ -441,54 +438,42 @@ def _split(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
     return list(chain.from_iterable(words)), np.fromiter(map(len, words), np.int64, len(words))
 
 
-def sample_windows(docs: DataFrame, unit: np.ndarray) -> DataFrame:
-    """(deal, window) of docs(id, text): WINDOW units before, then the second half's own units, -1 beyond the text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = lexicon()
-        for b in light(batches):
-            ids, lengths, *_ = _texts(*_split(b.column(1).to_pylist()), known)
-            layout = lay_out(ids, lengths, unit)
-            own = np.full(len(layout.before), -1, np.int32)
-            own[layout.at] = unit[ids]
-            blocks = layout.block_starts()
-            rows = np.concatenate((layout.before.reshape(-1, HALF)[blocks - 1], layout.before.reshape(-1, HALF)[blocks], own.reshape(-1, HALF)[blocks]), axis=1)
-            doc = np.searchsorted(np.cumsum(lengths), np.searchsorted(layout.at, blocks * HALF), side="right")
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc)), pa.array(blocks), pa.array([r.tobytes() for r in rows], pa.binary())], names=["id", "block", "window"])
-
-    found = docs.mapInArrow(run, "id string, block bigint, window binary")
-    return found.select(F.xxhash64("id", "block", "window").alias("deal"), "window")
+def windows_of(texts: list[bytes], unit: np.ndarray, known: Lexicon) -> np.ndarray:
+    """Windows of texts: WINDOW units before, then the second half's own units, -1 beyond the text."""
+    ids, lengths, *_ = _texts(*_split(texts), known)
+    layout = lay_out(ids, lengths, unit)
+    own = np.full(len(layout.before), -1, np.int16)
+    own[layout.at] = unit[ids]
+    before, blocks = layout.before.astype(np.int16).reshape(-1, HALF), layout.block_starts()
+    return np.concatenate((before[blocks - 1], before[blocks], own.reshape(-1, HALF)[blocks]), axis=1)
 
 
-def _windows(rows: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(rows), np.int32).reshape(len(rows), WINDOW + HALF)
-
-
-def across_counts(windows: DataFrame, klass: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """How often each unit that begins a word or is the end comes after each class. starts: whether a unit does."""
+def across_counts(docs: DataFrame, unit: np.ndarray, klass: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """How often each unit that begins a word or is the end comes after each class in docs(text). starts: whether a unit does."""
     u = len(klass)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(CLASSES * u)
-        for b in slices(batches, 4096):
-            w = _windows(b.column(0).to_pylist())
-            before, own = w[:, HALF:WINDOW].ravel(), w[:, WINDOW:].ravel()
-            real = own >= 0
-            real &= starts[own]
+        n, known = np.zeros(CLASSES * u), lexicon()
+        for b in light(batches, 0):
+            ids, lengths, *_ = _texts(*_split(b.column(0).to_pylist()), known)
+            own = unit[ids]
+            before = np.concatenate(([unit[END]], own[:-1]))
+            before[np.cumsum(lengths) - lengths] = unit[END]
+            real = starts[own]
             n += np.bincount(klass[before[real]].astype(np.int64) * u + own[real], minlength=len(n))
         yield _cells(n)
 
-    return _summed(windows.select("window").mapInArrow(run, "id bigint, n double"), CLASSES * u).reshape(CLASSES, u)
+    return _summed(docs.mapInArrow(run, "id bigint, n double"), CLASSES * u).reshape(CLASSES, u)
 
 
 def train_pass(w: dict[str, np.ndarray], windows: np.ndarray, classes: Classes, seed: int, rate: float = RATE) -> tuple[dict[str, np.ndarray], float]:
-    """One pass of Adam over windows (of sample_windows); the weights and the mean loss."""
+    """One pass of Adam over windows (of windows_of); the weights and the mean loss."""
     order = np.random.default_rng(seed).permutation(len(windows))
     w = {k: v.copy() for k, v in w.items()}
     m, s = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}
     losses = []
     for step, i in enumerate(range(0, len(order), BATCH), 1):
-        got = windows[order[i : i + BATCH]]
+        got = windows[order[i : i + BATCH]].astype(np.int32)
         inputs, own = got[:, :WINDOW], got[:, WINDOW:]
         last, targets = classes.klass[inputs[:, HALF:].ravel()], classes.klass[np.maximum(own, 0)]
         loss, g = loss_and_gradient(w, inputs, (classes.group[last], classes.member[last, targets.ravel() // MEMBERS]), targets, own >= 0)
@@ -512,11 +497,11 @@ def _unpacked(data: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.nda
     return out
 
 
-def train(windows: DataFrame, classes: Classes) -> dict[str, np.ndarray]:
-    """Weights after ROUNDS averaged passes over the windows. Weights of n tasks meet in the square root of n sums, which the driver gets."""
+def train(docs: DataFrame, unit: np.ndarray, classes: Classes, total: float) -> dict[str, np.ndarray]:
+    """Weights after ROUNDS averaged rounds over docs(id, text) of `total` ids, each document in one of them. Weights of n tasks meet in the square
+    root of n sums, which the driver gets."""
     w = start_weights()
-    total = windows.count()
-    parts = max(1, -(-total // PART))
+    parts = max(1, math.ceil(total / (HALF * PART * ROUNDS)))
     teams = math.isqrt(parts) + 1
     kind = "team long, n long, weights binary"
 
@@ -532,8 +517,10 @@ def train(windows: DataFrame, classes: Classes) -> dict[str, np.ndarray]:
 
     def passes(w: dict[str, np.ndarray], turn: int):
         def run(key, rows):
-            new, _ = train_pass(w, _windows(rows["window"].to_pylist()), classes, seed=turn * parts + key[0].as_py(), rate=RATE / (1 + turn))
-            return one(key[0].as_py(), rows.num_rows, _packed(new))
+            known, told = lexicon(), rows.select(["id", "text"]).sort_by([("id", "ascending"), ("text", "ascending")])
+            windows = np.concatenate([windows_of(b.column(1).to_pylist(), unit, known) for b in light(told.to_batches())])
+            new, _ = train_pass(w, windows, classes, seed=turn * parts + key[0].as_py(), rate=RATE / (1 + turn))
+            return one(key[0].as_py(), len(windows), _packed(new))
 
         return run
 
@@ -541,10 +528,12 @@ def train(windows: DataFrame, classes: Classes) -> dict[str, np.ndarray]:
         n, data = mean(list(zip(rows["n"].to_pylist(), rows["weights"].to_pylist(), strict=True)))
         return one(key[0].as_py(), n, data.astype(np.float32).tobytes())
 
-    dealt = windows.select(F.pmod("deal", F.lit(parts)).alias("part"), "window")
-    for turn in range(ROUNDS if total else 0):
-        got = dealt.groupBy("part").applyInArrow(passes(w, turn), kind).groupBy("team").applyInArrow(met, kind).collect()
-        w = _unpacked(mean([(r.n, r.weights) for r in sorted(got, key=lambda r: r.team)])[1], w)
+    deal = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(ROUNDS * parts))
+    dealt = docs.select("id", "text", (deal % ROUNDS).alias("turn"), F.floor(deal / ROUNDS).alias("part"))
+    for turn in range(ROUNDS):
+        got = dealt.filter(F.col("turn") == turn).select("part", "id", "text").groupBy("part").applyInArrow(passes(w, turn), kind).groupBy("team").applyInArrow(met, kind).collect()
+        if got:
+            w = _unpacked(mean([(r.n, r.weights) for r in sorted(got, key=lambda r: r.team)])[1], w)
     return w
 
 
@@ -559,8 +548,11 @@ class Model:
     classes: Classes
     weights: dict[str, np.ndarray]
     frequent: dict[bytes, int]
-    #: Weight of the attention model's probability beside the word's share.
-    mixture: float = 0.5
+
+    @property
+    def mixture(self) -> float:
+        """Mean weight of the attention model's probability beside the word's share."""
+        return sum(MIXTURES) / len(MIXTURES)
 
 
 def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -577,20 +569,14 @@ def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str =
     first[unit[END]] += ends
     last[klass[unit[END]]] += ends
 
-    sampled = min(0.5, SAMPLE / max(1, seen.n) ** 0.25)
-    dealt = taught.withColumn("deal", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 20)) / F.lit(1 << 20))
-    windows = stored(sample_windows(dealt.filter(F.col("deal") < sampled).select("id", "text"), unit), "op7-windows")
     starts = np.zeros(len(klass), bool)
     starts[np.unique(unit[np.flatnonzero(begins_word())])] = True
-    classes = Classes(ids, first, last, inside, across_counts(windows, klass, starts), (unit, share, klass))
-    weights = train(windows, classes)
-    drop_stored(windows)
+    classes = Classes(ids, first, last, inside, across_counts(taught.select("text"), unit, klass, starts), (unit, share, klass))
+    weights = train(taught, unit, classes, ids.sum())
 
     top = counts.orderBy(F.desc("c"), "word").limit(FREQUENT).toArrow()
     frequent = dict(zip(top["word"].to_pylist(), top["c"].to_pylist(), strict=True))
-    model = Model(counts, seen.n + ends, seen.v + (ends > 0), ends, classes, weights, frequent)
-    model.mixture = fit_mixture(model, dealt.filter((F.col("deal") >= sampled) & (F.col("deal") < 1.25 * sampled)).select("text"))
-    return model
+    return Model(counts, seen.n + ends, seen.v + (ends > 0), ends, classes, weights, frequent)
 
 
 def begins_word() -> np.ndarray:
@@ -607,31 +593,11 @@ def _word_scores(tables: dict[str, np.ndarray], classes: Classes, words: list[by
     return np.round(np.add.reduceat(scores, starts), 5), tokens, count
 
 
-def fit_mixture(model: Model, docs: DataFrame) -> float:
-    """The weight that makes docs(text) likeliest, with their own words taken out of the counts."""
-    weights, classes = model.weights, model.classes
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, tables = lexicon(), scoring_tables(weights, classes)
-        for b in light(batches, 0):
-            texts = b.column(0).to_pylist()
-            scores, tokens, _ = _word_scores(tables, classes, *_split(texts), known)
-            keep = np.ones(len(scores), bool)
-            keep[np.cumsum(tokens) - 1] = False
-            flat = [(w, count[w]) for ws in (t.lower().split() for t in texts) for count in [Counter(ws)] for w in ws]
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in flat], pa.binary()), pa.array([n for _, n in flat], pa.int64()), pa.array(scores[keep])], names=["word", "own", "s"])
-
-    found = docs.mapInArrow(run, "word binary, own bigint, s double").join(model.counts, "word")
-    rest = (F.col("c") - F.col("own")) / F.lit(float(max(1, model.total)))
-    sums = found.agg(*(F.sum(F.log(m * F.exp("s") + (1 - m) * rest + 1e-300)).alias(str(k)) for k, m in enumerate(MIXTURES))).first()
-    return max(zip(sums, MIXTURES, strict=True))[1] if sums[0] is not None else 0.5
-
-
 def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score) for each row."""
     kind = docs.schema[id_col].dataType.simpleString()
     word_kind = pa.struct([("word", pa.binary()), ("s", pa.float64())])
-    weights, classes, frequent, ends, mixture = model.weights, model.classes, model.frequent, model.ends, model.mixture
+    weights, classes, frequent, ends = model.weights, model.classes, model.frequent, model.ends
     total = max(1, model.total)
     room = math.log10(model.total + model.distinct + 1)
 
@@ -649,28 +615,39 @@ def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
             begin = last - tokens + 1
             near = np.where(far, 0.0, c)
             with np.errstate(divide="ignore"):
-                mixed = np.logaddexp(s + math.log(mixture), np.log((1 - mixture) * near / total))
-            sums = [np.add.reduceat(np.where(far, 0.0, x), begin) for x in (c > 0, np.log10(near + 1), mixed / math.log(10))]
+                share = np.log(near / total)
+            high = np.maximum(s, share)
+            told, held = np.exp(s - high), np.exp(share - high)
+            mixed = [(high + np.log(m * told + (1 - m) * held)) / math.log(10) for m in MIXTURES]
+            sums = [np.add.reduceat(np.where(far, 0.0, x), begin) for x in (c > 0, np.log10(near + 1), *mixed)]
             tail = pa.StructArray.from_arrays([pa.array([words[i] for i in np.flatnonzero(np.isnan(count)).tolist()], pa.binary()), pa.array(s[far])], fields=list(word_kind))
             offsets = np.concatenate(([0], np.cumsum(np.add.reduceat(far, begin, dtype=np.int64))))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(row, row + len(many))), b.column(0), pa.array(tokens), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2]), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), tail)],
-                names=["row", id_col, "n_tokens", "near_known", "near_base", "near_score", "tail"],
+                [pa.array(np.arange(row, row + len(many))), b.column(0), pa.array(tokens), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), *map(pa.array, sums[2:]), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), tail)],
+                names=["row", id_col, "n_tokens", "near_known", "near_base", *(f"near{k}" for k in range(len(MIXTURES))), "tail"],
             )
             row += len(many)
 
-    schema = f"row bigint, `{id_col}` {kind}, n_tokens bigint, near_known bigint, near_base double, near_score double, tail array<struct<word:binary,s:double>>"
+    schema = f"row bigint, `{id_col}` {kind}, n_tokens bigint, near_known bigint, near_base double, {', '.join(f'near{k} double' for k in range(len(MIXTURES)))}, tail array<struct<word:binary,s:double>>"
     scored = stored(docs.select(id_col, raw(text_col)).mapInArrow(run, schema), "op7-scored")
     tail = scored.select("row", F.explode("tail").alias("t")).select("row", "t.word", "t.s").join(model.counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    alone = F.col("s") + math.log(mixture)
-    both = F.log(F.exp(alone) + (1 - mixture) * F.col("c") / F.lit(float(total)))
-    mixed = F.when(F.col("c") > 0, both).otherwise(alone) / math.log(10)
-    far = tail.groupBy("row").agg(F.count_if(F.col("c") > 0).alias("far_known"), F.sum(F.log10(F.col("c") + 1)).alias("far_base"), F.sum(mixed).alias("far_score"))
+
+    def mixed(m: float) -> Column:
+        alone = F.col("s") + math.log(m)
+        both = F.log(F.exp(alone) + (1 - m) * F.col("c") / F.lit(float(total)))
+        return F.when(F.col("c") > 0, both).otherwise(alone) / math.log(10)
+
+    far = tail.groupBy("row").agg(
+        F.count_if(F.col("c") > 0).alias("far_known"), F.sum(F.log10(F.col("c") + 1)).alias("far_base"), *(F.sum(mixed(m)).alias(f"far{k}") for k, m in enumerate(MIXTURES))
+    )
     out = scored.drop("tail").join(far, "row", "left")
     none = F.lit(0.0)
+    each = [F.col(f"near{k}") + F.coalesce(f"far{k}", none) for k in range(len(MIXTURES))]
+    best = F.greatest(*each)
+    score = best + F.log10(sum((F.pow(F.lit(10.0), x - best) for x in each), none) / len(MIXTURES))
     return out.select(
         id_col, "n_tokens", (F.col("near_known") + F.coalesce("far_known", F.lit(0))).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"),
-        (F.col("near_base") + F.coalesce("far_base", none) - F.col("n_tokens") * F.lit(room)).alias("base_score"), (F.col("near_score") + F.coalesce("far_score", none)).alias("score"),
+        (F.col("near_base") + F.coalesce("far_base", none) - F.col("n_tokens") * F.lit(room)).alias("base_score"), score.alias("score"),
     )
 
 
