@@ -16,26 +16,42 @@ EMPLOYMENT_TYPES = (
 ACQUISITION = ("acquisition_tech_intent", "acquisition_query", "acquisition_country", "acquisition_mode", "acquisition_batch")
 
 
-def field(path: str, kind: str = "string") -> Column:
-    """A field of the parsed record; null where it isn't there or isn't of that kind."""
-    return F.try_variant_get("record", f"$.{path}", kind)
+#: Fields of a record, and as what they are read; what isn't of that kind is null. Variants are texts or nested objects.
+FIELDS = ", ".join((
+    "id string, title string, company variant, location variant, category variant, salary struct<min: double, max: double, currency: string>, salary_min double, salary_max double",
+    "salary_currency string, contract_type string, type string, created string, description string, redirect_url string", *(f"_{name} string" for name in ACQUISITION),
+))
+
+
+def parsed(raw: str) -> Column:
+    """All FIELDS of a record by one expression; null where it can't be read."""
+    return F.try_variant_get(F.try_parse_json(raw), "$", f"struct<{FIELDS}>")
+
+
+def field(path: str) -> Column:
+    """A field of the parsed record; null where it isn't there or isn't of its kind."""
+    return F.col(f"record.{path}")
+
+
+def named(name: str, inner: str) -> Column:
+    """A field of a nested object, or the scalar itself."""
+    scalar = F.try_variant_get(field(name), "$", "string")
+    return F.coalesce(F.try_variant_get(field(name), f"$.{inner}", "string"), F.when(~scalar.startswith("{"), scalar))
 
 
 def shown_name(name: str) -> Column:
     """display_name of a nested object, or the scalar itself."""
-    scalar = field(name)
-    return F.coalesce(field(f"{name}.display_name"), F.when(~scalar.startswith("{"), scalar))
+    return named(name, "display_name")
 
 
 def label(name: str) -> Column:
     """label of a nested object, or the scalar itself; empty where there is none."""
-    scalar = field(name)
-    return F.coalesce(field(f"{name}.label"), F.when(~scalar.startswith("{"), scalar), F.lit(""))
+    return F.coalesce(named(name, "label"), F.lit(""))
 
 
 def salary(end: str) -> Column:
     """Nested amount if it is a number, else the top-level one; anything else is null."""
-    return F.coalesce(field(f"salary.{end}", "double"), field(f"salary_{end}", "double"))
+    return F.coalesce(field(f"salary.{end}"), field(f"salary_{end}"))
 
 
 def currency() -> Column:
@@ -55,6 +71,10 @@ def moment(name: str) -> Column:
     return iso(field(name))
 
 
+#: Times that Spark's cast reads as they are.
+TOLD = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}:\d{2}(\.\d{1,9})?(Z|[+-]\d{2}:\d{2})?)?$"
+
+
 def iso(text: Column) -> Column:
     basic = F.regexp_replace(text, r"^(\d{4})(\d{2})(\d{2})($|[T ])", "$1-$2-$3$4")
     whole = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}([.,]\d{1,9})?)?)?(Z|[+-]\d{2}(:?\d{2})?)?)?$"
@@ -62,13 +82,13 @@ def iso(text: Column) -> Column:
     told = F.regexp_replace(F.regexp_replace(basic, ",", "."), r"([T ]\d{2})($|Z|[+-])", "$1:00$2")
     told = F.regexp_replace(told, r"([T ]\d{2}:\d{2})($|Z|[+-])", "$1:00$2")
     told = F.regexp_replace(F.regexp_replace(told, r"(:\d{2}(?:\.\d+)?[+-]\d{2})(\d{2})$", "$1:$2"), r"(:\d{2}(?:\.\d+)?[+-]\d{2})$", "$1:00")
-    return F.when(basic.rlike(whole), told.try_cast("timestamp"))
+    return F.when(text.rlike(TOLD), text.try_cast("timestamp")).when(basic.rlike(whole), told.try_cast("timestamp"))
 
 
 def transform(raw: DataFrame, source: str, as_of: str) -> DataFrame:
     """One row for each record that has an id and a title; `as_of` stands in where a posting has no date. A record is parsed once: what comes out of a list
     of one isn't put in place of its uses, as a column would be, also in filters that move below joins."""
-    out = raw.select("_source_country", F.explode(F.array(F.try_parse_json("raw"))).alias("record")).select(
+    out = raw.select("_source_country", F.explode(F.array(parsed("raw"))).alias("record")).select(
         field("id").alias("source_id"), F.lit(source).alias("source_site"), field("title").alias("title"), F.coalesce(shown_name("company"), F.lit("Unknown")).alias("company_name"),
         F.coalesce(shown_name("location"), F.lit("")).alias("location"), salary("min").alias("salary_min"), salary("max").alias("salary_max"), currency().alias("salary_currency"),
         employment_type().alias("employment_type"), moment("created").alias("posted_date"), F.col("_source_country").alias("source_country"),
