@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +31,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from laborlens.llm.common import CACHE, U64, bloom, hash_spots, in_bloom, raw, shingles, slices, table
+from laborlens.llm.common import CACHE, U64, bloom, growing, hash_spots, in_bloom, raw, slices, table
 
 WINDOW = 8
 SHORTEST = 5
 LEAST = 0.5
+#: Texts whose windows are hashed at once.
+TOGETHER = 64
 
 PUNCTUATION = b"""!"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"""
 NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*%?")
@@ -68,14 +71,16 @@ class Tokens(dict):
         self[word] = got
         return got
 
-    def forms(self, text: bytes) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, list[bytes]]:
-        """The different forms of a text (token hashes, whether each is a placeholder), which tokens are names, and the words."""
-        words = text.split()
+    def forms(self, texts: list[bytes]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, list[bytes], np.ndarray]:
+        """The different forms of texts, one after the other (token hashes, whether each is a placeholder), which tokens are names, the words, and each one's text."""
+        split = [text.split() for text in texts]
+        words, row = list(chain.from_iterable(split)), np.repeat(np.arange(len(split)), [len(s) for s in split])
         x = np.fromiter(map(self.__getitem__, words), U64, len(words))
         if len(x) and not x.all():
             keep = np.flatnonzero(x)
-            x, words = x[keep], [words[k] for k in keep.tolist()]
+            x, row, words = x[keep], row[keep], [words[k] for k in keep.tolist()]
         before = np.concatenate((np.array([ENDS], U64), x[:-1]))[: len(x)]
+        before[1:][row[1:] != row[:-1]] = ENDS
         number = (x & IS_NUMBER) != 0
         name = ~number & ((x & CAP) != 0) & ((before & ENDS) == 0)
         unit = ~number & ((x & IS_UNIT) != 0) & ((before & IS_NUMBER) != 0)
@@ -87,17 +92,7 @@ class Tokens(dict):
             out.append((values, value))
         if name.any():
             out.append((np.where(name, NAME_SLOT, values), value | name))
-        return out, name, words
-
-
-def _windows(tokens: np.ndarray, slot: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of the windows with enough literal tokens."""
-    n = len(tokens) - size + 1
-    if n < 1:
-        return np.zeros(0, np.int64), np.zeros(0, U64)
-    ahead = np.concatenate(([0], np.cumsum(slot)))
-    told = np.flatnonzero(2 * (ahead[size:] - ahead[:-size]) <= size)
-    return told, shingles(tokens, size)[told]
+        return out, name, words, row
 
 
 def agreed(hits: list[tuple[int, int, list, list]]) -> tuple[list[int], int, bool]:
@@ -135,29 +130,32 @@ def windows(rows: DataFrame, id_col: str, text_col: str, sizes: list[int] | None
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens()
-        for b in slices(batches):
-            out = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                forms, name, words = tokens.forms(text)
-                n = len(words)
-                for size in sizes if sizes is not None else [min(n, WINDOW)] if n >= SHORTEST else []:
-                    last = None
-                    for template, slot in forms:
-                        at, hashes = _windows(template, slot, size)
-                        if last is not None:
-                            # forms that are the same here give one window
-                            new = hashes != last[at]
-                            last[at] = hashes
-                            at, hashes = at[new], hashes[new]
-                        else:
-                            last = hashes.copy()
-                        if words_in is not None and len(hashes):
-                            keep = in_bloom(words_in, hash_spots(words_in, hashes))
-                            at, hashes = at[keep], hashes[keep]
-                        for p, h in zip(at.tolist(), hashes.view(np.int64).tolist(), strict=True):
-                            fill = [{"at": k, "name": bool(name[p + k] and slot[p + k]), "word": words[p + k].strip(PUNCTUATION).decode("utf-8", "replace").casefold()} for k in np.flatnonzero(slot[p : p + size]).tolist()]
-                            out.append((h, doc, p, size, n, fill))
+        tokens, every = Tokens(), list(range(SHORTEST, WINDOW + 1)) if sizes is None else sizes
+        for b in slices(batches, TOGETHER):
+            out, docs = [], b.column(0).to_pylist()
+            forms, name, words, row = tokens.forms(b.column(1).to_pylist())
+            many = np.bincount(row, minlength=len(docs))
+            begin = np.cumsum(many) - many
+            last: dict[int, np.ndarray] = {}
+            for template, slot in forms:
+                ahead = np.concatenate(([0], np.cumsum(slot)))
+                for size, hashes in growing(template, every):
+                    # inside one text, with enough literal tokens; forms that are the same here give one window
+                    told = (row[: len(hashes)] == row[size - 1 :]) & (2 * (ahead[size:] - ahead[:-size]) <= size)
+                    if sizes is None:
+                        told &= np.minimum(many, WINDOW)[row[: len(hashes)]] == size
+                    if size in last:
+                        told &= hashes != last[size]
+                        last[size] = np.where(told, hashes, last[size])
+                    else:
+                        last[size] = hashes
+                    at = np.flatnonzero(told)
+                    if words_in is not None and len(at):
+                        at = at[in_bloom(words_in, hash_spots(words_in, hashes[at]))]
+                    for p, h in zip(at.tolist(), hashes[at].view(np.int64).tolist(), strict=True):
+                        k = int(row[p])
+                        fill = [{"at": j, "name": bool(name[p + j] and slot[p + j]), "word": words[p + j].strip(PUNCTUATION).decode("utf-8", "replace").casefold()} for j in np.flatnonzero(slot[p : p + size]).tolist()]
+                        out.append((h, docs[k], p - int(begin[k]), size, int(many[k]), fill))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), SLOTS), strict=True)], names=["hash", "id", "pos", "size", "n_tokens", "slots"])
 

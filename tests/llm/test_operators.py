@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from laborlens.llm import attention_lm, decontam, fingerprint, near_dup, packing, secrets, substring_dup, toxicity, warc
-from laborlens.llm.common import components, table
+from laborlens.llm.common import components, growing, shingles, table
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, component long, id long"
 
@@ -509,3 +509,22 @@ def test_fingerprint_cases(spark, odd):
     assert len({r.fingerprint for r in got if r.doc_id in (5, 6)}) == 1
     alone = fingerprint.fingerprints(odd.filter("doc_id = 4")).first()
     assert alone.near_next == 1 and alone.n_chars == 3
+
+
+def test_windows_of_several_sizes_are_hashed_in_one_chain():
+    draw = np.random.default_rng(5)
+    for n in (0, 1, 4, 5, 8, 40):
+        x = draw.integers(1, 1 << 62, n).astype(np.uint64)
+        got = {size: h.tolist() for size, h in growing(x, [5, 6, 8])}
+        assert got == {size: shingles(x, size).tolist() for size in (5, 6, 8) if n >= size}
+
+
+def test_windows_of_texts_together_are_those_of_each_alone(spark, monkeypatch):
+    texts = ["Ann has 5 km to go. Ben has 7 of them, and Carl 3!", "", "one two three four five six", "Then Ann met Ben at the old house of Carl", None, "5 km Ann -- and Ben of nine more words in here", "a b c d"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
+    for sizes in (None, [5, 8]):
+        got = []
+        for together in (1, 64):
+            monkeypatch.setattr(decontam, "TOGETHER", together)
+            got.append(sorted(map(str, decontam.windows(rows, "id", "text", sizes, None).collect())))
+        assert got[0] == got[1] and got[0]
