@@ -2,6 +2,7 @@ import itertools
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline
 from laborlens.llm import toxicity
@@ -52,6 +53,27 @@ def test_odd_rows_pass_the_whole_chain(spark, sf):
     assert sum(r.length for r in pieces if r.doc_id == 4) == max(r.doc_tokens for r in pieces if r.doc_id == 4)
 
 
+def test_stages_take_small_arrow_batches(spark, sf):
+    """The size of a batch is held outside the heap for each core: with 10,000 rows executors passed their limit."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+    def most() -> int:
+        rows = spark.range(5000, numPartitions=1).mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]) for b in batches), "n long")
+        return rows.agg({"n": "max"}).first()[0]
+
+    before, docs = spark.conf.get(name), table(spark, sf, "documents").limit(20)
+    try:
+        for _, stage in corpus_pipeline.STAGES:
+            spark.conf.set(name, "10000")
+            stage(spark, docs, sf)
+            assert most() == corpus_pipeline.BATCH_ROWS
+        spark.conf.set(name, "300")
+        corpus_pipeline.STAGES[-1][1](spark, docs, sf)
+        assert most() == 300
+    finally:
+        spark.conf.set(name, before)
+
+
 def _scores_by_hand(model, texts):
     """All cosines with all examples, instead of an index."""
     dense = np.zeros((len(model.ids), len(model.weight)))
