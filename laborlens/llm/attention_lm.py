@@ -7,7 +7,7 @@ The attention model gives, from the WINDOW ids before, the probability of the ne
 learned softmaxes; times the unit's share of its class after the class before, times the id's share of its unit.
 
 Gathered from all training documents: word counts, from them how often ids occur, begin and end words and follow each other inside
-words, and how classes follow each other across words. The attention is trained on the windows of all training documents, each once: documents are dealt by hash
+words, and how classes follow each other across words. The ids of training documents are written once for all that reads them. The attention is trained on the windows of all training documents, each once: documents are dealt by hash
 to ROUNDS rounds and to tasks of some PART windows; each task takes a pass of Adam steps, and a round's weights are averaged, level by level.
 
 Scoring: windows of WINDOW positions overlap by half; each position is scored once, in the window that has it in its second half, and
@@ -25,9 +25,9 @@ row each; without training documents all counts are 0 and the model is uniform o
 from __future__ import annotations
 
 import math
-from array import array
+import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain, repeat
 
@@ -37,8 +37,9 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from laborlens.llm.common import crc_mod, raw, slices, stored, table
+from laborlens.llm.common import crc_mod, drop_stored, raw, slices, stored, table
 from laborlens.llm.packing import word_ids
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -53,11 +54,12 @@ TAIL_UNITS = 32
 WIDTH = 16
 WINDOW = 32
 HALF = WINDOW // 2
-PART = 16_384
+PART = 65_536
 ROUNDS = 4
+#: Windows of a step of Adam, at least and at most: as many as make a pass of some STEPS.
+BATCH, MOST, STEPS = 64, 256, 256
 #: Windows that are scored at once, and bytes of text; one text may have more.
 SEGMENT, BYTES = 4096, 1 << 19
-BATCH = 64
 RATE = 0.02
 FREQUENT = 100_000
 #: Weight of marginal shares beside counts of pairs.
@@ -67,11 +69,29 @@ COUNTED = 100_000
 KEPT_WORDS, KEPT_IDS = 250_000, 2_000_000
 MIXTURES = (0.1, 0.3, 0.5, 0.7, 0.9)
 
+_OTHER_SPACE = re.compile(r"[^\S ]")
 _UNSEEN = np.float32(-1e30)
 _MASK = np.where(np.arange(WINDOW) <= HALF + np.arange(HALF)[:, None], np.float32(0), _UNSEEN)
 _SCALE = np.float32(1 / math.sqrt(WIDTH))
 
 
+_begins: list[np.ndarray] = []
+
+
+def ids_of_words(words: list[bytes], encode: Callable[[str], list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the words, one after the other, and how many each has. Words are encoded by one call, as the vocabulary cuts texts at blanks and only first
+    ids of words begin with one; words with white space of other kinds, which it may cut otherwise, one by one."""
+    text = "".join(" " + w.decode("utf-8", "replace") for w in words)
+    if _OTHER_SPACE.search(text):
+        found = [encode(" " + w.decode("utf-8", "replace")) for w in words]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.int32, int(size.sum())), size
+    if not _begins:
+        _begins.append(begins_word())
+    ids = np.array(encode(text), np.int32)
+    return ids, np.diff(np.flatnonzero(_begins[0][ids]), append=len(ids))
+
+
 class Lexicon(dict):
     """word bytes -> place in arrays of first ids, numbers of ids and counts; counts of words that aren't frequent are nan."""
 
@@ -83,15 +103,13 @@ class Lexicon(dict):
         self.first, self.size, self.count = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64), np.empty(1 << 14)
 
     def _learn(self, words: list[bytes]) -> None:
-        encode = self.encode
-        found = [encode(" " + w.decode("utf-8", "replace")) for w in words]
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        more, at = int(size.sum()), len(self)
+        ids, size = ids_of_words(words, self.encode)
+        more, at = len(ids), len(self)
         if self.used + more > len(self.flat):
             self.flat = np.concatenate((self.flat, np.empty(max(len(self.flat), more), np.int32)))
         while at + len(words) > len(self.first):
             self.first, self.size, self.count = (np.concatenate((a, np.empty_like(a))) for a in (self.first, self.size, self.count))
-        self.flat[self.used : self.used + more] = np.fromiter(chain.from_iterable(found), np.int32, more)
+        self.flat[self.used : self.used + more] = ids
         here = slice(at, at + len(words))
         self.first[here], self.size[here] = self.used + np.cumsum(size) - size, size
         self.count[here] = np.fromiter((self.frequent.get(w, math.nan) for w in words), float, len(words))
@@ -195,43 +213,65 @@ def _exp(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def loss_and_gradient(w: dict[str, np.ndarray], inputs: np.ndarray, base: tuple[np.ndarray, np.ndarray], targets: np.ndarray, told: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean loss over the told positions of windows (n, WINDOW) of units, and its gradient. Positions of second halves have targets, told (n, HALF)
     and base, which the attention adds to: of the groups (n * HALF, GROUPS) and of the target's group's members."""
-    n = len(inputs)
-    x = w["e"][inputs]
-    placed = x + w["p"]
-    q, k, v = placed[:, HALF:] @ w["q"], placed @ w["k"], placed @ w["v"]
-    a, total = _exp(np.matmul(q, k.transpose(0, 2, 1)) * _SCALE + _MASK)
+    n, weight = len(inputs), told.reshape(-1, 1) / w["p"].dtype.type(max(1, int(told.sum())))
+    wide = np.concatenate((w["q"] * _SCALE, w["k"], w["v"]), axis=1)
+    x = np.take(w["e"], inputs, axis=0)
+    placed = (x + w["p"]).reshape(-1, WIDTH)
+    qkv = (placed @ wide).reshape(n, WINDOW, 3 * WIDTH)
+    q, k, v = qkv[:, HALF:, :WIDTH], qkv[:, :, WIDTH : 2 * WIDTH], qkv[:, :, 2 * WIDTH :]
+    s = np.matmul(q, k.transpose(0, 2, 1))
+    s += _MASK
+    a, total = _exp(s)
     a /= total
-    h = (x[:, HALF:] + np.matmul(a, v)).reshape(-1, WIDTH)
+    c = np.matmul(a, v)
+    h = (x[:, HALF:] + c).reshape(-1, WIDTH)
     rows, group, member = np.arange(len(h)), targets.ravel() // MEMBERS, targets.ravel() % MEMBERS
-    own = w["member"][group]
-    loss, g, dh, m = 0.0, {}, 0, max(1, int(told.sum()))
-    for name, logits, t in (("group", h @ w["group"] + base[0], group), ("member", np.matmul(h[:, None], own)[:, 0] + base[1], member)):
+
+    def told_by(logits: np.ndarray, t: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray]:
         p, total = _exp(logits)
-        p /= total
-        loss -= float((np.log(p[rows, t] + 1e-30) * told.ravel()).sum()) / m
-        p[rows, t] -= 1
-        p *= told.reshape(-1, 1) / np.float32(m)
-        if name == "group":
-            g[name], dh = h.T @ p, p @ w[name].T
-        else:
-            g[name], dh = np.zeros_like(w[name]), dh + np.matmul(own, p[:, :, None])[:, :, 0]
-            for k_ in np.unique(group).tolist():
-                g[name][k_] = h[group == k_].T @ p[group == k_]
+        loss = -float(np.log(p[rows, t] / total[:, 0] + 1e-30) @ weight[:, 0])
+        p *= weight / total
+        p[rows, t] -= weight[:, 0]
+        return loss, p
+
+    g = {}
+    loss, p = told_by(h @ w["group"] + base[0], group, weight)
+    g["group"], dh = h.T @ p, p @ w["group"].T
+    # positions of one group have one softmax over its members
+    order = np.argsort(group.astype(np.uint8), kind="stable")
+    ends = np.searchsorted(group[order], np.arange(GROUPS + 1)).tolist()
+    parts = [(k_, slice(i, j)) for k_, (i, j) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if i < j]
+    sorted_h, logits = np.take(h, order, axis=0), np.take(base[1], order, axis=0)
+    for k_, at in parts:
+        logits[at] += sorted_h[at] @ w["member"][k_]
+    more, p = told_by(logits, member[order], weight[order])
+    g["member"], back = np.zeros_like(w["member"]), np.empty_like(sorted_h)
+    for k_, at in parts:
+        g["member"][k_], back[at] = sorted_h[at].T @ p[at], p[at] @ w["member"][k_].T
+    place = np.empty_like(order)
+    place[order] = rows
+    dh += np.take(back, place, axis=0)
     dh = dh.reshape(n, HALF, WIDTH)
-    da, dv = np.matmul(dh, v.transpose(0, 2, 1)), np.matmul(a.transpose(0, 2, 1), dh)
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True)) * _SCALE
-    dq, dk = np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q)
-    dx = dk @ w["k"].T + dv @ w["v"].T
-    dx[:, HALF:] += dq @ w["q"].T
+    ds = np.matmul(dh, v.transpose(0, 2, 1))
+    ds -= np.einsum("nid,nid->ni", dh, c)[:, :, None]
+    ds *= a
+    d = np.empty_like(qkv)
+    d[:, :HALF, :WIDTH] = 0
+    np.matmul(ds, k, out=d[:, HALF:, :WIDTH])
+    np.matmul(ds.transpose(0, 2, 1), q, out=d[:, :, WIDTH : 2 * WIDTH])
+    np.matmul(a.transpose(0, 2, 1), dh, out=d[:, :, 2 * WIDTH :])
+    d = d.reshape(-1, 3 * WIDTH)
+    dwide = placed.T @ d
+    g["q"], g["k"], g["v"] = dwide[:, :WIDTH] * _SCALE, dwide[:, WIDTH : 2 * WIDTH], dwide[:, 2 * WIDTH :]
+    dx = (d @ wide.T).reshape(n, WINDOW, WIDTH)
     g["p"] = dx.sum(axis=0)
-    for name, d, at in (("q", dq, placed[:, HALF:]), ("k", dk, placed), ("v", dv, placed)):
-        g[name] = at.reshape(-1, WIDTH).T @ d.reshape(-1, WIDTH)
     dx[:, HALF:] += dh
-    flat, g["e"] = inputs.ravel(), np.zeros_like(w["e"])
+    flat, g["e"] = inputs.ravel().astype(np.uint16), np.zeros_like(w["e"])
     order = np.argsort(flat, kind="stable")
-    seen, begin = np.unique(flat[order], return_index=True)
-    g["e"][seen] = np.add.reduceat(dx.reshape(-1, WIDTH)[order], begin, axis=0)
-    return loss, g
+    seen = flat[order]
+    begin = np.flatnonzero(np.diff(seen, prepend=seen[:1] + 1))
+    g["e"][seen[begin]] = np.add.reduceat(np.take(dx.reshape(-1, WIDTH), order, axis=0), begin, axis=0)
+    return loss + more, g
 
 
 @dataclass
@@ -357,7 +397,8 @@ def spelled(counts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = lexicon().encode
         for b in batches:
-            ids = [array("i", encode(" " + w.decode("utf-8", "replace"))).tobytes() for w in b.column(0).to_pylist()]
+            found, size = ids_of_words(b.column(0).to_pylist(), encode)
+            ids = [x.tobytes() for x in np.split(found, np.cumsum(size)[:-1])] if b.num_rows else []
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary())], names=["word", "c", "ids"])
 
     return counts.mapInArrow(run, "word binary, c bigint, ids binary")
@@ -438,9 +479,32 @@ def _split(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
     return list(chain.from_iterable(words)), np.fromiter(map(len, words), np.int64, len(words))
 
 
+def encoded(docs: DataFrame) -> DataFrame:
+    """docs(..., text) with ids in place of texts: 16-bit binary, an end after each text."""
+    others = docs.columns[:-1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = lexicon()
+        for b in light(batches, len(others)):
+            ids, lengths, *_ = _texts(*_split(b.column(len(others)).to_pylist()), known)
+            offsets = np.concatenate(([0], 2 * np.cumsum(lengths))).astype(np.int32)
+            told = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype(np.uint16))])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], told], names=[*others, "ids"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields[:-1], StructField("ids", BinaryType())]))
+
+
+def _read_ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of encoded texts, one after the other, and how many each has."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16), pc.binary_length(column).to_numpy().astype(np.int64) // 2
+
+
 def windows_of(texts: list[bytes], unit: np.ndarray, known: Lexicon) -> np.ndarray:
     """Windows of texts: WINDOW units before, then the second half's own units, -1 beyond the text."""
-    ids, lengths, *_ = _texts(*_split(texts), known)
+    return windows_of_ids(*_texts(*_split(texts), known)[:2], unit)
+
+
+def windows_of_ids(ids: np.ndarray, lengths: np.ndarray, unit: np.ndarray) -> np.ndarray:
     layout = lay_out(ids, lengths, unit)
     own = np.full(len(layout.before), -1, np.int16)
     own[layout.at] = unit[ids]
@@ -449,13 +513,14 @@ def windows_of(texts: list[bytes], unit: np.ndarray, known: Lexicon) -> np.ndarr
 
 
 def across_counts(docs: DataFrame, unit: np.ndarray, klass: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """How often each unit that begins a word or is the end comes after each class in docs(text). starts: whether a unit does."""
+    """How often each unit that begins a word or is the end comes after each class in docs(text), or in docs(ids) as encoded. starts: whether a unit does."""
     u = len(klass)
+    docs = docs if docs.columns == ["ids"] else encoded(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, known = np.zeros(CLASSES * u), lexicon()
+        n = np.zeros(CLASSES * u)
         for b in light(batches, 0):
-            ids, lengths, *_ = _texts(*_split(b.column(0).to_pylist()), known)
+            ids, lengths = _read_ids(b.column(0))
             own = unit[ids]
             before = np.concatenate(([unit[END]], own[:-1]))
             before[np.cumsum(lengths) - lengths] = unit[END]
@@ -469,19 +534,25 @@ def across_counts(docs: DataFrame, unit: np.ndarray, klass: np.ndarray, starts:
 def train_pass(w: dict[str, np.ndarray], windows: np.ndarray, classes: Classes, seed: int, rate: float = RATE) -> tuple[dict[str, np.ndarray], float]:
     """One pass of Adam over windows (of windows_of); the weights and the mean loss."""
     order = np.random.default_rng(seed).permutation(len(windows))
-    w = {k: v.copy() for k, v in w.items()}
-    m, s = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}
-    losses = []
-    for step, i in enumerate(range(0, len(order), BATCH), 1):
-        got = windows[order[i : i + BATCH]].astype(np.int32)
+    flat = np.frombuffer(bytearray(_packed(w)), np.float32)
+    w = _unpacked(flat, w)
+    m, s, step_by = np.zeros_like(flat), np.zeros_like(flat), np.empty_like(flat)
+    losses, size = [], min(MOST, max(BATCH, len(order) // STEPS))
+    for step, i in enumerate(range(0, len(order), size), 1):
+        got = windows[order[i : i + size]]
         inputs, own = got[:, :WINDOW], got[:, WINDOW:]
         last, targets = classes.klass[inputs[:, HALF:].ravel()], classes.klass[np.maximum(own, 0)]
-        loss, g = loss_and_gradient(w, inputs, (classes.group[last], classes.member[last, targets.ravel() // MEMBERS]), targets, own >= 0)
+        base = np.take(classes.group, last, axis=0), np.take(classes.member.reshape(-1, MEMBERS), last * GROUPS + targets.ravel() // MEMBERS, axis=0)
+        loss, g = loss_and_gradient(w, inputs, base, targets, own >= 0)
         losses.append(loss)
-        for k in w:
-            m[k] += 0.1 * (g[k] - m[k])
-            s[k] += 0.01 * (g[k] * g[k] - s[k])
-            w[k] -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+        g = np.concatenate([g[k].ravel() for k in sorted(g)])
+        m += np.float32(0.1) * (g - m)
+        s += np.float32(0.01) * (g * g - s)
+        np.sqrt(s, out=step_by)
+        step_by *= np.float32(1 / math.sqrt(1 - 0.99**step))
+        step_by += np.float32(1e-8)
+        np.divide(m, step_by, out=step_by)
+        flat -= np.float32(rate / (1 - 0.9**step)) * step_by
     return w, float(np.mean(losses))
 
 
@@ -498,7 +569,7 @@ def _unpacked(data: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.nda
 
 
 def train(docs: DataFrame, unit: np.ndarray, classes: Classes, total: float) -> dict[str, np.ndarray]:
-    """Weights after ROUNDS averaged rounds over docs(id, text) of `total` ids, each document in one of them. Weights of n tasks meet in the square
+    """Weights after ROUNDS averaged rounds over docs(id, ids) of `total` ids, each document in one of them. Weights of n tasks meet in the square
     root of n sums, which the driver gets."""
     w = start_weights()
     parts = max(1, math.ceil(total / (HALF * PART * ROUNDS)))
@@ -517,8 +588,8 @@ def train(docs: DataFrame, unit: np.ndarray, classes: Classes, total: float) ->
 
     def passes(w: dict[str, np.ndarray], turn: int):
         def run(key, rows):
-            known, told = lexicon(), rows.select(["id", "text"]).sort_by([("id", "ascending"), ("text", "ascending")])
-            windows = np.concatenate([windows_of(b.column(1).to_pylist(), unit, known) for b in light(told.to_batches())])
+            told = rows.select(["id", "ids"]).sort_by([("id", "ascending"), ("ids", "ascending")])
+            windows = np.concatenate([windows_of_ids(*_read_ids(b.column(1)), unit) for b in light(told.to_batches())])
             new, _ = train_pass(w, windows, classes, seed=turn * parts + key[0].as_py(), rate=RATE / (1 + turn))
             return one(key[0].as_py(), len(windows), _packed(new))
 
@@ -529,9 +600,9 @@ def train(docs: DataFrame, unit: np.ndarray, classes: Classes, total: float) ->
         return one(key[0].as_py(), n, data.astype(np.float32).tobytes())
 
     deal = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(ROUNDS * parts))
-    dealt = docs.select("id", "text", (deal % ROUNDS).alias("turn"), F.floor(deal / ROUNDS).alias("part"))
+    dealt = docs.select("id", "ids", (deal % ROUNDS).alias("turn"), F.floor(deal / ROUNDS).alias("part"))
     for turn in range(ROUNDS):
-        got = dealt.filter(F.col("turn") == turn).select("part", "id", "text").groupBy("part").applyInArrow(passes(w, turn), kind).groupBy("team").applyInArrow(met, kind).collect()
+        got = dealt.filter(F.col("turn") == turn).select("part", "id", "ids").groupBy("part").applyInArrow(passes(w, turn), kind).groupBy("team").applyInArrow(met, kind).collect()
         if got:
             w = _unpacked(mean([(r.n, r.weights) for r in sorted(got, key=lambda r: r.team)])[1], w)
     return w
@@ -571,8 +642,10 @@ def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str =
 
     starts = np.zeros(len(klass), bool)
     starts[np.unique(unit[np.flatnonzero(begins_word())])] = True
-    classes = Classes(ids, first, last, inside, across_counts(taught.select("text"), unit, klass, starts), (unit, share, klass))
-    weights = train(taught, unit, classes, ids.sum())
+    told = stored(encoded(taught), "op7-ids")
+    classes = Classes(ids, first, last, inside, across_counts(told.select("ids"), unit, klass, starts), (unit, share, klass))
+    weights = train(told, unit, classes, ids.sum())
+    drop_stored(told)
 
     top = counts.orderBy(F.desc("c"), "word").limit(FREQUENT).toArrow()
     frequent = dict(zip(top["word"].to_pylist(), top["c"].to_pylist(), strict=True))
